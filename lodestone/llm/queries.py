@@ -17,7 +17,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from .simhash import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op10_simhash": op10_simhash,
     "op8_token_files": op8_token_files,
 }
 
