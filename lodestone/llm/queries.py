@@ -19,6 +19,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from .language_id import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to flat token files and read back."""
     from .token_files import round_trip
@@ -36,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op10_simhash": op10_simhash,
+    "op4_language_id": op4_language_id,
     "op8_token_files": op8_token_files,
 }
 
