@@ -126,10 +126,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     names = [f"high_{m}" for m in MEASURES] + [f"low_{m}" for m, (_, low) in MEASURES.items() if low]
     own = _fences(sketch, "lang", "source")
     language = _fences(sketch, "lang").select("lang", F.col("docs").alias("l_docs"), *(F.col(n).alias(f"l_{n}") for n in names))
-    corpus = _fences(sketch.withColumn("all", F.lit(1)), "all").select(*(F.col(n).alias(f"c_{n}") for n in names))
-    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(n)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{n}")).otherwise(F.col(f"c_{n}")).alias(f"_llm_{n}") for n in names]
-    # the corpus has one row of fences
-    return own.join(language, "lang").join(F.broadcast(corpus), F.lit(True)).select(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source"), *chosen)
+    corpus = _fences(sketch.withColumn("all", F.lit(1)), "all").first() or dict.fromkeys(names)  # one row
+    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(n)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{n}")).otherwise(F.lit(corpus[n])).alias(f"_llm_{n}") for n in names]
+    return own.join(language, "lang").select(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source"), *chosen)
 
 
 def verdicts(measured: DataFrame) -> DataFrame:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import mixing, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated to the target weights of their sources."""
+    from .mixing import mix
+
+    return mix(_documents(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and adaptive verdict of every document."""
     from .quality_rules import quality
@@ -26,6 +33,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    from .packing import pack
+
+    return pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to flat token files and read back."""
     from .token_files import round_trip
@@ -41,12 +55,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op10_simhash": op10_simhash,
     "op4_language_id": op4_language_id,
+    "op6_packing": op6_packing,
     "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality_rules.SQL,
 }
