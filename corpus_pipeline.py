@@ -1,13 +1,56 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and reread."""
+"""Corpus pipeline: language ID, quality rules, SimHash near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
+next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lodestone.llm import language_id, mixing, packing, quality_rules, shared, simhash
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model recognises; those it rejects go."""
+    return language_id.keep_known(docs)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the adaptive thresholds of their language and source."""
+    return quality_rules.keep_good(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return simhash.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents replicated to the target weights of their sources, shuffled."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: A trained classifier and a tokenizer decide, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
