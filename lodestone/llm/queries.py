@@ -47,6 +47,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from .toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     from .simhash import simhash_components
@@ -61,6 +68,8 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
