@@ -33,6 +33,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Improbable-feature digests of every document and of its edited text."""
+    from .digests import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir)).select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences."""
     from .packing import pack
@@ -66,6 +73,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op10_simhash": op10_simhash,
     "op4_language_id": op4_language_id,
+    "op5_digests": op5_digests,
     "op6_packing": op6_packing,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
