@@ -12,6 +12,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards documents of good quality, and whether it is drawn."""
+    from .resampling import good_share, resample
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return resample(_documents(spark, sf_dir), labels.where("quality = 1"), good_share(labels))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents replicated to the target weights of their sources."""
     from .mixing import mix
@@ -47,6 +55,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between documents of good quality and all documents."""
+    from .lm_scoring import score
+
+    return score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to flat token files and read back."""
     from .token_files import round_trip
@@ -69,12 +84,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op10_simhash": op10_simhash,
     "op4_language_id": op4_language_id,
     "op5_digests": op5_digests,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
