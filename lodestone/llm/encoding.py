@@ -15,8 +15,46 @@ import numpy as np
 
 #: White space and then other characters, up to a space or line feed.
 _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
-#: Characters which Python takes for white space and the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+#: White space other than space and line feed; texts without it can be cut by str.split.
+_RARE_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters which Python takes for white space and the tokenizer doesn't, and the mark of a segment's key.
+_ODD = "\x00\x1c\x1d\x1e\x1f"
+
+#: A line feed or nothing, a word of Latin letters, marks: each is one piece for the pre-tokenizer.
+_WORD = re.compile("(\\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:$&%*#]*)")
+#: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+
+
+def _has(text: str, characters: str) -> bool:
+    return any(c in text for c in characters)
+
+
+def segment_keys(text: str) -> list[str]:
+    """Keys of a text's segments: a word for the segment " word"; else a mark (NUL: none; line feed: itself) and the segment.
+
+    The text must not have a character of _ODD.
+    """
+    if not text:
+        return []
+    if not _has(text, _RARE_SPACE if not text.isascii() else "\t\v\f\r"):
+        keys = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = ("\n" if keys else "\x00") + words[0]
+            keys += words
+        if "" not in keys and "\n" not in keys and "\x00" not in keys:
+            return keys
+    return ["\x00" + s for s in _SEGMENT.findall(text)]
+
+
+def segment_of(key: str) -> str:
+    return key[1:] if key[0] == "\x00" else key if key[0] == "\n" else " " + key
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,7 +69,7 @@ class SegmentEncoder:
     limit: segments in each of the two generations of the cache (bounds a worker's memory).
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,50 +78,55 @@ class SegmentEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.widths = np.zeros(size, np.int64)
-        for token, i in vocabulary.items():
-            self.widths[i] = len(token)  # one character of the byte-level alphabet is one byte
+        self.model = self.tokenizer.model
+        self.packed = [np.array([i], self.dtype).tobytes() for i in range(size)]
+        self.line, self.marks = self._piece("\u010a"), {}
         self.limit, self.young, self.old = limit, {}, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode segments: those that begin with a space or line feed and end otherwise together, as one text."""
-        together = [s for s in new if s[0] in " \n" and not s[-1].isspace()]
-        apart = [s for s in new if not (s[0] in " \n" and not s[-1].isspace())]
-        cache = self.young
-        cache.update(zip(apart, self._plain(apart), strict=True))
-        for i in range(0, len(together), 20_000):
-            part = together[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.cumsum([len(s.encode()) for s in part])
-            reached = np.cumsum(self.widths[ids])
-            cuts = np.searchsorted(reached, ends)
-            if len(reached) == 0 or cuts[-1] >= len(reached) or not np.array_equal(reached[cuts], ends):
-                cache.update(zip(part, self._plain(part), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, given as the byte-level alphabet spells it."""
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(piece)])
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encode segments: a word of Latin letters goes to the library's model by itself, any other segment as a text."""
+        cache, old, apart = self.young, self.old, []
+        for k in keys:
+            m = _WORD.fullmatch(k)
+            if m is None:
+                apart.append(k)
                 continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            stops = ((cuts + 1) * width).tolist()
-            for s, a, b in zip(part, [0, *stops[:-1]], stops, strict=True):
-                cache[s] = raw[a:b]
+            line, word, marks = m.groups()
+            if line:
+                raw = self.line + self._piece(_spelled(word))
+            elif (raw := cache.get(word) or old.get(word)) is None:
+                raw = cache[word] = self._piece("\u0120" + _spelled(word))
+            if marks:
+                if (tail := self.marks.get(marks)) is None:
+                    tail = self._piece(marks)
+                    if len(self.marks) < 10_000:
+                        self.marks[marks] = tail
+                raw += tail
+            cache[k] = raw
+        cache.update(zip(apart, self._plain([segment_of(k) for k in apart]), strict=True))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""
-        odd = {i: self._plain([t])[0] for i, t in enumerate(texts) if _ODD.search(t)}
-        split = [[] if i in odd else _SEGMENT.findall(t) for i, t in enumerate(texts)]
+        odd = {i: self._plain([t])[0] for i, t in enumerate(texts) if _has(t, _ODD)}
+        split = [[] if i in odd else segment_keys(t) for i, t in enumerate(texts)]
         young, old = self.young, self.old
-        missing = {s for segments in split for s in segments if s not in young}
         new = []
-        for s in missing:
-            if (known := old.get(s)) is None:
-                new.append(s)
+        for k in set().union(*split).difference(young):
+            if (known := old.get(k)) is None:
+                new.append(k)
             else:
-                young[s] = known
+                young[k] = known
         if new:
             self._learn(new)
         get = young.__getitem__
-        out = [odd[i] if i in odd else b"".join(map(get, segments)) for i, segments in enumerate(split)]
+        out = [odd[i] if i in odd else b"".join(map(get, keys)) for i, keys in enumerate(split)]
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
