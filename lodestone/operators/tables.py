@@ -62,10 +62,10 @@ def orphans(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """Final state of each job from its log (job_id, at, event_id, event, worker): status, attempts, last worker.
+    """Final state of each job from its log (job_id, happened, event_id, event, worker): status, attempts, last worker.
 
     A single pass: the last event decides, claims are counted.
     """
-    last = F.max_by(F.struct("event", "worker"), F.struct("at", "event_id"))
+    last = F.max_by(F.struct("event", "worker"), F.struct("happened", "event_id"))
     status = F.when(F.col("last.event") == "claim", "running").when(F.col("last.event") == "enqueue", "pending").when(F.col("last.event") == "expire", "pending").when(F.col("last.event") == "finish", "completed").otherwise("cancel_requested")
     return events.groupBy("job_id").agg(last.alias("last"), F.count(F.when(F.col("event") == "claim", 1)).alias("attempts")).select("job_id", status.alias("status"), "attempts", F.col("last.worker").alias("worker"))
