@@ -57,7 +57,7 @@ _LOG = "log AS (SELECT user_id AS job_id, ts AS happened, event_id, ['enqueue',
 
 @query(f"""WITH {_LOG} SELECT job_id, CASE arg_max(event, (happened, event_id)) WHEN 'claim' THEN 'running' WHEN 'enqueue' THEN 'pending' WHEN 'expire' THEN 'pending' WHEN 'finish' THEN 'completed' ELSE 'cancel_requested' END AS status, count(*) FILTER (event = 'claim') AS attempts, arg_max(worker, (happened, event_id)) AS worker FROM log GROUP BY job_id""")
 def job_state_fold(spark, sf):
-    log = table(spark, sf, "events").selectExpr("user_id AS job_id", "ts AS at", "event_id", "array('enqueue', 'claim', 'expire', 'finish', 'cancel')[event_id % 5] AS event", "event_id % 3 AS worker")
+    log = table(spark, sf, "events").selectExpr("user_id AS job_id", "ts AS happened", "event_id", "array('enqueue', 'claim', 'expire', 'finish', 'cancel')[event_id % 5] AS event", "event_id % 3 AS worker")
     return W.folded(log)
 
 
