@@ -90,11 +90,11 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 #: For rates up to _MOST_MEAN.
-SQL = f"""WITH RECURSIVE d AS (SELECT *, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), 'null ' || coalesce(text, '')) AS key FROM documents),
+SQL = f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS rn, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), 'null ' || coalesce(text, '')) AS key FROM documents),
 sizes AS (SELECT s, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM d GROUP BY s),
 weights AS (SELECT *, CASE WHEN size > 0 THEN pow(size, {TEMPER}) ELSE 0.0 END AS weight FROM sizes),
 rates AS (SELECT s, CASE WHEN size = 0 THEN 1.0 ELSE weight / (SELECT sum(weight) FROM weights) * (SELECT sum(size) FROM weights) / size END AS rate FROM weights),
 cdf AS (SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate)) + 40),
 u AS (SELECT *, CAST('0x' || substr(md5('{SEED}|' || key || '|count|1'), 1, 13) AS BIGINT) / {_FULL!r} AS u FROM d),
-counts AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.key, cdf.rate, count(*) AS n FROM u JOIN cdf ON u.s = cdf.s AND cdf.c <= u.u GROUP BY ALL)
+counts AS (SELECT u.rn, u.doc_id, u.text, u.lang, u.source, u.n_chars, u.key, cdf.rate, count(*) AS n FROM u JOIN cdf ON u.s = cdf.s AND cdf.c <= u.u GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS rate, CAST(copy AS INTEGER) AS copy, substr(md5('{SEED}|' || key || '|order|' || copy), 1, 16) AS mix_key FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counts)"""
