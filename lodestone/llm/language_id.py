@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .shared import map_adding, prepare, texts_of
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
-ROWS_PER_LANGUAGE, EPOCHS, RATE, BATCH = 500, 4, 2.0, 32
+#: STEPS: batches of gradient descent in all, however small the sample.
+ROWS_PER_LANGUAGE, STEPS, RATE, BATCH = 500, 300, 2.0, 32
 REJECT_SHARE, MAX_REJECT = 0.001, 0.5
 #: Words a worker keeps the vectors of.
 CACHED_WORDS = 200_000
@@ -86,8 +87,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel | N
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(known))).astype(np.float32)
     bias = np.zeros(len(known), np.float32)
-    steps, done = EPOCHS * -(-len(train) // BATCH), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // -(-len(train) // BATCH))
+    steps, done = epochs * -(-len(train) // BATCH), 0
+    for _ in range(epochs):
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             rate = RATE * (1 - done / steps)
