@@ -5,7 +5,7 @@ Deficit round-robin fills its windows of CONTEXT tokens: for each window every s
 share of the window, then sources are served in turn from the heads of their queues as far as their deficits go,
 documents being cut where a window or a deficit ends; what is left of a window goes to the sources with the largest
 deficits. Deficits are carried from window to window, and from part to part: a part starts with the deficits at which
-the parts before it end, which follow from their tokens by prefix sums.
+the parts before it end, which follow from their tokens by prefix sums, and makes them good evenly over its windows.
 
 Windows are full except where a part ends: its rest is cut into sequences of 1024, 512, ... tokens, powers of two,
 so there is no padding at all. No token is dropped; a source whose queue is empty leaves its share to the others.
@@ -88,11 +88,14 @@ class _Part:
             self.deficit.setdefault(s, 0.0)
             self.weight.setdefault(s, 0.0)
         rest, turn = sum(self.left.values()), 0
+        # what was carried here is made good evenly over the part, so that no window is far from the targets
+        carried = {s: self.deficit[s] / max(1, rest) for s in names}
+        self.deficit = dict.fromkeys(names, 0.0)
         while rest:
             size = context if rest >= context else 1 << rest.bit_length() - 1
             window, filled = [], 0
             for s in names:
-                self.deficit[s] += self.weight[s] * size
+                self.deficit[s] += (self.weight[s] + carried[s]) * size
             for i in range(len(names)):
                 s = names[(i + turn) % len(names)]
                 due, left = int(self.deficit[s]), self.left[s]
