@@ -14,6 +14,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files are fewer than these (a small table in one file); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rank(*by: str, order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 

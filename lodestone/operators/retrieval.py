@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences, squash, tokenize
-from .common import bounded, top
+from ..functions.text import CJK, occurrences, squash, tokenize, words
+from .common import BROADCAST_ROWS, bounded, top
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -32,16 +32,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFra
     Only terms that a query has are exploded further than the tokenizer; document lengths need no shuffle.
     """
     terms = query_terms(queries)
-    wanted = bounded(terms.select("term").distinct())
+    # the terms that queries have bound every table by term
+    few = terms.select("term").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    wanted = small(terms.select("term").distinct())
     tokens = chunks.select("chunk_id", tokenize("content").alias("tokens"))
     corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     found = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(bounded(df), "term").join(F.broadcast(corpus))
+    weighed = tf.join(small(df), "term").join(F.broadcast(corpus))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
-    each = weighed.select("chunk_id", "term", (idf * gain).alias("w")).join(bounded(terms), "term")
+    each = weighed.select("chunk_id", "term", (idf * gain).alias("w")).join(small(terms), "term")
     scored = each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
     return scored if k is None else top(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
 
@@ -83,12 +86,21 @@ def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, code_only: bool = True) -> DataFrame:
-    """Occurrences of a query's distinct terms in a chunk, in fifths, one at most."""
+    """Occurrences of a query's distinct terms in a chunk, anywhere in its words, in fifths, one at most.
+
+    A term lies within a run of word characters, so each distinct run is searched once for the terms of all queries:
+    those whose first three characters (all of a shorter term) it has, by a join. The counts meet the chunks by the run.
+    """
     wanted = chunks.where("category = 'code'") if code_only else chunks
-    low = wanted.select("chunk_id", F.lower("content").alias("content"))
-    terms = bounded(queries.select("query_id", F.array_distinct(tokenize("question")).alias("terms")))
-    matched = F.aggregate(F.transform("terms", lambda t: occurrences(F.col("content"), t)), F.lit(0), lambda a, b: a + b)
-    hits = low.join(terms).select("query_id", "chunk_id", matched.alias("matched")).where("matched > 0")
+    runs = wanted.select("chunk_id", F.explode(words("content")).alias("run")).groupBy("chunk_id", "run").agg(F.count("*").alias("tf"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("question"))).alias("term"))
+    keyed = terms.select("term").distinct().withColumn("key", F.substring("term", 1, 3))
+    parts = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - (n - 1)), lambda i: F.substring(F.col("run"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    single = F.when(F.col("run").rlike(CJK), parts(1)).otherwise(F.array().cast("array<string>"))  # only these make terms of one character
+    cut = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(parts(3), parts(2), single))).alias("key"))
+    counted = cut.join(bounded(keyed), "key").where(F.contains(F.col("run"), F.col("term"))).select("run", "term", occurrences(F.col("run"), F.col("term")).alias("n"))
+    each = runs.join(counted, "run").groupBy("chunk_id", "term").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
+    hits = each.join(bounded(terms), "term").groupBy("query_id", "chunk_id").agg(F.sum("n").cast("int").alias("matched"))
     scored = hits.select("query_id", "chunk_id", "matched", F.least(F.lit(1.0), F.col("matched") / 5).alias("score"))
     return top(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
 
