@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.python import html_to_markdown, python_symbols
 from ..operators import chunking as C
 from ..operators import tables as W
-from ..sources import prometheus, web
+from ..sources import files, prometheus, reports, web
 from .common import CHUNKS, chunks, table
 
 Q, SQL = {}, {}
@@ -234,3 +234,29 @@ _METRICS = '# HELP x\\nhits{pod="a"} 8\\nhits{pod="b"} 2\\nload 0.5\\nbad line\\
 SELECT name, sum(CAST(v AS DOUBLE)) AS value FROM m WHERE name <> '' GROUP BY name""")
 def prometheus_sum(spark, sf):
     return prometheus.parse(spark.createDataFrame([(_METRICS.replace("\\n", "\n"),)], "text string"))
+
+
+@query(f"""SELECT coalesce(max(value) FILTER (name = 'prefix_hits'), max(value) FILTER (name = 'hits')) AS hits, max(value) FILTER (name = 'queries') AS queries, max(value) FILTER (name = 'load') AS load FROM ({SQL['prometheus_sum']})""")
+def prometheus_fallbacks(spark, sf):
+    """Metrics under the first of their possible names; null where there is none."""
+    return prometheus.pick(prometheus_sum(spark, sf), {"hits": ["prefix_hits", "hits"], "queries": ["queries"], "load": ["load"]})
+
+
+@query("SELECT 'src/module_' || format('{:04d}', i) || '.py' AS path, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, replace(h, '#', format('{:04d}', i)) AS heading FROM (SELECT unnest(range(0, 50)) AS i), (VALUES (1, 3, 'Worker#'), (2, 3, 'Worker#.run'), (5, 6, 'health#')) t(a, b, h)")
+def repository_chunks(spark, sf):
+    """Synthetic files through the router of formats: classes, methods and functions make chunks."""
+    return files.routed(reports.synthetic_files(spark, 50)).select("path", "start_line", "end_line", "heading")
+
+
+@query("SELECT i AS number, 'Issue ' || i AS title, 'issue-' || i || ' https://example.org/issues/' || i AS locator, 'Issue ' || i || chr(10) || chr(10) || 'Worker ' || i || ' times out under load.' AS content FROM (SELECT CAST(unnest(range(1, 101)) AS INTEGER) AS i)")
+def issue_chunks(spark, sf):
+    return files.issues(reports.synthetic_issues(spark, 100)).select("number", "title", "locator", "content")
+
+
+@query("""WITH r AS (SELECT page_id // 10 AS query_id, page_id % 10 AS position, url, CASE WHEN page_id % 4 = 0 THEN ' ' ELSE substr(html, 1, 40) END AS snippet FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM r WHERE length(trim(snippet)) > 0 AND regexp_matches(url, '^https?://[^/@]+(/|$)'))
+SELECT query_id, url, CAST(rank AS INTEGER) AS rank, round(1.0 / rank, 9) AS score FROM k""")
+def web_search_hits(spark, sf):
+    """Results of a search provider as hits; those without a snippet or with an unsafe address go."""
+    r = table(spark, sf, "pages").selectExpr("page_id DIV 10 AS query_id", "page_id % 10 AS position", "url", "CASE WHEN page_id % 4 = 0 THEN ' ' ELSE substr(html, 1, 40) END AS snippet")
+    return web.search_results(r).select("query_id", "url", "rank", F.round("score", 9).alias("score"))

@@ -98,3 +98,17 @@ def tool_retry_policy(spark, sf):
 def trace_tail_stream(spark, sf):
     """Events read as a stream, deduplicated by run and sequence, counted by type in windows of a day."""
     return trace.tail_once(spark, f"{sf}/events.parquet")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, target_id, 'pending' AS status, job_id + 1000000000 AS new_id FROM jobs WHERE status = 'completed' AND target_id % 2 = 0")
+def reindex_jobs(spark, sf):
+    """Finished jobs run again as new ones with the same target."""
+    done = _jobs(spark, sf).where("status = 'completed' AND target_id % 2 = 0")
+    return done.select("job_id", "target_id", F.lit("pending").alias("status"), (F.col("job_id") + 1_000_000_000).alias("new_id"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM (SELECT * FROM events UNION ALL SELECT * FROM events)) WHERE n = 1")
+def client_dedupe(spark, sf):
+    """The first event of each user and day, though the stream brought each event twice."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.to_date("ts").alias("day"))
+    return e.unionAll(e).groupBy("user_id", "day").agg(F.min("event_id").alias("event_id")).select("user_id", "event_id")

@@ -136,3 +136,28 @@ def request_validation(spark, sf):
     rows = spark.createDataFrame([("ok?", 5, 20, 6), ("x", 5, 20, 6), ("fine", 25, 20, 6), ("fine", 5, 4, 6), ("fine", 0, 200, 6)], "q string, k int, c int, e int")
     bad = F.array(F.when(~F.length(F.trim("q")).between(2, 4000), "question"), F.when(~F.col("k").between(1, 20), "top_k"), F.when(~F.col("c").between(1, 100) | (F.col("c") < F.col("e")), "candidate_k"))
     return rows.select("q", "k", "c", F.array_join(F.filter(bad, lambda x: x.isNotNull()), ",").alias("errors"))
+
+
+@query("SELECT event_id, string_split('run_' || user_id || ':S' || event_id % 9, ':')[-1] AS evidence_id FROM events")
+def evidence_suffix(spark, sf):
+    full = F.concat(F.lit("run_"), "user_id", F.lit(":S"), F.col("event_id") % 9)
+    return table(spark, sf, "events").select("event_id", F.substring_index(full, ":", -1).alias("evidence_id"))
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 2 = 1 AS retryable FROM events UNION ALL SELECT -1, 'broken', -1, true")
+def dto_projection(spark, sf):
+    """Rows as the API gives them: JSON decoded (of broken JSON nothing is left, here -1), 0 and 1 as booleans."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "props").unionByName(spark.createDataFrame([(-1, "broken", "{not json")], "event_id long, event_type string, props string"))
+    return e.select("event_id", "event_type", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"), (F.abs("event_id") % 2).cast("boolean").alias("retryable"))
+
+
+@query("SELECT c_nationkey, max(CAST(o_orderdate AS VARCHAR)) AS latest FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey")
+def latest_update(spark, sf):
+    """The latest change of each group, compared as text."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy("c_nationkey").agg(F.max(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("latest"))
+
+
+@query("SELECT conv_id AS run_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'user') AS questions FROM conversations GROUP BY conv_id")
+def first_last_events(spark, sf):
+    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.count(F.when(F.col("role") == "user", 1)).alias("questions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.python import python_symbols
 from ..operators import chunking as C
 
 #: Bytes of a file and files of a repository that are read.
@@ -22,7 +23,7 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, text): markdown by section, code by declaration, other texts by lines. Long parts are cut into windows.
+    """Chunks of files (path, text): markdown by section, Python by its syntax tree, other code by declaration, other texts by lines. Long parts are cut into windows.
 
     path, start_line, end_line, heading, block_type, content, locator.
     """
@@ -31,9 +32,15 @@ def routed(files: DataFrame) -> DataFrame:
     prose = files.where(suffix.isin(".md", ".markdown", ".rst"))
     code = files.where(suffix.isin(*(s for s in C.TEXT_SUFFIXES if s not in C.PROSE_SUFFIXES)))
     found = C.sections(prose).withColumn("block_type", F.lit("section"))
-    symbols = C.declarations(code).join(files, "path")
+    is_python = suffix.isin(".py", ".pyi")
+    parsed = code.where(is_python).select("path", "text", F.inline(python_symbols("text")))
+    # what has no symbols as Python (other languages, broken sources) is read line by line
+    rest = code.join(parsed.select("path").distinct(), "path", "left_anti")
+    by_line = C.declarations(rest).join(rest, "path").withColumn("kind", F.lit("symbol"))
+    named = ["path", "text", "name", "kind", "start_line", "end_line"]
+    symbols = parsed.select(*named).unionByName(by_line.select(*named))
     body = F.array_join(F.slice(C.lines("text"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    declared = symbols.select("path", "start_line", "end_line", F.col("name").alias("heading"), F.lit("symbol").alias("block_type"), body.alias("content"), C.line_locator(F.col("path"), F.col("start_line"), F.col("end_line")).alias("locator"))
+    declared = symbols.select("path", "start_line", "end_line", F.col("name").alias("heading"), F.col("kind").alias("block_type"), body.alias("content"), C.line_locator(F.col("path"), F.col("start_line"), F.col("end_line")).alias("locator"))
     parts = found.select(*columns).unionByName(declared.select(*columns))
     fits = F.length("content") <= 2 * C.SIZE
     cut = C.windows(parts.where(~fits).select("path", "heading", "block_type", F.col("start_line").alias("_first"), F.col("content").alias("text")), first_line=F.col("_first"))

@@ -14,7 +14,7 @@ from ..functions.python import html_to_markdown
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1), r"\.+$", ""))
+    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1), r"\.+$", ""))
 
 
 def allowed(url: Column) -> Column:
