@@ -42,9 +42,14 @@ def features(word: str) -> list[int]:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; the pattern also finds signs such as ², which `is_word` tells apart."""
     return _WORD.findall(text.lower())
 
 
+def is_word(run: str) -> bool:
+    return any(map(str.isalpha, run))
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
@@ -71,7 +76,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel | N
     for t, y in zip(texts, labels, strict=True):
         counts: dict[int, int] = {}
         for w in words_of(t):
-            for f in cache.setdefault(w, features(w)):
+            if w not in cache:
+                cache[w] = features(w) if is_word(w) else []
+            for f in cache[w]:
                 counts[f] = counts.get(f, 0) + 1
         if counts:
             keys = np.fromiter(counts, np.int64)
@@ -132,6 +139,8 @@ class _Scorer:
             for w in words_of(t):
                 at = places.get(w)
                 if at is None:
+                    if not is_word(w):
+                        continue
                     at = places[w] = len(places)
                     if at >= len(self.table):
                         self.table = np.concatenate([self.table, np.zeros_like(self.table)])
