@@ -42,14 +42,15 @@ def segment_keys(text: str) -> list[str]:
     """
     if not text:
         return []
-    if not _has(text, _RARE_SPACE if not text.isascii() else "\t\v\f\r"):
+    # no two white spaces together, none at either end, and none but spaces and line feeds
+    even = text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+    if even and not _has(text, _RARE_SPACE if not text.isascii() else "\t\v\f\r"):
         keys = []
         for line in text.split("\n"):
             words = line.split(" ")
             words[0] = ("\n" if keys else "\x00") + words[0]
             keys += words
-        if "" not in keys and "\n" not in keys and "\x00" not in keys:
-            return keys
+        return keys
     return ["\x00" + s for s in _SEGMENT.findall(text)]
 
 
@@ -69,7 +70,7 @@ class SegmentEncoder:
     limit: segments in each of the two generations of the cache (bounds a worker's memory).
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
