@@ -7,6 +7,8 @@ summing doesn't show.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .common import BROADCAST_ROWS, bounded, top
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Queries of a block and vectors of a part that meet in one task.
+BLOCK, PART = 4096, 32768
 
 
 def active(chunks: DataFrame) -> DataFrame:
@@ -49,15 +53,42 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFra
     return scored if k is None else top(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-300))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
 
 
-def dense(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine. The queries are a stated set, counted before they are broadcast."""
-    pairs = vectors.join(bounded(query_vectors.select("query_id", F.col("vector").alias("q"))))
-    return top(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")), k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+def dense(vectors: DataFrame, query_vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest vectors of each query by cosine: each block of queries meets each part of the vectors in one task.
+
+    Parts keep the k best of their own, so rows grow with the queries, not with the pairs. Null vectors are near nothing.
+    """
+    v = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    q = query_vectors.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    blocks = max(1, -(-query_vectors.count() // block))
+    parts = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // PART))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("part", place("chunk_id", parts)).withColumn("block", every(blocks))
+    q = q.withColumn("block", place("query_id", blocks)).withColumn("part", every(parts))
+
+    def nearest(some: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(some) and len(asked):
+            some = some.sort_by("chunk_id")
+            x, y = _matrix(some["vector"]), _matrix(asked["vector"])
+            nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+            for a in range(0, len(y), 64):
+                score = np.round(y[a : a + 64] @ x.T / np.maximum(ny[a : a + 64, None] * nx, 1e-300), 6) + 0.0
+                # stable, and rows are by chunk_id, so equal scores keep that order
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(best)), best.shape[1])
+                found.append((row + a, best.ravel(), score[row, best.ravel()]))
+        rows, at, scores = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(rows)), "chunk_id": some["chunk_id"].take(pa.array(at)), "score": pa.array(scores)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    hits = v.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(nearest, f"query_id {kind(q, 'query_id')}, chunk_id {kind(v, 'chunk_id')}, score double")
+    return top(hits, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, k: int, rrf_k: int = RRF_K, dense_weight: float = 1.0, lexical_weight: float = 1.0) -> DataFrame:

@@ -83,6 +83,13 @@ def detail_order(spark, sf):
     return e.select("user_id", F.concat(F.lit("S"), (F.col("event_id") % 12 + 1).cast("string")).alias("evidence_id"), "event_id").orderBy("user_id", "evidence_id")
 
 
+@query("SELECT user_id, 'S' || CAST(event_id % 12 + 1 AS VARCHAR) AS evidence_id, event_id FROM events ORDER BY user_id, evidence_id")
+def detail_order_all(spark, sf):
+    """detail_order of all users."""
+    e = table(spark, sf, "events")
+    return e.select("user_id", F.concat(F.lit("S"), (F.col("event_id") % 12 + 1).cast("string")).alias("evidence_id"), "event_id").orderBy("user_id", "evidence_id")
+
+
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks, count(DISTINCT event_type) AS kinds, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def run_fan_in(spark, sf):
     e = table(spark, sf, "events")

@@ -100,6 +100,26 @@ def dense_post_filter(spark, sf):
     return _dense_hits(spark, sf).join(_vectors(spark, sf).where("label <> 3").select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
 
 
+_DENSE_ALL = _DENSE.replace("vec_id < 20", "vec_id % 50 = 0")
+
+
+def _dense_hits_all(spark, sf):
+    vectors = _vectors(spark, sf)
+    return R.dense(vectors, vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), 10)
+
+
+@query(f"WITH {_DENSE_ALL} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
+def dense_cosine_topk_all(spark, sf):
+    """The ten nearest vectors of every fiftieth vector: queries grow with the table."""
+    return _dense_hits_all(spark, sf)
+
+
+@query(f"WITH {_DENSE_ALL} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE label <> 3")
+def dense_post_filter_all(spark, sf):
+    """dense_post_filter for every fiftieth vector."""
+    return _dense_hits_all(spark, sf).join(_vectors(spark, sf).where("label <> 3").select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
+
+
 def _channels(spark, sf, k=20):
     c = R.active(chunks(spark, sf))
     head = c.withColumn("content", F.substring("content", 1, 200))
