@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.python import fact_coverage
 from ..operators import evaluation as V
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table
+from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table
 
 Q, SQL = {}, {}
 
@@ -26,6 +26,9 @@ def _metrics(spark, sf):
     c, q = R.active(chunks(spark, sf)), questions(spark, sf)
     hits = R.bm25(c, q, 10).join(c.select("chunk_id", "content"), "chunk_id").select("query_id", "rank", "content")
     words = F.split("text", " ")
+    if is_whole():  # every four words
+        phrases = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(4)), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))
+        return V.retrieval_metrics(hits, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), phrases.alias("phrases")))
     need = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "), F.get(words, F.lit(0))).alias("phrases"))
     return V.retrieval_metrics(hits, need)
 
@@ -39,6 +42,15 @@ m AS (SELECT query_id, {", ".join(f"len(list_filter(any_value(phrases), lambda p
 metrics AS (SELECT need.query_id, {", ".join(f"coalesce(recall_at_{k}, 0) AS recall_at_{k}" for k in V.CUTOFFS)}, CAST(coalesce(mrr, 0) AS DOUBLE) AS mrr, CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg_at_10 FROM need LEFT JOIN m USING (query_id) LEFT JOIN ideal USING (query_id))"""
 
 
+_NEED = "[array_to_string(w[1:4], ' '), array_to_string(w[5:8], ' '), w[1]] AS phrases"
+_NEED_WHOLE = "list_transform(range(1, len(w) + 1, 4), lambda i: array_to_string(w[i:i + 3], ' ')) AS phrases"
+
+
+def whole_sql(sql: str) -> str:
+    """SQL of the metrics with the phrases of whole passages; other SQL as it is."""
+    return sql.replace(_NEED, _NEED_WHOLE).replace("/ CAST(3 AS DOUBLE) AS recall", "/ CAST(len(any_value(phrases)) AS DOUBLE) AS recall")
+
+
 @query(f"WITH {_METRICS} SELECT query_id, {', '.join(f'round(recall_at_{k}, 9) AS recall_at_{k}' for k in V.CUTOFFS)} FROM metrics")
 def recall_at_k(spark, sf):
     return _metrics(spark, sf).select("query_id", *(F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in V.CUTOFFS))

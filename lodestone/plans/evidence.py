@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from . import agent
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
+from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens, whole
 
 Q, SQL = {}, {}
 
@@ -235,7 +235,7 @@ def _loop(mode):
 
     f.__name__ = {"naive": "naive_loop", "fixed_retrieval": "fixed_loop", "agentic": "agentic_loop"}[mode]
     f.__doc__ = f"Answers of the {mode} loop for all questions."
-    return query()(f)
+    return query()(whole(f))
 
 
 for _mode in agent.ROUNDS:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.python import hash_embedding
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
+from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens, whole
 
 Q, SQL = {}, {}
 
@@ -67,6 +67,7 @@ def tokenize_cjk(spark, sf):
 
 
 @query()
+@whole
 def hash_embedding_topk(spark, sf):
     """The three nearest chunks of each question by hashed embeddings of 64 dimensions."""
     embed = hash_embedding(64)

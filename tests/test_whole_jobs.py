@@ -1,10 +1,12 @@
 """Queries over whole tables and texts, against plain versions."""
 
+import duckdb
 import numpy as np
 
 from lodestone.operators import retrieval as R
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, common
 from lodestone.plans.common import table
+from reference_search import bm25
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,23 @@ def test_nearest_in_blocks_equal_brute_force(spark):
         for n, i in enumerate(sorted(range(90), key=lambda i: (-score[i], i))[:7]):
             want[q, n + 1] = i, score[i]
     assert got == want
+
+
+def test_questions_are_whole_passages(spark):
+    passages = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    assert {r.query_id: r.question for r in common.whole(common.questions)(spark, SF).collect()} == passages
+    corpus = {r.chunk_id: r.content for r in R.active(common.chunks(spark, SF)).collect()}
+    got = catalogue.QUERIES["bm25_topk_whole"](spark, SF).where("query_id < 5").collect()
+    for q in range(5):
+        score = bm25(corpus, passages[q])
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == sorted(score, key=lambda c: (-round(score[c], 9), c))[:5]
+
+
+def test_metrics_require_the_whole_passage(spark):
+    # a passage whose beginning alone is found has recall below one
+    text = " ".join(f"w{i}" for i in range(20))
+    sql = catalogue.ORACLE_SQL["recall_at_k_whole"]
+    con = duckdb.connect()
+    con.execute(f"create table benchmark as select 1 as item_id, '{text}' as text")
+    con.execute(f"create table documents as select 1 as doc_id, 'src1' as source, '{' '.join(text.split()[:8])}' as text, 'en' as lang")
+    assert con.execute(sql).df()["recall_at_10"].tolist() == [0.4]
