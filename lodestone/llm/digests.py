@@ -3,6 +3,8 @@
 A feature is a window of WINDOW bytes. Its entropy level follows from how often each byte occurs in it; how rare a
 level is, the counts of all windows of the whole corpus tell (`rarity`, a histogram of LEVELS numbers). Every run of
 NEIGHBOURS windows votes for its rarest one (the first of equals); windows with at least VOTES votes are the features.
+Where a text repeats itself, votes go to equal windows at many places: these are added up, and the first place is the
+feature. A text that still has none has all its different windows as features, so only the empty text has no digest.
 A feature sets HASHES bits of a Bloom filter of BITS bits; after FEATURES features the next filter of the chain begins.
 
 Two filters are as alike as their common bits exceed those expected by chance, over the most they could have in common.
@@ -108,8 +110,26 @@ def _features(raw: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarr
         stop = ends[owner[fixed]] - WINDOW + 1
         chosen[~same_text] = [a + int(np.argmin(key[a:b])) for a, b in zip(fixed.tolist(), stop.tolist(), strict=True)]
     votes = np.bincount(chosen, minlength=len(key))
-    picked = np.nonzero(votes >= VOTES)[0]
-    return owner[picked], _hash(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[picked])
+    windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+    picked = np.union1d(np.nonzero(votes >= VOTES)[0], _repeated(owner, windows, votes))
+    bare = np.setdiff1d(np.arange(len(raw)), owner[picked])
+    if len(bare):
+        every = [a + np.sort(np.unique(_hash(windows[a : b - WINDOW + 1]), return_index=True)[1]) for a, b in zip(starts[bare].tolist(), ends[bare].tolist(), strict=True)]
+        picked = np.sort(np.concatenate([picked, *every]))
+    return owner[picked], _hash(windows[picked])
+
+
+def _repeated(owner: np.ndarray, windows: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """First places of windows that have VOTES votes only over several places of a text."""
+    at = np.nonzero(votes)[0]
+    if not len(at):
+        return at
+    hashed = _hash(windows[at])
+    order = np.lexsort((hashed, owner[at]))  # stable: equal windows by place
+    at, hashed = at[order], hashed[order]
+    first = np.nonzero(np.r_[True, (hashed[1:] != hashed[:-1]) | (owner[at[1:]] != owner[at[:-1]])])[0]
+    n = votes[at]
+    return at[first[(np.add.reduceat(n, first) >= VOTES) & (np.maximum.reduceat(n, first) < VOTES)]]
 
 
 def _short_features(text: bytes) -> np.ndarray:
