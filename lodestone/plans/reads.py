@@ -131,6 +131,14 @@ def duplicate_marker_rows(spark, sf):
     return d.join(first, ["source", "line"]).where("doc_id <> first").select("source", "doc_id")
 
 
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, sha256(trim(text)) ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
+def duplicate_text_rows(spark, sf):
+    """duplicate_marker_rows by the whole trimmed text."""
+    d = table(spark, sf, "documents").select("source", "doc_id", F.sha2(F.trim("text"), 256).alias("content"))
+    first = d.groupBy("source", "content").agg(F.min("doc_id").alias("first"))
+    return d.join(first, ["source", "content"]).where("doc_id <> first").select("source", "doc_id")
+
+
 @query(f"""WITH {_SEQ} SELECT user_id, count(*) = max(sequence) AND min(sequence) = 1 AS contiguous, arg_min(event_type, sequence) AS first_event, arg_max(event_type, sequence) AS last_event FROM seq GROUP BY user_id""")
 def trace_contract_checks(spark, sf):
     s = _sequenced(spark, sf)

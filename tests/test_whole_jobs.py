@@ -64,3 +64,9 @@ def test_only_the_empty_text_has_no_digest():
     assert max(D.likeness(a, b) for i, a in enumerate(chains) for b in chains[:i]) < 0.3
     falling = [bytes(range(i, i + 64)) for i in range(100)]
     assert all(len(c) for c in D.digest(falling, ranks))
+
+
+def test_duplicates_have_equal_whole_texts(spark, tmp_path):
+    rows = [(1, "a", "x\none"), (2, "a", "x\ntwo"), (3, "a", " x\none "), (4, "b", "x\none")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["duplicate_text_rows"](spark, str(tmp_path)).collect()] == [("a", 3)]
