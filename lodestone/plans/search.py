@@ -66,13 +66,22 @@ def tokenize_cjk(spark, sf):
     return rows.select("id", F.array_join(T.tokenize("t"), "|").alias("terms"))
 
 
+DIMENSIONS = 384
+
+
+def embedded(df, key, text):
+    return df.select(key, hash_embedding(DIMENSIONS)(T.tokenize(text)).alias("vector"))
+
+
+def embedding_hits(chunks, questions, k):
+    return R.dense(embedded(chunks, "chunk_id", "content"), embedded(questions, "query_id", "question"), k)
+
+
 @query()
 @whole
 def hash_embedding_topk(spark, sf):
-    """The three nearest chunks of each question by hashed embeddings of 64 dimensions."""
-    embed = hash_embedding(64)
-    vectors = R.active(chunks(spark, sf)).select("chunk_id", embed(T.tokenize("content")).alias("vector"))
-    return R.dense(vectors, questions(spark, sf).select("query_id", embed(T.tokenize("question")).alias("vector")), 3)
+    """The three nearest chunks of each question by hashed embeddings of 384 dimensions."""
+    return embedding_hits(R.active(chunks(spark, sf)), questions(spark, sf), 3)
 
 
 def _vectors(spark, sf):

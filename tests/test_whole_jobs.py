@@ -1,5 +1,7 @@
 """Queries over whole tables and texts, against plain versions."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 
@@ -7,7 +9,7 @@ from lodestone.llm import digests as D
 from lodestone.operators import retrieval as R
 from lodestone.plans import catalogue, common
 from lodestone.plans.common import table
-from reference_search import bm25
+from reference_search import bm25, terms
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,28 @@ def test_duplicates_have_equal_whole_texts(spark, tmp_path):
     rows = [(1, "a", "x\none"), (2, "a", "x\ntwo"), (3, "a", " x\none "), (4, "b", "x\none")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["duplicate_text_rows"](spark, str(tmp_path)).collect()] == [("a", 3)]
+
+
+def embedding(text):
+    out = np.zeros(384)
+    for t in terms(text):
+        d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+        out[int.from_bytes(d[:4], "little") % 384] += 1 if d[4] & 1 else -1
+    return out / (np.sqrt((out * out).sum()) or 1)
+
+
+def nearest(spark, k):
+    """The k nearest chunks of each passage by embeddings of 384 dimensions."""
+    corpus = [(r.chunk_id, embedding(r.content)) for r in R.active(common.chunks(spark, SF)).collect()]
+    out = {}
+    for q in table(spark, SF, "benchmark").collect():
+        v = embedding(q.text)
+        out[q.item_id] = sorted((-round(float(v @ x), 6), c) for c, x in corpus)[:k]
+    return out
+
+
+def test_embeddings_have_384_dimensions(spark):
+    got = catalogue.QUERIES["hash_embedding_topk"](spark, SF).collect()
+    want = {(q, c): -s for q, hits in nearest(spark, 3).items() for s, c in hits}
+    assert {(r.query_id, r.chunk_id) for r in got} == want.keys()
+    assert all(abs(r.score - want[r.query_id, r.chunk_id]) < 2e-6 for r in got)
