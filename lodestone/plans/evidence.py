@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from . import agent
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens, whole
+from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table, tokens, whole
+from .search import embedding_hits
 
 Q, SQL = {}, {}
 
@@ -72,9 +73,9 @@ _TWO = f"""{CHUNKS}, {QUESTIONS}, {bm25('a', "SELECT chunk_id, substr(content, 1
 
 def _two_tools(spark, sf):
     c = R.active(chunks(spark, sf))
-    a = R.bm25(c.withColumn("content", F.substring("content", 1, 200)), questions(spark, sf), 20)
+    a = embedding_hits(c, questions(spark, sf), 20) if is_whole() else R.bm25(c.withColumn("content", F.substring("content", 1, 200)), questions(spark, sf), 20)
     b = R.bm25(c, questions(spark, sf), 20)
-    return a.withColumn("tool", F.lit("heads")).withColumn("ord", F.lit(1)).unionByName(b.withColumn("tool", F.lit("texts")).withColumn("ord", F.lit(2)))
+    return a.withColumn("tool", F.lit("embeddings" if is_whole() else "heads")).withColumn("ord", F.lit(1)).unionByName(b.withColumn("tool", F.lit("texts")).withColumn("ord", F.lit(2)))
 
 
 @query(f"""WITH {_TWO}, u AS (SELECT *, 'heads' AS tool, 1 AS ord FROM a UNION ALL SELECT *, 'texts', 2 FROM b)
@@ -83,6 +84,9 @@ def best_hit_dedupe(spark, sf):
     return E.best_hits(_two_tools(spark, sf)).select("query_id", "chunk_id", "tool", F.round("score", 6).alias("score"))
 
 
+Q["best_hit_dedupe_whole"] = whole(best_hit_dedupe)
+
+
 def _ranked(spark, sf, k=20):
     c, q = R.active(chunks(spark, sf)), questions(spark, sf)
     return R.bm25(c, q, k).join(c.select("chunk_id", "source_id", "content"), "chunk_id").join(q, "query_id")

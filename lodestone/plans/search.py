@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.python import hash_embedding
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens, whole
+from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table, tokens, whole
 
 Q, SQL = {}, {}
 
@@ -132,6 +132,8 @@ def dense_post_filter_all(spark, sf):
 
 def _channels(spark, sf, k=20):
     c = R.active(chunks(spark, sf))
+    if is_whole():
+        return embedding_hits(c, questions(spark, sf), k), R.bm25(c, questions(spark, sf), k)
     head = c.withColumn("content", F.substring("content", 1, 200))
     return R.bm25(head, questions(spark, sf), k), R.bm25(c, questions(spark, sf), k)
 
@@ -159,6 +161,10 @@ def hybrid_mode_dispatch(spark, sf):
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
+# embeddings of whole texts have no SQL
+Q["rrf_fusion_whole"], Q["hybrid_mode_dispatch_whole"] = whole(rrf_fusion), whole(hybrid_mode_dispatch)
+
+
 @query(f"""WITH {CHUNKS}, {QUESTIONS}, low AS (SELECT chunk_id, lower(content) AS c FROM chunks WHERE status = 'completed' AND category = 'code'), q AS (SELECT query_id, unnest(list_distinct({tokens("question")})) AS t FROM questions),
 m AS (SELECT query_id, chunk_id, CAST(sum((length(c) - length(replace(c, t, ''))) // length(t)) AS INTEGER) AS matched FROM low, q GROUP BY ALL),
 r AS (SELECT *, least(1.0, matched / 5.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY least(1.0, matched / 5.0) DESC, chunk_id) AS rank FROM m WHERE matched > 0)

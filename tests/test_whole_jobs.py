@@ -97,3 +97,18 @@ def test_embeddings_have_384_dimensions(spark):
     want = {(q, c): -s for q, hits in nearest(spark, 3).items() for s, c in hits}
     assert {(r.query_id, r.chunk_id) for r in got} == want.keys()
     assert all(abs(r.score - want[r.query_id, r.chunk_id]) < 2e-6 for r in got)
+
+
+def test_fusion_of_embeddings_and_whole_texts(spark):
+    corpus = {r.chunk_id: r.content for r in R.active(common.chunks(spark, SF)).collect()}
+    passages = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    dense = nearest(spark, 20)
+    got = catalogue.QUERIES["rrf_fusion_whole"](spark, SF).collect()
+    for q in sorted(passages)[:4]:
+        score = bm25(corpus, passages[q])
+        lexical = sorted(score, key=lambda c: (-round(score[c], 9), c))[:20]
+        a, b = {c: n for n, (_, c) in enumerate(dense[q], 1)}, {c: n for n, c in enumerate(lexical, 1)}
+        far = 1 << 30
+        fused = {c: round(((1 / (60 + a[c]) if c in a else 0) + (1 / (60 + b[c]) if c in b else 0)) * 61 / 2, 9) for c in a.keys() | b.keys()}
+        want = sorted(fused, key=lambda c: (-fused[c], a.get(c, far), b.get(c, far), c))[:10]
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
