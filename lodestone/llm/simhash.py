@@ -1,14 +1,22 @@
 """SimHash near-duplicates, found by anchor-point covering.
 
-Fingerprints have 64 bits, in three blocks of 21, 21 and 22. Two fingerprints that differ in four bits
-or fewer differ in at most one bit of one of the blocks. The anchors of a block are the words of a covering
-code: the perfect Hamming code of 15 bits (covering radius 1) beside the free remaining bits. A fingerprint
+Fingerprints have 64 bits, in blocks. Two fingerprints that differ in four bits or fewer differ in few bits of one of the
+blocks: in at most one of three blocks, or two of two. The anchors of a block are the words of a covering code: a
+perfect Hamming code (covering radius 1) beside the free remaining bits. A fingerprint
 is at home at the anchor its block decodes to, and is replicated to each anchor which a block value within
 the block's threshold decodes to, so two linked fingerprints meet at the home anchor of either. Per anchor all
 members are compared on all 64 bits.
 
-Equal fingerprints are one member. An anchor with very many members is split by a second covering over the
-other two blocks (in one of them the rest of the differing bits is two at most), which loses no link.
+The covering is sized to the number of distinct fingerprints. Up to MANY there are three blocks and 524,288 anchors, and
+a fingerprint has 41.7 rows on average; beyond, two blocks with 268,435,456 anchors and 343 rows. So an anchor has some
+1,700 members with 16 million fingerprints (those of the third block half as many), and 1,280 with a billion.
+
+Equal fingerprints are one member. An anchor with far more members than its share is split by a second covering over
+bits outside its block (in some part of them the rest of the differing bits is two at most), which loses no link.
+
+Null, blank and empty texts have fingerprint zero and are linked like any other. Very long texts are read whole, one at a
+time; memory follows the longest one. Repeated rows are in one component; `one_of_each` keeps the first as written. Rows with a null key take part. Empty
+tables give no rows. Columns of docs named like the operator's own are kept by `one_of_each`; `simhash_components` reads the key and text only.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +32,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_adding, partitions, prepare, texts_of, written
+from .shared import map_adding, partitions, portions, small, texts_of, uneven_join, written
 
 THRESHOLD = 4
-#: First bit and number of bits of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-_CODE = 15
-#: Members of an anchor beyond which it is split by a second covering.
-HOT_ANCHOR = 4_000
+
+
+class Block(NamedTuple):
+    """Some bits of a fingerprint: the lowest `code` of them under a Hamming code (a power of two less one), the rest free."""
+
+    first: int
+    bits: int
+    code: int
+    within: int  # differing bits in which linked fingerprints meet
+
+
+class Covering(NamedTuple):
+    blocks: tuple[Block, ...]
+    #: For each block the second covering of its crowded anchors.
+    second: tuple[tuple[Block, ...], ...]
+
+    def anchors(self) -> int:
+        return sum(_anchor_count(b) for b in self.blocks)
+
+
+def _anchor_count(block: Block) -> int:
+    return (1 << block.bits) // (block.code + 1)
+
+
+_THREE = (Block(0, 21, 15, 1), Block(21, 21, 15, 1), Block(42, 22, 15, 1))
+#: One bit at most differs in the block, so of the other two one has two at most.
+THREE = Covering(_THREE, tuple(tuple(b._replace(within=2) for b in _THREE if b != own) for own in _THREE))
+#: The other half may have all four differing bits, so one of its quarters has two at most.
+TWO = Covering((Block(0, 32, 31, 2), Block(32, 32, 31, 2)), ((Block(32, 16, 15, 2), Block(48, 16, 15, 2)), (Block(0, 16, 15, 2), Block(16, 16, 15, 2))))
+#: Distinct fingerprints up to which the covering has three blocks.
+MANY = 1 << 24
+#: Members of an anchor beyond which it is split by a second covering, and how many times the mean they must be.
+HOT_ANCHOR, HOT_TIMES = 4_000, 16
+#: Parts that the members of crowded anchors are dealt to where these anchors are too many to broadcast.
+SALTS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -52,7 +91,6 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, column: str = "_llm_fp") -> DataFrame:
     """docs plus its fingerprint as a signed long; null and blank texts have 0."""
-    prepare(docs.sparkSession)
 
     def add(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {column: pa.array(np.array([fingerprint(t) for t in texts_of(batch)], "<u8").view("<i8"))}
@@ -60,36 +98,40 @@ def with_fingerprint(docs: DataFrame, column: str = "_llm_fp") -> DataFrame:
     return map_adding(docs, {column: "long"}, add)
 
 
-@cache
-def _home() -> np.ndarray:
-    """The code word that each 15-bit value decodes to: flip the bit its syndrome names."""
-    values = np.arange(1 << _CODE)
-    syndrome = np.zeros_like(values)
-    for bit in range(_CODE):
-        syndrome ^= np.where(values >> bit & 1, bit + 1, 0)
-    return np.where(syndrome > 0, values ^ (1 << np.maximum(syndrome - 1, 0)), values)
+def _syndrome(values: np.ndarray, code: int) -> np.ndarray:
+    """The number of the bit to flip for a code word; 0: none."""
+    out = np.zeros_like(values)
+    for bit in range(code):
+        out ^= (values >> bit & 1) * (bit + 1)
+    return out
 
 
 @cache
-def _flips(bits: int, within: int) -> np.ndarray:
-    """All masks of so many bits with at most `within` ones; no flip comes first."""
-    return np.array([sum(1 << b for b in c) for k in range(within + 1) for c in combinations(range(bits), k)], np.int64)
-
-
-def anchors(values: np.ndarray, block: int, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _offsets(bits: int, code: int, within: int) -> list[np.ndarray]:
+    """By syndrome of a value: what it differs in from each anchor that a value within so many bits decodes to; its home first."""
+    flips = np.array([sum(1 << b for b in c) for k in range(within + 1) for c in combinations(range(bits), k)], np.int64)
+    found = []
+    for syndrome in range(code + 1):
+        at = syndrome ^ _syndrome(flips, code)
+        offsets = flips ^ np.where(at > 0, 1 << np.maximum(at - 1, 0), 0)
+        found.append(offsets[np.sort(np.unique(offsets, return_index=True)[1])])
+    return found
+
+
+def anchors(values: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of one block for fingerprints (uint64): row numbers, anchors, and whether each is the row's home."""
-    first, bits = BLOCKS[block]
-    part = (values >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    near = part[:, None] ^ _flips(bits, within)[None, :]
-    low = (1 << _CODE) - 1
-    found = near & ~low | _home()[near & low]
-    home = found[:, 0].copy()
-    found.sort(axis=1)
-    fresh = np.ones(found.shape, bool)
-    fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-    rows, columns = np.nonzero(fresh)
-    at = found[rows, columns]
-    return rows, at, at == home[rows]
+    part = (values >> np.uint64(block.first) & np.uint64((1 << block.bits) - 1)).astype(np.int64)
+    syndrome = _syndrome(part, block.code)
+    offsets = _offsets(block.bits, block.code, block.within)
+    rows, at, home = [], [], []
+    for s in np.unique(syndrome).tolist():
+        mine, o = np.nonzero(syndrome == s)[0], offsets[s]
+        rows.append(np.repeat(mine, len(o)))
+        at.append((part[mine][:, None] ^ o[None, :]).ravel())
+        home.append(np.tile(np.arange(len(o)) == 0, len(mine)))
+    if not rows:
+        return part, part, part.astype(bool)
+    return np.concatenate(rows), np.concatenate(at), np.concatenate(home)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,25 +144,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)).view(np.int64)
 
 
-def _at_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for block in range(len(BLOCKS)):
-            rows, at, home = anchors(values, block, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at | block << 32), pa.array(values[rows].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+def _at_anchors(covering: Covering):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for number, block in enumerate(covering.blocks):
+                rows, at, home = anchors(values, block)
+                yield pa.RecordBatch.from_arrays([pa.array(at | number << 32), pa.array(values[rows].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
+    return run
 
-def _at_second_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        anchor, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        for chunk in range(0, len(fp), 2_000):
-            a, values, h = anchor[chunk : chunk + 2_000], fp[chunk : chunk + 2_000].view(np.uint64), home[chunk : chunk + 2_000]
-            for block in range(len(BLOCKS)):
-                use = np.nonzero(a >> 32 != block)[0]
-                if len(use):
-                    rows, at, own = anchors(values[use], block, 2)
-                    key = _mix(_mix(a[use][rows]) ^ (at | block << 40))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(values[use][rows].view(np.int64)), pa.array(h[use][rows] & own)], names=["anchor", "fp", "home"])
+
+def _at_second_anchors(covering: Covering):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 2_000):
+            anchor, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for own, second in enumerate(covering.second):
+                use = np.nonzero(anchor >> 32 == own)[0]
+                for number, block in enumerate(second if len(use) else ()):
+                    rows, at, is_home = anchors(fp[use].view(np.uint64), block)
+                    key = _mix(_mix(anchor[use][rows]) ^ (at | number << 40))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[use][rows]), pa.array(home[use][rows] & is_home)], names=["anchor", "fp", "home"])
+
+    return run
 
 
 class _Forest:
@@ -192,24 +238,30 @@ def _compare(limit: int):
     return run
 
 
-def links(fingerprints: DataFrame, threshold: int = THRESHOLD, hot: int = HOT_ANCHOR) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp, long), enough to join all that are reachable.
+def links(fingerprints: DataFrame, threshold: int = THRESHOLD, covering: Covering | None = None, hot: int | None = None) -> DataFrame:
+    """u, v: links between distinct fingerprints (column fp, long; written), enough to join all that are reachable.
 
-    Each task emits a forest, not all pairs. threshold: 4 at most, as the blocks are made for it.
+    Each task emits a forest, not all pairs. threshold: 4 at most, as the blocks are made for it. covering and hot (members
+    of a crowded anchor): by the number of fingerprints unless given.
     """
     if threshold > THRESHOLD:
         raise ValueError(f"the covering serves thresholds up to {THRESHOLD}")
     spark = fingerprints.sparkSession
+    count = fingerprints.count()
+    covering = covering or (THREE if count <= MANY else TWO)
+    mean = count * sum(len(_offsets(*b[1:])[0]) for b in covering.blocks) / covering.anchors()
+    hot = hot or max(HOT_ANCHOR, int(HOT_TIMES * mean))
     schema = "anchor long, fp long, home boolean"
-    members = fingerprints.select("fp").mapInArrow(_at_anchors, schema)
+    members = fingerprints.select("fp").mapInArrow(_at_anchors(covering), schema)
     crowded = written(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "hot-anchors")
     if not crowded.isEmpty():
-        # an anchor's hot flag must not bring its members together: the few crowded anchors are broadcast if they are few
-        from .shared import small
-
-        flag = small(crowded)
-        split = members.join(flag, "anchor", "left_semi").mapInArrow(_at_second_anchors, schema)
-        members = members.join(flag, "anchor", "left_anti").unionByName(split)
+        # the flag must not bring an anchor's members together: crowded anchors are broadcast if few, else each is dealt to SALTS parts
+        flag, key = small(crowded), ["anchor"]
+        if flag is crowded:
+            flag, key = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["anchor", "salt"]
+            members = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        split = members.join(flag, key, "left_semi").select("anchor", "fp", "home").mapInArrow(_at_second_anchors(covering), schema)
+        members = members.join(flag, key, "left_anti").select("anchor", "fp", "home").unionByName(split)
     return members.repartition(2 * partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "u long, v long")
 
 
@@ -217,15 +269,16 @@ def near_duplicates(marked: DataFrame, fp: str = "_llm_fp", key: str = "doc_id",
     """marked (written, with a fingerprint column) plus component_id, the smallest key reachable over links.
 
     Rows with a null key take part and get their component's smallest non-null key (null if there is none).
-    Repeated rows are in one component. An empty table gives no rows.
+    Repeated rows are in one component. An empty table gives no rows. Neither a fingerprint that very many rows have nor a
+    component of very many fingerprints meets in one task.
     """
-    prepare(marked.sparkSession)
-    unique = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least")), "fingerprints")
+    unique = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least"), F.count("*").alias("rows")), "fingerprints")
     roots = written(components(links(unique, threshold)), "components")
-    known = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = known.join(roots, known.fp == roots.node, "left_semi").groupBy("root").agg(F.min("least").alias("lowest"))
-    named = written(known.join(lowest, "root", "left").select(F.col("fp").alias("_llm_node"), F.coalesce("lowest", "least").alias("component_id")), "component-ids")
-    return marked.drop("component_id").join(named, F.col(fp) == F.col("_llm_node"), "left").drop("_llm_node")
+    known = written(unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "roots")
+    lowest = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "lowest")
+    prints, rows = known.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    named = uneven_join(known, lowest, "root", "n", prints).select(F.col("fp").alias(fp), "component_id", "rows")
+    return uneven_join(marked.drop("component_id"), written(named, "component-ids"), fp, "rows", rows)
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:

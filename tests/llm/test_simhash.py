@@ -58,11 +58,17 @@ def crowd(n, seed):
     return sorted(set(out))
 
 
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("hot", [10, 100_000])
-def test_links_reach_all_pairs_however_anchors_are_split(spark, hot):
-    prints = crowd(500, hot)
+@pytest.mark.parametrize("covering", [S.THREE, S.TWO])
+def test_links_reach_all_pairs_however_anchors_are_split(spark, monkeypatch, covering, hot, few):
+    if not few:
+        if hot > 10:
+            return
+        monkeypatch.setattr(S, "small", lambda df: df)  # as if crowded anchors were too many to broadcast
+    prints = crowd(300, hot)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = S.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot=hot)
+    edges = S.links(spark.createDataFrame([(p,) for p in signed], "fp long"), covering=covering, hot=hot)
     found = {r.node: r.root for r in components(edges).collect()}
     got = [found.get(p, p) for p in signed]
     want = brute_components(signed, prints)
@@ -70,16 +76,23 @@ def test_links_reach_all_pairs_however_anchors_are_split(spark, hot):
     assert edges.count() < 8 * len(prints) * 8  # forests, not all pairs
 
 
-def test_code_covers_and_anchors_meet():
+@pytest.mark.parametrize("block", [*S.THREE.blocks, *S.TWO.blocks, *S.TWO.second[0], *S.THREE.second[1]])
+def test_code_covers_and_anchors_meet(block):
+    """A value within the threshold has the home anchor of the other among its own."""
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
-    for block, (first, bits) in enumerate(S.BLOCKS):
-        y = x ^ (np.uint64(1) << (rng.integers(0, bits, 2000).astype(np.uint64) + np.uint64(first)))
-        rows, at, home = S.anchors(x, block, 1)
-        r2, a2, h2 = S.anchors(y, block, 1)
-        near = set(zip(rows.tolist(), at.tolist(), strict=True))
-        assert all((r, a) in near for r, a in zip(r2[h2].tolist(), a2[h2].tolist(), strict=True))
-        assert home.sum() == 2000
+    x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(block.within):
+        y ^= np.uint64(1) << (rng.integers(0, block.bits, 500).astype(np.uint64) + np.uint64(block.first))
+    rows, at, home = S.anchors(x, block)
+    r2, a2, h2 = S.anchors(y, block)
+    near = set(zip(rows.tolist(), at.tolist(), strict=True))
+    assert len(near) == len(rows)
+    assert all((r, a) in near for r, a in zip(r2[h2].tolist(), a2[h2].tolist(), strict=True))
+    assert home.sum() == 500
+    part = (x >> np.uint64(block.first) & np.uint64((1 << block.bits) - 1)).astype(np.int64)
+    assert (np.bitwise_count(at[home] ^ part[rows[home]]) <= 1).all()
+    assert not S._syndrome(at, block.code).any()
 
 
 def test_components_of_a_long_path_and_of_a_star(spark):
@@ -88,6 +101,21 @@ def test_components_of_a_long_path_and_of_a_star(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(300)) and 5000 not in got
 
 
+def test_uneven_components_and_fingerprints(spark, monkeypatch):
+    """Common keys are broadcast, the others shuffle; as if a broadcast held three rows."""
+    from lodestone.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    hub = [(1, 1 + i) for i in range(1, 200)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(50)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(hub, "u long, v long")).collect()}
+    assert got == {n: min(e) if min(e) != 1 else 1 for e in hub for n in e}
+    prints = [0] * 60 + crowd(40, 3)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    marked = spark.createDataFrame(list(enumerate(signed)), "doc_id long, _llm_fp long")
+    rows = {r.doc_id: r.component_id for r in S.near_duplicates(marked).collect()}
+    assert [rows[i] for i in range(100)] == brute_components(list(range(100)), prints)
+
+
 def test_one_of_each_keeps_the_smallest_id(documents, clashing, empty):
     kept = S.one_of_each(documents).collect()
     ids = [r.doc_id for r in kept]
