@@ -1,19 +1,28 @@
-"""Language identification: averaged hashed subword embeddings under a linear softmax.
+"""Language identification: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
 A word (a run of letters, in lower case, between < and >) has the features: itself and its character n-grams,
 hashed into BUCKETS rows of an embedding matrix. A document is the mean of the rows of all features of all its
-words. Matrix and softmax are trained together by stochastic gradient descent in numpy, on the driver, from a sample
-of at most about ROWS_PER_LANGUAGE rows of each label (a documented bound; rows are drawn by hash of doc_id).
+words. Matrix and softmax are trained together by stochastic gradient descent in numpy, on the driver, from a sample:
+at most ROWS_PER_LANGUAGE rows of each of the LANGUAGES most frequent labels, and SAMPLE_CHARACTERS in all.
 
-A fifth of the sample calibrates: a temperature that minimises its log loss, and the score below which a document is
-rejected, at most MAX_REJECT and at most the score that all but REJECT_SHARE of its rightly labelled rows reach.
+Outsiders stand for text of no known language: words of sample texts with their letters shuffled, or replaced
+one for one by letters of a random alphabet. Three fifths of the sample train, some of them also as outsiders, whose target is
+all labels equally. A fifth calibrates the temperature (least log loss, outsiders included). The last fifth sets the
+score below which a document is rejected: the least that at most FALSE_ACCEPTANCE of its outsiders reach, but not
+so high that more than FALSE_REJECTION of its real texts fall below. The model carries both rates as measured.
 
 The model is linear, so a word adds a fixed vector to its document; workers keep the vectors of words seen lately.
+
+Null and empty text, and text without a letter, is `und`, score 0, rejected. Very long texts are scored whole; memory follows the
+longest one. Equal texts have equal results, so repeated rows do; equal scores go to the first label in order. An empty table
+gives no rows; without a labelled row every row is `und`. Other columns of docs are not read by `identify`; `keep_known` returns them all, also
+those named like its own.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -22,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_adding, prepare, texts_of
+from .shared import groups, map_adding, sampled, texts_of
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
+#: Bounds of the sample.
+ROWS_PER_LANGUAGE, LANGUAGES, SAMPLE_CHARACTERS = 500, 200, 16_000_000
 #: STEPS: batches of gradient descent in all, however small the sample.
-ROWS_PER_LANGUAGE, STEPS, RATE, BATCH = 500, 300, 2.0, 32
-REJECT_SHARE, MAX_REJECT = 0.001, 0.5
+STEPS, RATE, BATCH = 400, 2.0, 32
+FALSE_ACCEPTANCE, FALSE_REJECTION = 0.05, 0.002
+#: Words of an outsider at most, and the alphabets that its letters may come from.
+OUTSIDER_WORDS, STRANGE = 120, "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïíñóôöùûüúßαβγδεζηθικλμνξοπρστυφχψωабвгдежзийклмнопрстуфхцчшщыьэюя"
 #: Words a worker keeps the vectors of.
 CACHED_WORDS = 200_000
 UNKNOWN = "und"
@@ -50,6 +63,24 @@ def is_word(run: str) -> bool:
     return any(map(str.isalpha, run))
 
 
+def outsider(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Words of no language: the letters of some words shuffled, or replaced by those of a random alphabet."""
+    n = int(rng.integers(3, OUTSIDER_WORDS))
+    at = int(rng.integers(0, max(1, len(words) - n)))
+    some = words[at : at + n]
+    letters = "".join(some)
+    if rng.integers(2):
+        new = "".join(np.array(list(letters))[rng.permutation(len(letters))])
+    else:
+        own = sorted(set(letters))
+        new = letters.translate(dict(zip(map(ord, own), np.array(list(STRANGE * (len(own) // len(STRANGE) + 1)))[rng.permutation(len(STRANGE) * (len(own) // len(STRANGE) + 1))], strict=False)))
+    out, done = [], 0
+    for w in some:
+        out.append(new[done : done + len(w)])
+        done += len(w)
+    return out
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
@@ -57,6 +88,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    false_acceptance: float = 0.0  # of outsiders, as measured on the last fifth
+    false_rejection: float = 0.0  # of its texts
 
     def word(self, word: str) -> tuple[np.ndarray, int]:
         f = features(word)
@@ -68,64 +101,73 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def mean_features(words: list[str], cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Buckets of a text's words and their shares; None without words."""
+    found: list[int] = []
+    for w in words:
+        if w not in cache:
+            cache[w] = features(w)
+        found += cache[w]
+    if not found:
+        return None
+    keys, counts = np.unique(np.array(found), return_counts=True)
+    return keys, (counts / len(found)).astype(np.float32)
+
+
+def _threshold(real: np.ndarray, strange: np.ndarray) -> float:
+    """The score that rejects all but FALSE_ACCEPTANCE of strange scores, or FALSE_REJECTION of real ones if that is less."""
+    by_outsiders = np.nextafter(np.sort(strange)[-int(FALSE_ACCEPTANCE * len(strange)) - 1], 2) if len(strange) else 0.0
+    return float(min(by_outsiders, np.sort(real)[int(FALSE_REJECTION * len(real))] if len(real) else by_outsiders))
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel | None:
     """The model of labelled texts; None if no text has a letter."""
     known = sorted(set(labels))
-    rows, targets = [], []
     cache: dict[str, list[int]] = {}
-    for t, y in zip(texts, labels, strict=True):
-        counts: dict[int, int] = {}
-        for w in words_of(t):
-            if w not in cache:
-                cache[w] = features(w) if is_word(w) else []
-            for f in cache[w]:
-                counts[f] = counts.get(f, 0) + 1
-        if counts:
-            keys = np.fromiter(counts, np.int64)
-            values = np.fromiter(counts.values(), np.float32)
-            rows.append((keys, values / values.sum()))
-            targets.append(known.index(y))
-    if not rows:
+    texts_words = [[w for w in words_of(t) if is_word(w)] for t in texts]
+    usable = [i for i, w in enumerate(texts_words) if w]
+    if not usable:
         return None
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    held = set(order[: len(rows) // 5].tolist())
-    train = [i for i in range(len(rows)) if i not in held] or list(range(len(rows)))
+    order = [usable[i] for i in rng.permutation(len(usable))]
+    fifth = len(order) // 5
+    folds = [order[2 * fifth :], order[:fifth] or order, order[fifth : 2 * fifth] or order]
+    rows = [[(mean_features(texts_words[i], cache), known.index(labels[i])) for i in fold] for fold in folds]
+    strange = [[(mean_features(outsider(texts_words[i], rng), {}), -1) for i in fold] for fold in (folds[0][::3], folds[1], folds[2])]
+    goals = np.vstack([np.eye(len(known), dtype=np.float32), np.full((1, len(known)), 1 / len(known), np.float32)])  # the last: of outsiders
+    train = rows[0] + strange[0]
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(known))).astype(np.float32)
     bias = np.zeros(len(known), np.float32)
-    epochs = -(-STEPS // -(-len(train) // BATCH))
-    steps, done = epochs * -(-len(train) // BATCH), 0
+    a_round = -(-len(train) // BATCH)
+    epochs = -(-STEPS // a_round)
+    steps, done = epochs * a_round, 0
     for _ in range(epochs):
-        rng.shuffle(train)
+        shuffled = rng.permutation(len(train)).tolist()
         for at in range(0, len(train), BATCH):
             rate = RATE * (1 - done / steps)
             done += 1
-            chosen = train[at : at + BATCH]
-            hidden = np.stack([v @ embedding[k] for k, v in (rows[i] for i in chosen)])
-            p = _softmax(hidden @ weights + bias)
-            p[np.arange(len(chosen)), [targets[i] for i in chosen]] -= 1
-            p /= len(chosen)
+            chosen = [train[i] for i in shuffled[at : at + BATCH]]
+            hidden = np.stack([v @ embedding[k] for (k, v), _ in chosen])
+            p = (_softmax(hidden @ weights + bias) - goals[[y for _, y in chosen]]) / len(chosen)
             back = p @ weights.T
             weights -= rate * hidden.T @ p
             bias -= rate * p.sum(0)
-            for i, g in zip(chosen, back, strict=True):
-                k, v = rows[i]
+            for ((k, v), _), g in zip(chosen, back, strict=True):
                 embedding[k] -= rate * 100 * v[:, None] * g  # rows of a mean have small gradients
     vectors = embedding @ weights
-    check = sorted(held) or train
-    z = np.stack([v @ vectors[k] for k, v in (rows[i] for i in check)]) + bias
-    y = np.array([targets[i] for i in check])
-    grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    logits = lambda some: np.stack([v @ vectors[k] for (k, v), _ in some]) + bias
+    z, goal = logits(rows[1] + strange[1]), goals[[y for _, y in rows[1] + strange[1]]]
+    grid = np.geomspace(0.1, 20, 80)
+    loss = [-(goal * np.log(_softmax(z / t) + 1e-12)).sum(1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    p = _softmax(z / temperature)
-    right = np.sort(p.max(1)[p.argmax(1) == y])
-    reject = min(MAX_REJECT, float(right[int(REJECT_SHARE * len(right))])) if len(right) else MAX_REJECT
-    return LanguageModel(known, vectors.astype(np.float32), bias, temperature, reject)
+    best = lambda some: _softmax(logits(some) / temperature).max(1)
+    real, odd = best(rows[2]), best(strange[2])
+    least = _threshold(real, odd)
+    return LanguageModel(known, vectors.astype(np.float32), bias, temperature, least, float((odd >= least).mean()), float((real < least).mean()))
 
 
-class _Scorer:
+class Scorer:
     def __init__(self, model: LanguageModel):
         self.model, self.places = model, {}
         self.table = np.zeros((1024, len(model.labels) + 1), np.float32)
@@ -161,22 +203,28 @@ class _Scorer:
         return labels, score, ~found | (score < self.model.reject_below)
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(name: str, model: LanguageModel) -> Scorer:
+    """This worker's scorer of a model."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(model)
+    return _SCORERS[name]
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows never learnt from: crc32 of the id as text is 2 modulo 4. A null id is neither held out nor learnt from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> LanguageModel | None:
-    """Fit on rows of docs (doc_id, text, lang) that are not held out and have text and lang."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row for each label
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("lang") == label, ROWS_PER_LANGUAGE / n).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    rows = usable.where(drawn).limit(2 * ROWS_PER_LANGUAGE * max(1, len(counts))).select("doc_id", "text", "lang").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES, characters: int = SAMPLE_CHARACTERS) -> LanguageModel | None:
+    """Fit on rows of docs (doc_id, text, lang) that are not held out and have text and lang, within these bounds."""
+    usable = docs.select("doc_id", "text", F.col("lang").alias("label")).where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    common = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
+    rows = sampled(usable.where(F.col("label").isin([r["label"] for r in common])), rows_per_language, characters)
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -184,18 +232,14 @@ def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     Without a model (nothing to learn from) that holds for every row.
     """
-    prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS rows
-    scorers: list[_Scorer] = []
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most BUCKETS rows of LANGUAGES numbers
 
     def add(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = texts_of(batch)
         if shared.value is None:
             labels, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         else:
-            if not scorers:
-                scorers.append(_Scorer(shared.value))
-            parts = [scorers[0](texts[i : i + 200]) for i in range(0, len(texts), 200)]
+            parts = [scorer(name, shared.value)(g) for g in groups(texts)]
             labels = [x for p in parts for x in p[0]]
             score, rejected = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         return {"lang_pred": pa.array(labels, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected)}
