@@ -6,7 +6,9 @@ at a number in [0, 1) hashed from seed and doc_id (from the text where doc_id is
 the same count, on any cluster. Each document is exploded by its count; documents of count 0 vanish, which is the method.
 Copies are then shuffled over all partitions and sorted by a hash, a random order of the whole corpus.
 
-A null source is the source "". A source with no characters has rate 1. Repeated rows get the same count each.
+A null source is the source "". A source with no characters has rate 1. Repeated rows, and different rows of one id, get the same count
+each. Null and empty texts are replicated like others. Very long texts are only copied, never opened. Equal mix_keys (of rows that have id and copy in common) may come in either order. An empty
+table gives no rows. Columns named rate, copy or mix_key are replaced by `mix` and kept by `mixed`; others don't matter.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, small, written
+from .shared import partitions, uneven_join, written
 
 SEED = 20
 #: Without given weights a source's target weight is its size to this power: small sources are raised, none vanishes.
@@ -29,11 +31,11 @@ def _name() -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """source, rate and cdf: the cumulative Poisson probabilities of 0, 1, ... for each of its draws.
+    """source, docs (how many it has), rate and cdf: the cumulative Poisson probabilities of 0, 1, ... for each of its draws.
 
     weights: relative target weights by source; sources that are not named have weight 0. None: size ** TEMPER.
     """
-    sizes = docs.groupBy(_name().alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
+    sizes = docs.groupBy(_name().alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"), F.count("*").alias("docs"))
     if weights is None:
         weight = F.pow("size", F.lit(TEMPER))
     else:
@@ -42,7 +44,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     total = sized.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()  # two numbers
     size, all_weights = total["size"] or 0.0, total["weight"] or 0.0
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.col("weight") / F.lit(all_weights or 1.0) * F.lit(size) / F.greatest("size", F.lit(1.0)))
-    rated = sized.select("source", rate.alias("rate")).withColumn("draws", F.greatest(F.ceil(F.col("rate") / _MOST_MEAN), F.lit(1)).cast("int"))
+    rated = sized.select("source", "docs", rate.alias("rate")).withColumn("draws", F.greatest(F.ceil(F.col("rate") / _MOST_MEAN), F.lit(1)).cast("int"))
     mean = F.col("rate") / F.col("draws")
     start = F.exp(-mean)
     terms = F.sequence(F.lit(1), (F.ceil(mean + 12 * F.sqrt(mean)) + 40).cast("int"))
@@ -70,8 +72,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     Added: rate, copy (1, 2, ...) and mix_key, by which partitions are sorted. Columns of docs with these names are replaced.
     """
     docs = docs.drop("rate", "copy", "mix_key")
-    table = small(written(rates(docs, weights), "source-rates")).withColumnsRenamed({"source": "_llm_source", "draws": "_llm_draws", "cdf": "_llm_cdf"})
-    joined = docs.join(table, _name() == F.col("_llm_source"))
+    table = written(rates(docs, weights), "source-rates").withColumnsRenamed({"source": "_llm_source", "docs": "_llm_docs", "draws": "_llm_draws", "cdf": "_llm_cdf"})
+    total = table.agg(F.sum("_llm_docs")).first()[0] or 0
+    joined = uneven_join(docs.withColumn("_llm_source", _name()), table, "_llm_source", "_llm_docs", total)
     draw = lambda n, j: n + F.size(F.filter("_llm_cdf", lambda c: c <= _uniform(F.lit("count"), j.cast("string"))))
     single = F.size(F.filter("_llm_cdf", lambda c: c <= F.col("_llm_u")))
     count = F.when(F.col("_llm_draws") == 1, single).otherwise(F.aggregate(F.sequence(F.lit(1), "_llm_draws"), F.lit(0), draw))

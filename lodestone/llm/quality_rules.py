@@ -3,15 +3,20 @@
 Each measure of a document is an integer (counts, or parts per thousand). A quantile sketch of a measure is a
 table of counts by bucket: a value keeps its six leading bits, so quantiles are right within 1/32. Adding up the
 counts of two sketches gives the sketch of both, in any order, so a group's sketch is one aggregation, the sketches
-of a language and of the corpus are sums of it, and results don't depend on the partitions. A group with too few
-documents takes the thresholds of its language, and if these are too few, those of the corpus.
+of a language and of the corpus are sums of it, and results don't depend on the partitions.
+
+Quantiles of few documents say little, so each is drawn towards that of the level above: a language's quantile is the mean
+of its own, weighted by its documents, and of the corpus's, weighted SHRINK; that of a language and source likewise with its language's.
 
 A document fails if a measure is above median + SPREADS x (median - lower decile) + slack of its group, or, for the
 mean word length, below median - SPREADS x (upper decile - median) - slack. The spread on the side away from the
 fence is used because what is to be found lies beyond the fence and would widen it. Slack is the least difference
-that counts, in the measure's unit.
+that counts, in the measure's unit. Bars that stand alone separate the cells of tables and are no noise.
 
-Null text is empty. Null language and source are groups of their own (together with the empty string).
+Null text is empty, so the base rule fails it. Null language and source are groups of their own (together with the empty string).
+Texts are measured whole; memory follows the longest one. Values at a fence pass. Repeated rows count each time and get the same verdict. An
+empty table gives no rows. Columns that docs has besides doc_id, text, lang and source are not read by `quality`; `keep_good` returns them all, also
+those named like a metric.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_adding, prepare, small, texts_of, written
+from .shared import map_adding, small, texts_of, uneven_join, written
 
 #: Fixed values of the base rule.
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT = 50, 50
-SPREADS, MIN_GROUP = 5, 200
+#: SHRINK: documents that the level above weighs as many as.
+SPREADS, SHRINK = 5, 100
 #: Measure -> (slack, whether low values fail too).
 MEASURES = {"symbols": (50, False), "capitals": (80, False), "dup_lines": (40, False), "repeats": (300, False), "word_length": (300, True)}
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bars")
+#: Quantile -> the tenths of documents up to it.
+TENTHS = {"q10": 1, "q50": 5, "q90": 9}
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
@@ -40,7 +48,7 @@ def measure(text: str) -> tuple[int, ...]:
     words = raw.split()
     n = len(words)
     if not n:
-        return 0, 0, len(raw) - len(raw.translate(None, _SYMBOLS)), 0, 0, 0
+        return 0, 0, 0, 0, 0, 0, 0
     letters = len(text) - sum(map(text.count, _SPACE))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     capitals = len(raw) - len(raw.translate(None, _CAPITALS))
@@ -61,12 +69,11 @@ def measure(text: str) -> tuple[int, ...]:
         for i in range(3):
             covered[i : i + n - 2] |= twice
         repeated = int(covered.sum())
-    return n, letters, symbols, len(lines) - len(set(lines)), repeated, capitals
+    return n, letters, symbols, len(lines) - len(set(lines)), repeated, capitals, words.count(b"|")
 
 
 def with_metrics(docs: DataFrame) -> DataFrame:
     """docs plus METRICS (columns of these names are replaced)."""
-    prepare(docs.sparkSession)
 
     def add(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows = np.array([measure(t) for t in texts_of(batch)], np.int64).reshape(-1, len(METRICS))
@@ -83,7 +90,7 @@ def _measures() -> dict[str, Column]:
     words, letters = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     whole = lambda top, below: F.expr("1000") * top / below
     return {
-        "symbols": F.floor(whole(F.col("n_symbols"), words)),
+        "symbols": F.floor(whole(F.col("n_symbols") - F.col("n_bars"), words)),
         "capitals": F.floor(whole(F.col("n_capitals"), letters)),
         "dup_lines": F.floor(whole(F.col("n_dup_lines"), words)),
         "repeats": F.floor(whole(F.col("n_repeat_words"), words)),
@@ -105,37 +112,44 @@ def sketches(measured: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """Per group: documents, and low_<measure> and high_<measure>."""
+def _quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """Per group and measure: documents, lower decile, median and upper decile."""
     w = Window.partitionBy(*by, "measure")
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     ranked = merged.select(*by, "measure", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
     at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.col("bucket")))
-    q = ranked.groupBy(*by, "measure").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"), F.max("total").alias("docs"))
-    columns = [F.max("docs").alias("docs")]
-    for name, (slack, low) in MEASURES.items():
-        mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q50") + SPREADS * (F.col("q50") - F.col("q10")) + slack)).alias(f"high_{name}"))
-        if low:
-            columns.append(F.max(F.when(mine, F.col("q50") - SPREADS * (F.col("q90") - F.col("q50")) - slack)).alias(f"low_{name}"))
-    return q.groupBy(*by).agg(*columns)
+    return ranked.groupBy(*by, "measure").agg(F.max("total").alias("docs"), *(at(t).alias(q) for q, t in TENTHS.items()))
+
+
+def _shrunk(own: DataFrame, above: DataFrame, by: list[str]) -> DataFrame:
+    """own with its quantiles drawn towards those of the level above."""
+    joined = own.join(small(above.select(*by, *(F.col(q).alias(f"above_{q}") for q in TENTHS))), by)
+    mean = lambda q: F.expr(f"(docs * {q} + {SHRINK} * above_{q}) div (docs + {SHRINK})").alias(q)
+    return joined.select(*(c for c in own.columns if c not in TENTHS), *map(mean, TENTHS))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """g_lang, g_source and the fences that hold for the group."""
-    names = [f"high_{m}" for m in MEASURES] + [f"low_{m}" for m, (_, low) in MEASURES.items() if low]
-    own = _fences(sketch, "lang", "source")
-    language = _fences(sketch, "lang").select("lang", F.col("docs").alias("l_docs"), *(F.col(n).alias(f"l_{n}") for n in names))
-    corpus = _fences(sketch.withColumn("all", F.lit(1)), "all").first() or dict.fromkeys(names)  # one row
-    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(n)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{n}")).otherwise(F.lit(corpus[n])).alias(f"_llm_{n}") for n in names]
-    return own.join(language, "lang").select(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source"), *chosen)
+    """_llm_lang, _llm_source and the fences of the group."""
+    corpus = _quantiles(sketch)
+    language = written(_shrunk(_quantiles(sketch, "lang"), corpus, ["measure"]), "language-quantiles")
+    own = _shrunk(_quantiles(sketch, "lang", "source"), language, ["lang", "measure"])
+    columns = []
+    for name, (slack, low) in MEASURES.items():
+        mine = F.col("measure") == name
+        columns.append(F.max(F.when(mine, F.col("q50") + SPREADS * (F.col("q50") - F.col("q10")) + slack)).alias(f"_llm_high_{name}"))
+        if low:
+            columns.append(F.max(F.when(mine, F.col("q50") - SPREADS * (F.col("q90") - F.col("q50")) - slack)).alias(f"_llm_low_{name}"))
+    return own.groupBy(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source")).agg(*columns)
 
 
 def verdicts(measured: DataFrame) -> DataFrame:
     """measured (written, with METRICS, lang, source) plus base_failed and kept."""
-    sketch = written(sketches(measured), "sketches")
-    fences = small(written(thresholds(sketch), "thresholds"))
-    joined = measured.drop("base_failed", "kept").join(fences, (F.coalesce("lang", F.lit("")) == F.col("_llm_lang")) & (F.coalesce("source", F.lit("")) == F.col("_llm_source")), "left")
+    named = measured.drop("base_failed", "kept").withColumns({"_llm_lang": F.coalesce("lang", F.lit("")), "_llm_source": F.coalesce("source", F.lit(""))})
+    key = ["_llm_lang", "_llm_source"]
+    sizes = named.groupBy(*key).agg(F.count("*").alias("_llm_rows"))
+    fences = written(sizes.join(thresholds(written(sketches(measured), "sketches")), key, "left"), "thresholds")
+    total = fences.agg(F.sum("_llm_rows")).first()[0] or 0
+    joined = uneven_join(named, fences, key, "_llm_rows", total)
     good = ~base_failed()
     for name, value in _measures().items():
         good &= value <= F.col(f"_llm_high_{name}")
@@ -161,35 +175,38 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    ratios = {"symbols": "1000 * n_symbols // n_words", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines // n_words", "repeats": "1000 * n_repeat_words // n_words", "word_length": "1000 * word_chars // n_words"}
-    levels = {"own": "lang, source", "lan": "lang", "cor": "1"}
-    steps, joins = [], []
-    for level, by in levels.items():
-        keys = {"own": "lang, source,", "lan": "lang,", "cor": ""}[level]
-        steps.append(f"""{level}_q AS (SELECT {keys} measure, min(bucket) FILTER (upto * 10 >= total) AS q10, min(bucket) FILTER (upto * 10 >= total * 5) AS q50, min(bucket) FILTER (upto * 10 >= total * 9) AS q90, max(total) AS docs
-  FROM (SELECT {keys} measure, bucket, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS total FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sketch GROUP BY {keys} measure, bucket)) GROUP BY {keys} measure)""")
-    pick = lambda c: f"CASE WHEN own_q.docs >= {MIN_GROUP} THEN own_q.{c} WHEN lan_q.docs >= {MIN_GROUP} THEN lan_q.{c} ELSE cor_q.{c} END"
-    slack = "CASE own_q.measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items()) + " END"
+    ratios = {"symbols": "1000 * (n_symbols - n_bars) // n_words", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines // n_words", "repeats": "1000 * n_repeat_words // n_words", "word_length": "1000 * word_chars // n_words"}
+
+    def level(name: str, keys: str) -> str:
+        at = ", ".join(f"min(bucket) FILTER (upto * 10 >= total * {t}) AS {q}" for q, t in TENTHS.items())
+        return f"""{name} AS (SELECT {keys} measure, max(total) AS docs, {at}
+  FROM (SELECT {keys} measure, bucket, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS total FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sketch GROUP BY {keys} measure, bucket)) GROUP BY {keys} measure)"""
+
+    def shrunk(name: str, keys: str, own: str, above: str, using: str) -> str:
+        mean = ", ".join(f"({own}.docs * {own}.{q} + {SHRINK} * {above}.{q}) // ({own}.docs + {SHRINK}) AS {q}" for q in TENTHS)
+        return f"{name} AS (SELECT {keys} measure, {mean} FROM {own} JOIN {above} USING ({using}))"
+
+    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items()) + " END"
     low = ", ".join(f"'{m}'" for m, (_, is_low) in MEASURES.items() if is_low)
-    union = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {r} AS value FROM passed" for m, r in ratios.items())
+    union = " UNION ALL ".join(f"SELECT rn, lang, source, '{m}' AS measure, {r} AS value FROM passed" for m, r in ratios.items())
     blank = "[\\x09-\\x0D ]"
-    return f"""WITH base AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
-words AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM base),
-grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
-repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_replace(line, '{blank}', '', 'g') <> '' GROUP BY doc_id, line) GROUP BY doc_id),
-m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{blank}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
-  FROM base JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+    return f"""WITH base AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rn, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM base),
+grams AS (SELECT rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS c FROM grams) WHERE c > 1),
+repeated AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rn),
+lines AS (SELECT rn, sum(c - 1) AS n FROM (SELECT rn, line, count(*) AS c FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_replace(line, '{blank}', '', 'g') <> '' GROUP BY rn, line) GROUP BY rn),
+m AS MATERIALIZED (SELECT rn, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{blank}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals, CAST(len(list_filter(w, lambda x: x = '|')) AS BIGINT) AS n_bars
+  FROM base JOIN words USING (rn) LEFT JOIN lines USING (rn) LEFT JOIN repeated USING (rn)),
 j AS (SELECT *, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 passed AS (SELECT * FROM j WHERE NOT base_failed),
 v AS (SELECT *, greatest(length(bin(value)) - 6, 0) AS e FROM ({union})),
 sketch AS (SELECT lang, source, measure, (value // CAST(pow(2, e) AS BIGINT)) * CAST(pow(2, e) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
-{", ".join(steps)},
-fences AS (SELECT own_q.lang, own_q.source, own_q.measure, {pick("q50")} + {SPREADS} * ({pick("q50")} - {pick("q10")}) + {slack} AS high, CASE WHEN own_q.measure IN ({low}) THEN {pick("q50")} - {SPREADS} * ({pick("q90")} - {pick("q50")}) - {slack} END AS low
-  FROM own_q JOIN lan_q USING (lang, measure) JOIN cor_q USING (measure)),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN fences USING (lang, source, measure) WHERE value > high OR value < low)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM j"""
+{level("own_q", "lang, source,")}, {level("lan_q", "lang,")}, {level("cor_q", "")},
+{shrunk("lan_s", "lang,", "lan_q", "cor_q", "measure")}, {shrunk("own_s", "lang, source,", "own_q", "lan_s", "lang, measure")},
+fences AS (SELECT lang, source, measure, q50 + {SPREADS} * (q50 - q10) + {slack} AS high, CASE WHEN measure IN ({low}) THEN q50 - {SPREADS} * (q90 - q50) - {slack} END AS low FROM own_s),
+bad AS (SELECT DISTINCT rn FROM v JOIN fences USING (lang, source, measure) WHERE value > high OR value < low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_bars, base_failed, NOT base_failed AND rn NOT IN (SELECT rn FROM bad) AS kept FROM j"""
 
 
 SQL = _sql()
