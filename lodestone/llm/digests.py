@@ -13,11 +13,16 @@ other chain.
 
 A text of fewer than SHORT bytes has all its windows of SHORT_WINDOW bytes as features (one of fewer bytes: itself).
 The empty text has the empty digest, which is like itself only.
+
+Long texts are worked on in overlapping stretches of STRETCH windows and chains are compared in blocks, so that memory is a few times
+the longest text; results are those of the whole. Null text is empty. Of windows equally rare the first has the vote. Documents follow each
+other by doc_id, null first; rows of one id by text (of an id so common that it is split into ranges, by a hash of the text first); repeated rows are separate documents with equal fingerprints. An
+empty table gives no rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, prepare
+from .shared import ARROW_ROWS, groups, partitions, portions, tie
 
 WINDOW, NEIGHBOURS, VOTES = 32, 32, 8
 BITS, HASHES, FEATURES = 2048, 5, 160
@@ -34,6 +39,8 @@ SHORT, SHORT_WINDOW = 64, 8
 LEVELS = 2 * WINDOW * 5 + 1
 #: Windows of so few different bytes tell nothing, however rare they are.
 _DULL = 2 * 96
+#: Windows that are worked on at once.
+STRETCH = 1 << 19
 _SCALE = 1 << 16
 _N = np.arange(WINDOW + 2)
 _G = np.round(_SCALE * 2 * _N * np.log2(np.maximum(_N, 1))).astype(np.int64)
@@ -86,50 +93,81 @@ def _hash(windows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _features(raw: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner (index in raw, ascending) and hash of every feature; raw: texts of SHORT bytes or more."""
-    data, starts, ends = _join(raw)
+def _stretches(length: int) -> list[tuple[int, int]]:
+    """Ranges of the windows of a text of so many bytes."""
+    n = length - WINDOW + 1
+    return [(a, min(n, a + STRETCH)) for a in range(0, max(n, 0), STRETCH)]
+
+
+def _votes(raw: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Owner (index in raw), place, votes and hash of the windows that have votes; raw: texts of SHORT bytes or more."""
+    found, waiting, held = [], [], 0
+    for i, r in enumerate(raw):
+        for lo, hi in _stretches(len(r)):
+            waiting.append((i, lo, hi))
+            held += hi - lo
+            if held >= STRETCH:
+                found.append(_votes_of(raw, waiting, ranks))
+                waiting, held = [], 0
+    if waiting:
+        found.append(_votes_of(raw, waiting, ranks))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _votes_of(raw: list[bytes], parts: list[tuple[int, int, int]], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_votes for some stretches (text, first window, last but one), each read with the neighbours that its runs reach."""
+    text, lo, hi = (np.array(c, np.int64) for c in zip(*parts, strict=True))
+    last = np.array([len(raw[i]) - WINDOW + 1 for i in text.tolist()])
+    begin, stop = np.maximum(lo - NEIGHBOURS + 1, 0), np.minimum(hi + NEIGHBOURS - 1, last)
+    data, starts, ends = _join([raw[i][a : b + WINDOW - 1] for i, a, b in zip(text.tolist(), begin.tolist(), stop.tolist(), strict=True)])
     level = levels(data)
     position = np.arange(len(level))
     owner = np.searchsorted(ends, position, "right")
     inside = position + WINDOW <= ends[owner]
     far = np.int64(1) << 62
-    key = np.where(inside, ranks[level] << 40 | position, far)
+    # windows of the own stretch are less than those of the next one, so runs end where a stretch ends
+    key = np.where(inside, owner << 40 | ranks[level] << 31 | position, far)
     least = np.concatenate([key, np.full(NEIGHBOURS, far)])
     width = 1
     while width < NEIGHBOURS:  # least of 2, 4, 8, ... neighbours
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    # runs end where a text ends, so the least of a run can be of the next text only for windows that are not inside
-    least = least[: len(key)]
-    mine = inside & (least != far)
-    chosen = least[mine] & (1 << 40) - 1
-    same_text = owner[chosen] == owner[mine]
-    if not same_text.all():  # a run that reaches into the next text: the least of its own part
-        fixed = position[mine][~same_text]
-        stop = ends[owner[fixed]] - WINDOW + 1
-        chosen[~same_text] = [a + int(np.argmin(key[a:b])) for a, b in zip(fixed.tolist(), stop.tolist(), strict=True)]
-    votes = np.bincount(chosen, minlength=len(key))
-    windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    picked = np.union1d(np.nonzero(votes >= VOTES)[0], _repeated(owner, windows, votes))
-    bare = np.setdiff1d(np.arange(len(raw)), owner[picked])
-    if len(bare):
-        every = [a + np.sort(np.unique(_hash(windows[a : b - WINDOW + 1]), return_index=True)[1]) for a, b in zip(starts[bare].tolist(), ends[bare].tolist(), strict=True)]
-        picked = np.sort(np.concatenate([picked, *every]))
-    return owner[picked], _hash(windows[picked])
-
-
-def _repeated(owner: np.ndarray, windows: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """First places of windows that have VOTES votes only over several places of a text."""
-    at = np.nonzero(votes)[0]
-    if not len(at):
-        return at
-    hashed = _hash(windows[at])
-    order = np.lexsort((hashed, owner[at]))  # stable: equal windows by place
-    at, hashed = at[order], hashed[order]
-    first = np.nonzero(np.r_[True, (hashed[1:] != hashed[:-1]) | (owner[at[1:]] != owner[at[:-1]])])[0]
-    n = votes[at]
-    return at[first[(np.add.reduceat(n, first) >= VOTES) & (np.maximum.reduceat(n, first) < VOTES)]]
+    window = position - starts[owner] + begin[owner]
+    runs = inside & (window < hi[owner])
+    votes = np.bincount(least[: len(key)][runs] & (1 << 31) - 1, minlength=len(key))
+    at = np.nonzero((votes > 0) & (window >= lo[owner]) & (window < hi[owner]))[0]
+    return text[owner[at]], window[at], votes[at], _hash(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at])
+
+
+def _features(raw: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner (index in raw, ascending) and hash of every feature in order of place; raw: texts of SHORT bytes or more."""
+    owner, place, votes, hashed = _votes(raw, ranks)
+    order = np.lexsort((place, hashed, owner))
+    same = np.r_[True, (hashed[order][1:] != hashed[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
+    first = np.nonzero(same)[0]
+    n = votes[order]
+    # equal windows that have the votes only together count at their first place
+    together = order[first[(np.add.reduceat(n, first) >= VOTES) & (np.maximum.reduceat(n, first) < VOTES)]]
+    picked = np.union1d(np.nonzero(votes >= VOTES)[0], together)
+    owners, places, hashes = [owner[picked]], [place[picked]], [hashed[picked]]
+    for i in np.setdiff1d(np.arange(len(raw)), owner[picked]).tolist():
+        h, at = _different(raw[i])
+        owners.append(np.full(len(h), i))
+        places.append(at)
+        hashes.append(h)
+    owner, place, hashed = (np.concatenate(c) for c in (owners, places, hashes))
+    order = np.lexsort((place, owner))
+    return owner[order], hashed[order]
+
+
+def _different(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different windows of a text, and the first place of each."""
+    hashed, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for a, b in _stretches(len(text)):
+        new = _hash(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text[a : b + WINDOW - 1], np.uint8), WINDOW))
+        hashed, at = np.unique(np.concatenate([hashed, new]), return_index=True)
+        place = np.concatenate([place, np.arange(a, b)])[at]
+    return hashed, place
 
 
 def _short_features(text: bytes) -> np.ndarray:
@@ -172,18 +210,24 @@ def digest(raw: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """How alike two chains are, 0 to 1."""
+def likeness(a: np.ndarray, b: np.ndarray, block: int = 64, other: int = 1024) -> float:
+    """How alike two chains are, 0 to 1. So many filters of the shorter and of the longer one are compared at once."""
     if len(a) == 0 or len(b) == 0:
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
     a8, b8 = a.view(np.uint64), b.view(np.uint64)
-    common = np.bitwise_count(a8[:, None, :] & b8[None, :, :]).sum(2, dtype=np.int64)
-    of_a, of_b = np.bitwise_count(a8).sum(1, dtype=np.int64)[:, None], np.bitwise_count(b8).sum(1, dtype=np.int64)[None, :]
-    most, chance = np.minimum(of_a, of_b), of_a * of_b / BITS
-    score = np.where(common >= most, 1.0, np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0, 1))
-    return float((score.max(1) * of_a[:, 0]).sum() / of_a.sum())
+    of_a, of_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a8, b8))
+    best = np.zeros(len(a))
+    for i in range(0, len(a), block):
+        x = of_a[i : i + block, None]
+        for j in range(0, len(b), other):
+            y = of_b[None, j : j + other]
+            common = np.bitwise_count(a8[i : i + block, None, :] & b8[None, j : j + other, :]).sum(2, dtype=np.int64)
+            most, chance = np.minimum(x, y), x * y / BITS
+            score = np.where(common >= most, 1.0, np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0, 1))
+            best[i : i + block] = np.maximum(best[i : i + block], score.max(1))
+    return float((best * of_a).sum() / of_a.sum())
 
 
 def _raw(text: str) -> bytes:
@@ -192,18 +236,15 @@ def _raw(text: str) -> bytes:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """How many windows of all texts of docs have each level: LEVELS numbers, summed up by Spark."""
-    prepare(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            for raw in _groups([_raw(t) for t in batch.column(0).to_pylist() if t]):
-                long = [r for r in raw if len(r) >= WINDOW]
-                if long:
-                    data, _, ends = _join(long)
-                    level = levels(data)
-                    position = np.arange(len(level))
-                    total += np.bincount(level[position + WINDOW <= ends[np.searchsorted(ends, position, "right")]], minlength=LEVELS)
+        for batch in portions(batches):
+            for raw in groups(_pieces(batch.column(0).to_pylist()), ARROW_ROWS, 1 << 18):
+                data, _, ends = _join(raw)
+                level = levels(data)
+                position = np.arange(len(level))
+                total += np.bincount(level[position + WINDOW <= ends[np.searchsorted(ends, position, "right")]], minlength=LEVELS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["level", "n"])
 
@@ -213,17 +254,12 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _groups(raw: list[bytes], size: int = 1 << 18) -> Iterator[list[bytes]]:
-    """raw in groups of about that many bytes."""
-    group, held = [], 0
-    for r in raw:
-        group.append(r)
-        held += len(r)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def _pieces(texts: list[str | None]) -> Iterator[bytes]:
+    """The texts that have windows, in stretches that have each window once."""
+    for t in texts:
+        raw = _raw(t or "")
+        for a, b in _stretches(len(raw)):
+            yield raw[a : b + WINDOW - 1]
 
 
 def _text_of(chain: np.ndarray) -> str:
@@ -236,43 +272,71 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
+#: The key of null ids; as the least long has no literal, it is the one above.
+_LEAST = -(1 << 63) + 1
+
+
 def _key() -> Column:
     """doc_id, null as the least."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return F.greatest(F.col("doc_id").cast("long"), F.lit(_LEAST))
+
+
+#: All values of tie() are below this.
+_TIES = 1 << 20
 
 
-def _tree(bounds: list[int], leaves: list[str]) -> str:
-    """SQL that finds the leaf of key: leaf i holds the keys up to bounds[i]."""
+def _tree(bounds: list[tuple[int, int]], leaves: list[str]) -> str:
+    """SQL that finds the leaf of key and tie: leaf i holds what comes up to bounds[i]."""
     if not bounds:
         return leaves[0]
     mid = len(bounds) // 2
-    return f"CASE WHEN key <= {bounds[mid]}L THEN {_tree(bounds[:mid], leaves[: mid + 1])} ELSE {_tree(bounds[mid + 1 :], leaves[mid + 1 :])} END"
+    key, tied = bounds[mid]
+    upto = f"key <= {key}L" if tied == _TIES - 1 else f"(key < {key}L OR key = {key}L AND tie <= {tied})"
+    return f"CASE WHEN {upto} THEN {_tree(bounds[:mid], leaves[: mid + 1])} ELSE {_tree(bounds[mid + 1 :], leaves[mid + 1 :])} END"
+
+
+def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Ends of ranges (key, tie) from quantiles of the key; one that comes several times has its rows split by tie."""
+    out = set()
+    for v, n in Counter(quantiles).items():
+        out.add((v, _TIES - 1))
+        if n > 1:
+            out.add((max(v - 1, _LEAST), _TIES - 1))
+            out |= {(v, j * _TIES // n - 1) for j in range(1, n)}
+    return sorted(out)
 
 
 def in_order(docs: DataFrame, count: int | None = None) -> DataFrame:
-    """bucket, last, doc_id, text: docs in ranges of doc_id, one range to a partition, sorted (null ids first; equal ids by text).
+    """bucket, last, doc_id, text: docs in ranges of doc_id, one range to a partition, sorted (null ids first; equal ids by text, those of an id that is split by its tie first).
 
-    A range ends with the rows of the next range's least doc_id, marked last (the final range with those of the first),
-    so that each row of a range is followed by the row that follows it in the whole table.
+    A range ends with the rows that begin the next range, marked last (the final range with those of the first),
+    so that each row of a range is followed by the row that follows it in the whole table. An id that many rows have is split.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", _key())
     count = count or 2 * partitions(docs.sparkSession)
-    bounds = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    near = lambda b: b if b > -(1 << 63) else b + 1  # noqa: E731  the least long has no literal
-    bounds = sorted({near(b) for b in bounds})
+    quantiles = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 10_000)).first()[0] or []
+    bounds = _bounds(quantiles)
+    common = [v for v, n in Counter(quantiles).items() if n > 1]  # ids that many rows have; only for these the text is hashed
+    rows = rows.withColumn("tie", F.when(F.col("key").isin(common), tie()).otherwise(0) if common else F.lit(0).cast("long"))
     numbers = _tree(bounds, [str(i) for i in range(len(bounds) + 1)])
     # one row for each range
-    least = {r["bucket"]: r["key"] for r in rows.select("key").withColumn("bucket", F.expr(numbers)).groupBy("bucket").agg(F.min("key").alias("key")).collect()}
+    firsts = rows.select("key", "tie").withColumn("bucket", F.expr(numbers)).groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).select("bucket", "f.*").collect()
+    least = {r["bucket"]: (r["key"], r["tie"]) for r in firsts}
     used = sorted(least)
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    leaves = [f"struct({i} AS bucket, {before.get(i, i)} AS before, {'NULL' if i not in least else f'{near(least[i])}L' if least[i] > -(1 << 63) else 'bigint(-9223372036854775807) - 1L'} AS first)" for i in range(len(bounds) + 1)]
-    placed = rows.withColumn("at", F.expr(_tree(bounds, leaves)))
+
+    def leaf(i: int) -> str:
+        if i not in least:
+            return f"struct({i} AS bucket, {i} AS before, CAST(NULL AS BIGINT) AS key, CAST(NULL AS BIGINT) AS tie)"
+        key, tied = least[i]
+        return f"struct({i} AS bucket, {before[i]} AS before, {key}L AS key, {tied}L AS tie)"
+
+    placed = rows.withColumn("at", F.expr(_tree(bounds, [leaf(i) for i in range(len(bounds) + 1)])))
     own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("last"))
     extra = F.struct(F.col("at.before").alias("bucket"), F.lit(True).alias("last"))
-    to = F.when(F.col("key") == F.col("at.first"), F.array(own, extra)).otherwise(F.array(own))
-    dealt = placed.select(F.explode(to).alias("to"), "key", "doc_id", "text").select("to.bucket", "to.last", "key", "doc_id", "text")
-    return dealt.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "last", "key", "text").drop("key")
+    to = F.when((F.col("key") == F.col("at.key")) & (F.col("tie") == F.col("at.tie")), F.array(own, extra)).otherwise(F.array(own))
+    dealt = placed.select(F.explode(to).alias("to"), "key", "tie", "doc_id", "text").select("to.bucket", "to.last", "key", "tie", "doc_id", "text")
+    return dealt.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "last", "key", "tie", "text").drop("key", "tie")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -280,7 +344,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts are empty. Documents follow each other by doc_id; repeated rows are separate documents.
     """
-    prepare(docs.sparkSession)
     ranks = rank(rarity(docs))
 
     def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -304,7 +367,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, ended = [], [], 0, None
-        for batch in batches:
+        for batch in portions(batches):
             for bucket, last, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("bucket", "last", "doc_id", "text")), strict=True):
                 if ended == bucket:  # more rows of the next range's least doc_id
                     continue

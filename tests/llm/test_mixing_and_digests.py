@@ -53,8 +53,10 @@ def test_order_is_mixed(documents):
     assert len(set(keys)) > 100 and all(len(k) == 16 for k in keys)
 
 
-def test_quality_equals_sql(spark, corpus):
-    rows = [r for r in corpus]
+def test_quality_equals_sql(spark, corpus, edge):
+    """Sources of other sizes and habits, so that groups have thresholds of their own; edge rows."""
+    more = [(2000 + i, " ".join(f"{w}{'#' * (i % (s + 1))}" for w in r[1].split()), r[2], f"t{s}", 0) for s in range(1, 4) for i, r in enumerate(corpus[: 30 * s])]
+    rows = corpus + more + [r for r in edge if len(r[1] or "") < 100_000]
     want = Counter(map(tuple, in_duckdb(quality_rules.SQL, rows).fetchall()))
     got = Counter(tuple(r) for r in quality_rules.quality(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == want
@@ -93,6 +95,80 @@ def test_features_equal_brute_force(corpus):
         assert hashes[owner == i].tolist() == D._hash(windows).tolist()
 
 
+def brute_chain(hashes):
+    out = []
+    for i in range(0, len(hashes), D.FEATURES):
+        bits = np.zeros(D.BITS, bool)
+        for h in hashes[i : i + D.FEATURES]:
+            for k in range(D.HASHES):
+                bits[h >> 11 * k & D.BITS - 1] = True
+        out.append(bits)
+    return out
+
+
+def brute_likeness(a, b):
+    """By the definition, over lists of rows of bits."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    a, b = sorted((a, b), key=len)
+
+    def alike(x, y):
+        common, most, chance = int((x & y).sum()), min(int(x.sum()), int(y.sum())), int(x.sum()) * int(y.sum()) / D.BITS
+        return 1.0 if common >= most else max(0.0, min(1.0, (common - chance) / max(most - chance, 1e-9)))
+
+    return sum(int(x.sum()) * max(alike(x, y) for y in b) for x in a) / sum(int(x.sum()) for x in a)
+
+
+def test_chains_and_likeness_equal_brute_force(corpus):
+    texts = [r[1] for r in corpus[:9]] + [" ".join(r[1] for r in corpus[:60]), " ".join(r[1] for r in corpus[30:110])]
+    ranks = D.rank(np.bincount(D.levels(np.frombuffer(" ".join(texts).encode(), np.uint8)), minlength=D.LEVELS))
+    raw = [t.encode() for t in texts]
+    owner, hashes = D._features(raw, ranks)
+    chains = D.digest(raw, ranks)
+    brute = [brute_chain([int(h) for h in hashes[owner == i]]) for i in range(len(raw))]
+    for c, b in zip(chains, brute):
+        assert np.unpackbits(c, axis=1).astype(bool).tolist() == [x.tolist() for x in b]
+    for i in range(len(raw)):
+        for j in range(len(raw)):
+            want = brute_likeness(brute[i], brute[j])
+            assert abs(D.likeness(chains[i], chains[j]) - want) < 1e-12
+            assert abs(D.likeness(chains[i], chains[j], block=1, other=2) - want) < 1e-12
+
+
+def test_stretches_give_the_features_of_the_whole(monkeypatch, corpus):
+    texts = [" ".join(r[1] for r in corpus[i : i + 9]).encode() for i in range(0, 60, 7)] + [b"spam " * 300, b"a" * 200, b"0123456789abcdef" * 90 + corpus[3][1].encode()]
+    ranks = D.rank(np.arange(D.LEVELS)[::-1])
+    whole = [x.tolist() for x in D._features(texts, ranks)]
+    for size in (1, 40, 333):
+        monkeypatch.setattr(D, "STRETCH", size)
+        assert [x.tolist() for x in D._features(texts, ranks)] == whole
+
+
+def test_a_text_of_twenty_megabytes():
+    import resource
+
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(5000)]
+    text = b" ".join(words[i] for i in rng.integers(0, 5000, 3_500_000))
+    assert len(text) > 20_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ranks = D.rank(np.arange(D.LEVELS)[::-1])
+    a, b = D.digest([text, text[: len(text) * 3 // 4] + text[::-1][: len(text) // 4]], ranks)
+    assert 0.6 < D.likeness(a, b) < 1 and D.likeness(a, a) == 1.0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000  # KB
+
+
+def test_a_common_id_is_split_into_ranges(spark, corpus):
+    rows = [(7 if i % 3 else None if i % 2 else i, r[1]) for i, r in enumerate(corpus)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = D.in_order(docs, 12).where("NOT last").groupBy("bucket").count().collect()
+    assert len(placed) > 8 and max(r["count"] for r in placed) < len(rows) / 4
+    got = D.fingerprints(docs).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t)) for d, t in rows)
+    ends = {t[len(t) - len(t) // 4 :] for _, t in rows}
+    assert all(r.edited_text[r.n_chars - r.n_chars // 4 :] in {t[: r.n_chars // 4] for _, t in rows} for r in got) and ends
+
+
 def test_rarity_counts_every_window(documents, corpus, edge):
     want = np.zeros(D.LEVELS, int)
     for r in corpus + edge:
