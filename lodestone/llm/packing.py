@@ -1,16 +1,22 @@
 """Packing documents into training sequences whose sources keep target token proportions.
 
-Documents are encoded and dealt by hash into parts of bounded size. A part has a queue of documents for each source.
-Deficit round-robin fills its windows of CONTEXT tokens: for each window every source's deficit grows by its target
+Documents are encoded and dealt into parts of bounded size, by a plan of how long the sources last: all sources are used in
+proportion to their targets until the scarcest one ends, then the others in proportion to theirs, and so on (`Plan`). A document's
+place in its source follows from a hash, and its part from the place, so a part holds the tokens which the plan has for it, but for
+chance. A part has a queue of documents for each source.
+
+Deficit round-robin fills its windows of CONTEXT tokens: for each window every source's deficit grows by its planned
 share of the window, then sources are served in turn from the heads of their queues as far as their deficits go,
 documents being cut where a window or a deficit ends; what is left of a window goes to the sources with the largest
 deficits. Deficits are carried from window to window, and from part to part: a part starts with the deficits at which
-the parts before it end, which follow from their tokens by prefix sums, and makes them good evenly over its windows.
+the parts before it end, which follow from plan and tokens by prefix sums, and makes them good evenly over its windows.
 
 Windows are full except where a part ends: its rest is cut into sequences of 1024, 512, ... tokens, powers of two,
 so there is no padding at all. No token is dropped; a source whose queue is empty leaves its share to the others.
 
-Null text is empty (the end id only); a null source is "". Repeated rows are separate documents.
+Null text is empty (the end id only); a null source is "". Repeated rows are separate documents. A very long text is encoded whole and lies in the
+part where it begins, so memory follows the longest one. Between equal deficits the first source by name is served. An empty
+table gives no rows. Other columns than doc_id, text and source are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -20,33 +26,44 @@ from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder, tokenizer_path
-from .shared import partitions, prepare, written
+from .mixing import TEMPER
+from .shared import partitions, portions, prefix_sums, small, written
 
 CONTEXT = 2048
 #: A source is served once its deficit has reached so many tokens (or all that it has left).
-GRANULE = 64
+GRANULE = 128
 #: Tokens in a part, about; bounds a task's memory.
 PART_TOKENS = 6_000_000
+#: Parts that a task packs one after the other at most, where there are more parts than shuffle partitions.
+PARTS_A_TASK = 32
+#: Stretches of a source, for each part, in which its tokens are counted.
+BINS = 4
+#: Sources last for times that are told apart in so many steps for each doubling; bounds the plan.
+STEPS = 32
+_DEALS = 1 << 31
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, source, n, deal (a hash) and ids (unsigned, as narrow as the vocabulary allows) of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, seen, task = encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
-        for batch in batches:
-            keys, seen = batch.column(0).to_pylist(), Counter()
+        for batch in portions(batches):
             ids = [raw + end for raw in enc.raw([x or "" for x in batch.column(1).to_pylist()])]
             deal = []
-            for k, raw in zip(keys, ids, strict=True):
+            for k, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
                 h = zlib.crc32(str(k).encode(), zlib.crc32(raw))
-                deal.append((h * 2_654_435_761 + seen[h]) & 0x7FFFFFFF)  # repeated rows go to different parts
+                again = seen[h] and seen[h] * 0x9E3779B1 + task  # repeated rows go to different parts
+                deal.append((h * 2_654_435_761 + again) % _DEALS)
                 seen[h] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(deal, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "deal", "width", "ids"])
 
@@ -54,6 +71,24 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, source string, n long, deal long, width int, ids binary")
 
 
+class Plan:
+    """When the sources are used: at time t a source has given weight x t tokens, until it ends."""
+
+    def __init__(self, lasts: np.ndarray, weights: np.ndarray):
+        """lasts: tokens over weight, of groups of sources; weights: of the groups."""
+        order = np.argsort(lasts)
+        lasts, weights = lasts[order], weights[order]
+        left = weights.sum() - np.r_[0.0, np.cumsum(weights)[:-1]]  # weight of the groups that last at least as long
+        self.time = np.r_[0.0, lasts]
+        self.tokens = np.r_[0.0, np.cumsum(np.diff(self.time) * left)]
+
+    def tokens_at(self, time: np.ndarray) -> np.ndarray:
+        return np.interp(time, self.time, self.tokens)
+
+    def time_at(self, tokens: np.ndarray) -> np.ndarray:
+        return np.interp(tokens, self.tokens, self.time)
+
+
 class _Part:
     """One part's queues and deficits."""
 
@@ -72,7 +107,7 @@ class _Part:
         while taken < most:
             head = queue[0]
             n = min(most - taken, len(head[1]) - head[2])
-            out.append((head[0], head[2], n, head[1], offset + taken))
+            out.append((head[0], head[2], n, head[1], offset + taken, source))
             head[2] += n
             taken += n
             if head[2] == len(head[1]):
@@ -82,11 +117,12 @@ class _Part:
         return taken
 
     def windows(self, context: int, granule: int) -> Iterator[list]:
-        """Lists of (doc_id, start, length, ids of the document, offset)."""
+        """Lists of (doc_id, start, length, ids of the document, offset, source)."""
         names = sorted(self.queues)
+        whole = sum(self.weight.get(s, 0.0) for s in names) or 1.0
         for s in names:
             self.deficit.setdefault(s, 0.0)
-            self.weight.setdefault(s, 0.0)
+            self.weight[s] = self.weight.get(s, 0.0) / whole
         rest, turn = sum(self.left.values()), 0
         # what was carried here is made good evenly over the part, so that no window is far from the targets
         carried = {s: self.deficit[s] / max(1, rest) for s in names}
@@ -111,28 +147,32 @@ class _Part:
             yield window
 
 
-_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string, target_share double, window_share double"
+_NAMES = [c.split()[0] for c in _PIECES.split(", ")]
+_TYPES = {"ids": pa.binary(), "source": pa.string(), "target_share": pa.float64(), "window_share": pa.float64()}
 
 
 def _packed(context: int, granule: int):
     def emit(part: _Part) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for k, window in enumerate(part.windows(context, granule)):
-            number = part.number << 32 | k
-            rows += [(doc_id, start, n, ids[start : start + n].astype("<u4").tobytes(), len(ids), number, offset) for doc_id, start, n, ids, offset in window]
-            if len(rows) >= 20_000:
+            number, share = part.number << 32 | k, Counter()
+            for _, _, n, _, _, source in window:
+                share[source] += n
+            size = sum(share.values())
+            rows += [(doc_id, start, n, ids[start : start + n].astype("<u4").tobytes(), len(ids), number, offset, source, part.weight[source], share[source] / size) for doc_id, start, n, ids, offset, source in window]
+            if len(rows) >= 10_000:
                 yield batch_of(rows)
                 rows = []
         if rows:
             yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(n, pa.int64())) for n, c in zip(_NAMES, zip(*rows, strict=True), strict=True)], names=_NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: _Part | None = None
-        for batch in batches:
+        for batch in portions(batches):
             for number, source, weight, deficit, doc_id, width, ids in zip(*(batch.column(n).to_pylist() for n in ("part", "source", "weight", "deficit", "doc_id", "width", "ids")), strict=True):
                 if part is None or part.number != number:
                     if part is not None:
@@ -148,32 +188,65 @@ def _packed(context: int, granule: int):
     return run
 
 
+def targets(tokens: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """source, held (its tokens), weight (its target) and lasts (held over weight), written.
+
+    weights: relative target token shares by source; None: held ** TEMPER, as in `mixing`. A source without a weight comes last: it has a
+    millionth of its actual share.
+    """
+    sizes = tokens.groupBy("source").agg(F.sum("n").cast("double").alias("held"))
+    if weights is None:
+        weight = F.pow("held", F.lit(TEMPER))
+    else:
+        given = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("source")] if weights else F.lit(None).cast("double")
+        weight = F.coalesce(given, F.lit(0.0))
+    sized = written(sizes.withColumn("wanted", weight), "packing-sources")
+    wanted, held = sized.agg(F.sum("wanted"), F.sum("held")).first()  # two numbers
+    share = F.greatest(F.col("wanted") / (wanted or 1.0), F.col("held") * (1e-6 / (held or 1.0)))
+    return sized.select("source", "held", share.alias("weight"), (F.col("held") / share).alias("lasts"))
+
+
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = 1, context: int = CONTEXT, granule: int = GRANULE) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,
+    source, target_share (what the plan has for its source in this part) and window_share (what the sequence has of it).
 
-    weights: relative target token shares by source (unnamed sources: 0); None: the shares that the documents have.
-    An empty table gives no rows.
+    weights: relative target token shares by source (a source not named: 0); None: tokens ** TEMPER, which raises small sources.
     """
     spark = docs.sparkSession
-    prepare(spark)
     tokens = written(encoded(docs, tokenizer or tokenizer_path(), end_id), "packing-tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    total = tokens.agg(F.sum("n")).first()[0]
+    if not total:
+        return spark.createDataFrame([], _PIECES)
     count = max(partitions(spark), -(-total // PART_TOKENS))
-    parted = tokens.withColumn("part", (F.col("deal") % count).cast("int"))
+    sources = targets(tokens, weights)
+    # groups of sources that last about equally long, STEPS for each doubling
+    grouped = sources.groupBy(F.floor(F.log2("lasts") * STEPS).alias("g")).agg(F.sum("held").alias("held"), F.sum("weight").alias("weight")).collect()
+    plan = Plan(np.array([g["held"] / g["weight"] for g in grouped]), np.array([g["weight"] for g in grouped]))
+    part_tokens = plan.tokens[-1] / count
+
+    @F.pandas_udf("int")
+    def part_at(time: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(plan.tokens_at(time.to_numpy()) / part_tokens, count - 1).astype(np.int32))
+
+    @F.pandas_udf("double")
+    def begins(part: pd.Series) -> pd.Series:
+        return pd.Series(plan.time_at(part.to_numpy() * part_tokens))
+
+    # a document's place in its source: the tokens of the stretches before its own, and its share of this one
+    bins = BINS * count
+    place = F.col("deal") * (bins / _DEALS)
+    binned = tokens.withColumn("bin", F.floor(place)).withColumn("rest", place - F.floor(place))
+    stretches = prefix_sums(binned.groupBy("source", "bin").agg(F.sum("n").cast("double").alias("in_bin")), ["source"], "bin", "in_bin", "before")
+    timed = stretches.join(small(sources.select("source", "weight")), "source").select("source", "bin", (F.col("before") / F.col("weight")).alias("begin"), (F.col("in_bin") / F.col("weight")).alias("span"))
+    parted = binned.join(small(written(timed, "packing-bins")), ["source", "bin"]).withColumn("part", part_at(F.col("begin") + F.col("rest") * F.col("span")))
+    parted = parted.select("part", "deal", "source", "n", "doc_id", "width", "ids")
+    # per part and source: what the plan has for it, and what it has lagged behind in the parts before
     held = written(parted.groupBy("part", "source").agg(F.sum("n").cast("double").alias("held")), "packing-totals")
-    # per source and per part one number each
-    if weights is None:
-        share = held.groupBy("source").agg((F.sum("held") / max(1, total)).alias("weight"))
-    else:
-        whole = sum(weights.values()) or 1.0
-        share = held.select("source").distinct().withColumn("weight", F.coalesce(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v / whole))))[F.col("source")], F.lit(0.0)))
-    before, base = [], 0.0
-    for r in sorted(held.groupBy("part").agg(F.sum("held").alias("held")).collect()):
-        before.append((r["part"], base))
-        base += r["held"]
-    started = spark.createDataFrame(before, "part int, before double")
-    own = F.expr("coalesce(sum(held) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0d)")
-    heads = held.withColumn("own", own).join(share, "source").join(started, "part").select("part", F.lit(-1).cast("long").alias("deal"), "source", "weight", (F.col("weight") * F.col("before") - F.col("own")).alias("deficit"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("ids"))
+    known = prefix_sums(held, ["source"], "part", "held", "own").join(small(sources.select("source", "weight", "lasts")), "source")
+    until = lambda time: F.col("weight") * F.least(time, F.col("lasts"))
+    first, last = until(begins("part")), until(begins(F.col("part") + 1))
+    heads = known.select("part", F.lit(-1).cast("long").alias("deal"), "source", ((last - first) / part_tokens).alias("weight"), (first - F.col("own")).alias("deficit"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("ids"))
     body = parted.select("part", "deal", "source", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("deficit"), "doc_id", "width", "ids")
-    dealt = heads.unionByName(body).repartitionById(count, F.col("part")).sortWithinPartitions("part", "deal", "doc_id")
+    tasks = max(partitions(spark), -(-count // PARTS_A_TASK))
+    dealt = heads.unionByName(body).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "deal", "doc_id")
     return dealt.mapInArrow(_packed(context, granule), _PIECES)

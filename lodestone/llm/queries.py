@@ -49,10 +49,10 @@ def op5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences whose sources have tempered shares."""
     from .packing import pack
 
-    return pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "target_share", "window_share")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,6 @@ QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
-    "op10_simhash": op10_simhash,
     "op4_language_id": op4_language_id,
     "op5_digests": op5_digests,
     "op6_packing": op6_packing,

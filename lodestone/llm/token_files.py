@@ -1,19 +1,22 @@
-"""Flat token files: per shard one file of unsigned ids and one index of document ids and 64-bit offsets.
+"""Flat token files: per shard one file of unsigned ids, and beside it 64-bit offsets and document ids.
 
 `shard-00007.bin`: the ids of its documents, one after the other, unsigned 16- or 32-bit
 little-endian integers (16 where the vocabulary allows).
-`shard-00007.idx`: the magic `LODETOK1`, then as 64-bit unsigned integers the width of an id in
-bytes and the number of documents n, n document ids (signed), n + 1 offsets in ids, n bytes (1: the id is null).
+`shard-00007.off`: the magic `LODETOK2`, the width of an id in bytes, then n + 1 offsets in ids, all as 64-bit unsigned integers.
+`shard-00007.doc`: for each document its id (64 bits, signed) and one byte, 0 where the id is null.
 
-Shards are ranges of doc_id in ascending order (null first; equal ids by text). A document's place
-among all ids is its shard's base plus its offset; bases are prefix sums of the shards' totals.
-A task writes under a name of its own and renames at the end, so a task run twice leaves the same file.
+All three can be mapped into memory, and are written and read as streams. Shards are ranges of doc_id in ascending order (null
+first; rows of one id by `shared.tie`, then text), of some SHARD_CHARACTERS characters at most; an id that very many rows have is split by tie. A document's
+place among all ids is its shard's base plus its offset; bases are prefix sums of the shards' totals. A task writes under names of
+its own and renames at the end, so a task run twice leaves the same files.
+
+Null texts are empty: such a document has its end id only. Repeated rows are separate documents. A text is encoded whole, so memory
+follows the longest one. An empty table makes an empty manifest and no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,22 +25,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import encoder, tokenizer_path
-from .shared import file_system, partitions, prepare, shared_dir
+from .shared import file_system, partitions, portions, prefix_sums, shared_dir, tie, written
 
-_MAGIC = b"LODETOK1"
-_MANIFEST = "shard int, documents long, tokens long, base long"
+_MAGIC = b"LODETOK2"
+_HEADER = 16
+_DOCUMENT = np.dtype([("id", "<i8"), ("known", "u1")])
+#: Characters that a shard is meant to have at most.
+SHARD_CHARACTERS = 1 << 30
+#: Documents, and ids, that a reader holds at once (or one document).
+READ_DOCUMENTS, READ_IDS = 50_000, 1_000_000
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> DataFrame:
-    """Encode docs (doc_id, text; other columns are not read) into token files under path; return the manifest.
+    """Encode docs (doc_id, text) into token files under path; return the manifest: shard, documents, tokens, base.
 
-    Null texts are empty: such a document has its end id only. Repeated rows are separate documents.
-    An empty table makes an empty manifest. The manifest has a row for each shard that has documents.
+    The manifest has a row for each shard that has documents. shards: by the characters of docs unless given.
     """
     spark = docs.sparkSession
-    prepare(spark)
     tokenizer = tokenizer or tokenizer_path()
-    count = shards or 2 * partitions(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    count = shards or max(2 * partitions(spark), -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARACTERS))
     fs, folder = file_system(path)
     fs.create_dir(folder, recursive=True)
 
@@ -45,81 +52,79 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         shard, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        ids, null, offsets, out = [], [], [0], None
         fs, folder = file_system(path)
-        tag = uuid.uuid4().hex
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = out or fs.open_output_stream(f"{folder}/shard-{shard:05d}.bin.{tag}")
-            keys = batch.column(0)
-            null += keys.is_null().to_pylist()
-            ids += keys.fill_null(0).to_pylist()
-            for raw in enc.raw([x or "" for x in batch.column(1).to_pylist()]):
-                out.write(raw + end)
-                offsets.append(offsets[-1] + len(raw) // enc.dtype.itemsize + 1)
-        if out is None:
-            return
-        out.close()
-        with fs.open_output_stream(f"{folder}/shard-{shard:05d}.idx.{tag}") as index:
-            index.write(_MAGIC + np.array([enc.dtype.itemsize, len(ids)], "<u8").tobytes() + np.array(ids, "<i8").tobytes() + np.array(offsets, "<u8").tobytes() + np.array(null, "u1").tobytes())
-        for kind in ("bin", "idx"):
+        tag, files, documents, tokens = uuid.uuid4().hex, {}, 0, 0
+        width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
+        for batch in portions(batches):
+            if not files:
+                files = {kind: fs.open_output_stream(f"{folder}/shard-{shard:05d}.{kind}.{tag}") for kind in ("bin", "off", "doc")}
+                files["off"].write(_MAGIC + np.array([width, 0], "<u8").tobytes())  # the first offset is 0
+            ids = [raw + end for raw in enc.raw([x or "" for x in batch.column(1).to_pylist()])]
+            for raw in ids:
+                files["bin"].write(raw)
+            ends = tokens + np.cumsum([len(raw) // width for raw in ids])
+            files["off"].write(ends.astype("<u8").tobytes())
+            names = np.zeros(len(ids), _DOCUMENT)
+            names["id"] = batch.column(0).fill_null(0).to_numpy()
+            names["known"] = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            files["doc"].write(names.tobytes())
+            documents, tokens = documents + len(ids), int(ends[-1])
+        for kind, file in files.items():
+            file.close()
             fs.move(f"{folder}/shard-{shard:05d}.{kind}.{tag}", f"{folder}/shard-{shard:05d}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": [len(ids)], "tokens": [offsets[-1]]})
+        if files:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": [documents], "tokens": [tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
-    # one small row for each shard comes to the driver, to sum up the bases
-    rows, base, manifest = ordered.mapInArrow(write, "shard int, documents long, tokens long").collect(), 0, []
-    for r in sorted(rows):
-        manifest.append((r.shard, r.documents, r.tokens, base))
-        base += r.tokens
-    return spark.createDataFrame(manifest, _MANIFEST)
+    tied = rows.withColumn("tie", tie())
+    ordered = tied.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    manifest = written(ordered.mapInArrow(write, "shard int, documents long, tokens long"), "token-manifest")
+    return prefix_sums(manifest, [], "shard", "tokens", "base")
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) of every document in the files."""
-    shards = max(1, manifest.count())
+
+    def pieces(open_file, documents: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document records, offsets and ids of runs of documents."""
+        with open_file("off") as off, open_file("doc") as doc, open_file("bin") as ids:
+            head = off.read_at(_HEADER, 0)
+            if head[: len(_MAGIC)] != _MAGIC:
+                raise ValueError(f"{path} has a file that is no token index")
+            width = int(np.frombuffer(head, "<u8", 1, len(_MAGIC))[0])
+            for first in range(0, documents, READ_DOCUMENTS):
+                n = min(READ_DOCUMENTS, documents - first)
+                offsets = np.frombuffer(off.read_at(8 * (n + 1), _HEADER + 8 * first), "<u8").astype(np.int64)
+                names = np.frombuffer(doc.read_at(_DOCUMENT.itemsize * n, _DOCUMENT.itemsize * first), _DOCUMENT)
+                at = 0
+                while at < n:
+                    to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_IDS, "right")) - 1)
+                    raw = ids.read_at(int(offsets[to] - offsets[at]) * width, int(offsets[at]) * width)
+                    yield names[at:to], offsets[at : to + 1], np.frombuffer(raw, f"<u{width}")
+                    at = to
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
         fs, folder = file_system(path)
-        for batch in batches:
-            for shard, base in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        local = isinstance(fs, pafs.LocalFileSystem)
+        for batch in portions(batches):
+            for shard, documents, base in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 name = f"{folder}/shard-{shard:05d}"
-                with fs.open_input_file(f"{name}.idx") as f:
-                    index = f.read()
-                if index[:8] != _MAGIC:
-                    raise ValueError(f"{name}.idx is not a token index")
-                width, n = map(int, np.frombuffer(index, "<u8", 2, 8))
-                keys = np.frombuffer(index, "<i8", n, 24)
-                offsets = np.frombuffer(index, "<u8", n + 1, 24 + 8 * n).astype(np.int64)
-                null = np.frombuffer(index, "u1", n, 32 + 16 * n).astype(bool)
-                with pa.memory_map(f"{name}.bin") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(f"{name}.bin") as f:
-                    at = 0
-                    while at < n:  # as many documents as have about a million ids
-                        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 1_000_000, "right")) - 1)
-                        raw = f.read_at(int(offsets[to] - offsets[at]) * width, int(offsets[at]) * width)
-                        values = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
-                        cuts = ((offsets[at : to + 1] - offsets[at]) * 4).tolist()
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(keys[at:to], mask=null[at:to]),
-                                pa.array(offsets[at:to] + base),
-                                pa.array(np.diff(offsets[at : to + 1])),
-                                pa.array([values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                            ],
-                            names=["doc_id", "start", "n_tokens", "ids"],
-                        )
-                        at = to
-
-    return manifest.repartition(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def crc32_of(ids) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+                open_file = lambda kind, name=name: pa.memory_map(f"{name}.{kind}") if local else fs.open_input_file(f"{name}.{kind}")
+                for names, offsets, ids in pieces(open_file, documents):
+                    raw, cuts = ids.astype("<u4").tobytes(), (4 * (offsets - offsets[0])).tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.ascontiguousarray(names["id"]), mask=names["known"] == 0),
+                            pa.array(offsets[:-1] + base),
+                            pa.array(np.diff(offsets)),
+                            pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids"],
+                    )
+
+    dealt = manifest.select("shard", "documents", "base").repartition(max(1, manifest.count()))
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
