@@ -7,18 +7,21 @@ are taken off those of each model that has it), so a document of the target is n
 
     p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu),   p(w) = (c(w) + 1) / (N + V),   mu = SMOOTHING x N / N target
 
-Counts of pairs are gathered from the whole corpus: each task sends its own in ranges of the first token, and each
-range is merged and written as a sorted file in the shared folder. Up to MODEL_PAIRS pairs, scoring tasks map these
-files into memory; beyond, the documents' pairs are joined with the model by a shuffle, with the same result.
-
-Null and empty texts have no tokens, and losses and score 0. Repeated rows count as documents of their own. Without
-target documents the target model is uniform.
+Counts of pairs are gathered from the whole corpus: each task sends its own in ranges of the first token, of some RANGE_PAIRS
+possible pairs each, and each range is merged (in two steps for a large corpus) and written as a sorted file in the shared folder.
+Up to MODEL_PAIRS pairs in a folder that all machines mount, scoring tasks map these files into memory. Otherwise no task reads the
+model: each block of documents sends its different pairs to the ranges, tasks that hold one range answer with the counts, and the
+answers meet the block again. A frequent pair is one number in a request like any other. Both ways give the same result.
+
+Null and empty texts have no tokens, and losses and score 0. A very long text is encoded whole, and memory follows it. Repeated rows count
+as documents of their own, each left out of its own score only. There are no ties to break. An empty table gives no rows. Columns other than doc_id and text
+are not read. Without target documents the target model is uniform. Rows without an id are not of the target.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder, tokenizer_path
-from .shared import file_system, partitions, prepare, shared_dir, small, written
+from .shared import file_system, flagged, partitions, portions, shared_dir, written
 
 SMOOTHING = 50.0
 #: Pairs up to which scoring tasks map the model.
 MODEL_PAIRS = 100_000_000
-#: Rows of good up to which its ids are broadcast.
-GOOD_ROWS = 1_000_000
+#: Possible pairs of a range, about; tokens that one task merges into a range, and that one task answers for.
+RANGE_PAIRS, MERGED_TOKENS, ANSWERED_TOKENS = 2_000_000, 1_000_000_000, 200_000_000
+#: Tokens of a block of documents (or one document).
+BLOCK_TOKENS = 1_000_000
 _HELD = 2_000_000
 
 
@@ -42,18 +47,24 @@ def _vocabulary(path: str) -> int:
 
 
 def encoded(docs: DataFrame, good: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, target, row (a unique long) and ids of docs, written."""
-    flags = small(written(good.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True)), "target-ids"), GOOD_ROWS)
+    """doc_id, target, width and ids of docs, and block: the number of a run of documents; written."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in batches:
-            ids = enc.raw([x or "" for x in batch.column(1).to_pylist()])
+        from pyspark import TaskContext
+
+        enc, block, held = encoder(tokenizer), TaskContext.get().partitionId() << 32, 0
+        for batch in portions(batches):
+            ids, blocks = enc.raw([x or "" for x in batch.column(1).to_pylist()]), []
             width = enc.dtype.itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "target", "width", "ids"])
+            for raw in ids:
+                if held and held + len(raw) > BLOCK_TOKENS * width:
+                    block, held = block + 1, 0
+                held += len(raw)
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blocks, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "target", "block", "width", "ids"])
 
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(flags, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    return written(flagged.mapInArrow(run, "doc_id long, target boolean, width int, ids binary").withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(flagged(rows, good, "target").mapInArrow(run, "doc_id long, target boolean, block long, width int, ids binary"), "lm-tokens")
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +119,7 @@ def unigrams(tokens: DataFrame, size: int) -> Unigrams:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, size + 1), np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             ids, owner, target = _tokens(batch)
             mine = target[owner]
             last = np.r_[owner[1:] != owner[:-1], True] if len(ids) else np.zeros(0, bool)
@@ -128,29 +139,71 @@ def unigrams(tokens: DataFrame, size: int) -> Unigrams:
 
 
 def _ranges(uni: Unigrams, count: int) -> np.ndarray:
-    """First tokens at which ranges with about equally many pairs begin."""
+    """First tokens at which ranges with about equally many possible pairs begin: count ranges, or more if they would be too large."""
     load = np.cumsum(np.minimum(uni.contexts[0], uni.size))
+    count = max(count, int(-(-load[-1] // RANGE_PAIRS)))
     return np.unique(np.searchsorted(load, load[-1] * np.arange(1, count) / count, "right"))
 
 
-def count_pairs(tokens: DataFrame, uni: Unigrams, path: str) -> list[tuple[int, int, int]]:
-    """Write the counts of all pairs as sorted files under path; return (range, pairs, least key) of each file, one small row a range."""
+_SENT = "range int, salt int, keys binary, b binary, t binary"
+
+
+def _packed_counts(keys: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys, as differences, and their counts; all 64 bits wide (Spark compresses what it shuffles)."""
+    return np.diff(keys, prepend=0).astype("<u8").tobytes(), b.astype("<u8").tobytes(), t.astype("<u8").tobytes()
+
+
+def _counts(keys: bytes, b: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(keys, "<u8"), dtype=np.int64), np.frombuffer(b, "<u8").astype(np.int64), np.frombuffer(t, "<u8").astype(np.int64)
+
+
+def _rows_of(number: int, salt: int, keys: np.ndarray, b: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 500_000):
+        packed = _packed_counts(keys[i : i + 500_000], b[i : i + 500_000], t[i : i + 500_000])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["range", "salt", "keys", "b", "t"])
+
+
+def _merged(batches: Iterable[pa.RecordBatch], finish: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows of _SENT, those of a range and salt in one run, summed up; finish: (range, keys, b, t) -> batches."""
+
+    def total(parts: list) -> tuple:
+        return _summed(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+    now, parts, waiting = None, [], 0
+    for batch in portions(batches, 16):
+        for r, salt, k, b, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if now is not None and (r, salt) != now:
+                yield from finish(now[0], *total(parts))
+                parts, waiting = [], 0
+            now = r, salt
+            parts.append(_counts(k, b, t))
+            waiting += len(parts[-1][0])
+            if waiting > 4 * _HELD and len(parts) > 1:
+                parts, waiting = [total(parts)], 0
+    if now is not None:
+        yield from finish(now[0], *total(parts))
+
+
+def count_pairs(tokens: DataFrame, uni: Unigrams, path: str) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Write the counts of all pairs as sorted files under path; the cuts between ranges, and (range, pairs, least key) of each file, one small row a range."""
     spark, size = tokens.sparkSession, uni.size
-    cuts = _ranges(uni, max(partitions(spark), int(uni.contexts[0].sum() // 50_000_000)))
+    cuts = _ranges(uni, partitions(spark))
+    salts = max(1, int(uni.contexts[0].sum() / (len(cuts) + 1) / MERGED_TOKENS))
     fs, folder = file_system(path)
     fs.create_dir(folder, recursive=True)
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % salts
+
         def emit(keys, b, t):
-            stops = np.r_[0, np.searchsorted(keys, cuts * (size + 1)), len(keys)]
-            for i in range(len(stops) - 1):
-                x, y = int(stops[i]), int(stops[i + 1])
-                for a in range(x, y, 500_000):
-                    z = min(y, a + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.diff(keys[a:z], prepend=0).astype("<u4" if size < 65_000 else "<u8").tobytes()]), pa.array([b[a:z].astype("<u4").tobytes()]), pa.array([t[a:z].astype("<u4").tobytes()])], names=["range", "keys", "b", "t"])
+            stops = np.r_[0, np.searchsorted(keys, cuts * (size + 1)), len(keys)].tolist()
+            for i, (x, y) in enumerate(zip(stops, stops[1:], strict=False)):
+                yield from _rows_of(i, salt, keys[x:y], b[x:y], t[x:y])
 
         held = (np.zeros(0, np.int64),) * 3
-        for batch in batches:
+        for batch in portions(batches):
             ids, owner, target = _tokens(batch)
             keys = _pairs(ids, owner, size)
             new = _summed(keys, np.ones(len(keys), np.int64), target[owner].astype(np.int64))
@@ -160,52 +213,48 @@ def count_pairs(tokens: DataFrame, uni: Unigrams, path: str) -> list[tuple[int,
                 held = (np.zeros(0, np.int64),) * 3
         yield from emit(*held)
 
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def write(number, parts):
-            keys, b, t = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-            fs, folder = file_system(path)
-            tag = uuid.uuid4().hex
-            with fs.open_output_stream(f"{folder}/range-{number:05d}.{tag}") as f:
-                f.write(keys.astype("<i8").tobytes() + b.astype("<u4").tobytes() + t.astype("<u4").tobytes())
-            fs.move(f"{folder}/range-{number:05d}.{tag}", f"{folder}/range-{number:05d}")
-            return pa.RecordBatch.from_pydict({"range": pa.array([number], pa.int32()), "pairs": [len(keys)], "least": [int(keys[0])]})
-
-        number, parts, waiting = None, [], 0
-        for batch in batches:
-            for r, k, b, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if number is not None and r != number:
-                    yield write(number, parts)
-                    parts, waiting = [], 0
-                number = r
-                parts.append((np.cumsum(np.frombuffer(k, "<u4" if size < 65_000 else "<u8"), dtype=np.int64), np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(t, "<u4").astype(np.int64)))
-                waiting += len(parts[-1][0])
-                if waiting > 4 * _HELD and len(parts) > 1:
-                    parts = [_summed(*(np.concatenate(p) for p in zip(*parts, strict=True)))]
-                    waiting = 0
-        if number is not None:
-            yield write(number, parts)
-
-    sent = tokens.select("target", "width", "ids").mapInArrow(local, "range int, keys binary, b binary, t binary")
-    found = sent.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range").mapInArrow(merge, "range int, pairs long, least long").collect()
-    return sorted(tuple(r) for r in found)
+    def write(number, keys, b, t):
+        fs, folder = file_system(path)
+        tag = uuid.uuid4().hex
+        with fs.open_output_stream(f"{folder}/range-{number:05d}.{tag}") as f:
+            f.write(keys.astype("<i8").tobytes() + b.astype("<u8").tobytes() + t.astype("<u8").tobytes())
+        fs.move(f"{folder}/range-{number:05d}.{tag}", f"{folder}/range-{number:05d}")
+        yield pa.RecordBatch.from_pydict({"range": pa.array([number], pa.int32()), "pairs": [len(keys)], "least": [int(keys[0])]})
+
+    sent = tokens.select("target", "width", "ids").mapInArrow(local, _SENT)
+    if salts > 1:
+        parts = sent.repartition((len(cuts) + 1) * salts, "range", "salt").sortWithinPartitions("range", "salt")
+        sent = parts.mapInArrow(lambda batches: _merged(batches, lambda r, *counts: _rows_of(r, 0, *counts)), _SENT)
+    ranged = sent.withColumn("salt", F.lit(0)).repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range")
+    found = ranged.mapInArrow(lambda batches: _merged(batches, write), "range int, pairs long, least long").collect()
+    return cuts, sorted(tuple(r) for r in found)
+
+
+def _views(raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of a range file of n pairs."""
+    return raw[: 8 * n].view("<i8"), raw[8 * n : 16 * n].view("<u8"), raw[16 * n :].view("<u8")
+
+
+def _is_local(path: str) -> bool:
+    from pyarrow import fs as pafs
+
+    return isinstance(file_system(path)[0], pafs.LocalFileSystem)
 
 
 @lru_cache(2)
 def _model(path: str, files: tuple) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """This worker's view of the files: mapped where they are local, else read."""
-    from pyarrow import fs as pafs
+    """This worker's view of the files, which must be on a mounted file system."""
+    folder = file_system(path)[1]
+    return [_views(np.memmap(f"{folder}/range-{number:05d}", np.uint8, "r"), n) for number, n, _ in files]
+
 
+@lru_cache(1)
+def _range(path: str, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One range of the model."""
     fs, folder = file_system(path)
-    out = []
-    for number, n, _ in files:
-        name = f"{folder}/range-{number:05d}"
-        if isinstance(fs, pafs.LocalFileSystem):
-            raw = np.memmap(name, np.uint8, "r")
-        else:
-            with fs.open_input_file(name) as f:
-                raw = np.frombuffer(f.read(), np.uint8)
-        out.append((raw[: 8 * n].view("<i8"), raw[8 * n : 12 * n].view("<u4"), raw[12 * n :].view("<u4")))
-    return out
+    with fs.open_input_file(f"{folder}/range-{number:05d}") as f:
+        raw = np.frombuffer(f.read(), np.uint8)
+    return _views(raw, len(raw) // 24)
 
 
 def _look_up(model: list, least: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,58 +296,104 @@ def _rows(doc_id: pa.Array, n: np.ndarray, background: np.ndarray, target: np.nd
 def score(docs: DataFrame, good: DataFrame, tokenizer: str | None = None, model_pairs: int = MODEL_PAIRS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats per token) and score, their difference: low is like the target."""
     spark = docs.sparkSession
-    prepare(spark)
     tokenizer = tokenizer or tokenizer_path()
     size = _vocabulary(tokenizer)
     tokens = encoded(docs, good, tokenizer)
     uni = unigrams(tokens, size)
     path = shared_dir(spark, "lm-pairs")
-    files = tuple(count_pairs(tokens, uni, path))
+    cuts, found = count_pairs(tokens, uni, path)
+    files = tuple(found)
     shared = spark.sparkContext.broadcast(uni)  # a few numbers for each token of the vocabulary
     least = np.array([f[2] for f in files], np.int64)
-    if sum(f[1] for f in files) > model_pairs:
-        return _by_join(tokens, shared, size, path, files)
+    if sum(f[1] for f in files) > model_pairs or not _is_local(path):
+        return _by_exchange(tokens, shared, size, path, cuts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            o, k, times, of_context, target, n = _own(batch, size)
-            distinct, at = np.unique(k, return_inverse=True)
-            b, t = _look_up(_model(path, files), least, distinct)
-            lb, lt = shared.value.log_p(k, (b[at], t[at]), times, of_context, target[o])
-            yield _rows(batch.column(0), n, np.bincount(o, times * lb, len(n)), np.bincount(o, times * lt, len(n)))
+        for batch in portions(batches):
+            yield _scored(batch, shared.value, size, lambda distinct: _look_up(_model(path, files), least, distinct))
 
     return tokens.select("doc_id", "target", "width", "ids").mapInArrow(run, _RESULT)
 
 
-def _by_join(tokens: DataFrame, shared, size: int, path: str, files: tuple) -> DataFrame:
-    """The same scores where the model is too large for a task: pairs of documents are joined with it by a shuffle."""
-    spark = tokens.sparkSession
+def _scored(batch: pa.RecordBatch, uni: Unigrams, size: int, look_up: Callable) -> pa.RecordBatch:
+    """Results of documents (doc_id first); look_up: sorted distinct keys -> their counts."""
+    o, k, times, of_context, target, n = _own(batch, size)
+    distinct, at = np.unique(k, return_inverse=True)
+    b, t = look_up(distinct)
+    lb, lt = uni.log_p(k, (b[at], t[at]), times, of_context, target[o])
+    return _rows(batch.column(0), n, np.bincount(o, times * lb, len(n)), np.bincount(o, times * lt, len(n)))
+
 
-    def model(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number in batch.column(0).to_pylist():
-                ((k, b, t),) = _model(path, (files[number],))
-                for i in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (k, b, t)], names=["key", "b", "t"])
-
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0).to_numpy()
-            o, k, times, of_context, target, _ = _own(batch, size)
-            for i in range(0, len(k), 100_000):
-                j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(row[o[j]]), pa.array(k[j]), pa.array(times[j]), pa.array(of_context[j]), pa.array(target[o[j]])], names=["row", "key", "own", "of_context", "target"])
-
-    def losses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            lb, lt = shared.value.log_p(c["key"], (c["b"], c["t"]), c["own"], c["of_context"], c["target"])
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(c["own"]), pa.array(c["own"] * lb), pa.array(c["own"] * lt)], names=["row", "n", "lb", "lt"])
-
-    table = spark.range(len(files)).repartition(max(1, len(files))).mapInArrow(model, "key long, b long, t long")
-    pairs = tokens.select("row", "target", "width", "ids").mapInArrow(explode, "row long, key long, own long, of_context long, target boolean")
-    each = pairs.join(table, "key").select("row", "key", "own", "of_context", "target", "b", "t").mapInArrow(losses, "row long, n long, lb double, lt double")
-    sums = each.groupBy("row").agg(F.sum("n").alias("n"), F.sum("lb").alias("lb"), F.sum("lt").alias("lt"))
-    n = F.coalesce("n", F.lit(0))
-    per = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
-    return tokens.select("doc_id", "row").join(sums, "row", "left").select("doc_id", n.alias("n_tokens"), (-per("lt")).alias("target_loss"), (-per("lb")).alias("background_loss"), (per("lb") - per("lt")).alias("score"))
+_ASKED = "doc_id long, target boolean, block long, width int, ids binary, range int, keys binary, b binary, t binary"
+
+
+def _by_exchange(tokens: DataFrame, shared, size: int, path: str, cuts: np.ndarray) -> DataFrame:
+    """The same scores where no task can read the model: blocks of documents ask the ranges for the counts of their pairs."""
+    spark = tokens.sparkSession
+    salts = max(1, int(shared.value.contexts[0].sum() / (len(cuts) + 1) / ANSWERED_TOKENS))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Different pairs of each run of rows of a block, by range."""
+        block, waiting = None, []
+
+        def emit():
+            keys = np.unique(np.concatenate(waiting))
+            stops = np.r_[0, np.searchsorted(keys, cuts * (size + 1)), len(keys)].tolist()
+            rows = [(i, block, np.diff(keys[x:y], prepend=0).astype("<u8").tobytes()) for i, (x, y) in enumerate(zip(stops, stops[1:], strict=False)) if y > x]
+            if rows:
+                r, b, k = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int64()), pa.array(k, pa.binary())], names=["range", "block", "keys"])
+
+        for batch in portions(batches):
+            blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
+            stops = np.r_[0, np.nonzero(np.diff(blocks))[0] + 1, len(blocks)].tolist()
+            for x, y in zip(stops, stops[1:], strict=False):
+                if block is not None and blocks[x] != block:
+                    yield from emit()
+                    waiting = []
+                block = int(blocks[x])
+                ids, owner, _ = _tokens(batch.slice(x, y - x))
+                waiting.append(np.unique(_pairs(ids, owner, size)))
+        if waiting:
+            yield from emit()
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 16):
+            for r, block, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys = np.cumsum(np.frombuffer(asked, "<u8"), dtype=np.int64)
+                k, b, t = _range(path, r)
+                at = np.searchsorted(k, keys)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([asked], pa.binary()), pa.array([b[at].tobytes()], pa.binary()), pa.array([t[at].tobytes()], pa.binary())], names=["block", "range", "keys", "b", "t"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block in one run: first the answers (by range), then its documents."""
+        block, parts, known = None, [], None
+        for batch in portions(batches, 200):
+            blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
+            answers = batch.column(batch.schema.get_field_index("keys")).is_valid().to_numpy(zero_copy_only=False)
+            stops = np.r_[0, np.nonzero(np.diff(blocks) | np.diff(answers.astype(np.int8)))[0] + 1, len(blocks)].tolist()
+            for x, y in zip(stops, stops[1:], strict=False):
+                if blocks[x] != block:
+                    block, parts, known = blocks[x], [], None
+                run = batch.slice(x, y - x)
+                if answers[x]:
+                    parts += [_counts(*c) for c in zip(*(run.column(run.schema.get_field_index(n)).to_pylist() for n in ("keys", "b", "t")), strict=True)]
+                    continue
+                if known is None:
+                    known = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+                    known = [c[np.argsort(known[0], kind="stable")] for c in known]
+                    parts = []
+
+                def look_up(distinct, known=known):
+                    at = np.searchsorted(known[0], distinct)
+                    return known[1][at], known[2][at]
+
+                yield _scored(run, shared.value, size, look_up)
+
+    requests = tokens.select("block", "target", "width", "ids").mapInArrow(ask, "range int, block long, keys binary")
+    dealt = requests.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).repartition((len(cuts) + 1) * salts, "range", "salt").sortWithinPartitions("range")
+    answers = dealt.select("range", "block", "keys").mapInArrow(answer, "block long, range int, keys binary, b binary, t binary")
+    none = lambda names: [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in _ASKED.split(", ")) if n in names]
+    both = tokens.select("*", *none(("range", "keys", "b", "t"))).unionByName(answers.select("*", *none(("doc_id", "target", "width", "ids"))))
+    met = both.repartition(2 * partitions(spark), "block").sortWithinPartitions("block", F.col("keys").isNull(), "range")
+    return met.mapInArrow(meet, _RESULT)

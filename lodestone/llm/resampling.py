@@ -5,11 +5,13 @@ into BUCKETS. The target model is the distribution of the features of documents
 that of all documents. A document's log weight is the sum over its features of log target - log raw probability. Adding
 Gumbel noise and keeping the k largest draws k documents without replacement in proportion to their weights.
 
-The raw model counts every document. The target model takes labelled documents, at most about TARGET_ROWS (drawn by hash
-of doc_id), so that their ids can be broadcast. Noise is hashed from doc_id (and the text where it is null).
+The raw model counts every document, the target model every one that is labelled good; a document's own features are taken off the
+counts of each model that has it before it is weighed, so a good document gains nothing by having been counted. Noise is hashed from
+doc_id (and the text where it is null).
 
-Null and empty texts have no features and log weight 0. Repeated rows have equal keys; which of equal rows around the
-k-th place stay is decided by their order in the written table, so exactly k rows stay.
+Null and empty texts have no features and log weight 0. A very long text is read whole, and memory follows it. Repeated rows have equal keys;
+which of equal rows around the k-th place stay is decided by their order in the written table, so exactly k rows stay. An empty table gives no rows. Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_adding, prepare, texts_of, written
+from .shared import flagged, groups, map_adding, portions, texts_of, written
 
-BUCKETS, TARGET_ROWS, SEED = 10_000, 100_000, 5
+BUCKETS, SEED = 10_000, 5
 CACHED_TOKENS = 300_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -55,30 +57,37 @@ class Hasher:
         return features, owners
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log target - log raw probability of each bucket, with one added to each count."""
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+def log_weights(features: np.ndarray, owners: np.ndarray, good: np.ndarray, raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of each text (good: whether the target has counted it) the sum over its features of log target - log raw probability.
+
+    One is added to each count; the text's own features are taken off first.
+    """
+    n = len(good)
+    keys, own = np.unique(owners * BUCKETS + features, return_counts=True)
+    text, bucket = keys // BUCKETS, keys % BUCKETS
+    size = np.bincount(owners, minlength=n)
+    log = lambda counts, counted: np.log((counts[bucket] - own * counted[text] + 1) / (counts.sum() - size * counted + BUCKETS)[text])
+    return np.bincount(text, own * (log(target, good.astype(np.int64)) - log(raw, np.ones(n, np.int64))), n)
 
 
-def models(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of all docs and of those whose doc_id good has: BUCKETS numbers each, summed up by Spark."""
-    prepare(docs.sparkSession)
-    n = good.count()
-    drawn = good.where(F.pmod(F.xxhash64(F.lit("resampling"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, TARGET_ROWS / max(1, n)) * (1 << 30)))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(drawn.limit(2 * TARGET_ROWS).withColumn("good", F.lit(True))), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+def models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Feature counts of all docs (text, good) and of the good ones: BUCKETS numbers each, summed up by Spark."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, raw, target = Hasher(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            texts, mine = texts_of(batch), np.array(batch.column(1).to_pylist(), bool)
-            features, owners = hasher(texts)
-            raw += np.bincount(features, minlength=BUCKETS)
-            target += np.bincount(features[mine[owners]], minlength=BUCKETS)
+        for batch in portions(batches):
+            texts, good = texts_of(batch), np.array(batch.column(1).to_pylist(), bool)
+            done = 0
+            for some in groups(texts, len(texts)):
+                features, owners = hasher(some)
+                raw += np.bincount(features, minlength=BUCKETS)
+                target += np.bincount(features[good[owners + done]], minlength=BUCKETS)
+                done += len(some)
         at = np.nonzero(raw)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in docs.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     return raw, target
 
@@ -98,18 +107,20 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
 
 
-def with_keys(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs plus n_features, log_weight, gumbel_key and _llm_order (a long that sorts as the key)."""
-    prepare(docs.sparkSession)
+def with_keys(docs: DataFrame, raw: np.ndarray, target: np.ndarray) -> DataFrame:
+    """docs (doc_id, text, good) plus n_features, log_weight, gumbel_key and _llm_order (a long that sorts as the key)."""
     hashers: list[Hasher] = []
 
     def add(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         if not hashers:
             hashers.append(Hasher())
-        texts = texts_of(batch)
-        features, owners = hashers[0](texts)
-        n = np.bincount(owners, minlength=len(texts))
-        weight = np.bincount(owners, ratio[features], len(texts))
+        texts, n, weight = texts_of(batch), [], []
+        good = np.array(batch.column(batch.schema.get_field_index("good")).to_pylist(), bool)
+        for some in groups(texts, len(texts)):
+            features, owners = hashers[0](some)
+            weight.append(log_weights(features, owners, good[sum(map(len, n)) :][: len(some)], raw, target))
+            n.append(np.bincount(owners, minlength=len(some)))
+        n, weight = np.concatenate(n), np.concatenate(weight)
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
         keys = np.array([(zlib.crc32(t.encode("utf-8", "surrogatepass")) | 1 << 40 if i is None else i) & (1 << 64) - 1 for i, t in zip(ids, texts, strict=True)], np.uint64)
         key = weight + gumbel(keys)
@@ -144,8 +155,8 @@ def resample(docs: DataFrame, good: DataFrame, share: float) -> DataFrame:
 
     good: doc_id of documents of the target.
     """
-    ratio = log_ratio(*models(docs, good.select("doc_id").where("doc_id IS NOT NULL").distinct()))
-    scored = written(with_keys(docs.select("doc_id", "text"), ratio).drop("text").withColumn("_llm_row", F.monotonically_increasing_id()), "resampling")
+    rows = flagged(docs.select("doc_id", "text"), good, "good")
+    scored = written(with_keys(rows, *models(rows)).drop("text", "good").withColumn("_llm_row", F.monotonically_increasing_id()), "resampling")
     k = round(share * scored.count())
     least = kth_largest(scored, ["_llm_order", "_llm_row"], k) if k else None
     kept = F.lit(False) if least is None else (F.col("_llm_order") > least[0]) | (F.col("_llm_order") == least[0]) & (F.col("_llm_row") >= least[1])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ENGLISH, SCHEMA, prose
+from conftest import ENGLISH, GERMAN, SCHEMA, prose
 from lodestone.llm import language_id as L
 from lodestone.llm import lm_scoring as M
 from lodestone.llm import quality_rules as Q
@@ -40,6 +40,42 @@ def test_language_without_labels_or_rows(spark, documents, empty, clashing):
     assert L.keep_known(clashing).first()["score"] == "own score"
 
 
+def language_texts():
+    rng = random.Random(3)
+    return [prose(rng, ENGLISH if i % 2 else GERMAN, 40 + rng.randint(0, 80)) for i in range(600)], ["en" if i % 2 else "de" for i in range(600)]
+
+
+def test_rejection_is_calibrated():
+    """Outsiders that the model has not seen are rejected at the stated rate, texts of its languages are kept."""
+    model = L.fit(*language_texts())
+    assert model.false_acceptance <= L.FALSE_ACCEPTANCE and model.false_rejection <= L.FALSE_REJECTION + 1 / 100
+    rng, score = np.random.default_rng(77), L.Scorer(model)
+    texts, _ = language_texts()
+    strange = [" ".join(L.outsider(t.split(), rng)) for t in texts]
+    assert score(strange)[2].mean() > 0.8 and score(texts)[2].mean() < 0.02
+
+
+def test_language_scores_equal_brute_force():
+    """Mean of the vectors of all features of all words, bias, temperature, softmax."""
+    import zlib
+
+    model = L.fit(*language_texts())
+    texts = ["the quick brown", "Über-raschung ², und das", "x", "1234", "das das the"]
+    labels, scores, rejected = L.Scorer(model)(texts)
+    for t, label, s, r in zip(texts, labels, scores, rejected):
+        rows = []
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            marked = f"<{w}>"
+            for g in [marked] + [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]:
+                rows.append(model.vectors[zlib.crc32(g.encode()) % L.BUCKETS])
+        if not rows:
+            assert (label, s, r) == ("und", 0.0, True)
+            continue
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        assert label == model.labels[int(p.argmax())] and abs(s - p.max()) < 1e-5 and r == (s < model.reject_below)
+
+
 def brute_metrics(text):
     words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
     seen = Counter(zip(words, words[1:], words[2:]))
@@ -95,13 +131,86 @@ def toxic_model():
 
 def test_toxicity_tolerates_gaps_and_insertions(toxic_model):
     rng = random.Random(2)
-    score = X._Scorer(toxic_model)
+    score = X.Scorer(toxic_model)
     clean = score([prose(rng, ENGLISH, 100) for _ in range(200)])
     assert (clean >= 0.5).mean() < 0.03
     for word in ("blockhead", "block-head", "b.l.o.c.k.h.e.a.d", "b l o c k h e a d", "blockxhead", "bl0ckhead", "NITWIT!", "nit*wit", "dimm-wit"):
         assert score([f"this is a {word} of a text"])[0] >= 0.5, word
 
 
+def test_labels_are_of_sentences(monkeypatch, toxic_model):
+    """Without the splitter the machine is another one."""
+    real = X.Reader.__call__
+
+    def whole(self, texts):
+        monkeypatch.setattr(X, "WORDS", 1 << 30)
+        return real(self, [t.replace(".", "").replace("\n", " ") for t in texts])
+
+    monkeypatch.setattr(X.Reader, "__call__", whole)
+    rows = toxic_corpus()
+    other = X.fit([r[1] for r in rows], [int(r[0] % 4 == 0) for r in rows])
+    assert other.landmarks != toxic_model.landmarks or abs(other.weights - toxic_model.weights).max() > 0.1
+
+
+def brute_kernel(a, b):
+    """The subsequence kernel of two words by its definition."""
+    from itertools import combinations
+
+    def features(word):
+        s, out = f"<{word}>", Counter()
+        for i, j, k in combinations(range(len(s)), 3):
+            if k - i < X.SPAN:
+                out[s[i], s[j], s[k]] += X.DECAY ** (k - i + 1)
+        norm = math.sqrt(sum(v * v for v in out.values()))
+        return {c: v / norm for c, v in out.items()}
+
+    fa, fb = features(a), features(b)
+    return sum(v * fb.get(c, 0) for c, v in fa.items())
+
+
+def test_nystroem_features_give_the_kernel_of_landmarks(toxic_model):
+    marks = toxic_model.landmarks[:40]
+    kernel = X.Kernel(marks)
+    k = X._POWERS[kernel(marks)]
+    for i in range(0, 40, 7):
+        for j in range(0, 40, 5):
+            assert abs(k[i, j] - brute_kernel(marks[i], marks[j]) ** X.POWER) < 0.01
+    z = k @ X.whitening(kernel, marks)
+    assert abs(z @ z.T - k).max() < 0.05
+
+
+def brute_sentences(text):
+    import re
+
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", text):
+        words, run = [], ""
+        for t in [*(x for x in map(X.plain, sentence.split()) if x), ""]:
+            if len(t) == 1:
+                run += t
+                continue
+            if len(run) >= X.LETTERS:
+                words.append(run)
+            run = ""
+            words += [t] if t else []
+        for i in range(0, len(words), X.WORDS):
+            some = words[i : i + X.WORDS]
+            yield some + [a + b for a, b in zip(some, some[1:]) if max(len(a), len(b)) <= X.JOINED]
+
+
+def test_scores_equal_brute_force(toxic_model):
+    """A document: the highest of its sentences; a sentence: weights times the powers of its best kernel values."""
+    rng = random.Random(6)
+    texts = [prose(rng, ENGLISH, 40) + "\nYou are a nit wit. b l o c k h e a d!", "Hi there. dim-wit x y z", "", "!!! 12", prose(rng, ENGLISH, 90).replace(".", "")]
+    got = X.Scorer(toxic_model)(texts)
+    for t, g in zip(texts, got):
+        best = toxic_model.bias
+        for words in brute_sentences(t):
+            value = [max(max(round(255 * min(1, brute_kernel(p, m))) for p in X.pieces(w)) for w in words) / 255 for m in toxic_model.landmarks] if words else []
+            if words:
+                best = max(best, toxic_model.bias + sum(w * v**X.POWER for w, v in zip(toxic_model.weights, value)))
+        assert abs(g - 1 / (1 + math.exp(-(toxic_model.slope * best + toxic_model.shift)))) < 0.02
+
+
 def test_toxicity_query(spark, documents, empty, clashing):
     rows = toxic_corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -165,10 +274,30 @@ def test_resampling_weights_equal_brute_force(spark, corpus, labels):
         if not 120 <= r[0] < 135:
             target.update(features(r[1]))
     n, m = sum(raw.values()), sum(target.values())
-    w = lambda f: math.log((target[f] + 1) / (m + I.BUCKETS)) - math.log((raw[f] + 1) / (n + I.BUCKETS))
-    got = {r.doc_id: r.log_weight for r in I.resample(spark.createDataFrame(corpus, SCHEMA), labels.where("quality = 1"), 0.5).collect()}
+
+    def weight(r):
+        own = Counter(features(r[1]))
+        size, mine = sum(own.values()), not 120 <= r[0] < 135
+        return sum(k * (math.log((target[f] - k * mine + 1) / (m - size * mine + I.BUCKETS)) - math.log((raw[f] - k + 1) / (n - size + I.BUCKETS))) for f, k in own.items())
+
+    got = {r.doc_id: (r.log_weight, r.gumbel_key) for r in I.resample(spark.createDataFrame(corpus, SCHEMA), labels.where("quality = 1"), 0.5).collect()}
     for r in corpus:
-        assert abs(got[r[0]] - sum(map(w, features(r[1])))) < 1e-6
+        assert abs(got[r[0]][0] - weight(r)) < 1e-6
+        x = (r[0] + I.SEED * 0x9E3779B97F4A7C15) % 2**64
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by % 2**64
+        u = ((x ^ x >> 31) >> 11) + 0.5
+        assert abs(got[r[0]][1] - got[r[0]][0] + math.log(-math.log(u / 2**53))) < 1e-6
+
+
+def test_flags_by_broadcast_and_by_shuffle(spark, monkeypatch, documents):
+    from lodestone.llm import shared
+
+    ids = spark.createDataFrame([(1,), (1,), (None,), (1004,), (9999,)], "doc_id long")
+    for rows in (100, 1):
+        monkeypatch.setattr(shared, "FLAGGED_ROWS", rows)
+        got = Counter((r.doc_id, r.f) for r in shared.flagged(documents, ids, "f").collect())
+        assert got == Counter((r.doc_id, r.doc_id in (1, 1004)) for r in documents.collect())
 
 
 def test_kth_largest(spark):
@@ -213,8 +342,13 @@ def brute_lm(rows, good):
 
 
 @pytest.mark.parametrize("mapped", [True, False])
-def test_lm_scores_equal_brute_force(spark, corpus, edge, labels, mapped):
-    rows = [r for r in corpus + edge if len(r[1] or "") < 5000]
+def test_lm_scores_equal_brute_force(spark, monkeypatch, corpus, edge, labels, mapped):
+    """One pair, that of `the the`, is a tenth of all; parts are small, so that there are several of each."""
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(M, "RANGE_PAIRS", 500)
+    monkeypatch.setattr(M, "MERGED_TOKENS", 100)
+    monkeypatch.setattr(M, "ANSWERED_TOKENS", 300)
+    rows = [r for r in corpus + edge if len(r[1] or "") < 5000] + [(3000 + i, "the " * 300, "en", "s0", 0) for i in range(10)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     good = labels.where("quality = 1")
     got = M.score(docs, good, model_pairs=M.MODEL_PAIRS if mapped else 0).collect()
@@ -226,6 +360,17 @@ def test_lm_scores_equal_brute_force(spark, corpus, edge, labels, mapped):
         assert a[:2] == b[:2] and all(abs(x - y) < 1e-5 for x, y in zip(a[2:], b[2:]))
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    keys, counts = np.array([3, 7, 1 << 40], np.int64), np.array([1, 1 << 33, 5 << 32], np.int64)
+    sent = [b for part in range(3) for b in M._rows_of(4, part % 1, keys, counts, counts // 2)]
+    merged = {}
+    list(M._merged(iter(sent), lambda r, *c: iter([merged.update({r: c})])))
+    assert merged[4][1].tolist() == (3 * counts).tolist() and merged[4][2].tolist() == (3 * (counts // 2)).tolist()
+    (tmp_path / "range-00004").write_bytes(b"".join(c.astype("<i8").tobytes() for c in merged[4]))
+    M._range.cache_clear()
+    assert [c.tolist() for c in M._range(str(tmp_path), 4)] == [c.tolist() for c in merged[4]]
+
+
 def test_lm_scoring_of_little(documents, empty, labels, clashing):
     good = labels.where("quality = 1")
     assert M.score(empty, good).count() == 0
