@@ -8,7 +8,7 @@ pieces of PIECE letters. The third power of it (POWER) is a kernel too, and sets
 The examples are sentences; one of over WORDS words is cut into several. A sentence has its words and, for
 insults that are split, each two neighbours of up to JOINED letters closed up. Its kernel with a landmark is that of
 its best word, and the Nystroem map takes these values, whitened by the landmarks' own kernel matrix. Landmarks are words
-of the sample: those that speak most for toxic documents, clean ones closest to them, and frequent ones.
+of the sample: those that speak most for toxic documents, clean ones closest to them, and frequent ones; half way those of little weight go.
 
 Labels are of documents, so sentences are labelled in rounds (multiple-instance learning). All sentences of clean
 documents are negative. Of a toxic document one sentence is positive: first the one with the most telling word (by the
@@ -34,6 +34,7 @@ import unicodedata
 import uuid
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ from .shared import groups, map_adding, sampled, texts_of, written
 
 DECAY, LETTERS, SPAN, PIECE, POWER = 0.75, 3, 6, 20, 3
 WORDS, JOINED = 32, 4
-LANDMARKS, EPOCHS, ROUNDS, COST = 200, 12, 6, 2.0
+#: KEPT: landmarks that stay for the last half of the rounds, those of the largest weights.
+LANDMARKS, KEPT, EPOCHS, ROUNDS, COST = 200, 96, 12, 6, 2.0
 #: Clean sentences drawn for the first round, and added in each of the later ones at most.
 NEGATIVES, HARD = 4000, 2000
 #: Weight of a sentence with an inserted letter where scores are fitted, against a clean document.
@@ -70,8 +72,8 @@ _POWERS = ((np.arange(256) / 255) ** POWER).astype(np.float32)
 
 def plain(token: str) -> str:
     """A token as letters of ALPHABET (empty if it has none)."""
-    t = token.lower()
-    if t.isalpha() and t.isascii():
+    t = token.lower().rstrip(".,!?;:")
+    if t.isalpha() and (t.isascii() or _KNOWN.issuperset(t)):
         return t
     t = _EDGE.sub("", t).translate(_LIKE)
     out = []
@@ -111,9 +113,9 @@ def spectra(words: list[str]):
             letters[:, 1:-1] = _CODES[np.frombuffer("".join(words[i] for i in rows).encode("latin-1"), np.uint8)].reshape(-1, length)
             places, weights = _triples(length + 2)
             codes = (letters[:, places[:, 0]] * _SIZE + letters[:, places[:, 1]]) * _SIZE + letters[:, places[:, 2]]
-            order = np.argsort(codes, axis=1)
-            sorted_codes = np.take_along_axis(codes, order, 1)
-            sums = np.cumsum(weights[order], axis=1)
+            keyed = np.sort(codes << 8 | np.arange(codes.shape[1]), axis=1)  # a piece has at most 216 places
+            sorted_codes = keyed >> 8
+            sums = np.cumsum(weights[keyed & 255], axis=1)
             last = np.ones(codes.shape, bool)
             last[:, :-1] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
             r, c = np.nonzero(last)
@@ -135,15 +137,20 @@ class Kernel:
         self.landmark, self.weight = self.landmark[order], self.weight[order]
         self.first = np.searchsorted(codes[order], np.arange(_SIZE**LETTERS + 1))
 
-    def exact(self, words: list[str]) -> np.ndarray:
-        """words x landmarks: the kernel before its power."""
-        out = np.zeros((len(words), self.count), np.float32)
+    def _rows(self, words: list[str]):
+        """Numbers of some words, and their kernel values with the landmarks."""
         for rows, r, codes, each in spectra(words):
             n = self.first[codes + 1] - self.first[codes]
             entry = np.repeat(np.arange(len(codes)), n)
             at = np.arange(len(entry)) + np.repeat(self.first[codes] - (np.cumsum(n) - n), n)
             values = np.bincount(r[entry] * self.count + self.landmark[at], each[entry] * self.weight[at], len(rows) * self.count)
-            out[rows] = values.reshape(len(rows), self.count)
+            yield rows, values.astype(np.float64, copy=False).reshape(len(rows), self.count)
+
+    def exact(self, words: list[str]) -> np.ndarray:
+        """words x landmarks: the kernel before its power."""
+        out = np.zeros((len(words), self.count))
+        for rows, values in self._rows(words):
+            out[rows] = values
         return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -151,13 +158,26 @@ class Kernel:
         split = [pieces(w) for w in words]
         flat = [p for s in split for p in s]
         out = np.zeros((len(flat), self.count), np.uint8)
-        for i in range(0, len(flat), 20_000):
-            out[i : i + 20_000] = np.round(255 * np.minimum(self.exact(flat[i : i + 20_000]), 1))
+        for rows, values in self._rows(flat):
+            values *= 255
+            values += 0.5
+            out[rows] = np.minimum(values, 255).astype(np.uint8)
         if len(flat) == len(words):
             return out
         return np.maximum.reduceat(out, np.cumsum([0, *map(len, split)][:-1]), axis=0)
 
 
+class _Learning(dict):
+    """A dictionary that gets what it lacks from a function."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, key):
+        self[key] = value = self.learn(key)
+        return value
+
+
 class Reader:
     """Texts to sentences of numbered words. Numbers last until `forget`."""
 
@@ -168,7 +188,7 @@ class Reader:
         self.words: list[str] = []  # by number
         self.short = np.zeros(0, bool)  # by number, as far as it has been needed
         self.numbers: dict[str, int] = {}
-        self.tokens: dict[str, int] = {"\n": -1}  # twice the word's number (-1: none, -2 - i: the single letter i) + 1 if it ends a sentence
+        self.tokens = _Learning(self._learn)  # twice the word's number (-1: none, -2 - i: the single letter i) + 1 if it ends a sentence
         self.pairs: dict[int, int] = {}
 
     def _number(self, word: str) -> int:
@@ -178,6 +198,8 @@ class Reader:
         return self.numbers[word]
 
     def _learn(self, token: str) -> int:
+        if token == "\n":
+            return -1
         word = plain(token)
         number = -1 if not word else -2 - _KNOWN_AT[word] if len(word) == 1 else self._number(word)
         return 2 * number + (token[-1] in ".!?")
@@ -185,11 +207,8 @@ class Reader:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words of all sentences, where each sentence begins, and the text it is of."""
         split = [_TOKEN.findall(t) for t in texts]
-        for t in set().union(*split).difference(self.tokens):
-            self.tokens[t] = self._learn(t)
-        get = self.tokens.__getitem__
         lengths = np.array([len(s) for s in split], np.int64)
-        known = np.fromiter((k for s in split for k in map(get, s)), np.int64, int(lengths.sum()))
+        known = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(texts)), lengths)
         word, ends = known >> 1, (known & 1).astype(bool)
         after = np.r_[True, ends[:-1] | (owner[1:] != owner[:-1])] if len(known) else ends
@@ -262,9 +281,9 @@ class ToxicModel:
 
     def decisions(self, best: np.ndarray) -> np.ndarray:
         """Of sentences, by their pooled values."""
-        out = np.empty(len(best))
+        out, weights = np.empty(len(best)), self.weights.astype(np.float32)
         for i in range(0, len(best), 5000):
-            out[i : i + 5000] = _POWERS[best[i : i + 5000]] @ self.weights
+            out[i : i + 5000] = _POWERS[best[i : i + 5000]] @ weights
         return out + self.bias
 
     def chance(self, decision: np.ndarray) -> np.ndarray:
@@ -364,7 +383,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> ToxicModel:
     positive = witnesses(np.maximum.reduceat(sure[word], starts), SURE - 1e-9)
     negative = np.sort(rng.choice(clean, min(NEGATIVES, len(clean)), replace=False))
     model = blank
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        if turn == ROUNDS // 2 and len(landmarks) > KEPT:
+            stay = np.sort(np.argsort(-np.abs(model.weights), kind="stable")[:KEPT])
+            landmarks, values, best = [landmarks[i] for i in stay], values[:, stay], best[:, stay]
+            kernel = Kernel(landmarks)
+            white = whitening(kernel, landmarks)
         if not len(positive) or not len(negative):
             return blank
         examples = np.concatenate([best[positive], varied(positive), best[negative]])
