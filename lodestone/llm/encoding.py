@@ -64,6 +64,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Segments(dict):
+    """The young generation of the cache; what it lacks comes from the old one, or is learnt."""
+
+    def __init__(self, learn, old: dict):
+        self.learn, self.old = learn, old
+
+    def __missing__(self, key: str) -> bytes:
+        raw = self.old.get(key)
+        if raw is None:
+            raw = self.learn(key)
+        self[key] = raw
+        return raw
+
+
 class SegmentEncoder:
     """Texts to arrays of unsigned ids, exactly those of the tokenizers library for the whole text.
 
@@ -82,7 +96,7 @@ class SegmentEncoder:
         self.model = self.tokenizer.model
         self.packed = [np.array([i], self.dtype).tobytes() for i in range(size)]
         self.line, self.marks = self._piece("\u010a"), {}
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.young = limit, _Segments(self._learn, {})
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -91,45 +105,33 @@ class SegmentEncoder:
         """The ids of one pre-token, given as the byte-level alphabet spells it."""
         return b"".join([self.packed[t.id] for t in self.model.tokenize(piece)])
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode segments: a word of Latin letters goes to the library's model by itself, any other segment as a text."""
-        cache, old, apart = self.young, self.old, []
-        for k in keys:
-            m = _WORD.fullmatch(k)
-            if m is None:
-                apart.append(k)
-                continue
-            line, word, marks = m.groups()
-            if line:
-                raw = self.line + self._piece(_spelled(word))
-            elif (raw := cache.get(word) or old.get(word)) is None:
-                raw = cache[word] = self._piece("\u0120" + _spelled(word))
-            if marks:
-                if (tail := self.marks.get(marks)) is None:
-                    tail = self._piece(marks)
-                    if len(self.marks) < 10_000:
-                        self.marks[marks] = tail
-                raw += tail
-            cache[k] = raw
-        cache.update(zip(apart, self._plain([segment_of(k) for k in apart]), strict=True))
+    def _learn(self, key: str) -> bytes:
+        """Encode a segment: a word of Latin letters goes to the library's model by itself, any other segment as a text."""
+        m = _WORD.fullmatch(key)
+        if m is None:
+            return self._plain([segment_of(key)])[0]
+        line, word, marks = m.groups()
+        if line:
+            raw = self.line + self._piece(_spelled(word))
+        elif marks:
+            raw = self.young[word]
+        else:
+            raw = self._piece("\u0120" + _spelled(word))
+        if marks:
+            if (tail := self.marks.get(marks)) is None:
+                tail = self._piece(marks)
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = tail
+            raw += tail
+        return raw
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""
-        odd = {i: self._plain([t])[0] for i, t in enumerate(texts) if _has(t, _ODD)}
-        split = [[] if i in odd else segment_keys(t) for i, t in enumerate(texts)]
-        young, old = self.young, self.old
-        new = []
-        for k in set().union(*split).difference(young):
-            if (known := old.get(k)) is None:
-                new.append(k)
-            else:
-                young[k] = known
-        if new:
-            self._learn(new)
-        get = young.__getitem__
-        out = [odd[i] if i in odd else b"".join(map(get, keys)) for i, keys in enumerate(split)]
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+        get, out = self.young.__getitem__, []
+        for t in texts:
+            out.append(self._plain([t])[0] if _has(t, _ODD) else b"".join(map(get, segment_keys(t))))
+        if len(self.young) > self.limit:
+            self.young = _Segments(self._learn, dict(self.young))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

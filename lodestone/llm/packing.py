@@ -40,8 +40,8 @@ CONTEXT = 2048
 GRANULE = 128
 #: Tokens in a part, about; bounds a task's memory.
 PART_TOKENS = 6_000_000
-#: Parts that a task packs one after the other at most, where there are more parts than shuffle partitions.
-PARTS_A_TASK = 32
+#: Tasks up to which each packs one part; and the parts that a task packs one after the other where there are very many.
+TASKS, PARTS_A_TASK = 10_000, 32
 #: Stretches of a source, for each part, in which its tokens are counted.
 BINS = 4
 #: Sources last for times that are told apart in so many steps for each doubling; bounds the plan.
@@ -247,6 +247,6 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: st
     first, last = until(begins("part")), until(begins(F.col("part") + 1))
     heads = known.select("part", F.lit(-1).cast("long").alias("deal"), "source", ((last - first) / part_tokens).alias("weight"), (first - F.col("own")).alias("deficit"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("ids"))
     body = parted.select("part", "deal", "source", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("deficit"), "doc_id", "width", "ids")
-    tasks = max(partitions(spark), -(-count // PARTS_A_TASK))
+    tasks = min(count, max(TASKS, -(-count // PARTS_A_TASK)))
     dealt = heads.unionByName(body).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "deal", "doc_id")
     return dealt.mapInArrow(_packed(context, granule), _PIECES)
