@@ -21,7 +21,8 @@ _RARE_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\
 _ODD = "\x00\x1c\x1d\x1e\x1f"
 
 #: A line feed or nothing, a word of Latin letters, marks: each is one piece for the pre-tokenizer.
-_WORD = re.compile("(\\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:$&%*#]*)")
+_MARKS = ".,!?;:$&%*#"
+_WORD = re.compile(f"(\\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([{_MARKS}]*)")
 #: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
@@ -84,7 +85,7 @@ class SegmentEncoder:
     limit: segments in each of the two generations of the cache (bounds a worker's memory).
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,6 +108,11 @@ class SegmentEncoder:
 
     def _learn(self, key: str) -> bytes:
         """Encode a segment: a word of Latin letters goes to the library's model by itself, any other segment as a text."""
+        word = key.rstrip(_MARKS)
+        if word.isascii() and word.isalpha():
+            if len(word) < len(key):
+                return self.young[word] + self._tail(key[len(word) :])
+            return b"".join([self.packed[t.id] for t in self.model.tokenize("\u0120" + word)])
         m = _WORD.fullmatch(key)
         if m is None:
             return self._plain([segment_of(key)])[0]
@@ -117,13 +123,15 @@ class SegmentEncoder:
             raw = self.young[word]
         else:
             raw = self._piece("\u0120" + _spelled(word))
-        if marks:
-            if (tail := self.marks.get(marks)) is None:
-                tail = self._piece(marks)
-                if len(self.marks) < 10_000:
-                    self.marks[marks] = tail
-            raw += tail
-        return raw
+        return raw + self._tail(marks) if marks else raw
+
+    def _tail(self, marks: str) -> bytes:
+        """The ids of marks behind a word."""
+        if (tail := self.marks.get(marks)) is None:
+            tail = self._piece(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = tail
+        return tail
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""

@@ -149,26 +149,32 @@ class _Part:
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string, target_share double, window_share double"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
-_TYPES = {"ids": pa.binary(), "source": pa.string(), "target_share": pa.float64(), "window_share": pa.float64()}
 
 
 def _packed(context: int, granule: int):
     def emit(part: _Part) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        windows, numbers = [], []
         for k, window in enumerate(part.windows(context, granule)):
-            number, share = part.number << 32 | k, Counter()
-            for _, _, n, _, _, source in window:
-                share[source] += n
-            size = sum(share.values())
-            rows += [(doc_id, start, n, ids[start : start + n].astype("<u4").tobytes(), len(ids), number, offset, source, part.weight[source], share[source] / size) for doc_id, start, n, ids, offset, source in window]
-            if len(rows) >= 10_000:
-                yield batch_of(rows)
-                rows = []
-        if rows:
-            yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(n, pa.int64())) for n, c in zip(_NAMES, zip(*rows, strict=True), strict=True)], names=_NAMES)
+            windows += window
+            numbers += [k] * len(window)
+            if len(windows) >= 10_000:
+                yield batch_of(part, windows, numbers)
+                windows, numbers = [], []
+        if windows:
+            yield batch_of(part, windows, numbers)
+
+    def batch_of(part: _Part, pieces: list[tuple], numbers: list[int]) -> pa.RecordBatch:
+        doc_id, start, length, ids, offset, source = zip(*pieces, strict=True)
+        code = {s: i for i, s in enumerate(part.weight)}
+        first, n = np.array(numbers), np.array(length)
+        first -= first[0]
+        sources = np.array([code[s] for s in source])
+        held = np.zeros((first[-1] + 1, len(code)), np.int64)
+        np.add.at(held, (first, sources), n)
+        raw = [x[a : a + k].astype("<u4").tobytes() for x, a, k in zip(ids, start, length, strict=True)]
+        targets = np.array([part.weight[s] for s in code])
+        columns = [pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.array(numbers) | part.number << 32), pa.array(offset, pa.int64()), pa.array(source, pa.string()), pa.array(targets[sources]), pa.array(held[first, sources] / held.sum(1)[first])]
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: _Part | None = None
