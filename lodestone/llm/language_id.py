@@ -223,7 +223,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages
     """Fit on rows of docs (doc_id, text, lang) that are not held out and have text and lang, within these bounds."""
     usable = docs.select("doc_id", "text", F.col("lang").alias("label")).where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     common = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
-    rows = sampled(usable.where(F.col("label").isin([r["label"] for r in common])), rows_per_language, characters)
+    rows = sampled(usable, {r["label"]: r["count"] for r in common}, rows_per_language, characters)
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 

@@ -126,19 +126,28 @@ def tie() -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 20))
 
 
-def sampled(rows: DataFrame, each: int, size: int) -> list[tuple]:
+def drawn(key: Column, label: Column, counts: dict, each: int) -> Column:
+    """Whether a row is among some three times `each` of its label, by a hashed key. counts: rows of each label.
+
+    Keeps what a sample is chosen from small before any shuffle, however many partitions there are.
+    """
+    share = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, (3 * each + 50) / max(1, n)) * (1 << 30))))]
+    return F.pmod(key, F.lit(1 << 30)) < F.create_map(*share)[label] if share else F.lit(False)
+
+
+def sampled(rows: DataFrame, counts: dict, each: int, size: int) -> list[tuple]:
     """(text, label) of at most `each` rows of each label of rows (doc_id, text, label), of `size` characters in all.
 
-    The sample for a model that the driver fits. Rows are taken by a hash of all three; one whose text does not fit any
-    more is passed over; equal rows count once.
+    The sample for a model that the driver fits; counts: how many rows a label has; others are left out. Rows are taken by a hash of
+    all three columns; one whose text does not fit any more is passed over; equal rows count once.
     """
     spark = rows.sparkSession
-    keyed = rows.withColumn("_h", F.xxhash64("doc_id", "text", F.col("label").cast("string")))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("_h"))  # Spark prunes to the first ones before the shuffle
-    first = keyed.select("label", "_h", F.length("text").alias("n")).withColumn("r", place).where(F.col("r") <= each)
+    keyed = rows.withColumn("_h", F.xxhash64("doc_id", "text", F.col("label").cast("string"))).where(drawn(F.col("_h"), F.col("label"), counts, each))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("_h"))
+    first = keyed.select("label", "_h", F.length("text").alias("n")).distinct().withColumn("r", place).where(F.col("r") <= each)
     chosen, left = set(), size
     for r in sorted(first.collect(), key=lambda r: (r["r"], str(r["label"]))):
-        if r["n"] <= left and r["_h"] not in chosen:
+        if r["n"] <= left:
             chosen.add(r["_h"])
             left -= r["n"]
     if not chosen:

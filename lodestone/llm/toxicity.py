@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups, map_adding, sampled, texts_of, written
+from .shared import drawn, groups, map_adding, sampled, texts_of, written
 
 DECAY, LETTERS, SPAN, PIECE, POWER = 0.75, 3, 6, 20, 3
 WORDS, JOINED = 32, 4
@@ -458,10 +458,11 @@ def held_out(key: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, characters: int = SAMPLE_CHARACTERS) -> ToxicModel:
     """Fit on labelled documents that are not held out, at most rows_per_label of either label and so many characters."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    parts = [usable.where(F.col("label") == y).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows_per_label) for y in (0, 1)]
-    drawn = written(parts[0].unionByName(parts[1]).distinct(), "toxicity-sample")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
-    found = sampled(written(rows, "toxicity-texts"), rows_per_label, characters)
+    usable = usable.distinct()
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    chosen = usable.where(drawn(F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("label"), counts, rows_per_label))  # some thousand ids
+    rows = written(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(written(chosen, "toxicity-sample")), "doc_id").select("doc_id", "text", "label"), "toxicity-texts")
+    found = sampled(rows, {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}, rows_per_label, characters)
     return fit([t for t, _ in found], [y for _, y in found])
 
 
