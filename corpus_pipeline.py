@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
 next one's docs. All but the last return the columns of documents.
+
+Rows of null id take part in every stage. Texts are worked on whole, however long; memory follows the longest one. Columns of docs
+beyond those of documents, also those named like an operator's own, come through all stages but the last, which has its own columns. An
+empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -12,27 +16,43 @@ from lodestone.llm import language_id, mixing, packing, quality_rules, shared, s
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model recognises; those it rejects go."""
+    """Documents whose language the model recognises; those it rejects go.
+
+    Null, empty and letterless texts go. Rows of null lang teach nothing but are judged like others; without any label all rows go. Repeated
+    rows share their fate; a score at the threshold stays.
+    """
     return language_id.keep_known(docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the adaptive thresholds of their language and source."""
+    """Documents that pass the base rule and the adaptive thresholds of their language and source.
+
+    Null and short texts fail the base rule. Null lang and source are groups of their own. Repeated rows share their fate; a value at a fence stays.
+    """
     return quality_rules.keep_good(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: that of the smallest id, null last; of rows of one id the first as written.
+
+    Texts without a word, null ones too, have one fingerprint and are one group. Repeated rows leave one.
+    """
     return simhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights of their sources, shuffled."""
+    """Documents replicated to the target weights of their sources, shuffled.
+
+    Null source is the source "". Null texts are replicated like others. Repeated rows have equal counts.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in training sequences."""
+    """Pieces of the documents' tokens in training sequences.
+
+    Null text is empty: its end id only. Copies of a document are documents of their own. Of equal deficits the first source by name is served.
+    """
     return packing.pack(docs)
 
 
