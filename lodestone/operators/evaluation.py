@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python import bootstrap_mean
+from ..functions.python import bootstrap_mean, percentile_places
 from ..functions.text import phrase_share
 from .common import rank
 
@@ -66,20 +69,33 @@ def bootstrap(values: DataFrame, by: str, value: str, seed: int, samples: int =
     return values.groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
 
 
-def bootstrap_by_hash(values: DataFrame, by: str, value: str, samples: int = 200) -> DataFrame:
-    """by, low, high for groups of any size: each row's weight in each sample is the number of hashed draws that hit it.
+def bootstrap_by_hash(values: DataFrame, by: str, value: str, samples: int = 2_000) -> DataFrame:
+    """by, low, high for groups of any size: a row counts in each sample as often as a Poisson number of mean one, hashed from group, sample and row.
 
-    A draw of a sample is a row number hashed from sample and draw; rows and draws meet by a join on group and row
-    number. A different estimator from the exact one, with the same distribution.
+    The weights of a row need no other row, so one aggregation makes all samples: partial sums of `samples` numbers in each
+    group and task. A different estimator from the exact one, with the same distribution. _order: a unique number of the row.
     """
-    numbered = values.select(by, value, (rank(by, order=[F.asc("_order")]) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    draws = numbered.select(by, "n", F.col("i").alias("d")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), "s", "d").cast("binary")), 1, 12), 16, 10).cast("long")
-    drawn = draws.select(by, "s", (hashed % F.col("n")).alias("i"))
-    means = drawn.join(numbered.select(by, "i", value), [by, "i"]).groupBy(by, "s").agg(F.avg(value).alias("m"))
-    ordered = means.groupBy(by).agg(F.sort_array(F.collect_list("m")).alias("m"))
+    cdf = list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18)))
+    key = lambda s: F.md5(F.concat_ws("|", F.col(by).cast("string"), s.cast("string"), F.col("_order").cast("string")).cast("binary"))
+    uniform = F.conv(F.substring(key(F.col("s")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    drawn = values.select(by, value, "_order", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")).select(by, value, "s", uniform.alias("u"))
+    n = sum(((F.col("u") >= F.lit(c)).cast("int") for c in cdf), F.lit(0))
+    means = drawn.select(by, value, "s", n.alias("n")).groupBy(by, "s").agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("m"))
+    ordered = means.groupBy(by).agg(F.sort_array(F.collect_list("m")).alias("m"))  # `samples` numbers a group
+    low, high = percentile_places(samples, 0.95)
     at = lambda k: F.round(F.get("m", F.lit(k)), 9)
-    return ordered.select(by, at(int(0.025 * samples)).alias("low"), at(int(0.975 * samples) - 1).alias("high"))
+    return ordered.select(by, at(low).alias("low"), at(high).alias("high"))
+
+
+def value_at(rows: DataFrame, by: str, value: str, place, name: str) -> DataFrame:
+    """by and the value at a place (from 1; a Column function of the group's size) of each group in ascending order.
+
+    By counts of each distinct value and their running sums, so no group is collected.
+    """
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)
+    summed = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_at", place(F.sum("_n").over(w)))
+    return summed.where(F.col("_upto") >= F.col("_at")).groupBy(by).agg(F.min(value).alias(name))
 
 
 def mode_summary(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ summing doesn't show.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -116,6 +118,28 @@ def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
     return out.withColumn("score", score)
 
 
+#: Candidates that each channel of a search brings at least.
+CANDIDATES = 20
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, embedded: Callable | None, mode: str = "hybrid") -> DataFrame:
+    """The k best chunks of each query by both channels, or by one: query_id, chunk_id, score, method, rank.
+
+    embedded: chunks, queries, k -> hits of the dense channel; without it only the lexical one answers. Each channel brings a pool
+    of three times k, CANDIDATES at least. Where the dense channel has nothing, the lexical one answers, in mode dense too.
+    """
+    if mode not in ("hybrid", "dense", "lexical"):
+        raise ValueError("mode is hybrid, dense or lexical")
+    pool = max(3 * k, CANDIDATES)
+    lexical = bm25(chunks, queries, pool)
+    if embedded is None or mode == "lexical":
+        return lexical.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit("lexical").alias("method"), "rank")
+    near = embedded(chunks, queries, pool)
+    if mode == "dense":
+        lexical = lexical.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    return hybrid(near, lexical, k).select("query_id", "chunk_id", "score", "method", "rank")
+
+
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, code_only: bool = True) -> DataFrame:
     """Occurrences of a query's distinct terms in a chunk, anywhere in its words, in fifths, one at most.
 

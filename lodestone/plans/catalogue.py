@@ -2,18 +2,9 @@
 
 from importlib import import_module
 
-from .common import QUESTIONS, QUESTIONS_WHOLE, whole
-from .evaluation import whole_sql
-
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in ("search", "ingest", "evidence", "evaluation", "reads", "jobs"):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.Q
     ORACLE_SQL |= _module.SQL
-
-# each query of cut questions also for whole passages, unless its SQL cuts documents too
-for _name, _sql in list(ORACLE_SQL.items()):
-    if QUESTIONS in _sql and "substr(content, 1, 200)" not in _sql:
-        QUERIES[f"{_name}_whole"] = whole(QUERIES[_name])
-        ORACLE_SQL[f"{_name}_whole"] = whole_sql(_sql.replace(QUESTIONS, QUESTIONS_WHOLE))

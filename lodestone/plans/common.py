@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,37 +25,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of each benchmark passage; in a query made by `whole`, all of it."""
-    if is_whole():
-        return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
-
-
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def is_whole() -> bool:
-    return _WHOLE.get()
-
-
-def whole(query: Callable) -> Callable:
-    """The query over whole benchmark passages, without the cuts that its SQL fixes."""
-
-    @wraps(query)
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _WHOLE.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _WHOLE.reset(before)
-
-    return f
+    """Whole benchmark passages."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 CHUNKS = f"""chunks AS (SELECT doc_id AS chunk_id, source AS source_id, text AS content, lang, CASE WHEN {_NUMBER} % 7 = 6 THEN 'deleted' ELSE 'completed' END AS status, CASE WHEN {_NUMBER} % 3 = 0 THEN 'code' ELSE 'docs' END AS category FROM documents)"""
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS question FROM benchmark)"
-
-QUESTIONS_WHOLE = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
 
 def tokens(text: str) -> str:

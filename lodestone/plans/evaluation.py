@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.python import fact_coverage
 from ..operators import evaluation as V
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table
+from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table
 
 Q, SQL = {}, {}
 
@@ -26,31 +26,20 @@ def _metrics(spark, sf):
     c, q = R.active(chunks(spark, sf)), questions(spark, sf)
     hits = R.bm25(c, q, 10).join(c.select("chunk_id", "content"), "chunk_id").select("query_id", "rank", "content")
     words = F.split("text", " ")
-    if is_whole():  # every four words
-        phrases = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(4)), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))
-        return V.retrieval_metrics(hits, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), phrases.alias("phrases")))
-    need = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "), F.get(words, F.lit(0))).alias("phrases"))
-    return V.retrieval_metrics(hits, need)
+    phrases = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(4)), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))  # every four words
+    return V.retrieval_metrics(hits, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), phrases.alias("phrases")))
 
 
+_PHRASES = "list_transform(range(1, len(w) + 1, 4), lambda i: array_to_string(w[i:i + 3], ' '))"
 _METRICS = f"""{CHUNKS}, {QUESTIONS}, {bm25('hits', "SELECT * FROM chunks WHERE status = 'completed'", 10)},
-need AS (SELECT item_id AS query_id, [array_to_string(w[1:4], ' '), array_to_string(w[5:8], ' '), w[1]] AS phrases FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+need AS (SELECT item_id AS query_id, {_PHRASES} AS phrases FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
 h AS (SELECT query_id, rank, content, phrases, len(list_filter(phrases, lambda p: contains(lower(content), lower(p)))) / CAST(len(phrases) AS DOUBLE) AS gain FROM hits JOIN chunks USING (chunk_id) JOIN need USING (query_id)),
 i AS (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS r FROM h),
 ideal AS (SELECT query_id, sum((pow(2, gain) - 1) / log2(r + 1)) AS idcg FROM i GROUP BY query_id),
-m AS (SELECT query_id, {", ".join(f"len(list_filter(any_value(phrases), lambda p: contains(lower(string_agg(content, ' ' ORDER BY rank) FILTER (rank <= {k})), lower(p)))) / CAST(3 AS DOUBLE) AS recall_at_{k}" for k in V.CUTOFFS)}, coalesce(1.0 / min(rank) FILTER (gain > 0), 0) AS mrr, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg FROM h GROUP BY query_id),
+m AS (SELECT query_id, {", ".join(f"len(list_filter(any_value(phrases), lambda p: contains(lower(string_agg(content, ' ' ORDER BY rank) FILTER (rank <= {k})), lower(p)))) / CAST(len(any_value(phrases)) AS DOUBLE) AS recall_at_{k}" for k in V.CUTOFFS)}, coalesce(1.0 / min(rank) FILTER (gain > 0), 0) AS mrr, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg FROM h GROUP BY query_id),
 metrics AS (SELECT need.query_id, {", ".join(f"coalesce(recall_at_{k}, 0) AS recall_at_{k}" for k in V.CUTOFFS)}, CAST(coalesce(mrr, 0) AS DOUBLE) AS mrr, CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg_at_10 FROM need LEFT JOIN m USING (query_id) LEFT JOIN ideal USING (query_id))"""
 
 
-_NEED = "[array_to_string(w[1:4], ' '), array_to_string(w[5:8], ' '), w[1]] AS phrases"
-_NEED_WHOLE = "list_transform(range(1, len(w) + 1, 4), lambda i: array_to_string(w[i:i + 3], ' ')) AS phrases"
-
-
-def whole_sql(sql: str) -> str:
-    """SQL of the metrics with the phrases of whole passages; other SQL as it is."""
-    return sql.replace(_NEED, _NEED_WHOLE).replace("/ CAST(3 AS DOUBLE) AS recall", "/ CAST(len(any_value(phrases)) AS DOUBLE) AS recall")
-
-
 @query(f"WITH {_METRICS} SELECT query_id, {', '.join(f'round(recall_at_{k}, 9) AS recall_at_{k}' for k in V.CUTOFFS)} FROM metrics")
 def recall_at_k(spark, sf):
     return _metrics(spark, sf).select("query_id", *(F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in V.CUTOFFS))
@@ -145,8 +134,8 @@ def percent_change(spark, sf):
 @query("""SELECT event_type, (array_agg(value ORDER BY value))[greatest(1, least(count(*), CAST(floor(count(*) * 0.9 + 0.999) AS BIGINT)))] AS p90 FROM events GROUP BY event_type""")
 def benchmark_percentile(spark, sf):
     """The value at place int(n f + 0.999)."""
-    place = F.greatest(F.lit(1), F.least(F.count("*"), F.floor(F.count("*") * 0.9 + 0.999)))
-    return table(spark, sf, "events").groupBy("event_type").agg(F.element_at(F.sort_array(F.collect_list("value")), place.cast("int")).alias("p90"))
+    e = table(spark, sf, "events")
+    return V.value_at(e, "event_type", "value", lambda n: F.greatest(F.lit(1), F.least(n, F.floor(n * 0.9 + 0.999))), "p90")
 
 
 @query()
@@ -155,10 +144,13 @@ def bootstrap_ci_exact(spark, sf):
     return V.bootstrap(v, "metric", "quality", seed=7)
 
 
-@query("""WITH v AS (SELECT 'quality' AS metric, quality, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels),
-d AS (SELECT metric, s, CAST('0x' || substr(md5(metric || '|' || s || '|' || i), 1, 12) AS BIGINT) % n AS i FROM v, (SELECT unnest(range(0, 200)) AS s)),
-m AS (SELECT metric, s, avg(quality) AS m FROM d JOIN v USING (metric, i) GROUP BY metric, s), o AS (SELECT metric, list(m ORDER BY m) AS m FROM m GROUP BY metric)
-SELECT metric, round(m[6], 9) AS low, round(m[195], 9) AS high FROM o""")
+@query("""WITH p AS (SELECT 0 AS k, exp(-1.0) AS c UNION ALL SELECT k, sum(exp(-1.0) / gamma(k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) + exp(-1.0) FROM (SELECT unnest(range(1, 18)) AS k)),
+v AS (SELECT 'quality' AS metric, quality, doc_id FROM labels), s AS (SELECT unnest(range(0, 2000)) AS s),
+u AS (SELECT metric, s, quality, CAST('0x' || substr(md5(metric || '|' || s || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM v, s),
+w AS (SELECT metric, s, quality, (SELECT count(*) FROM p WHERE c <= u) AS n FROM u),
+m AS (SELECT metric, s, sum(n * quality) / CAST(sum(n) AS DOUBLE) AS m FROM w GROUP BY metric, s), o AS (SELECT metric, list(m ORDER BY m) AS m FROM m GROUP BY metric)
+SELECT metric, round(m[51], 9) AS low, round(m[1950], 9) AS high FROM o""")
 def bootstrap_ci_hash(spark, sf):
+    """Interval of a mean by hashed Poisson weights, 2,000 samples."""
     v = table(spark, sf, "labels").select(F.lit("quality").alias("metric"), "quality", F.col("doc_id").alias("_order"))
     return V.bootstrap_by_hash(v, "metric", "quality")

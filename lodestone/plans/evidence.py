@@ -8,8 +8,8 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from . import agent
-from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table, tokens, whole
-from .search import embedding_hits
+from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
+from .search import _NEAREST, _channels, embedding_hits
 
 Q, SQL = {}, {}
 
@@ -68,23 +68,15 @@ def query_rewrite(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", "text").unionByName(more).select("item_id", T.rewrite(F.col("text"), 1).alias("rewritten"))
 
 
-_TWO = f"""{CHUNKS}, {QUESTIONS}, {bm25('a', "SELECT chunk_id, substr(content, 1, 200) AS content FROM chunks WHERE status = 'completed'", 20, 'a_')}, {bm25('b', "SELECT * FROM chunks WHERE status = 'completed'", 20, 'b_')}"""
+_TWO = f"""{CHUNKS}, {QUESTIONS}, {_NEAREST}, {bm25('b', "SELECT * FROM chunks WHERE status = 'completed'", 20, 'b_')}"""
 
 
-def _two_tools(spark, sf):
-    c = R.active(chunks(spark, sf))
-    a = embedding_hits(c, questions(spark, sf), 20) if is_whole() else R.bm25(c.withColumn("content", F.substring("content", 1, 200)), questions(spark, sf), 20)
-    b = R.bm25(c, questions(spark, sf), 20)
-    return a.withColumn("tool", F.lit("embeddings" if is_whole() else "heads")).withColumn("ord", F.lit(1)).unionByName(b.withColumn("tool", F.lit("texts")).withColumn("ord", F.lit(2)))
-
-
-@query(f"""WITH {_TWO}, u AS (SELECT *, 'heads' AS tool, 1 AS ord FROM a UNION ALL SELECT *, 'texts', 2 FROM b)
+@query(f"""WITH {_TWO}, u AS (SELECT *, 'vectors' AS tool, 1 AS ord FROM a UNION ALL SELECT *, 'texts', 2 FROM b)
 SELECT query_id, chunk_id, tool, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, ord) AS n FROM u) WHERE n = 1""")
 def best_hit_dedupe(spark, sf):
-    return E.best_hits(_two_tools(spark, sf)).select("query_id", "chunk_id", "tool", F.round("score", 6).alias("score"))
-
-
-Q["best_hit_dedupe_whole"] = whole(best_hit_dedupe)
+    a, b = _channels(spark, sf)
+    both = a.withColumn("tool", F.lit("vectors")).withColumn("ord", F.lit(1)).unionByName(b.withColumn("tool", F.lit("texts")).withColumn("ord", F.lit(2)))
+    return E.best_hits(both).select("query_id", "chunk_id", "tool", F.round("score", 6).alias("score"))
 
 
 def _ranked(spark, sf, k=20):
@@ -239,7 +231,7 @@ def _loop(mode):
 
     f.__name__ = {"naive": "naive_loop", "fixed_retrieval": "fixed_loop", "agentic": "agentic_loop"}[mode]
     f.__doc__ = f"Answers of the {mode} loop for all questions."
-    return query()(whole(f))
+    return query()(f)
 
 
 for _mode in agent.ROUNDS:

@@ -53,9 +53,13 @@ def heading_sections(spark, sf):
     return C.sections(spark.createDataFrame(_MARKDOWN, "path string, text string")).select("path", "start_line", "end_line", "level", "heading", "content")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MARKDOWN_SQL}, d AS (SELECT path, {_LINES} AS l FROM (SELECT path, string_split(text, chr(10)) AS l FROM md)),
+e AS (SELECT path, generate_subscripts(l, 1) AS i, unnest(l) AS line, len(l) AS n FROM d),
+h AS (SELECT path, i, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#{{1,6}}\\s+', '')) AS heading, row_number() OVER (PARTITION BY path ORDER BY i) AS k, lead(i) OVER (PARTITION BY path ORDER BY i) AS nxt FROM e WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S')),
+f AS (SELECT path, k, i, n, nxt, [heading] AS above FROM h WHERE k = 1 UNION ALL SELECT h.path, h.k, h.i, h.n, h.nxt, list_append(f.above[1:greatest(h.level - 1, 0)], h.heading) FROM f JOIN h ON h.path = f.path AND h.k = f.k + 1)
+SELECT path, path || '#L' || i || '-L' || coalesce(nxt - 1, n) AS locator, array_to_string(above, ' > ') AS section_path FROM f""")
 def section_hierarchy(spark, sf):
-    return C.with_hierarchy(C.sections(spark.createDataFrame(_MARKDOWN, "path string, text string"))).select("path", "locator", "section_path")
+    return C.sections(spark.createDataFrame(_MARKDOWN, "path string, text string")).select("path", "locator", "section_path")
 
 
 _CODE = [("a.ts", "import x\nexport class Queue {\n  private static size(a: number) {\n  }\n}\nexport async function run() {\n}"), ("b.go", "package q\nfunc Push(x int) {\n}\n\ntype T int\nfunc Pop() {\n}"), ("c.txt", "nothing here"), ("d.rs", "  fn small() {}\nstruct Big { a: u8 }\nenum Kind { A }")]
@@ -66,7 +70,7 @@ _CODE_SQL = "code(path, text) AS (VALUES " + ", ".join(f"('{p}', '{t}')".replace
 n AS (SELECT *, CASE WHEN regexp_matches(line, '{C.DECLARATION}') THEN regexp_extract(line, '{C.DECLARATION}', 1) WHEN regexp_matches(line, '{C.TYPED_DECLARATION}') THEN regexp_extract(line, '{C.TYPED_DECLARATION}', 1) END AS name FROM e)
 SELECT path, CAST(i AS INTEGER) AS start_line, CAST(coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, total) AS INTEGER) AS end_line, name FROM n WHERE name IS NOT NULL""")
 def symbol_starts(spark, sf):
-    return C.declarations(spark.createDataFrame(_CODE, "path string, text string"))
+    return C.declarations(spark.createDataFrame(_CODE, "path string, text string")).select("path", "start_line", "end_line", "name")
 
 
 @query()
@@ -242,21 +246,21 @@ def prometheus_fallbacks(spark, sf):
     return prometheus.pick(prometheus_sum(spark, sf), {"hits": ["prefix_hits", "hits"], "queries": ["queries"], "load": ["load"]})
 
 
-@query("SELECT 'src/module_' || format('{:04d}', i) || '.py' AS path, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, replace(h, '#', format('{:04d}', i)) AS heading FROM (SELECT unnest(range(0, 50)) AS i), (VALUES (1, 3, 'Worker#'), (2, 3, 'Worker#.run'), (5, 6, 'health#')) t(a, b, h)")
+@query("SELECT 'src/module_' || format('{:04d}', i) || '.py' AS path, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, replace(h, '#', format('{:04d}', i)) AS heading FROM (SELECT unnest(range(0, 1000)) AS i), (VALUES (1, 3, 'Worker#'), (2, 3, 'Worker#.run'), (5, 6, 'health#')) t(a, b, h)")
 def repository_chunks(spark, sf):
     """Synthetic files through the router of formats: classes, methods and functions make chunks."""
-    return files.routed(reports.synthetic_files(spark, 50)).select("path", "start_line", "end_line", "heading")
+    return files.routed(reports.synthetic_files(spark, 1000)).select("path", "start_line", "end_line", "heading")
 
 
-@query("SELECT i AS number, 'Issue ' || i AS title, 'issue-' || i || ' https://example.org/issues/' || i AS locator, 'Issue ' || i || chr(10) || chr(10) || 'Worker ' || i || ' times out under load.' AS content FROM (SELECT CAST(unnest(range(1, 101)) AS INTEGER) AS i)")
+@query("SELECT i AS number, 'Issue ' || i AS title, 'issue-' || i || ' https://example.org/issues/' || i AS locator, 'Issue ' || i || chr(10) || chr(10) || 'Worker ' || i || ' times out under load.' AS content FROM (SELECT CAST(unnest(range(1, 501)) AS INTEGER) AS i)")
 def issue_chunks(spark, sf):
-    return files.issues(reports.synthetic_issues(spark, 100)).select("number", "title", "locator", "content")
+    return files.issues(reports.synthetic_issues(spark, 500)).select("number", "title", "locator", "content")
 
 
-@query("""WITH r AS (SELECT page_id // 10 AS query_id, page_id % 10 AS position, url, CASE WHEN page_id % 4 = 0 THEN ' ' ELSE substr(html, 1, 40) END AS snippet FROM pages),
+@query("""WITH r AS (SELECT page_id // 10 AS query_id, page_id % 10 AS position, url, CASE WHEN page_id % 4 = 0 THEN ' ' ELSE html END AS snippet FROM pages),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM r WHERE length(trim(snippet)) > 0 AND regexp_matches(url, '^https?://[^/@]+(/|$)'))
 SELECT query_id, url, CAST(rank AS INTEGER) AS rank, round(1.0 / rank, 9) AS score FROM k""")
 def web_search_hits(spark, sf):
     """Results of a search provider as hits; those without a snippet or with an unsafe address go."""
-    r = table(spark, sf, "pages").selectExpr("page_id DIV 10 AS query_id", "page_id % 10 AS position", "url", "CASE WHEN page_id % 4 = 0 THEN ' ' ELSE substr(html, 1, 40) END AS snippet")
+    r = table(spark, sf, "pages").selectExpr("page_id DIV 10 AS query_id", "page_id % 10 AS position", "url", "CASE WHEN page_id % 4 = 0 THEN ' ' ELSE html END AS snippet")
     return web.search_results(r).select("query_id", "url", "rank", F.round("score", 9).alias("score"))

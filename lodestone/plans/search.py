@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.python import hash_embedding
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, is_whole, questions, table, tokens, whole
+from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
 
 Q, SQL = {}, {}
 
@@ -78,7 +78,6 @@ def embedding_hits(chunks, questions, k):
 
 
 @query()
-@whole
 def hash_embedding_topk(spark, sf):
     """The three nearest chunks of each question by hashed embeddings of 384 dimensions."""
     return embedding_hits(R.active(chunks(spark, sf)), questions(spark, sf), 3)
@@ -88,19 +87,19 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
-_DENSE = """q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id < 20),
+_DENSE = """q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 50 = 0),
 v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, label, round(list_cosine_similarity(v, q), 6) AS score FROM v, q)) WHERE rank <= 10)"""
 
 
 def _dense_hits(spark, sf):
     vectors = _vectors(spark, sf)
-    return R.dense(vectors, vectors.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vector"), 10)
+    return R.dense(vectors, vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), 10)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def dense_cosine_topk(spark, sf):
-    """The ten nearest vectors of each of twenty query vectors."""
+    """The ten nearest vectors of every fiftieth vector: queries grow with the table."""
     return _dense_hits(spark, sf)
 
 
@@ -110,42 +109,24 @@ def dense_post_filter(spark, sf):
     return _dense_hits(spark, sf).join(_vectors(spark, sf).where("label <> 3").select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
 
 
-_DENSE_ALL = _DENSE.replace("vec_id < 20", "vec_id % 50 = 0")
-
-
-def _dense_hits_all(spark, sf):
-    vectors = _vectors(spark, sf)
-    return R.dense(vectors, vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), 10)
-
-
-@query(f"WITH {_DENSE_ALL} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
-def dense_cosine_topk_all(spark, sf):
-    """The ten nearest vectors of every fiftieth vector: queries grow with the table."""
-    return _dense_hits_all(spark, sf)
-
-
-@query(f"WITH {_DENSE_ALL} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE label <> 3")
-def dense_post_filter_all(spark, sf):
-    """dense_post_filter for every fiftieth vector."""
-    return _dense_hits_all(spark, sf).join(_vectors(spark, sf).where("label <> 3").select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
-
-
 def _channels(spark, sf, k=20):
-    c = R.active(chunks(spark, sf))
-    if is_whole():
-        return embedding_hits(c, questions(spark, sf), k), R.bm25(c, questions(spark, sf), k)
-    head = c.withColumn("content", F.substring("content", 1, 200))
-    return R.bm25(head, questions(spark, sf), k), R.bm25(c, questions(spark, sf), k)
+    """Cosine over stored vectors, of which that with a question's number stands for its encoding, and BM25 over whole chunks."""
+    c, q, v = R.active(chunks(spark, sf)), questions(spark, sf), _vectors(spark, sf)
+    stored = v.join(c.select("chunk_id"), "chunk_id", "left_semi")
+    asked = v.select(F.col("chunk_id").alias("query_id"), "vector").join(q.select("query_id"), "query_id", "left_semi")
+    return R.dense(stored, asked, k), R.bm25(c, q, k)
 
 
-_CHANNELS = f"""{CHUNKS}, {QUESTIONS}, {bm25('a', "SELECT chunk_id, substr(content, 1, 200) AS content FROM chunks WHERE status = 'completed'", 20, 'a_')}, {bm25('b', _ACTIVE, 20, 'b_')},
+_NEAREST = """a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qv.vec_id AS query_id, cv.vec_id AS chunk_id, round(list_cosine_similarity(list_transform(cv.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(qv.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score
+  FROM embeddings qv JOIN questions ON query_id = qv.vec_id, embeddings cv JOIN chunks ON chunk_id = cv.vec_id AND status = 'completed')) WHERE rank <= 20)"""
+_CHANNELS = f"""{CHUNKS}, {QUESTIONS}, {_NEAREST}, {bm25('b', _ACTIVE, 20, 'b_')},
 fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.score AS dense_score, a.rank AS dense_rank, b.score AS lexical_score, b.rank AS lexical_rank, round((coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0)) / (CAST(2 AS DOUBLE) / 61), 9) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS rank FROM fused)"""
 
 
 @query(f"WITH {_CHANNELS} SELECT query_id, chunk_id, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(lexical_score, 6) AS lexical_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def rrf_fusion(spark, sf):
-    """Two channels (chunk beginnings, whole chunks) fused by reciprocal rank."""
+    """Vectors and whole texts fused by reciprocal rank."""
     fused = R.fuse(*_channels(spark, sf), 10)
     return fused.select("query_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("score", "dense_score", "lexical_score")), "rank")
 
@@ -161,8 +142,11 @@ def hybrid_mode_dispatch(spark, sf):
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
-# embeddings of whole texts have no SQL
-Q["rrf_fusion_whole"], Q["hybrid_mode_dispatch_whole"] = whole(rrf_fusion), whole(hybrid_mode_dispatch)
+@query()
+def hybrid_search(spark, sf):
+    """Hashed embeddings and BM25 of whole texts fused; embeddings have no SQL, a test compares with plain Python."""
+    fused = R.hybrid_search(R.active(chunks(spark, sf)), questions(spark, sf), 10, embedding_hits)
+    return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
 @query(f"""WITH {CHUNKS}, {QUESTIONS}, low AS (SELECT chunk_id, lower(content) AS c FROM chunks WHERE status = 'completed' AND category = 'code'), q AS (SELECT query_id, unnest(list_distinct({tokens("question")})) AS t FROM questions),

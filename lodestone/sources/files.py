@@ -25,27 +25,28 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
 def routed(files: DataFrame) -> DataFrame:
     """Chunks of files (path, text): markdown by section, Python by its syntax tree, other code by declaration, other texts by lines. Long parts are cut into windows.
 
-    path, start_line, end_line, heading, block_type, content, locator.
+    path, start_line, end_line, heading, block_type, content, locator. A file's parts are made in its own row; what has no symbols as
+    Python (broken sources) is read by declaration, and what has no parts at all by lines.
     """
     suffix = C.suffix(F.col("path"))
+    is_code = suffix.isin(*(s for s in C.TEXT_SUFFIXES if s not in C.PROSE_SUFFIXES))
+    l = F.col("_lines")
+    part = lambda x, kind, heading: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), heading.alias("heading"), kind.alias("block_type"), x["content"].alias("content"))
+    by_section = F.transform(C.section_parts(l), lambda x: part(x, F.lit("section"), x["heading"]))
+    by_line = F.transform(C.declaration_parts(l), lambda x: part(x, F.lit("symbol"), x["name"]))
+    symbol = lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["name"].alias("heading"), x["kind"].alias("block_type"), F.array_join(F.slice(l, x["start_line"], x["end_line"] - x["start_line"] + 1), "\n").alias("content"))
+    parsed = python_symbols(F.when(suffix.isin(".py", ".pyi"), F.col("text")).otherwise(""))
+    read = files.withColumn("_lines", C.lines(F.coalesce("text", F.lit("")))).withColumn("_symbols", parsed)
+    none = F.array().cast("array<struct<start_line:int,end_line:int,heading:string,block_type:string,content:string>>")
+    parts = F.when(suffix.isin(".md", ".markdown", ".rst"), by_section).when(F.size("_symbols") > 0, F.transform("_symbols", symbol)).when(is_code, by_line).otherwise(none)
+    whole = F.struct(F.lit(1).alias("start_line"), F.size(l).alias("end_line"), F.lit(None).cast("string").alias("heading"), F.when(is_code, "code").otherwise("text").alias("block_type"), F.coalesce("text", F.lit("")).alias("content"))
+    made = read.withColumn("_parts", parts)
+    each = made.select("path", (F.size("_parts") == 0).alias("_whole"), F.inline(F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(F.array(whole))))
+    long = F.col("_whole") | (F.length("content") > 2 * C.SIZE)
     columns = ["path", "start_line", "end_line", "heading", "block_type", "content", "locator"]
-    prose = files.where(suffix.isin(".md", ".markdown", ".rst"))
-    code = files.where(suffix.isin(*(s for s in C.TEXT_SUFFIXES if s not in C.PROSE_SUFFIXES)))
-    found = C.sections(prose).withColumn("block_type", F.lit("section"))
-    is_python = suffix.isin(".py", ".pyi")
-    parsed = code.where(is_python).select("path", "text", F.inline(python_symbols("text")))
-    # what has no symbols as Python (other languages, broken sources) is read line by line
-    rest = code.join(parsed.select("path").distinct(), "path", "left_anti")
-    by_line = C.declarations(rest).join(rest, "path").withColumn("kind", F.lit("symbol"))
-    named = ["path", "text", "name", "kind", "start_line", "end_line"]
-    symbols = parsed.select(*named).unionByName(by_line.select(*named))
-    body = F.array_join(F.slice(C.lines("text"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    declared = symbols.select("path", "start_line", "end_line", F.col("name").alias("heading"), F.col("kind").alias("block_type"), body.alias("content"), C.line_locator(F.col("path"), F.col("start_line"), F.col("end_line")).alias("locator"))
-    parts = found.select(*columns).unionByName(declared.select(*columns))
-    fits = F.length("content") <= 2 * C.SIZE
-    cut = C.windows(parts.where(~fits).select("path", "heading", "block_type", F.col("start_line").alias("_first"), F.col("content").alias("text")), first_line=F.col("_first"))
-    whole = files.join(parts.select("path").distinct(), "path", "left_anti").select("path", "text", F.lit(None).cast("string").alias("heading"), F.when(suffix.isin(*(s for s in C.TEXT_SUFFIXES if s not in C.PROSE_SUFFIXES)), "code").otherwise("text").alias("block_type"))
-    return parts.where(fits).unionByName(cut.select(*columns)).unionByName(C.windows(whole).select(*columns))
+    cut = C.windows(each.where(long).select("path", "heading", "block_type", F.col("start_line").alias("_first"), F.col("content").alias("text")), first_line=F.col("_first"))
+    fits = each.where(~long).withColumn("locator", C.line_locator(F.col("path"), F.col("start_line"), F.col("end_line")))
+    return fits.select(*columns).unionByName(cut.select(*columns))
 
 
 def issues(raw: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def test_fusion_keeps_both_scores(spark):
 
 def test_sections_and_hierarchy(spark):
     text = "before\n# API\nx\n\n## Retry\ny\nz"
-    found = C.with_hierarchy(C.sections(spark.createDataFrame([("a.md", text)], "path string, text string"))).orderBy("start_line").collect()
+    found = C.sections(spark.createDataFrame([("a.md", text)], "path string, text string")).orderBy("start_line").collect()
     assert [(r.locator, r.section_path) for r in found] == [("a.md#L2-L4", "API"), ("a.md#L5-L7", "API > Retry")]
 
 

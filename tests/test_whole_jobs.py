@@ -16,10 +16,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_fiftieth_vector_is_a_query(spark):
     want = {r.vec_id for r in table(spark, SF, "embeddings").collect() if r.vec_id % 50 == 0}
-    got = catalogue.QUERIES["dense_cosine_topk_all"](spark, SF).collect()
+    got = catalogue.QUERIES["dense_cosine_topk"](spark, SF).collect()
     assert {r.query_id for r in got} == want and len(got) == 10 * len(want)
     users = {r.user_id for r in table(spark, SF, "events").select("user_id").distinct().collect()}
-    assert {r.user_id for r in catalogue.QUERIES["detail_order_all"](spark, SF).collect()} == users
+    assert {r.user_id for r in catalogue.QUERIES["detail_order"](spark, SF).collect()} == users
 
 
 def test_nearest_in_blocks_equal_brute_force(spark):
@@ -37,9 +37,9 @@ def test_nearest_in_blocks_equal_brute_force(spark):
 
 def test_questions_are_whole_passages(spark):
     passages = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
-    assert {r.query_id: r.question for r in common.whole(common.questions)(spark, SF).collect()} == passages
+    assert {r.query_id: r.question for r in common.questions(spark, SF).collect()} == passages
     corpus = {r.chunk_id: r.content for r in R.active(common.chunks(spark, SF)).collect()}
-    got = catalogue.QUERIES["bm25_topk_whole"](spark, SF).where("query_id < 5").collect()
+    got = catalogue.QUERIES["bm25_topk"](spark, SF).where("query_id < 5").collect()
     for q in range(5):
         score = bm25(corpus, passages[q])
         assert [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == sorted(score, key=lambda c: (-round(score[c], 9), c))[:5]
@@ -48,7 +48,7 @@ def test_questions_are_whole_passages(spark):
 def test_metrics_require_the_whole_passage(spark):
     # a passage whose beginning alone is found has recall below one
     text = " ".join(f"w{i}" for i in range(20))
-    sql = catalogue.ORACLE_SQL["recall_at_k_whole"]
+    sql = catalogue.ORACLE_SQL["recall_at_k"]
     con = duckdb.connect()
     con.execute(f"create table benchmark as select 1 as item_id, '{text}' as text")
     con.execute(f"create table documents as select 1 as doc_id, 'src1' as source, '{' '.join(text.split()[:8])}' as text, 'en' as lang")
@@ -71,7 +71,7 @@ def test_only_the_empty_text_has_no_digest():
 def test_duplicates_have_equal_whole_texts(spark, tmp_path):
     rows = [(1, "a", "x\none"), (2, "a", "x\ntwo"), (3, "a", " x\none "), (4, "b", "x\none")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in catalogue.QUERIES["duplicate_text_rows"](spark, str(tmp_path)).collect()] == [("a", 3)]
+    assert [tuple(r) for r in catalogue.QUERIES["duplicate_marker_rows"](spark, str(tmp_path)).collect()] == [("a", 3)]
 
 
 def embedding(text):
@@ -102,11 +102,11 @@ def test_embeddings_have_384_dimensions(spark):
 def test_fusion_of_embeddings_and_whole_texts(spark):
     corpus = {r.chunk_id: r.content for r in R.active(common.chunks(spark, SF)).collect()}
     passages = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
-    dense = nearest(spark, 20)
-    got = catalogue.QUERIES["rrf_fusion_whole"](spark, SF).collect()
+    dense = nearest(spark, 30)
+    got = catalogue.QUERIES["hybrid_search"](spark, SF).collect()
     for q in sorted(passages)[:4]:
         score = bm25(corpus, passages[q])
-        lexical = sorted(score, key=lambda c: (-round(score[c], 9), c))[:20]
+        lexical = sorted(score, key=lambda c: (-round(score[c], 9), c))[:30]
         a, b = {c: n for n, (_, c) in enumerate(dense[q], 1)}, {c: n for n, c in enumerate(lexical, 1)}
         far = 1 << 30
         fused = {c: round(((1 / (60 + a[c]) if c in a else 0) + (1 / (60 + b[c]) if c in b else 0)) * 61 / 2, 9) for c in a.keys() | b.keys()}
