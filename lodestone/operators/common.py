@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +29,19 @@ def rank(*by: str, order: list[Column]) -> Column:
 def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered; Spark prunes each partition to k before the shuffle."""
     return df.withColumn(name, rank(*by, order=order)).where(F.col(name) <= k)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as written to the folder that the cluster shares (spark.checkpoint.dir): its plan ends here, and lost executors lose nothing.
+
+    A session on one machine without that setting gets a temporary folder; a cluster must name one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(base)
+    return df.checkpoint()

@@ -44,6 +44,13 @@ def decision(mode: Column, enough: Column, round_number: Column, rounds: Column)
     return F.when((mode == "fixed_retrieval") & (round_number < rounds), "fixed_retrieve_again").when(enough, "generate").otherwise("retrieve_again")
 
 
+def reason(mode: Column, enough: Column, round_number: Column, rounds: Column, coverage: Column, relevance: Column) -> Column:
+    """Why a graded round is followed by what it is; coverage and relevance as reported."""
+    weak = F.concat(F.lit("evidence below threshold: coverage="), coverage, F.lit(", relevance="), relevance, F.lit("; rewrite and retrieve again"))
+    met = "evidence met the configured coverage/relevance threshold; continue to generation"
+    return F.when((mode == "fixed_retrieval") & (round_number < rounds), "fixed two-retrieval control requires a second retrieval").when(enough, met).otherwise(weak)
+
+
 def refuses(mode: Column, ever_sufficient: Column, hits: Column, coverage: Column, relevance: Column) -> Column:
     """Whether a run ends without evidence."""
     weak = (coverage < REFUSE_COVERAGE) | (relevance < REFUSE_RELEVANCE)

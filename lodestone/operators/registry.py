@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .common import settled
+
 
 @dataclass
 class Tool:
@@ -53,8 +55,7 @@ class Registry:
         for attempt in range(1, tool.max_retries + 2):
             began = time.monotonic()
             try:
-                hits = tool.run(queries, min(k, tool.max_results)).persist()
-                hits.count()
+                hits = settled(tool.run(queries, min(k, tool.max_results)))
                 if time.monotonic() - began > tool.timeout_seconds:
                     raise TimeoutError(f"{name} took more than {tool.timeout_seconds} s")
                 return Outcome("completed", attempt, hits)

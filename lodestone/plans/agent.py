@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,46 +11,102 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
+from ..operators.common import settled
 
 ROUNDS = {"naive": 1, "fixed_retrieval": 2, "agentic": 3}
+#: The answer to small talk, that without evidence, and the note on a replaced answer.
+GREETING = "你好，我可以基于已导入的技术文档、代码和 Issue 进行研究。"
+NO_EVIDENCE = "证据不足"
+REPAIR_NOTE = "\n\n> 引用修复：原生成内容没有提供有效行内引用，已改用登记证据生成可验证结果。"
+_PARTS = 4  # a question has three parts at most; part p of question q asks as q * 4 + p
 
 
-def run(chunks: DataFrame, issues: DataFrame, questions: DataFrame, mode: str, k: int = 6, pool: int = 20) -> dict[str, DataFrame]:
-    """Retrieve, grade, rewrite and answer questions (query_id, question).
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
-    Returns grades (one row for each question and round), evidence and answers. Rounds are written to the checkpoint
-    folder where one is set, so that plans don't grow; only the number of open questions comes to the driver.
+
+def run(
+    chunks: DataFrame,
+    issues: DataFrame,
+    questions: DataFrame,
+    mode: str,
+    k: int = 6,
+    candidates: int = R.CANDIDATES,
+    embedded: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
+    web: Callable[[DataFrame, int], DataFrame] | None = None,
+    generate: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Route, plan, retrieve, grade, rewrite, answer and verify questions (query_id long, question).
+
+    embedded: the dense channel of semantic search (none: lexical only). web: queries, k -> query_id, chunk_id, source_id,
+    content, score, used from the second round on. generate: evidence -> query_id, answer; the extractive report
+    answers where it does not.
+
+    Returns plans, calls (a row for each tool and query, with what it brought), grades (a row for each question and round), evidence, raw
+    answers, citations and answers (query_id, answer, refused, action of the citation check). Rounds are written to the checkpoint folder, so plans don't grow;
+    only whether questions are open comes to the driver.
     """
-    spark = chunks.sparkSession
-    rounds = ROUNDS[mode]
-    settle = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    rounds, depth = ROUNDS[mode], max(candidates, k)
     active = R.active(chunks)
-    first = questions.select("query_id", "question", T.evidence_type(F.col("question")).alias("expected"))
-    open_, all_hits, grades = first.withColumn("query", F.col("question")), [], []
+    texts = active.select("chunk_id", "source_id", "content").unionByName(issues.select("chunk_id", F.lit("issues").alias("source_id"), "content"))
+    small_talk = F.lower(F.trim("question")).isin(*T.GREETINGS)
+    asked = F.array("question") if mode == "naive" else T.subquestions(F.col("question"))
+    plans = settled(questions.where(~small_talk).select("query_id", "question", T.evidence_type(F.col("question")).alias("expected"), F.posexplode(asked).alias("part", "query")))
+    open_, hits, calls, grades = plans, [], [], []
     for n in range(1, rounds + 1):
-        asked = open_.select("query_id", F.col("query").alias("question"), E.tools(F.lit(mode), F.col("expected"), F.lit(n)).alias("tools"))
-        by = lambda tool, a=asked: a.where(F.array_contains("tools", tool)).select("query_id", "question")
-        found = [R.bm25(active, by("semantic_document_search"), pool).withColumn("tool", F.lit("semantic_document_search")).withColumn("ord", F.lit(3 * n))]
+        ask = open_.select((F.col("query_id") * _PARTS + F.col("part")).alias("query_id"), F.col("query").alias("question"), E.tools(F.lit(mode), F.col("expected"), F.lit(n), web is not None).alias("tools"))
+        tools = {"semantic_document_search": lambda q: R.hybrid_search(active, q, depth, embedded)}
         if mode != "naive":
-            found.append(R.keyword_search(active, by("code_keyword_search"), pool).drop("matched").withColumn("tool", F.lit("code_keyword_search")).withColumn("ord", F.lit(3 * n + 1)))
-            found.append(R.overlap_search(issues, by("github_issue_search"), pool).withColumn("tool", F.lit("github_issue_search")).withColumn("ord", F.lit(3 * n + 2)))
-        all_hits.append(settle(reduce(DataFrame.unionByName, found).drop("rank")))
-        ranked = R.rerank_identity(E.best_hits(reduce(DataFrame.unionByName, all_hits)))
-        everything = active.select("chunk_id", "source_id", "content").unionByName(issues.select("chunk_id", F.lit("issues").alias("source_id"), "content"))
-        texts = ranked.where(F.col("rank") <= E.GRADED_HITS).join(everything, "chunk_id")
-        graded = E.graded(texts.join(open_.select("query_id", F.col("query").alias("question")), "query_id"))
-        state = open_.join(graded, "query_id", "left").select(*open_.columns, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("coverage", "relevance", "diversity")), F.coalesce("sufficient", F.lit(False)).alias("sufficient"))
-        state = settle(state.withColumn("round", F.lit(n)).withColumn("action", E.decision(F.lit(mode), F.col("sufficient"), F.lit(n), F.lit(rounds))))
-        grades.append(state.select("query_id", "round", "query", "coverage", "relevance", "diversity", "sufficient", "action"))
-        open_ = (state if mode == "fixed_retrieval" else state.where("NOT sufficient")).select("query_id", "question", "expected", T.rewrite(F.col("query"), n).alias("query"))
-        if n < rounds and open_.isEmpty():
+            tools |= {"code_keyword_search": lambda q: R.keyword_search(active, q, depth), "github_issue_search": lambda q: R.overlap_search(issues, q, depth)}
+        if web is not None and n > 1:
+            found = settled(web(ask.where(F.array_contains("tools", "web_search")).select("query_id", "question"), depth))
+            texts = texts.unionByName(found.select("chunk_id", "source_id", "content").dropDuplicates(["chunk_id"]))
+            tools["web_search"] = lambda q, found=found: found
+        brought = []
+        for place, (name, search) in enumerate(tools.items()):
+            rows = search(ask.where(F.array_contains("tools", name)).select("query_id", "question")).select("query_id", "chunk_id", "score")
+            order = n * 100 + F.col("part") * 10 + place
+            brought.append(rows.withColumn("part", (F.col("query_id") % _PARTS).cast("int")).select(F.expr(f"query_id div {_PARTS}").alias("query_id"), "part", "chunk_id", "score", F.lit(name).alias("tool"), order.alias("ord")))
+        brought = settled(_union(brought))
+        hits.append(brought.drop("part"))
+        each = open_.select("query_id", "part", "query", F.explode(E.tools(F.lit(mode), F.col("expected"), F.lit(n), web is not None)).alias("tool"))
+        seen = brought.join(texts.select("chunk_id", "source_id"), "chunk_id").groupBy("query_id", "part", "tool").agg(F.count("*").alias("results"), F.sort_array(F.collect_set("source_id")).alias("sources"), F.bround(F.max("score"), 4).alias("top_score"))
+        calls.append(each.join(seen, ["query_id", "part", "tool"], "left").select(F.lit(n).alias("round"), "query_id", "part", "tool", "query", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "top_score"))
+        ranked = R.rerank_identity(E.best_hits(_union(hits)))
+        if mode == "naive":
+            break
+        joined = open_.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "query"))), lambda x: x["query"]), " ").alias("question"))
+        first = ranked.where(F.col("rank") <= min(k, E.GRADED_HITS)).join(texts, "chunk_id")
+        graded = E.graded(first.join(joined, "query_id"))
+        reported = [F.bround(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in ("coverage", "relevance", "diversity")]
+        state = joined.join(graded, "query_id", "left").select("query_id", F.lit(n).alias("round"), F.col("question").alias("query"), *reported, F.coalesce("sufficient", F.lit(False)).alias("sufficient"))
+        policy = F.lit(mode), F.col("sufficient"), F.lit(n), F.lit(rounds)
+        state = settled(state.withColumn("action", E.decision(*policy)).withColumn("reason", E.reason(*policy, F.col("coverage"), F.col("relevance"))))
+        grades.append(state)
+        if n == rounds:
+            break
+        on = state if mode == "fixed_retrieval" else state.where("NOT sufficient")
+        open_ = settled(open_.join(on.select("query_id"), "query_id", "left_semi").withColumn("query", T.rewrite(F.col("query"), n)))
+        if open_.isEmpty():
             break
-    history = reduce(DataFrame.unionByName, grades)
+    empty = "query_id long, round int, query string, coverage double, relevance double, diversity double, sufficient boolean, action string, reason string"
+    history = _union(grades) if grades else chunks.sparkSession.createDataFrame([], empty)
     best = F.max_by(F.struct("coverage", "relevance"), F.struct(F.col("coverage") + F.col("relevance"), -F.col("round")))
     final = history.groupBy("query_id").agg(F.max("sufficient").alias("ever"), best.alias("b"))
     counted = ranked.groupBy("query_id").agg(F.count("*").alias("hits"))
-    fate = final.join(counted, "query_id", "left").select("query_id", E.refuses(F.lit(mode), F.col("ever"), F.coalesce("hits", F.lit(0)), F.col("b.coverage"), F.col("b.relevance")).alias("refused"))
-    kept = ranked.where(F.col("rank") <= k).join(everything, "chunk_id").join(questions, "query_id").join(fate.where("NOT refused").select("query_id"), "query_id", "left_semi")
-    evidence = E.budgeted(E.registered(kept, k))
-    answers = questions.select("query_id").join(fate, "query_id", "left").join(E.reports(evidence), "query_id", "left")
-    return {"grades": history, "evidence": evidence, "answers": answers.select("query_id", F.coalesce("answer", F.lit("证据不足")).alias("answer"), F.coalesce("refused", F.lit(True)).alias("refused"))}
+    weak = E.refuses(F.lit(mode), F.coalesce("ever", F.lit(True)), F.coalesce("hits", F.lit(0)), F.coalesce("b.coverage", F.lit(0.0)), F.coalesce("b.relevance", F.lit(0.0)))
+    known = plans.select("query_id", "question").distinct()
+    fate = settled(known.join(final, "query_id", "left").join(counted, "query_id", "left").select("query_id", "question", weak.alias("refused")))
+    kept = ranked.where(F.col("rank") <= k).join(texts, "chunk_id").join(fate.where("NOT refused").select("query_id", "question"), "query_id")
+    evidence = settled(E.budgeted(E.registered(kept, k)))
+    quoted = E.reports(evidence)
+    raw = fate.select("query_id").join(quoted, "query_id", "left")
+    if generate is not None:
+        raw = raw.join(generate(evidence).select("query_id", F.col("answer").alias("given")), "query_id", "left").select("query_id", F.coalesce("given", "answer").alias("answer"))
+    raw = settled(raw.select("query_id", F.coalesce("answer", F.lit(NO_EVIDENCE)).alias("answer")))
+    as_run = lambda df: df.withColumnRenamed("query_id", "run_id")
+    checked = E.repaired(as_run(raw), as_run(evidence), as_run(quoted).withColumn("answer", F.concat("answer", F.lit(REPAIR_NOTE))))
+    checked = settled(checked.withColumnRenamed("run_id", "query_id"))
+    talk = questions.where(small_talk).select("query_id", F.lit(GREETING).alias("answer"), F.lit(False).alias("refused"), F.lit("kept").alias("action"))
+    answers = checked.join(fate.select("query_id", "refused"), "query_id").select("query_id", "answer", "refused", "action").unionByName(talk)
+    return {"plans": plans, "calls": _union(calls), "grades": history, "evidence": evidence, "raw": raw, "citations": E.citations(as_run(checked.select("query_id", "answer")), as_run(evidence)), "answers": answers}

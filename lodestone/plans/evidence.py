@@ -227,12 +227,20 @@ def _issues(spark, sf):
 
 def _loop(mode):
     def f(spark, sf):
-        return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), mode)["answers"]
+        return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), mode, embedded=embedding_hits)["answers"]
 
     f.__name__ = {"naive": "naive_loop", "fixed_retrieval": "fixed_loop", "agentic": "agentic_loop"}[mode]
-    f.__doc__ = f"Answers of the {mode} loop for all questions."
+    f.__doc__ = f"Answers of the {mode} loop for all questions, with hybrid search over hashed embeddings, which have no SQL."
     return query()(f)
 
 
 for _mode in agent.ROUNDS:
     _loop(_mode)
+
+
+@query(f"""WITH {_BUDGETED.replace("1200 -", "5200 -")}, x AS (SELECT *, regexp_replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS one FROM fitted WHERE number <= 5),
+r AS (SELECT query_id, '## 研究结论' || chr(10) || chr(10) || '问题：' || question || chr(10) || chr(10) || string_agg('- ' || CASE WHEN length(one) > 360 THEN substr(one, 1, 357) || '...' ELSE one END || ' [' || evidence_id || ']', chr(10) ORDER BY number) || chr(10) || chr(10) || '## 限制' || chr(10) || chr(10) || '以上结论仅基于当前已索引的证据。' AS answer FROM x GROUP BY query_id, question)
+SELECT query_id, CASE WHEN lower(trim(question)) IN ({_list(T.GREETINGS)}) THEN '{agent.GREETING}' ELSE coalesce(answer, '{agent.NO_EVIDENCE}') END AS answer, false AS refused, 'kept' AS action FROM questions LEFT JOIN r USING (query_id)""")
+def naive_loop_lexical(spark, sf):
+    """The naive loop over the lexical channel alone, from route to citation check."""
+    return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), "naive")["answers"]
