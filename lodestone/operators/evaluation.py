@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python import bootstrap_mean, percentile_places
+from ..functions import text as T
+from ..functions.python import bootstrap_mean, fact_coverage, percentile_places
 from ..functions.text import phrase_share
 from .common import rank
+from .evidence import SUPPORT, citations
 
 CUTOFFS = (1, 3, 5, 10)
 
@@ -98,20 +101,116 @@ def value_at(rows: DataFrame, by: str, value: str, place, name: str) -> DataFram
     return summed.where(F.col("_upto") >= F.col("_at")).groupBy(by).agg(F.min(value).alias(name))
 
 
-def mode_summary(rows: DataFrame) -> DataFrame:
-    """Means, rates and ratios of scored runs by mode."""
-    mean = lambda c: F.round(F.avg(c), 9).alias(c)
-    gained = F.when(F.col("rewrites") > 0, F.col("gain"))
+def token_recall(reference: Column, answer: Column) -> Column:
+    """Share of the reference's distinct terms that the answer has; 0 without terms."""
+    wanted = F.array_distinct(T.tokenize(reference))
+    return F.size(F.array_intersect(wanted, T.tokenize(answer))) / F.greatest(F.lit(1), F.size(wanted))
+
+
+def run_scores(questions: DataFrame, runs: DataFrame, evidence: DataFrame, calls: DataFrame, grades: DataFrame, threshold: float = SUPPORT) -> DataFrame:
+    """One row of scores for each run, computed from its answers, evidence, tool calls and grades.
+
+    questions: id, reference_answer, facts (arrays of wordings), required (phrases), expected_tools, answerable.
+    runs: run_id, id, mode, status, raw_answer, answer, repaired and the counters agent_steps, tool_calls, tokens, latency_ms,
+    reranker_latency_ms, retrieval_rounds, rewrite_attempts, rewrite_successes, retrieval_context_tokens, estimated_cost_usd.
+    evidence: run_id, evidence_id, number, content. calls: run_id, tool. grades: run_id, round, coverage, relevance.
+    raw_ scores are of the answer as generated, the others of the repaired one.
+    """
+    texts = evidence.groupBy("run_id").agg(F.count("*").alias("n_evidence"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "content"))), lambda x: x["content"]), " ").alias("evidence_text"))
+    places = evidence.select("run_id", "evidence_id", "number", "content")
+
+    def cited(answer: str, name: str) -> DataFrame:
+        found = citations(runs.select("run_id", F.col(answer).alias("answer")), evidence, threshold).join(places, ["run_id", "evidence_id"], "left")
+        good = F.array_sort(F.collect_list(F.when(F.col("valid"), F.struct("number", "content"))))
+        return found.groupBy("run_id").agg(F.count("*").alias(f"{name}cited"), F.count(F.when(F.col("valid"), 1)).alias(f"{name}faithful"), F.array_join(F.transform(good, lambda x: x["content"]), " ").alias(f"{name}cited_text"))
+
+    total = F.col("coverage") + F.col("relevance")
+    gains = grades.groupBy("run_id").agg(((F.max_by(total, "round") - F.min_by(total, "round")) / 2).alias("gain"), F.count("*").alias("n_grades"))
+    used = calls.groupBy("run_id").agg(F.collect_set("tool").alias("tools"))
+    r = runs.join(questions, "id")
+    for more in (texts, cited("raw_answer", "raw_"), cited("answer", ""), gains, used):
+        r = r.join(more, "run_id", "left")
+    answerable, required = F.col("answerable"), F.col("required")
+    flag = lambda c: c.cast("double")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    none = F.size(required) == 0
+    no_evidence = count("n_evidence") == 0
+    abstained = {p: no_evidence | T.abstains(F.col(a)) for p, a in (("raw_", "raw_answer"), ("", "answer"))}
+    precision = lambda p: F.when(count(f"{p}cited") > 0, F.col(f"{p}faithful") / F.col(f"{p}cited")).otherwise(flag(~answerable))
+    recall = lambda text, nothing: F.when(none, flag(nothing)).otherwise(T.phrase_share(F.coalesce(text, F.lit("")), required))
+    tools = F.coalesce("tools", F.array().cast("array<string>"))
+    right_tool = F.arrays_overlap(tools, F.col("expected_tools")) | ((F.col("mode") == "naive") & F.array_contains(tools, "semantic_document_search"))
+    by_kind = lambda score, p: F.when(answerable, score).otherwise(flag(abstained[p]))
+    scores = {
+        "correctness": by_kind(fact_coverage("facts", "raw_answer"), "raw_"),
+        "post_repair_correctness": by_kind(fact_coverage("facts", "answer"), ""),
+        "lexical_reference_recall": by_kind(token_recall(F.col("reference_answer"), F.col("raw_answer")), "raw_"),
+        "post_repair_lexical_reference_recall": by_kind(token_recall(F.col("reference_answer"), F.col("answer")), ""),
+        "raw_citation_precision": precision("raw_"),
+        "raw_citation_faithfulness": precision("raw_"),
+        "raw_citation_recall": recall(F.col("raw_cited_text"), count("raw_cited") == 0),
+        "citation_precision": precision(""),
+        "citation_faithfulness": precision(""),
+        "citation_recall": recall(F.col("cited_text"), count("cited") == 0),
+        "evidence_citation_coverage": count("faithful") / F.greatest(F.lit(1), count("n_evidence")),
+        "recall_at_k": recall(F.col("evidence_text"), no_evidence),
+        "answerable": answerable,
+        "raw_abstained": abstained["raw_"],
+        "abstained": abstained[""],
+        "abstention_correct": flag(abstained["raw_"] != answerable),
+        "post_repair_abstention_correct": flag(abstained[""] != answerable),
+        "citation_repair_triggered": F.col("repaired"),
+        "tool_accuracy": flag(right_tool),
+        "rewrite_quality_gain": F.when(count("n_grades") > 1, F.col("gain")).otherwise(0.0),
+    }
+    return r.select("run_id", "id", "mode", "status", *(c.alias(n) for n, c in scores.items()), *COUNTERS)
+
+
+#: Counters of a run that its row of scores repeats.
+COUNTERS = ("agent_steps", "tool_calls", "tokens", "latency_ms", "reranker_latency_ms", "retrieval_rounds", "rewrite_attempts", "rewrite_successes", "retrieval_context_tokens", "estimated_cost_usd")
+#: Scores whose mean a summary has under the same name, and under another.
+MEANS = ("correctness", "post_repair_correctness", "lexical_reference_recall", "post_repair_lexical_reference_recall", "raw_citation_precision", "raw_citation_faithfulness", "raw_citation_recall", "citation_precision", "citation_faithfulness", "citation_recall", "evidence_citation_coverage", "recall_at_k", "tool_accuracy")
+NAMED_MEANS = {
+    "average_steps": "agent_steps", "average_tool_calls": "tool_calls", "average_retrieval_rounds": "retrieval_rounds", "abstention_accuracy": "abstention_correct", "post_repair_abstention_accuracy": "post_repair_abstention_correct",
+    "citation_repair_rate": "citation_repair_triggered", "average_retrieval_context_tokens": "retrieval_context_tokens", "average_tokens": "tokens", "average_reranker_latency_ms": "reranker_latency_ms",
+}
+
+
+def score_summary(rows: DataFrame) -> DataFrame:
+    """Means, rates and ratios of run_scores by mode; the interval of correctness comes from a bootstrap."""
+    mean = lambda c, name: F.round(F.avg(F.col(c).cast("double")), 9).alias(name)
+    tried = F.col("rewrite_attempts") > 0
     return rows.groupBy("mode").agg(
-        F.count("*").alias("runs"), mean("correctness"), mean("recall"), mean("tokens"),
-        F.round(F.avg(F.col("abstained").cast("double")), 9).alias("abstention_rate"),
-        F.round(F.sum("cost"), 9).alias("total_cost"),
-        F.round(F.sum("rewrite_successes") / F.greatest(F.lit(1), F.sum("rewrites")), 9).alias("rewrite_success"),
-        F.round(F.coalesce(F.avg(gained), F.lit(0.0)), 9).alias("rewrite_gain"),
-        percentile("latency_ms", 0.5).alias("p50_ms"), percentile("latency_ms", 0.95).alias("p95_ms"),
+        F.count("*").alias("questions"), F.count(F.when(F.col("status") == "completed", 1)).alias("completed"),
+        *(mean(c, c) for c in MEANS), *(mean(c, name) for name, c in NAMED_MEANS.items()),
+        F.round(F.avg(tried.cast("double")), 9).alias("rewrite_trigger_rate"),
+        F.round(F.sum("rewrite_successes") / F.greatest(F.lit(1), F.sum("rewrite_attempts")), 9).alias("rewrite_success_rate"),
+        F.round(F.coalesce(F.avg(F.when(tried, F.col("rewrite_quality_gain"))), F.lit(0.0)), 9).alias("average_rewrite_quality_gain"),
+        F.round(F.sum("estimated_cost_usd"), 9).alias("total_estimated_cost_usd"),
+        percentile("latency_ms", 0.5).alias("p50_latency_ms"), percentile("latency_ms", 0.95).alias("p95_latency_ms"),
     )
 
 
+def compared(rows: DataFrame, modes: list[str], seed: int, samples: int = 2_000) -> DataFrame:
+    """For each mode after the first: questions that both have, the mean difference in correctness and its interval."""
+    deltas = []
+    for offset, mode in enumerate(modes[1:], 1):
+        pair = paired(rows, "id", "correctness", modes[0], mode).select(F.lit(mode).alias("candidate"), F.col("id").alias("_order"), "delta")
+        counted = pair.groupBy("candidate").agg(F.count("*").alias("questions"))
+        deltas.append(counted.join(bootstrap(pair, "candidate", "delta", seed + offset, samples), "candidate"))
+    return reduce(DataFrame.unionByName, deltas).select(F.lit(modes[0]).alias("baseline"), "candidate", "questions", F.col("mean").alias("correctness_delta"), "low", "high")
+
+
+#: What two runs must have in common to be compared.
+COMPARED = ("dataset_sha256", "corpus_sha256", "actual_retrieval", "seed", "temperature", "provider", "vector_backend", "embedding_backend", "candidate_k", "evidence_k", "max_agent_rewrites", "token_budget", "citation_repair", "modes")
+
+
+def mismatches(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """key of the settings (key, value) in which two runs differ, of those that must not."""
+    both = baseline.select("key", F.col("value").alias("_a")).join(candidate.select("key", F.col("value").alias("_b")), "key", "full_outer")
+    return both.where(F.col("key").isin(*COMPARED) & ~F.col("_a").eqNullSafe(F.col("_b"))).select("key")
+
+
 def paired(rows: DataFrame, key: str, value: str, baseline: str, candidate: str) -> DataFrame:
     """key and delta of the keys that both modes have."""
     of = lambda mode, name: rows.where(F.col("mode") == mode).select(key, F.col(value).alias(name))

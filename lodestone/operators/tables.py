@@ -50,12 +50,45 @@ def finished(job_status: Column, target_status: Column) -> Column:
     return F.when(target_status.isin("completed", "failed", "cancelled"), target_status).when(job_status == "cancel_requested", "cancelled").otherwise("failed")
 
 
+def enqueued(jobs: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """jobs and new ones (job_id, target_id), which wait with no attempts."""
+    fresh = {"status": F.lit("pending"), "attempts": F.lit(0), "created_at": now}
+    types = dict(jobs.dtypes)
+    return jobs.unionByName(new.select(*((F.col(c) if c in new.columns else fresh.get(c, F.lit(None))).cast(types[c]).alias(c) for c in jobs.columns)))
+
+
 def claims(jobs: DataFrame, workers: int) -> DataFrame:
     """The oldest pending jobs, one for each of so many workers."""
     first = jobs.where("status = 'pending'").orderBy("created_at", "job_id").limit(workers)
     return first.withColumn("worker", F.row_number().over(Window.orderBy("created_at", "job_id")))
 
 
+def claimed(jobs: DataFrame, workers: list[str], now: Column) -> DataFrame:
+    """jobs after these workers have claimed one each: it runs, with the worker, one more attempt, claim and heartbeat.
+
+    One statement makes all claims, so no two workers get the same job; as many jobs as there are workers are broadcast.
+    """
+    names = F.get(F.array(*map(F.lit, workers)), F.col("worker") - 1)
+    mine = F.broadcast(claims(jobs, len(workers)).select("job_id", names.alias("_worker")))
+    got = F.col("_worker").isNotNull()
+    new = {"status": F.lit("running"), "worker_id": F.col("_worker"), "attempts": F.col("attempts") + 1, "claimed_at": now, "heartbeat_at": now}
+    return jobs.join(mine, "job_id", "left").select(*(F.when(got, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+
+
+def reset(children: DataFrame, targets: DataFrame) -> DataFrame:
+    """What is left of children (target_id) when these targets start again: those of other targets."""
+    return children.join(targets.select("target_id").distinct(), "target_id", "left_anti")
+
+
+def cascaded(sources: DataFrame, gone: DataFrame) -> DataFrame:
+    """sources (source_id, parent, status) after gone (source_id) were deleted: these and what names them as parent are, their rows stay."""
+    ids = gone.select("source_id").distinct().withColumn("_gone", F.lit(True))
+    below = ids.select(F.col("source_id").alias("parent"), F.col("_gone").alias("_below"))
+    hit = F.coalesce("_gone", "_below", F.lit(False))
+    marked = sources.join(ids, "source_id", "left").join(below, "parent", "left")
+    return marked.select(*(F.when(hit, "deleted").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in sources.columns))
+
+
 def orphans(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Active tasks that no job points to."""
     return tasks.where(F.col("status").isin("pending", "running")).join(jobs.select(F.col("target_id").alias("task_id")), "task_id", "left_anti")

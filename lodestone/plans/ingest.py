@@ -212,13 +212,17 @@ def replace_source(spark, sf):
     return W.replaced(d, new, "source")
 
 
-@query("SELECT source, count(*) AS chunks, source IN ('src3', 'src4') AS deleted, CASE WHEN source IN ('src3', 'src4') THEN 'issues of ' || source END AS cascade FROM documents GROUP BY source")
+_SOURCES = """s AS (SELECT DISTINCT source AS source_id, CAST(NULL AS VARCHAR) AS parent, 'completed' AS status FROM documents UNION ALL SELECT DISTINCT source || '-issues', json_extract_string('{"repository": "' || source || '"}', '$.repository'), 'completed' FROM documents)"""
+
+
+@query(f"WITH {_SOURCES} SELECT source_id, CASE WHEN source_id IN ('src3', 'src4') OR coalesce(parent, '') IN ('src3', 'src4') THEN 'deleted' ELSE status END AS status FROM s")
 def soft_delete_cascade(spark, sf):
-    """Deleted sources keep their rows; what depends on them follows by the parent's name."""
-    gone = spark.createDataFrame([("src3",), ("src4",)], "source string").withColumn("gone", F.lit(True))
-    s = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("chunks"))
-    deleted = F.coalesce("gone", F.lit(False))
-    return s.join(F.broadcast(gone), "source", "left").select("source", "chunks", deleted.alias("deleted"), F.when(deleted, F.concat(F.lit("issues of "), "source")).alias("cascade"))
+    """Deleted sources keep their rows; the issue sources that name them as their repository follow."""
+    own = table(spark, sf, "documents").select(F.col("source").alias("source_id"), F.lit(None).cast("string").alias("parent"), F.lit("completed").alias("status")).distinct()
+    named = F.get_json_object(F.to_json(F.struct(F.col("source_id").alias("repository"))), "$.repository")
+    issues = own.select(F.concat("source_id", F.lit("-issues")).alias("source_id"), named.alias("parent"), "status")
+    gone = spark.createDataFrame([("src3",), ("src4",)], "source_id string")
+    return W.cascaded(own.unionByName(issues), gone).select("source_id", "status")
 
 
 @query("SELECT event_id, value AS score, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS retrieval_score, CAST(NULL AS DOUBLE) AS rerank_score FROM events")

@@ -72,6 +72,35 @@ def claim_order(spark, sf):
     return W.claims(_jobs(spark, sf), 10).select("job_id", "worker")
 
 
+_FULL = _JOBS.replace("'w' || event_id % 3 AS worker_id", "'w' || event_id % 3 AS worker_id, CAST(event_id % 5 AS INTEGER) AS attempts, ts AS claimed_at")
+
+
+def _full(spark, sf):
+    return _jobs(spark, sf).withColumn("attempts", (F.col("job_id") % 5).cast("int")).withColumn("claimed_at", F.col("created_at"))
+
+
+@query(f"""WITH {_FULL}, c AS (SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) AS n FROM jobs WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 3)
+SELECT jobs.job_id, CASE WHEN n IS NULL THEN status ELSE 'running' END AS status, CASE WHEN n IS NULL THEN worker_id ELSE ['a', 'b', 'c'][n] END AS worker_id, CAST(attempts + CASE WHEN n IS NULL THEN 0 ELSE 1 END AS INTEGER) AS attempts, n IS NOT NULL AS fresh FROM jobs LEFT JOIN c USING (job_id)""")
+def job_claim(spark, sf):
+    """The job table after three workers claimed."""
+    out = W.claimed(_full(spark, sf), ["a", "b", "c"], _now())
+    return out.select("job_id", "status", "worker_id", "attempts", (F.col("claimed_at").eqNullSafe(_now()) & F.col("heartbeat_at").eqNullSafe(_now())).alias("fresh"))
+
+
+@query(f"""WITH {_FULL} SELECT job_id, target_id, status, attempts FROM jobs UNION ALL SELECT o_orderkey + 1000000000, o_orderkey, 'pending', 0 FROM orders WHERE o_orderstatus = 'P'""")
+def job_enqueue(spark, sf):
+    """Orders in process become jobs that wait."""
+    new = table(spark, sf, "orders").where("o_orderstatus = 'P'").select((F.col("o_orderkey") + 1_000_000_000).alias("job_id"), F.col("o_orderkey").alias("target_id"))
+    return W.enqueued(_full(spark, sf), new, _now()).select("job_id", "target_id", "status", "attempts")
+
+
+@query(f"""WITH {_JOBS} SELECT l_orderkey AS target_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT target_id FROM jobs WHERE status = 'cancel_requested')""")
+def target_reset(spark, sf):
+    """Lines of orders whose job was cancelled are gone."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target_id"), "l_linenumber")
+    return W.reset(lines, _jobs(spark, sf).where("status = 'cancel_requested'"))
+
+
 @query("""WITH s(job, target) AS (SELECT a.x, b.x FROM (VALUES ('running'), ('cancel_requested')) a(x), (VALUES ('completed'), ('failed'), ('cancelled'), ('running'), ('pending')) b(x))
 SELECT job, target, CASE WHEN target IN ('completed', 'failed', 'cancelled') THEN target WHEN job = 'cancel_requested' THEN 'cancelled' ELSE 'failed' END AS status FROM s""")
 def status_finalization(spark, sf):
