@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast, after counting them.
@@ -31,12 +31,12 @@ def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "
     return df.withColumn(name, rank(*by, order=order)).where(F.col(name) <= k)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as written to the folder that the cluster shares (spark.checkpoint.dir): its plan ends here, and lost executors lose nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir), where tables are written that cut a plan.
 
     A session on one machine without that setting gets a temporary folder; a cluster must name one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         base = context.getConf().get("spark.checkpoint.dir")
         if not base:
@@ -44,4 +44,10 @@ def settled(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(base)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder: its plan ends here, and lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

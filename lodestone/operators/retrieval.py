@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, occurrences, squash, tokenize, words
-from .common import BROADCAST_ROWS, bounded, top
+from .common import BROADCAST_ROWS, bounded, settled, top
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -144,17 +144,18 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, code_only: boo
     """Occurrences of a query's distinct terms in a chunk, anywhere in its words, in fifths, one at most.
 
     A term lies within a run of word characters, so each distinct run is searched once for the terms of all queries:
-    those whose first three characters (all of a shorter term) it has, by a join. The counts meet the chunks by the run.
+    those whose first three characters (all of a shorter term) it has, by a join. Only runs that have a term go on: their
+    counts, broadcast if they are few, meet the words of the chunks before these are shuffled.
     """
     wanted = chunks.where("category = 'code'") if code_only else chunks
-    runs = wanted.select("chunk_id", F.explode(words("content")).alias("run")).groupBy("chunk_id", "run").agg(F.count("*").alias("tf"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("question"))).alias("term"))
     keyed = terms.select("term").distinct().withColumn("key", F.substring("term", 1, 3))
     parts = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - (n - 1)), lambda i: F.substring(F.col("run"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     single = F.when(F.col("run").rlike(CJK), parts(1)).otherwise(F.array().cast("array<string>"))  # only these make terms of one character
-    cut = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(parts(3), parts(2), single))).alias("key"))
-    counted = cut.join(bounded(keyed), "key").where(F.contains(F.col("run"), F.col("term"))).select("run", "term", occurrences(F.col("run"), F.col("term")).alias("n"))
-    each = runs.join(counted, "run").groupBy("chunk_id", "term").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
+    runs = wanted.select(F.explode(F.array_distinct(words("content"))).alias("run")).distinct()
+    cut = runs.select("run", F.explode(F.array_distinct(F.concat(parts(3), parts(2), single))).alias("key"))
+    counted = settled(cut.join(bounded(keyed), "key").where(F.contains(F.col("run"), F.col("term"))).select("run", "term", occurrences(F.col("run"), F.col("term")).alias("n")).distinct())
+    each = wanted.select("chunk_id", F.explode(words("content")).alias("run")).join(bounded(counted), "run").groupBy("chunk_id", "term").agg(F.sum("n").alias("n"))
     hits = each.join(bounded(terms), "term").groupBy("query_id", "chunk_id").agg(F.sum("n").cast("int").alias("matched"))
     scored = hits.select("query_id", "chunk_id", "matched", F.least(F.lit(1.0), F.col("matched") / 5).alias("score"))
     return top(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])

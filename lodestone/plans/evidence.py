@@ -192,7 +192,12 @@ def citation_verify(spark, sf):
     return E.citations(*_answers(spark))
 
 
-@query()
+@query(f"""WITH {_CLAIMS}, j AS (SELECT c.run_id, marker, claim, content, {_SUPPORT} AS support FROM c LEFT JOIN evidence e ON c.run_id = e.run_id AND c.marker = e.evidence_id),
+b AS (SELECT run_id, list(marker) FILTER (content IS NULL) AS unknown, bool_or(content IS NOT NULL AND support < 0.18) AS unsupported FROM j GROUP BY run_id),
+f AS (SELECT run_id, '- ' || min(content) || ' [S1]' AS fallback FROM evidence GROUP BY run_id),
+s AS (SELECT answers.run_id, fallback, coalesce(unknown, []) AS unknown, coalesce(unsupported, false) AS unsupported, list_reduce(list_prepend(answer, list_transform(coalesce(unknown, []), lambda m: '[' || m || ']')), lambda a, m: replace(a, m, '')) AS stripped FROM answers LEFT JOIN b USING (run_id) LEFT JOIN f USING (run_id)),
+r AS (SELECT *, fallback IS NOT NULL AND (unsupported OR len(regexp_extract_all(stripped, '\\[(S\\d+)\\]', 1)) = 0) AS replaced FROM s)
+SELECT run_id, CASE WHEN replaced THEN fallback ELSE stripped END AS answer, CASE WHEN replaced THEN 'replaced' WHEN len(unknown) > 0 THEN 'stripped' ELSE 'kept' END AS action FROM r""")
 def citation_repair(spark, sf):
     answers, evidence = _answers(spark)
     fallback = evidence.groupBy("run_id").agg(F.concat(F.lit("- "), F.min("content"), F.lit(" [S1]")).alias("answer"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tables as W
+from ..operators.common import rank
 from ..streaming import trace
 from .common import table
 
@@ -123,10 +124,16 @@ def tool_retry_policy(spark, sf):
     return last.select("call_id", "attempts", F.when(F.col("o") == "ok", "completed").otherwise("failed").alias("status"), kind.alias("error_type"), F.col("o").isin("timeout", "connection").alias("retryable"))
 
 
-@query()
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def trace_tail_stream(spark, sf):
-    """Events read as a stream, deduplicated by run and sequence, counted by type in windows of a day."""
-    return trace.tail_once(spark, f"{sf}/events.parquet")
+    """Events read as a stream, counted by type in windows of a day."""
+    return trace.tail_once(spark, f"{sf}/events.parquet").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id, event_id FROM events")
+def trace_dedup_stream(spark, sf):
+    """Events read as a stream, each of a run once."""
+    return trace.run_available(trace.deduplicated(trace.read(spark, f"{sf}/events.parquet")), "append").select("user_id", "event_id")
 
 
 @query(f"WITH {_JOBS} SELECT job_id, target_id, 'pending' AS status, job_id + 1000000000 AS new_id FROM jobs WHERE status = 'completed' AND target_id % 2 = 0")
@@ -136,8 +143,8 @@ def reindex_jobs(spark, sf):
     return done.select("job_id", "target_id", F.lit("pending").alias("status"), (F.col("job_id") + 1_000_000_000).alias("new_id"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM (SELECT * FROM events UNION ALL SELECT * FROM events)) WHERE n = 1")
+@query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence, event_id FROM events")
 def client_dedupe(spark, sf):
-    """The first event of each user and day, though the stream brought each event twice."""
-    e = table(spark, sf, "events").select("user_id", "event_id", F.to_date("ts").alias("day"))
-    return e.unionAll(e).groupBy("user_id", "day").agg(F.min("event_id").alias("event_id")).select("user_id", "event_id")
+    """Each run and sequence once, though the stream brought each event twice."""
+    e = table(spark, sf, "events").withColumn("sequence", rank("user_id", order=[F.asc("ts"), F.asc("event_id")]))
+    return e.unionAll(e).groupBy("user_id", "sequence").agg(F.min("event_id").alias("event_id"))

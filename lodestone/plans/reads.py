@@ -83,10 +83,18 @@ def detail_order(spark, sf):
     return e.select("user_id", F.concat(F.lit("S"), (F.col("event_id") % 12 + 1).cast("string")).alias("evidence_id"), "event_id").orderBy("user_id", "evidence_id")
 
 
-@query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks, count(DISTINCT event_type) AS kinds, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+_PER = lambda t, key, name: f"(SELECT {key} AS id, count(*) AS {name} FROM {t} GROUP BY 1)"
+
+
+@query(f"""SELECT c_custkey AS run_id, coalesce(events, 0) AS events, coalesce(evidence, 0) AS evidence, coalesce(citations, 0) AS citations, coalesce(calls, 0) AS calls FROM customer LEFT JOIN {_PER("events", "user_id", "events")} a ON a.id = c_custkey
+LEFT JOIN {_PER("orders", "o_custkey", "evidence")} b ON b.id = c_custkey LEFT JOIN {_PER("documents", "doc_id", "citations")} c ON c.id = c_custkey LEFT JOIN {_PER("conversations", "conv_id", "calls")} d ON d.id = c_custkey""")
 def run_fan_in(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("event_type") == "click", 1)).alias("clicks"), F.count_distinct("event_type").alias("kinds"), F.round(F.sum("value"), 4).alias("total"))
+    """A run's rows in four tables; each is counted before it is joined, so none multiplies another."""
+    out = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"))
+    for name, key, count in (("events", "user_id", "events"), ("orders", "o_custkey", "evidence"), ("documents", "doc_id", "citations"), ("conversations", "conv_id", "calls")):
+        counted = table(spark, sf, name).groupBy(F.col(key).alias("run_id")).agg(F.count("*").alias(count))
+        out = out.join(counted, "run_id", "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    return out
 
 
 _SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"

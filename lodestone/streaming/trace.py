@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import shared_folder
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Events of Parquet files as they appear. path is a file or a folder of files."""
@@ -31,11 +33,22 @@ def sessions(events: DataFrame, gap: str = "1 hour", delay: str = "1 day") -> Da
 
 
 def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a streaming query gives for the data there is; for tests and batch replay."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+    """What a streaming query gives for the data there is, written to the shared folder; for tests and batch replay.
+
+    Each batch has a folder of its own, so one that runs twice leaves the same rows; in complete mode the last one holds all.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    df.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    wanted = done[-1:] if mode == "complete" else sorted(set(done))
+    return df.sparkSession.read.schema(df.schema).parquet(*(f"{path}/batch={n}" for n in wanted))
 
 
 def tail_once(spark: SparkSession, path: str) -> DataFrame:
