@@ -5,7 +5,6 @@ import hashlib
 import duckdb
 import numpy as np
 
-from lodestone.llm import digests as D
 from lodestone.operators import retrieval as R
 from lodestone.plans import catalogue, common
 from lodestone.plans.common import table
@@ -55,19 +54,6 @@ def test_metrics_require_the_whole_passage(spark):
     assert con.execute(sql).df()["recall_at_10"].tolist() == [0.4]
 
 
-def test_only_the_empty_text_has_no_digest():
-    texts = [p * n for p, n in (("spam ", 400), ("a", 500), ("buy now ", 100), ("0123456789abcdef", 60), ("lorem ipsum ", 80))]
-    other = "".join(chr(32 + i * i % 91) for i in range(3000))
-    ranks = D.rank(np.bincount(D.levels(np.frombuffer(other.encode(), np.uint8)), minlength=D.LEVELS))
-    chains = D.digest([t.encode() for t in [*texts, ""]], ranks)
-    assert [len(c) > 0 for c in chains] == [True] * 5 + [False]
-    for t, chain in zip(texts, chains, strict=False):
-        assert D.likeness(chain, D.digest([D.edited(t, other).encode()], ranks)[0]) > 0.6
-    assert max(D.likeness(a, b) for i, a in enumerate(chains) for b in chains[:i]) < 0.3
-    falling = [bytes(range(i, i + 64)) for i in range(100)]
-    assert all(len(c) for c in D.digest(falling, ranks))
-
-
 def test_duplicates_have_equal_whole_texts(spark, tmp_path):
     rows = [(1, "a", "x\none"), (2, "a", "x\ntwo"), (3, "a", " x\none "), (4, "b", "x\none")]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
