@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import fill_in_middle, licenses, mixing, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.digests(_documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on up to 32 whitened components."""
+    from .whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for fill-in-middle training, and rebuilt."""
+    return fill_in_middle.digests(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_mixing": op2_mixing,
@@ -94,9 +111,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_licenses": op11_licenses,
+    "op12_whitening": op12_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op11_licenses": licenses.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }

@@ -24,6 +24,25 @@ FLAGGED_ROWS = 100_000
 BLOCK = 1024
 
 
+#: The columns of documents that operators read; all others pass through them unseen.
+ROLES = ("doc_id", "text", "lang", "source")
+
+
+def through(docs: DataFrame, operator, added: tuple[str, ...] = ()) -> DataFrame:
+    """operator applied to docs, whatever docs' columns are called: the columns of docs, then those that operator adds.
+
+    operator sees ROLES by their names and every other column under a name by its place that no operator uses; it may add columns
+    and drop or repeat rows. Columns of docs named like an added one, in any case, are replaced.
+    """
+    taken = {a.lower() for a in added}
+    names = [c for c in docs.columns if c.lower() not in taken]
+    docs = docs.select(*(docs[f"`{c.replace('`', '``')}`"] for c in names))
+    exact = set(names) & set(ROLES)
+    role = lambda c: c if c in exact else next((r for r in ROLES if r == c.lower() and r not in exact), None)
+    inside = [role(c) or f"own_{i}" for i, c in enumerate(names)]
+    return operator(docs.toDF(*inside)).select(*inside, *added).toDF(*names, *added)
+
+
 def portions(batches: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of so many rows at most; empty ones are left out. Spark bounds the bytes of a batch."""
     for batch in batches:
