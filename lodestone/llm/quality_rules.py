@@ -1,17 +1,20 @@
 """Quality rules: a fixed base rule, and thresholds that adapt to each language and source.
 
 Each measure of a document is an integer (counts, or parts per thousand). A quantile sketch of a measure is a
-table of counts by bucket: a value keeps its six leading bits, so quantiles are right within 1/32. Adding up the
+table of counts by bucket: a value keeps its BITS leading bits, so quantiles are right within 1/256. Adding up the
 counts of two sketches gives the sketch of both, in any order, so a group's sketch is one aggregation, the sketches
 of a language and of the corpus are sums of it, and results don't depend on the partitions.
 
 Quantiles of few documents say little, so each is drawn towards that of the level above: a language's quantile is the mean
 of its own, weighted by its documents, and of the corpus's, weighted SHRINK; that of a language and source likewise with its language's.
 
-A document fails if a measure is above median + SPREADS x (median - lower decile) + slack of its group, or, for the
-mean word length, below median - SPREADS x (upper decile - median) - slack. The spread on the side away from the
-fence is used because what is to be found lies beyond the fence and would widen it. Slack is the least difference
-that counts, in the measure's unit. Bars that stand alone separate the cells of tables and are no noise.
+A document fails if a measure is above median + SPREADS x spread of its group or, for the mean word length, below median -
+SPREADS x lower spread. The spread comes from the upper side of the sketch: each quantile of LADDER, less the median, over what it is
+in a normal distribution; the largest counts. The ladder is climbed only as far as the body reaches: where a quantile is more
+than JUMP times as far from the median as the one before, another population begins (what is to be found), and that one and those
+above say nothing about ordinary documents. The first step is measured by the lower quartile, and may be JUMP times as long as the others. Documents of no symbol at all still differ by chance, so the least spread is what one
+occurrence makes in a short document of the group: 1000 over the lower decile of its words (or letters), also from the sketch, whose buckets at the median it is no narrower than. Bars that stand
+alone separate the cells of tables and are no noise.
 
 Null text is empty, so the base rule fails it. Null language and source are groups of their own (together with the empty string).
 Texts are measured whole; memory follows the longest one. Values at a fence pass. Repeated rows count each time and get the same verdict. An
@@ -26,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_adding, small, texts_of, uneven_join, written
+from .shared import map_adding, small, texts_of, through, uneven_join, written
 
 #: Fixed values of the base rule.
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT = 50, 50
-#: SHRINK: documents that the level above weighs as many as.
-SPREADS, SHRINK = 5, 100
-#: Measure -> (slack, whether low values fail too).
-MEASURES = {"symbols": (50, False), "capitals": (80, False), "dup_lines": (40, False), "repeats": (300, False), "word_length": (300, True)}
+#: SHRINK: documents that the level above weighs as many as. JUMP: see above.
+SPREADS, SHRINK, JUMP, BITS = 8, 100, 5, 9
+#: Measure -> (the size that its least spread is taken from, whether low values fail too).
+MEASURES = {"symbols": ("words", False), "capitals": ("letters", False), "dup_lines": ("words", False), "repeats": ("words", False), "word_length": ("words", True)}
+SIZES = {"words": "n_words", "letters": "word_chars"}
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bars")
-#: Quantile -> the tenths of documents up to it.
-TENTHS = {"q10": 1, "q50": 5, "q90": 9}
+#: Quantile -> the thousandths of documents up to it.
+QUANTILES = {"q10": 100, "q25": 250, "q50": 500, "q75": 750, "q90": 900, "q95": 950, "q97": 975, "q99": 990}
+#: Rising quantiles -> how far each is from the median in a normal distribution, in thousandths of its deviation.
+LADDER = {"q75": 674, "q90": 1282, "q95": 1645, "q97": 1960, "q99": 2326}
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
@@ -99,47 +105,65 @@ def _measures() -> dict[str, Column]:
 
 
 def bucket(value: Column) -> Column:
-    """value with all but its six leading bits cleared."""
-    dropped = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    """value with all but its BITS leading bits cleared."""
+    dropped = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, dropped), dropped)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n: the quantile sketches of documents that the base rule keeps."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("measure"), bucket(value).alias("bucket")) for name, value in _measures().items()))
+    values = _measures() | {name: F.col(metric) for name, metric in SIZES.items()}
+    pairs = F.array(*(F.struct(F.lit(name).alias("measure"), bucket(value).alias("bucket")) for name, value in values.items()))
     passed = measured.where(~base_failed())
     each = passed.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.explode(pairs).alias("x"))
     return each.groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Per group and measure: documents, lower decile, median and upper decile."""
+    """Per group and measure: documents and QUANTILES."""
     w = Window.partitionBy(*by, "measure")
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     ranked = merged.select(*by, "measure", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
-    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.col("bucket")))
-    return ranked.groupBy(*by, "measure").agg(F.max("total").alias("docs"), *(at(t).alias(q) for q, t in TENTHS.items()))
+    at = lambda share: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * share, F.col("bucket")))
+    return ranked.groupBy(*by, "measure").agg(F.max("total").alias("docs"), *(at(t).alias(q) for q, t in QUANTILES.items()))
 
 
 def _shrunk(own: DataFrame, above: DataFrame, by: list[str]) -> DataFrame:
     """own with its quantiles drawn towards those of the level above."""
-    joined = own.join(small(above.select(*by, *(F.col(q).alias(f"above_{q}") for q in TENTHS))), by)
+    joined = own.join(small(above.select(*by, *(F.col(q).alias(f"above_{q}") for q in QUANTILES))), by)
     mean = lambda q: F.expr(f"(docs * {q} + {SHRINK} * above_{q}) div (docs + {SHRINK})").alias(q)
-    return joined.select(*(c for c in own.columns if c not in TENTHS), *map(mean, TENTHS))
+    return joined.select(*(c for c in own.columns if c not in QUANTILES), *map(mean, QUANTILES))
+
+
+def _fences(name: str) -> dict[str, str]:
+    """SQL of the fences of a measure over a group's quantiles, called <measure>_<quantile>; whole numbers, so that any engine has the same."""
+    size, low = MEASURES[name]
+    unit = f"greatest(1000 div greatest({size}_q10, 1), {name}_q50 div {1 << (BITS - 1)})"
+    away = lambda q: f"({name}_{q} - {name}_q50 + {unit})"
+    spread, reached, before = [unit], "true", f"{JUMP} * ({name}_q50 - {name}_q25 + {unit})"
+    for q, normal in LADDER.items():
+        reached += f" and {away(q)} <= {JUMP} * {before}"
+        spread.append(f"case when {reached} then 1000 * ({name}_{q} - {name}_q50) div {normal} else 0 end")
+        before = away(q)
+    fences = {f"high_{name}": f"{name}_q50 + {SPREADS} * greatest({', '.join(spread)})"}
+    if low:
+        fences[f"low_{name}"] = f"{name}_q50 - {SPREADS} * greatest({unit}, 1000 * ({name}_q50 - {name}_q10) div {LADDER['q90']})"
+    return fences
+
+
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """_llm_lang, _llm_source and the quantiles of the group, drawn towards its language's and the corpus's, as <measure>_<quantile>."""
+    corpus = _quantiles(sketch)
+    language = written(_shrunk(_quantiles(sketch, "lang"), corpus, ["measure"]), "language-quantiles")
+    own = _shrunk(_quantiles(sketch, "lang", "source"), language, ["lang", "measure"])
+    wide = [F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}") for m in (*MEASURES, *SIZES) for q in QUANTILES]
+    return own.groupBy(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source")).agg(*wide)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """_llm_lang, _llm_source and the fences of the group."""
-    corpus = _quantiles(sketch)
-    language = written(_shrunk(_quantiles(sketch, "lang"), corpus, ["measure"]), "language-quantiles")
-    own = _shrunk(_quantiles(sketch, "lang", "source"), language, ["lang", "measure"])
-    columns = []
-    for name, (slack, low) in MEASURES.items():
-        mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q50") + SPREADS * (F.col("q50") - F.col("q10")) + slack)).alias(f"_llm_high_{name}"))
-        if low:
-            columns.append(F.max(F.when(mine, F.col("q50") - SPREADS * (F.col("q90") - F.col("q50")) - slack)).alias(f"_llm_low_{name}"))
-    return own.groupBy(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source")).agg(*columns)
+    fences = {k: v for name in MEASURES for k, v in _fences(name).items()}
+    return quantiles(sketch).select("_llm_lang", "_llm_source", *(F.expr(v).alias(f"_llm_{k}") for k, v in fences.items()))
 
 
 def verdicts(measured: DataFrame) -> DataFrame:
@@ -167,27 +191,25 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
-    columns = docs.columns
-    clash = {c: f"_own_{c}" for c in columns if c in (*METRICS, "base_failed", "kept")}
-    measured = written(with_metrics(docs.withColumnsRenamed(clash)), "quality-docs")
-    kept = verdicts(measured).where("kept").drop(*METRICS, "base_failed", "kept")
-    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*columns)
+    return through(docs, lambda inner: verdicts(written(with_metrics(inner), "quality-docs")).where("kept"))
 
 
 def _sql() -> str:
     ratios = {"symbols": "1000 * (n_symbols - n_bars) // n_words", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines // n_words", "repeats": "1000 * n_repeat_words // n_words", "word_length": "1000 * word_chars // n_words"}
 
     def level(name: str, keys: str) -> str:
-        at = ", ".join(f"min(bucket) FILTER (upto * 10 >= total * {t}) AS {q}" for q, t in TENTHS.items())
+        at = ", ".join(f"min(bucket) FILTER (upto * 1000 >= total * {t}) AS {q}" for q, t in QUANTILES.items())
         return f"""{name} AS (SELECT {keys} measure, max(total) AS docs, {at}
   FROM (SELECT {keys} measure, bucket, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS total FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sketch GROUP BY {keys} measure, bucket)) GROUP BY {keys} measure)"""
 
     def shrunk(name: str, keys: str, own: str, above: str, using: str) -> str:
-        mean = ", ".join(f"({own}.docs * {own}.{q} + {SHRINK} * {above}.{q}) // ({own}.docs + {SHRINK}) AS {q}" for q in TENTHS)
+        mean = ", ".join(f"({own}.docs * {own}.{q} + {SHRINK} * {above}.{q}) // ({own}.docs + {SHRINK}) AS {q}" for q in QUANTILES)
         return f"{name} AS (SELECT {keys} measure, {mean} FROM {own} JOIN {above} USING ({using}))"
 
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items()) + " END"
-    low = ", ".join(f"'{m}'" for m, (_, is_low) in MEASURES.items() if is_low)
+    ratios |= SIZES
+    wide = ", ".join(f"max({q}) FILTER (measure = '{m}') AS {m}_{q}" for m in (*MEASURES, *SIZES) for q in QUANTILES)
+    fences = ", ".join(f"{v.replace(' div ', ' // ')} AS {k}" for name in MEASURES for k, v in _fences(name).items())
+    bad = " OR ".join(f"(measure = '{m}' AND (value > high_{m}{f' OR value < low_{m}' if low else ''}))" for m, (_, low) in MEASURES.items())
     union = " UNION ALL ".join(f"SELECT rn, lang, source, '{m}' AS measure, {r} AS value FROM passed" for m, r in ratios.items())
     blank = "[\\x09-\\x0D ]"
     return f"""WITH base AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -200,12 +222,12 @@ m AS MATERIALIZED (SELECT rn, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_
   FROM base JOIN words USING (rn) LEFT JOIN lines USING (rn) LEFT JOIN repeated USING (rn)),
 j AS (SELECT *, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 passed AS (SELECT * FROM j WHERE NOT base_failed),
-v AS (SELECT *, greatest(length(bin(value)) - 6, 0) AS e FROM ({union})),
+v AS (SELECT *, greatest(length(bin(value)) - {BITS}, 0) AS e FROM ({union})),
 sketch AS (SELECT lang, source, measure, (value // CAST(pow(2, e) AS BIGINT)) * CAST(pow(2, e) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
 {level("own_q", "lang, source,")}, {level("lan_q", "lang,")}, {level("cor_q", "")},
 {shrunk("lan_s", "lang,", "lan_q", "cor_q", "measure")}, {shrunk("own_s", "lang, source,", "own_q", "lan_s", "lang, measure")},
-fences AS (SELECT lang, source, measure, q50 + {SPREADS} * (q50 - q10) + {slack} AS high, CASE WHEN measure IN ({low}) THEN q50 - {SPREADS} * (q90 - q50) - {slack} END AS low FROM own_s),
-bad AS (SELECT DISTINCT rn FROM v JOIN fences USING (lang, source, measure) WHERE value > high OR value < low)
+fences AS (SELECT lang, source, {fences} FROM (SELECT lang, source, {wide} FROM own_s GROUP BY lang, source)),
+bad AS (SELECT DISTINCT rn FROM v JOIN fences USING (lang, source) WHERE {bad})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_bars, base_failed, NOT base_failed AND rn NOT IN (SELECT rn FROM bad) AS kept FROM j"""
 
 
