@@ -2,8 +2,8 @@
 
 A byte-level pre-tokenizer always starts a new piece at a space or line feed that
 follows a character which is not white space, so the ids of a text are the ids of
-its segments, one after the other, where segments begin at such places. Words come
-back often; only segments not seen lately go through the tokenizers library.
+its segments, one after the other, where segments begin at such places. A vocabulary's added tokens (end of text and the like) are taken
+out first, as the library does. Words come back often; only segments not seen lately go through the tokenizers library.
 """
 
 from __future__ import annotations
@@ -90,7 +90,6 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -98,6 +97,11 @@ class SegmentEncoder:
         self.packed = [np.array([i], self.dtype).tobytes() for i in range(size)]
         self.line, self.marks = self._piece("\u010a"), {}
         self.limit, self.young = limit, _Segments(self._learn, {})
+        # a vocabulary's added tokens are cut out of a text before anything else; those with conditions are left to the library
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: self.packed[i] for i, t in added.items() if t.content}
+        self.strict = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -133,11 +137,21 @@ class SegmentEncoder:
                 self.marks[marks] = tail
         return tail
 
+    def _around_added(self, text: str) -> bytes:
+        """The ids of a text that has added tokens: their own, and those of the texts between them."""
+        if any(c in text for c in self.strict):
+            return self._plain([text])[0]
+        between = self.cut.split(text)
+        return b"".join(self.added[x] if i % 2 else self.raw([x])[0] for i, x in enumerate(between) if x)
+
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""
         get, out = self.young.__getitem__, []
         for t in texts:
-            out.append(self._plain([t])[0] if _has(t, _ODD) else b"".join(map(get, segment_keys(t))))
+            if self.cut is not None and any(c in t for c in self.added):
+                out.append(self._around_added(t))
+            else:
+                out.append(self._plain([t])[0] if _has(t, _ODD) else b"".join(map(get, segment_keys(t))))
         if len(self.young) > self.limit:
             self.young = _Segments(self._learn, dict(self.young))
         return out

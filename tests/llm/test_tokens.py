@@ -17,8 +17,19 @@ def encoder():
     return SegmentEncoder(tokenizer_path(), limit=500)
 
 
-def plain(encoder, text, end):
-    return [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+def plain(encoder, text, end, untouched={}):
+    """The ids of the tokenizers library by itself, with a tokenizer of its own."""
+    if not untouched:
+        from tokenizers import Tokenizer
+
+        untouched["it"] = Tokenizer.from_file(tokenizer_path())
+    return [*untouched["it"].encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_added_tokens(encoder):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a<|endoftext|>b\x1c", "<|endoftext", "x \n<|endoftext|>\n y", "<|endof<|endoftext|>text|>"]
+    assert [g.tolist() for g in encoder.encode(texts)] == [plain(encoder, t, 0)[:-1] for t in texts]
+    assert encoder.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
 
 
 def test_segments_give_the_ids_of_the_whole_text(encoder):
