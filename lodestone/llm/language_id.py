@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups, map_adding, sampled, texts_of
+from .shared import groups, map_adding, sampled, texts_of, through
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 14, 16, (2, 3, 4)
 #: Bounds of the sample.
@@ -254,7 +254,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that the model doesn't reject, with the columns of docs."""
-    columns = docs.columns
-    clash = {c: f"_own_{c}" for c in columns if c in ("lang_pred", "score", "rejected")}
-    kept = with_language(docs.withColumnsRenamed(clash), train(docs)).where("NOT rejected").drop("lang_pred", "score", "rejected")
-    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*columns)
+    return through(docs, lambda inner: with_language(inner, train(inner)).where("NOT rejected"))

@@ -8,7 +8,7 @@ Copies are then shuffled over all partitions and sorted by a hash, a random orde
 
 A null source is the source "". A source with no characters has rate 1. Repeated rows, and different rows of one id, get the same count
 each. Null and empty texts are replicated like others. Very long texts are only copied, never opened. Equal mix_keys (of rows that have id and copy in common) may come in either order. An empty
-table gives no rows. Columns named rate, copy or mix_key are replaced by `mix` and kept by `mixed`; others don't matter.
+table gives no rows. Columns named rate, copy or mix_key, in any case, are replaced by `mix` and kept by `mixed`; others don't matter.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, uneven_join, written
+from .shared import partitions, through, uneven_join, written
 
 SEED = 20
 #: Without given weights a source's target weight is its size to this power: small sources are raised, none vanishes.
@@ -71,7 +71,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
     Added: rate, copy (1, 2, ...) and mix_key, by which partitions are sorted. Columns of docs with these names are replaced.
     """
-    docs = docs.drop("rate", "copy", "mix_key")
+    return through(docs, lambda inner: _mix(inner, weights), ("rate", "copy", "mix_key"))
+
+
+def _mix(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     table = written(rates(docs, weights), "source-rates").withColumnsRenamed({"source": "_llm_source", "docs": "_llm_docs", "draws": "_llm_draws", "cdf": "_llm_cdf"})
     total = table.agg(F.sum("_llm_docs")).first()[0] or 0
     joined = uneven_join(docs.withColumn("_llm_source", _name()), table, "_llm_source", "_llm_docs", total)
@@ -87,9 +90,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """mix with the columns of docs only."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("rate", "copy", "mix_key")}
-    out = mix(docs.withColumnsRenamed(clash)).drop("rate", "copy", "mix_key")
-    return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    return through(docs, lambda inner: _mix(inner, None))
 
 
 #: For rates up to _MOST_MEAN.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_adding, partitions, portions, small, texts_of, uneven_join, written
+from .shared import map_adding, partitions, portions, small, texts_of, through, uneven_join, written
 
 THRESHOLD = 4
 
@@ -289,10 +289,13 @@ def simhash_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id (null last), the first such row as written."""
-    columns = docs.columns
+    return through(docs, _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     marked = written(with_fingerprint(docs).withColumn("_llm_row", F.monotonically_increasing_id()), "simhash-docs")
     narrow = marked.select("doc_id", "_llm_row", "_llm_fp")
     grouped = near_duplicates(narrow.withColumn("_llm_key", F.col("_llm_row")), key="_llm_key").select("doc_id", "_llm_row", F.col("component_id").alias("_llm_group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_llm_row"))
     stays = grouped.groupBy("_llm_group").agg(first.alias("first")).select(F.col("first._llm_row").alias("_llm_row"))
-    return marked.join(stays, "_llm_row", "left_semi").select(*columns)
+    return marked.join(stays, "_llm_row", "left_semi")

@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their own columns.
-CLASHING = ("score", "kept", "n_words", "copy", "rate", "mix_key", "lang_pred", "rejected", "base_failed", "component_id", "fingerprint", "log_weight", "predicted", "ids", "start")
+CLASHING = ("Rate2", "Score2", "_llm_fp", "_llm_source", "_llm_row", "_llm_key", "own_5", "a.b", "score", "kept", "n_words", "copy", "rate", "mix_key", "lang_pred", "rejected", "base_failed", "component_id", "fingerprint", "log_weight", "predicted", "ids", "start")
 
 ENGLISH = "the of and to in that is was for with on as by this from or have an they which one all were when there can more said what been who will out about time".split()
 GERMAN = "der die das und ist nicht ein eine mit auf für von dem den des sich auch als wird wurde haben werden oder über nach bei schon wie kann mehr".split()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -62,6 +63,28 @@ def test_quality_equals_sql(spark, corpus, edge):
     assert got == want
 
 
+def test_fences_follow_the_sketch(spark):
+    """A source whose ordinary symbol rate is doubled gets another fence and keeps its documents; junk beside them goes, also where nobody else has a symbol."""
+    rng = random.Random(9)
+
+    def text(rate, n=150):
+        return " ".join(rng.choice(["word", "text", "other", "thing", "some"]) + str(i) + ("#" if rng.random() < rate else "") for i in range(n))
+
+    def source(first, name, rate, junk):
+        return [(first + i, text(rate * (1 + i % 3 / 3)), "en", name, 0) for i in range(300)] + [(first + 300 + i, text(1).replace("#", "###"), "en", name, 0) for i in range(junk)]
+
+    found = {}
+    for rate in (0.1, 0.2):
+        rows = source(0, "plain", 0.0, 20) + source(1000, "marked", rate, 20)
+        measured = quality_rules.written(quality_rules.with_metrics(spark.createDataFrame(rows, SCHEMA)).drop("text"), "measured")
+        fences = {r._llm_source: r._llm_high_symbols for r in quality_rules.thresholds(quality_rules.written(quality_rules.sketches(measured), "sketch")).collect()}
+        kept = {r.doc_id: r.kept for r in quality_rules.verdicts(measured).collect()}
+        for first in (0, 1000):
+            assert sum(kept[first + i] for i in range(300)) >= 297 and not any(kept[first + 300 + i] for i in range(20))
+        found[rate] = fences
+    assert found[0.2]["marked"] > 1.3 * found[0.1]["marked"] and found[0.1]["marked"] > 2 * found[0.1]["plain"]
+
+
 def brute_level(window):
     return sum(int(D._G[n]) for n in Counter(window).values()) // D._SCALE
 
