@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder: its plan ends here, and lost executors lose nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder: its plan ends here, it is computed once, and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

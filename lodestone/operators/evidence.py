@@ -16,9 +16,9 @@ TOKEN_BUDGET, RESERVED, LEAST_BUDGET = 6000, 800, 256
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
-    """The best hit of each query and chunk over tools and rounds (column ord: the earlier of equals)."""
+    """The best hit of each query and chunk over tools and rounds (column ord: the earlier of equals); ord is when the chunk was first brought."""
     best = F.max_by(F.struct("tool", "score"), F.struct("score", -F.col("ord")))
-    return hits.groupBy("query_id", "chunk_id").agg(best.alias("b")).select("query_id", "chunk_id", "b.tool", "b.score")
+    return hits.groupBy("query_id", "chunk_id").agg(best.alias("b"), F.min("ord").alias("ord")).select("query_id", "chunk_id", "b.tool", "b.score", "ord")
 
 
 def graded(hits: DataFrame) -> DataFrame:

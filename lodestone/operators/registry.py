@@ -52,18 +52,53 @@ class Registry:
         tool = self.tools.get(name)
         if tool is None or not 1 <= k <= 100:
             return Outcome("failed", 0, error=f"no tool {name}" if tool is None else "k must be 1 to 100", error_type="validation")
-        for attempt in range(1, tool.max_retries + 2):
-            began = time.monotonic()
-            try:
-                hits = settled(tool.run(queries, min(k, tool.max_results)))
-                if time.monotonic() - began > tool.timeout_seconds:
-                    raise TimeoutError(f"{name} took more than {tool.timeout_seconds} s")
-                return Outcome("completed", attempt, hits)
-            except (TimeoutError, ConnectionError) as problem:
-                last = problem
-            except Exception as problem:  # whatever a tool raises is its outcome
-                return Outcome("failed", attempt, error=str(problem)[:500], error_type="internal")
-        return Outcome("failed", attempt, error=str(last)[:500], error_type="timeout" if isinstance(last, TimeoutError) else "connection", retryable=True)
+        hits, call = attempted(lambda: [settled(tool.run(queries, min(k, tool.max_results)))], tool.max_retries, tool.timeout_seconds)
+        return Outcome(call[0], call[1], hits[0] if hits else None, *call[2:])
+
+
+#: What a call of a tool for one question came to.
+CALL = "status string, attempts int, error string, error_type string, retryable boolean"
+
+
+def attempted(function: Callable[[], list], max_retries: int, timeout_seconds: float) -> tuple[list, tuple]:
+    """A call's results and its CALL: timeouts and lost connections are tried again, a late result counts as a timeout, other errors end it."""
+    for attempt in range(1, max_retries + 2):
+        began = time.monotonic()
+        try:
+            found = list(function())
+            if time.monotonic() - began > timeout_seconds:
+                raise TimeoutError(f"took more than {timeout_seconds} s")
+            return found, ("completed", attempt, None, None, False)
+        except TimeoutError as problem:
+            last = ("failed", attempt, str(problem)[:500], "timeout", True)
+        except ConnectionError as problem:
+            last = ("failed", attempt, str(problem)[:500], "connection", True)
+        except Exception as problem:  # whatever a tool raises is its outcome
+            return [], ("failed", attempt, str(problem)[:500], "internal", False)
+    return [], last
+
+
+def per_question(name: str, load: Callable[[], Callable[[str, int], list[tuple]]], key: str = "long", max_retries: int = 1, timeout_seconds: float = 30.0, **more) -> Tool:
+    """A tool of a Python function: question, k -> (chunk_id, score, source_id, content) of its hits, best first.
+
+    Each question is a call of its own: its errors are caught where it runs and come back as its row, so that other questions
+    of the table keep their hits. load makes the function once in each task. key: the type of chunk_id.
+    """
+
+    def run(queries: DataFrame, k: int) -> DataFrame:
+        def ask(batches):
+            function = load()
+            for b in batches:
+                rows = []
+                for query_id, question in zip(b["query_id"], b["question"], strict=True):
+                    found, call = attempted(lambda q=question: function(q, k), max_retries, timeout_seconds)
+                    rows += [(query_id, *hit, i, *call) for i, hit in enumerate(found[:k], 1)] or [(query_id, None, None, None, None, 0, *call)]
+                yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "source_id", "content", "rank", "status", "attempts", "error", "error_type", "retryable"], dtype=object)
+
+        id_type = queries.schema["query_id"].dataType.simpleString()
+        return queries.select("query_id", "question").mapInPandas(ask, f"query_id {id_type}, chunk_id {key}, score double, source_id string, content string, rank int, {CALL}")
+
+    return Tool(name, run, max_retries=0, **more)
 
 
 def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], dimensions: int, prefix: str = "passage: "):
@@ -82,19 +117,27 @@ def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], dimens
 
 
 def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]):
-    """hits with question and content -> hits with a raw score, by a model loaded once in each task."""
+    """hits with question and content -> query_id, chunk_id, raw and error, by a model loaded once in each task.
+
+    A question's hits are scored together; where that fails they have no score and the error. A question's hits are few: pools of tools.
+    """
 
     def run(hits: DataFrame) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
+        kind = lambda c: hits.schema[c].dataType.simpleString()
+        held: list = []
 
-        def score(batches):
-            model = load()
-            for b in batches:
-                scores = model(list(zip(b["question"], b["content"], strict=True)))
-                if len(scores) != len(b):
+        def score(rows: pd.DataFrame) -> pd.DataFrame:
+            raw, error = [None] * len(rows), None
+            try:
+                if not held:
+                    held.append(load())
+                raw = [float(s) for s in held[0](list(zip(rows["question"], rows["content"], strict=True)))]
+                if len(raw) != len(rows):
                     raise ValueError("the model gave another number of scores")
-                yield b.assign(raw=scores)
+            except Exception as problem:  # a question whose reranking fails keeps its order
+                raw, error = [None] * len(rows), str(problem)[:500]
+            return pd.DataFrame({"query_id": rows["query_id"], "chunk_id": rows["chunk_id"], "raw": pd.Series(raw, index=rows.index, dtype="float64"), "error": error})
 
-        return hits.drop("raw").mapInPandas(score, f"{fields}, raw double")
+        return hits.groupBy("query_id").applyInPandas(score, f"query_id {kind('query_id')}, chunk_id {kind('chunk_id')}, raw double, error string")
 
     return run

@@ -42,6 +42,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFra
     few = terms.select("term").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     small = F.broadcast if few else lambda df: df
     wanted = small(terms.select("term").distinct())
+    asked = bounded(terms)  # a row for each query and term: counted by itself
     tokens = chunks.select("chunk_id", tokenize("content").alias("tokens"))
     corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     found = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
@@ -50,7 +51,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFra
     weighed = tf.join(small(df), "term").join(F.broadcast(corpus))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
-    each = weighed.select("chunk_id", "term", (idf * gain).alias("w")).join(small(terms), "term")
+    each = weighed.select("chunk_id", "term", (idf * gain).alias("w")).join(asked, "term")
     scored = each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
     return scored if k is None else top(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
 
@@ -122,22 +123,23 @@ def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
 CANDIDATES = 20
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, embedded: Callable | None, mode: str = "hybrid") -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, embedded: Callable | None, mode: str = "hybrid", lexical: Callable | None = None) -> DataFrame:
     """The k best chunks of each query by both channels, or by one: query_id, chunk_id, score, method, rank.
 
-    embedded: chunks, queries, k -> hits of the dense channel; without it only the lexical one answers. Each channel brings a pool
+    embedded: chunks, queries, k -> hits of the dense channel; without it only the lexical one answers. lexical: queries, k -> hits of
+    the lexical channel, from an index say; without it BM25 scans the chunks. Each channel brings a pool
     of three times k, CANDIDATES at least. Where the dense channel has nothing, the lexical one answers, in mode dense too.
     """
     if mode not in ("hybrid", "dense", "lexical"):
         raise ValueError("mode is hybrid, dense or lexical")
     pool = max(3 * k, CANDIDATES)
-    lexical = bm25(chunks, queries, pool)
+    worded = bm25(chunks, queries, pool) if lexical is None else lexical(queries, pool)
     if embedded is None or mode == "lexical":
-        return lexical.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit("lexical").alias("method"), "rank")
+        return worded.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", F.lit("lexical").alias("method"), "rank")
     near = embedded(chunks, queries, pool)
     if mode == "dense":
-        lexical = lexical.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    return hybrid(near, lexical, k).select("query_id", "chunk_id", "score", "method", "rank")
+        worded = worded.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    return hybrid(near, worded, k).select("query_id", "chunk_id", "score", "method", "rank")
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, code_only: bool = True) -> DataFrame:
@@ -170,8 +172,20 @@ def overlap_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def rerank_identity(hits: DataFrame) -> DataFrame:
-    """Hits by retrieval score, without a rerank score."""
-    return top(hits.drop("rank").withColumn("rerank_score", F.lit(None).cast("double")), 1 << 30, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+    """Hits by retrieval score, without a rerank score; of equal ones that which was brought first (column ord, if there is one)."""
+    order = [F.desc("score"), *([F.asc("ord")] if "ord" in hits.columns else []), F.asc("chunk_id")]
+    return top(hits.drop("rank").withColumn("rerank_score", F.lit(None).cast("double")), 1 << 30, ["query_id"], order)
+
+
+def rerank_or_keep(hits: DataFrame, scored: DataFrame, failed: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, score, ord) by the logistic of a reranker's raw score (scored: query_id, chunk_id, raw); queries in failed keep their retrieval order.
+
+    retrieval_rank and rank are the places before and after; rerank_score is null where the reranker failed.
+    """
+    before = rerank_identity(hits).drop("rerank_score").withColumnRenamed("rank", "retrieval_rank")
+    joined = before.join(scored.select("query_id", "chunk_id", "raw"), ["query_id", "chunk_id"], "left").join(failed.select("query_id", F.lit(True).alias("_failed")), "query_id", "left")
+    kept = joined.withColumn("rerank_score", F.when(F.col("_failed").isNull(), F.round(squash(F.col("raw")), 9))).drop("raw", "_failed")
+    return top(kept, 1 << 30, ["query_id"], [F.desc_nulls_last("rerank_score"), F.asc("retrieval_rank")])
 
 
 def rerank(hits: DataFrame, raw: Column, k: int) -> DataFrame:

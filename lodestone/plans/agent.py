@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators.common import settled
+from ..operators.registry import CALL, Registry, Tool
 
 ROUNDS = {"naive": 1, "fixed_retrieval": 2, "agentic": 3}
 #: The answer to small talk, that without evidence, and the note on a replaced answer.
@@ -21,6 +22,19 @@ REPAIR_NOTE = "\n\n> 引用修复：原生成内容没有提供有效行内引
 _PARTS = 4  # a question has three parts at most; part p of question q asks as q * 4 + p
 
 
+_CALL = [tuple(f.split()) for f in CALL.split(", ")]
+
+
+def _reranked(reranker: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw scores, and the questions whose reranking failed with the error: all of them if the reranker failed as a whole."""
+    try:
+        scored = settled(reranker(pairs))
+    except Exception as problem:  # degradation, not the end of the job
+        none = pairs.select("query_id", "chunk_id", F.lit(None).cast("double").alias("raw")).limit(0)
+        return none, pairs.select("query_id", F.lit(str(problem)[:500]).alias("error")).distinct()
+    return scored, scored.where("error IS NOT NULL").select("query_id", "error").dropDuplicates(["query_id"])
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -35,14 +49,23 @@ def run(
     embedded: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
     web: Callable[[DataFrame, int], DataFrame] | None = None,
     generate: Callable[[DataFrame], DataFrame] | None = None,
+    lexical: Callable[[DataFrame, int], DataFrame] | None = None,
+    tools: list[Tool] | None = None,
+    reranker: Callable[[DataFrame], DataFrame] | None = None,
+    repair: bool = True,
 ) -> dict[str, DataFrame]:
     """Route, plan, retrieve, grade, rewrite, answer and verify questions (query_id long, question).
 
     embedded: the dense channel of semantic search (none: lexical only). web: queries, k -> query_id, chunk_id, source_id,
     content, score, used from the second round on. generate: evidence -> query_id, answer; the extractive report
-    answers where it does not.
+    answers where it does not. lexical: queries, k -> hits of semantic search's lexical channel (none: BM25 scans the chunks). tools take the place of
+    the loop's own of the same name. reranker: hits with question and content -> query_id, chunk_id, raw, error. Without repair answers stay as they were generated.
 
-    Returns plans, calls (a row for each tool and query, with what it brought), grades (a row for each question and round), evidence, raw
+    No failure ends the job. Each tool runs through the registry: if it fails as a whole, that is the outcome of its calls; one that asks question by question
+    (registry.per_question) returns each call's outcome as rows. Other tools' hits stay. A question whose reranking failed keeps
+    the retrieval order, in all later rounds too. Of hits with equal scores that which a tool brought first is first.
+
+    Returns plans, calls (a row for each tool and query, with what it brought, its status, attempts and error), reranking (query_id, status, error), grades (a row for each question and round), evidence, raw
     answers, citations and answers (query_id, answer, refused, action of the citation check). Rounds are written to the checkpoint folder, so plans don't grow;
     only whether questions are open comes to the driver.
     """
@@ -52,30 +75,65 @@ def run(
     small_talk = F.lower(F.trim("question")).isin(*T.GREETINGS)
     asked = F.array("question") if mode == "naive" else T.subquestions(F.col("question"))
     plans = settled(questions.where(~small_talk).select("query_id", "question", T.evidence_type(F.col("question")).alias("expected"), F.posexplode(asked).alias("part", "query")))
+    spark, known = chunks.sparkSession, plans.select("query_id", "question").distinct()
     open_, hits, calls, grades = plans, [], [], []
+    degraded = spark.createDataFrame([], "query_id long, error string")
+    given = {t.name for t in tools or []}
+    registry = Registry()
+    for tool in tools or []:
+        registry.register(tool)
+    own = {"semantic_document_search": lambda q, n: R.hybrid_search(active, q, n, embedded, lexical=lexical)}
+    if mode != "naive":
+        own |= {"code_keyword_search": lambda q, n: R.keyword_search(active, q, n), "github_issue_search": lambda q, n: R.overlap_search(issues, q, n)}
+    if web is not None:
+        own["web_search"] = web
+    for name, search in own.items():
+        if name not in given:
+            registry.register(Tool(name, search, max_results=depth, max_retries=1, timeout_seconds=float("inf")))
+    names = [n for n in ("semantic_document_search", "code_keyword_search", "github_issue_search", "web_search") if n in registry.tools]
+    with_web = "web_search" in registry.tools
     for n in range(1, rounds + 1):
-        ask = open_.select((F.col("query_id") * _PARTS + F.col("part")).alias("query_id"), F.col("query").alias("question"), E.tools(F.lit(mode), F.col("expected"), F.lit(n), web is not None).alias("tools"))
-        tools = {"semantic_document_search": lambda q: R.hybrid_search(active, q, depth, embedded)}
-        if mode != "naive":
-            tools |= {"code_keyword_search": lambda q: R.keyword_search(active, q, depth), "github_issue_search": lambda q: R.overlap_search(issues, q, depth)}
-        if web is not None and n > 1:
-            found = settled(web(ask.where(F.array_contains("tools", "web_search")).select("query_id", "question"), depth))
-            texts = texts.unionByName(found.select("chunk_id", "source_id", "content").dropDuplicates(["chunk_id"]))
-            tools["web_search"] = lambda q, found=found: found
-        brought = []
-        for place, (name, search) in enumerate(tools.items()):
-            rows = search(ask.where(F.array_contains("tools", name)).select("query_id", "question")).select("query_id", "chunk_id", "score")
-            order = n * 100 + F.col("part") * 10 + place
-            brought.append(rows.withColumn("part", (F.col("query_id") % _PARTS).cast("int")).select(F.expr(f"query_id div {_PARTS}").alias("query_id"), "part", "chunk_id", "score", F.lit(name).alias("tool"), order.alias("ord")))
-        brought = settled(_union(brought))
+        ask = open_.select((F.col("query_id") * _PARTS + F.col("part")).alias("query_id"), F.col("query").alias("question"), E.tools(F.lit(mode), F.col("expected"), F.lit(n), with_web).alias("tools"))
+        brought, outcomes = [], []
+        for place, name in enumerate(names):
+            if name == "web_search" and n == 1:
+                continue
+            wanted = ask.where(F.array_contains("tools", name)).select("query_id", "question")
+            done = registry.execute(name, wanted, depth)
+            asked_as = [F.expr(f"query_id div {_PARTS}").alias("query_id"), (F.col("query_id") % _PARTS).cast("int").alias("part"), F.lit(name).alias("tool")]
+            if done.hits is None or "status" not in done.hits.columns:
+                said = [F.lit(done.status), F.lit(done.attempts), F.lit(done.error), F.lit(done.error_type), F.lit(done.retryable)]
+                outcomes.append(wanted.select(*asked_as, *(c.cast(t).alias(f) for c, (f, t) in zip(said, _CALL, strict=True))))
+            else:
+                outcomes.append(done.hits.select(*asked_as, *(f for f, _ in _CALL)).distinct())
+            if done.hits is None:
+                continue
+            rows = done.hits.where("chunk_id IS NOT NULL")
+            if "content" in rows.columns:
+                texts = texts.unionByName(rows.select("chunk_id", "source_id", "content").dropDuplicates(["chunk_id"]).join(texts.select("chunk_id"), "chunk_id", "left_anti"))
+            place_in = F.col("rank") if "rank" in rows.columns else F.lit(0)
+            order = (F.lit(n * 100 + place).cast("long") + F.col("query_id") % _PARTS * 10) * 1000 + place_in
+            brought.append(rows.select(*asked_as, "chunk_id", "score", order.alias("ord")))
+        brought = settled(_union(brought)) if brought else spark.createDataFrame([], f"query_id long, part int, tool string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double, ord long")
         hits.append(brought.drop("part"))
-        each = open_.select("query_id", "part", "query", F.explode(E.tools(F.lit(mode), F.col("expected"), F.lit(n), web is not None)).alias("tool"))
+        each = open_.select("query_id", "part", "query", F.explode(E.tools(F.lit(mode), F.col("expected"), F.lit(n), with_web)).alias("tool"))
         seen = brought.join(texts.select("chunk_id", "source_id"), "chunk_id").groupBy("query_id", "part", "tool").agg(F.count("*").alias("results"), F.sort_array(F.collect_set("source_id")).alias("sources"), F.bround(F.max("score"), 4).alias("top_score"))
-        calls.append(each.join(seen, ["query_id", "part", "tool"], "left").select(F.lit(n).alias("round"), "query_id", "part", "tool", "query", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "top_score"))
-        ranked = R.rerank_identity(E.best_hits(_union(hits)))
+        key = ["query_id", "part", "tool"]
+        called = each.join(seen, key, "left").join(_union(outcomes), key, "left")
+        calls.append(settled(called.select(F.lit(n).alias("round"), "query_id", "part", "tool", "query", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "top_score", *(f for f, _ in _CALL))))
+        joined = open_.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "query"))), lambda x: x["query"]), " ").alias("question"))
+        best = E.best_hits(_union(hits))
+        if reranker is None:
+            ranked = R.rerank_identity(best)
+        else:
+            # all questions but those whose reranking failed before
+            pairs = best.join(texts, "chunk_id").join(known.join(degraded, "query_id", "left_anti"), "query_id")
+            scored, failed = _reranked(reranker, pairs.select("query_id", "chunk_id", "question", "content"))
+            degraded = settled(degraded.unionByName(failed))
+            ranked = R.rerank_or_keep(best, scored, degraded)
         if mode == "naive":
             break
-        joined = open_.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "query"))), lambda x: x["query"]), " ").alias("question"))
+        ranked = settled(ranked)
         first = ranked.where(F.col("rank") <= min(k, E.GRADED_HITS)).join(texts, "chunk_id")
         graded = E.graded(first.join(joined, "query_id"))
         reported = [F.bround(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in ("coverage", "relevance", "diversity")]
@@ -95,7 +153,6 @@ def run(
     final = history.groupBy("query_id").agg(F.max("sufficient").alias("ever"), best.alias("b"))
     counted = ranked.groupBy("query_id").agg(F.count("*").alias("hits"))
     weak = E.refuses(F.lit(mode), F.coalesce("ever", F.lit(True)), F.coalesce("hits", F.lit(0)), F.coalesce("b.coverage", F.lit(0.0)), F.coalesce("b.relevance", F.lit(0.0)))
-    known = plans.select("query_id", "question").distinct()
     fate = settled(known.join(final, "query_id", "left").join(counted, "query_id", "left").select("query_id", "question", weak.alias("refused")))
     kept = ranked.where(F.col("rank") <= k).join(texts, "chunk_id").join(fate.where("NOT refused").select("query_id", "question"), "query_id")
     evidence = settled(E.budgeted(E.registered(kept, k)))
@@ -105,8 +162,13 @@ def run(
         raw = raw.join(generate(evidence).select("query_id", F.col("answer").alias("given")), "query_id", "left").select("query_id", F.coalesce("given", "answer").alias("answer"))
     raw = settled(raw.select("query_id", F.coalesce("answer", F.lit(NO_EVIDENCE)).alias("answer")))
     as_run = lambda df: df.withColumnRenamed("query_id", "run_id")
-    checked = E.repaired(as_run(raw), as_run(evidence), as_run(quoted).withColumn("answer", F.concat("answer", F.lit(REPAIR_NOTE))))
+    if repair:
+        checked = E.repaired(as_run(raw), as_run(evidence), as_run(quoted).withColumn("answer", F.concat("answer", F.lit(REPAIR_NOTE))))
+    else:
+        checked = as_run(raw).select("run_id", "answer", F.lit("kept").alias("action"))
     checked = settled(checked.withColumnRenamed("run_id", "query_id"))
     talk = questions.where(small_talk).select("query_id", F.lit(GREETING).alias("answer"), F.lit(False).alias("refused"), F.lit("kept").alias("action"))
     answers = checked.join(fate.select("query_id", "refused"), "query_id").select("query_id", "answer", "refused", "action").unionByName(talk)
-    return {"plans": plans, "calls": _union(calls), "grades": history, "evidence": evidence, "raw": raw, "citations": E.citations(as_run(checked.select("query_id", "answer")), as_run(evidence)), "answers": answers}
+    status = F.when(F.col("error").isNotNull(), "degraded").otherwise("disabled" if reranker is None else "completed")
+    reranking = known.select("query_id").join(degraded, "query_id", "left").select("query_id", status.alias("status"), "error")
+    return {"plans": plans, "calls": _union(calls), "reranking": reranking, "grades": history, "evidence": evidence, "raw": raw, "citations": E.citations(as_run(checked.select("query_id", "answer")), as_run(evidence)), "answers": answers}

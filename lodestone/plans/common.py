@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import spread
+from ..operators import index as I
+from ..operators import retrieval as R
+from ..operators.common import shared_folder, spread
 
 _NUMBER = "CAST(substr(source, 4) AS INT)"
 
@@ -29,6 +31,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The inverted index of the active chunks: built by the first query that needs it, kept while the table's files stay the same."""
+    properties = {"chunks": "active", **I.state(spark, f"{sf_dir}/documents.parquet")}
+    return I.opened(spark, lambda: R.active(chunks(spark, sf_dir)), shared_folder(spark), properties, ("lang", "source_id"))
+
+
+def lexical(spark: SparkSession, sf_dir: str, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """The k best active chunks of each question by BM25, from the index."""
+    return I.search(index_of(spark, sf_dir), questions(spark, sf_dir) if asked is None else asked, k)
+
+
 CHUNKS = f"""chunks AS (SELECT doc_id AS chunk_id, source AS source_id, text AS content, lang, CASE WHEN {_NUMBER} % 7 = 6 THEN 'deleted' ELSE 'completed' END AS status, CASE WHEN {_NUMBER} % 3 = 0 THEN 'code' ELSE 'docs' END AS category FROM documents)"""
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from . import agent
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
+from .common import CHUNKS, QUESTIONS, bm25, chunks, lexical, questions, table, tokens
 from .search import _NEAREST, _channels, embedding_hits
 
 Q, SQL = {}, {}
@@ -81,7 +81,7 @@ def best_hit_dedupe(spark, sf):
 
 def _ranked(spark, sf, k=20):
     c, q = R.active(chunks(spark, sf)), questions(spark, sf)
-    return R.bm25(c, q, k).join(c.select("chunk_id", "source_id", "content"), "chunk_id").join(q, "query_id")
+    return lexical(spark, sf, k).join(c.select("chunk_id", "source_id", "content"), "chunk_id").join(q, "query_id")
 
 
 _RANKED = f"""{CHUNKS}, {QUESTIONS}, {bm25('hits', "SELECT * FROM chunks WHERE status = 'completed'", 20)},
@@ -232,7 +232,7 @@ def _issues(spark, sf):
 
 def _loop(mode):
     def f(spark, sf):
-        return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), mode, embedded=embedding_hits)["answers"]
+        return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), mode, embedded=embedding_hits, lexical=lambda q, k: lexical(spark, sf, k, q))["answers"]
 
     f.__name__ = {"naive": "naive_loop", "fixed_retrieval": "fixed_loop", "agentic": "agentic_loop"}[mode]
     f.__doc__ = f"Answers of the {mode} loop for all questions, with hybrid search over hashed embeddings, which have no SQL."
@@ -248,4 +248,4 @@ r AS (SELECT query_id, '## 研究结论' || chr(10) || chr(10) || '问题：' ||
 SELECT query_id, CASE WHEN lower(trim(question)) IN ({_list(T.GREETINGS)}) THEN '{agent.GREETING}' ELSE coalesce(answer, '{agent.NO_EVIDENCE}') END AS answer, false AS refused, 'kept' AS action FROM questions LEFT JOIN r USING (query_id)""")
 def naive_loop_lexical(spark, sf):
     """The naive loop over the lexical channel alone, from route to citation check."""
-    return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), "naive")["answers"]
+    return agent.run(chunks(spark, sf), _issues(spark, sf), questions(spark, sf), "naive", lexical=lambda q, k: lexical(spark, sf, k, q))["answers"]

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.python import hash_embedding
+from ..operators import index as I
 from ..operators import retrieval as R
-from .common import CHUNKS, QUESTIONS, bm25, chunks, questions, table, tokens
+from .common import CHUNKS, QUESTIONS, bm25, chunks, index_of, lexical, questions, table, tokens
 
 Q, SQL = {}, {}
 
@@ -28,10 +29,16 @@ _ACTIVE = "SELECT * FROM chunks WHERE status = 'completed'"
 @query(f"WITH {CHUNKS}, {QUESTIONS}, {bm25('hits', _ACTIVE, 5)} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits")
 def bm25_topk(spark, sf):
     """The five best chunks of each question by BM25."""
-    hits = R.bm25(R.active(chunks(spark, sf)), questions(spark, sf), 5)
+    hits = lexical(spark, sf, 5)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def bm25_index_work(spark, sf):
+    """Of each question: the blocks that have one of its terms, those whose bound reached its fifth best score, and the chunks scored in them."""
+    return I.search(index_of(spark, sf), questions(spark, sf), 5, work=True)
+
+
 @query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, t[1] AS first_term FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)")
 def tokenize_terms(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("t"))
@@ -114,7 +121,7 @@ def _channels(spark, sf, k=20):
     c, q, v = R.active(chunks(spark, sf)), questions(spark, sf), _vectors(spark, sf)
     stored = v.join(c.select("chunk_id"), "chunk_id", "left_semi")
     asked = v.select(F.col("chunk_id").alias("query_id"), "vector").join(q.select("query_id"), "query_id", "left_semi")
-    return R.dense(stored, asked, k), R.bm25(c, q, k)
+    return R.dense(stored, asked, k), lexical(spark, sf, k)
 
 
 _NEAREST = """a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qv.vec_id AS query_id, cv.vec_id AS chunk_id, round(list_cosine_similarity(list_transform(cv.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(qv.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score
@@ -145,7 +152,7 @@ def hybrid_mode_dispatch(spark, sf):
 @query()
 def hybrid_search(spark, sf):
     """Hashed embeddings and BM25 of whole texts fused; embeddings have no SQL, a test compares with plain Python."""
-    fused = R.hybrid_search(R.active(chunks(spark, sf)), questions(spark, sf), 10, embedding_hits)
+    fused = R.hybrid_search(R.active(chunks(spark, sf)), questions(spark, sf), 10, embedding_hits, lexical=lambda q, k: lexical(spark, sf, k, q))
     return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
@@ -173,7 +180,7 @@ _HITS = f"{CHUNKS}, {QUESTIONS}, {bm25('hits', _ACTIVE, 20)}"
 
 
 def _hits(spark, sf):
-    return R.bm25(R.active(chunks(spark, sf)), questions(spark, sf), 20)
+    return lexical(spark, sf, 20)
 
 
 @query(f"WITH {_HITS} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(NULL AS DOUBLE) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM hits")

@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
+from lodestone.operators import retrieval as R
+from lodestone.operators.registry import Tool, per_question, reranker
 from lodestone.plans import agent
 from reference_search import bm25, terms
 
@@ -33,18 +36,35 @@ def best(scored, n):
     return sorted(((c, s) for c, s in scored.items() if s > 0), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def searched(tool, query, chunks, issues):
+def dense(query, chunks):
+    """A stand-in for the dense channel: a chunk is near a query if their first words begin alike, or a little by its number."""
+    first = (terms(query) or ["?"])[0][0]
+    return best({c: 0.9 if t[:1] == first else 0.5 if c % 11 == 3 else 0 for c, _, t, status, _ in chunks if status == "completed"}, 20)
+
+
+def fused(a, b, n):
+    """Reciprocal rank fusion of two channels, best first; one that is alone keeps its scores."""
+    if not a or not b:
+        return (a or b)[:n]
+    place = [{c: i for i, (c, _) in enumerate(x, 1)} for x in (a, b)]
+    score = {c: round(sum(1 / (60 + p[c]) for p in place if c in p) / (2 / 61), 9) for c in {**place[0], **place[1]}}
+    last = 10**9
+    return sorted(score.items(), key=lambda x: (-x[1], place[0].get(x[0], last), place[1].get(x[0], last), x[0]))[:n]
+
+
+def searched(tool, query, chunks, issues, both=False):
     active = {c: t for c, _, t, status, _ in chunks if status == "completed"}
     asked = list(dict.fromkeys(terms(query)))
     if tool == "semantic_document_search":
-        return best({c: round(s, 9) for c, s in bm25(active, query).items()}, 20)
+        lexical = best({c: round(s, 9) for c, s in bm25(active, query).items()}, 60 if both else 20)
+        return fused(dense(query, chunks), lexical, 20) if both else lexical
     if tool == "code_keyword_search":
         code = {c: t for c, _, t, status, category in chunks if status == "completed" and category == "code"}
         return best({c: min(1.0, sum(t.lower().count(a) for a in asked) / 5) for c, t in code.items()}, 20)
     return best({c: round(len(set(asked) & set(terms(t))) / max(1, len(asked)), 9) for c, t in issues}, 20)
 
 
-def plain(question, mode, chunks, issues, web=None):
+def plain(question, mode, chunks, issues, web=None, both=False, broken=()):
     """Grades, evidence and whether the question is refused, as the loop has them."""
     low = question.lower()
     expected = "issues" if any(c in low for c in T.ISSUE_CUES) else "code" if any(c in low for c in T.CODE_CUES) else "mixed"
@@ -57,9 +77,9 @@ def plain(question, mode, chunks, issues, web=None):
             tools = ["semantic_document_search"]
             tools += ["code_keyword_search"] if mode != "naive" and expected in ("code", "mixed") else []
             tools += ["github_issue_search"] if mode != "naive" and expected in ("issues", "mixed") else []
-            for c, s in [x for t in tools for x in searched(t, q, chunks, issues)] + ([(c, s) for c, _, s in web] if web and n > 1 else []):
+            for c, s in [x for t in tools if (t, question) not in broken and t not in broken for x in searched(t, q, chunks, issues, both)] + ([(c, s) for c, _, s in web] if web and n > 1 else []):
                 hits[c] = max(hits.get(c, s), s)
-        ranked = sorted(hits, key=lambda c: (-hits[c], c))
+        ranked = sorted(hits, key=lambda c: -hits[c])  # stable: of equal scores that which was brought first
         if mode == "naive":
             break
         asked = {t for t in terms(" ".join(queries)) if len(t) > 1 and t not in T.QUESTION_STOP_WORDS}
@@ -124,3 +144,98 @@ def test_answers_are_verified_and_repaired(spark):
     assert {q: r.action for q, r in got.items()} == {1: "stripped", 2: "replaced", 3: "kept"}
     assert "[S99]" not in got[1].answer and got[2].answer.endswith(agent.REPAIR_NOTE)
     assert all(r.known for r in out["citations"].collect())
+
+
+def test_both_channels_equal_the_plain_version(spark):
+    chunks, issues, questions = corpus()
+
+    def embedded(c, q, k):
+        rows = [(i, t, s) for i, text in [(r.query_id, r.question) for r in q.collect()] for t, s in dense(text, chunks)]
+        return R.top(spark.createDataFrame(rows, "query_id long, chunk_id long, score double"), k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+
+    out = agent.run(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(issues, "chunk_id long, content string"), spark.createDataFrame(questions, "query_id long, question string"), "agentic", embedded=embedded)
+    evidence = out["evidence"].collect()
+    for q, question in questions[1:]:
+        want = plain(question, "agentic", chunks, issues, both=True)[1]
+        assert [r.chunk_id for r in sorted((r for r in evidence if r.query_id == q), key=lambda r: r.number)] == want, question
+
+
+def broken_tools(chunks, issues):
+    """Semantic search that fails as a whole; issue search that asks question by question, fails for one and needs two attempts for others."""
+
+    def fails(queries, k):
+        raise TimeoutError("semantic backend timed out")
+
+    def load():
+        tried = set()
+
+        def ask(question, k):
+            if "issue of shards" in question:
+                raise RuntimeError("no such index")
+            if question not in tried:
+                tried.add(question)
+                raise ConnectionError("reset")
+            return [(c, s, "issues", dict(issues)[c]) for c, s in searched("github_issue_search", question, chunks, issues)]
+
+        return ask
+
+    return [Tool("semantic_document_search", fails, max_retries=1), per_question("github_issue_search", load, max_retries=1)]
+
+
+def test_a_failing_tool_leaves_other_evidence(spark):
+    """The loop ends, other tools' and other questions' evidence is that of the plain version without the failed calls, and calls say what failed."""
+    chunks, issues, questions = corpus()
+    out = agent.run(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(issues, "chunk_id long, content string"), spark.createDataFrame(questions, "query_id long, question string"), "agentic", tools=broken_tools(chunks, issues))
+    evidence, calls, answers = out["evidence"].collect(), out["calls"].collect(), {r.query_id: r for r in out["answers"].collect()}
+    assert len(answers) == len(questions)
+    for q, question in questions[1:]:
+        want = plain(question, "agentic", chunks, issues, broken=("semantic_document_search", ("github_issue_search", "an issue of shards")))
+        got = [r.chunk_id for r in sorted((r for r in evidence if r.query_id == q), key=lambda r: r.number)]
+        assert got == want[1] and answers[q].refused == want[2], question
+    status = {(r.query_id, r.tool): (r.status, r.attempts, r.error, r.error_type, r.retryable) for r in calls}
+    assert all(v == ("failed", 2, "semantic backend timed out", "timeout", True) for (q, t), v in status.items() if t == "semantic_document_search")
+    assert status[5, "github_issue_search"] == ("failed", 1, "no such index", "internal", False)
+    assert status[2, "github_issue_search"][:2] == ("completed", 2) and status[4, "code_keyword_search"] == ("completed", 1, None, None, False)
+    assert any(evidence) and all(r.results == 0 for r in calls if r.status == "failed")
+
+
+def test_a_failing_reranker_degrades_to_retrieval_order(spark):
+    chunks, issues, _ = corpus()
+    questions = [(i, t) for i, t in enumerate(["queue worker retry lease", "vector index search code", "cache shard batch"], 1)]
+    tables = spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(issues, "chunk_id long, content string"), spark.createDataFrame(questions, "query_id long, question string")
+
+    def load():
+        def model(pairs):
+            if "vector" in pairs[0][0]:
+                raise RuntimeError("reranker unavailable")
+            return [-len(c) / 50 for _, c in pairs]
+
+        return model
+
+    plainly = agent.run(*tables, "agentic")["evidence"].collect()
+    out = agent.run(*tables, "agentic", reranker=reranker(load))
+    got = out["evidence"].collect()
+    order = lambda rows, q: [r.chunk_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.number)]
+    assert {r.query_id: (r.status, r.error) for r in out["reranking"].collect()} == {1: ("completed", None), 2: ("degraded", "reranker unavailable"), 3: ("completed", None)}
+    assert order(got, 2) == order(plainly, 2) and all(r.rerank_score is None for r in got if r.query_id == 2)
+    for q in (1, 3):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.number)
+        lengths = [len(dict((c, t) for c, _, t, *_ in chunks).get(r.chunk_id) or dict(issues)[r.chunk_id]) for r in mine]
+        assert lengths == sorted(lengths) and all(r.rerank_score is not None for r in mine)
+
+    def whole(hits):
+        raise OSError("no model file")
+
+    out = agent.run(*tables, "naive", reranker=whole)
+    assert {(r.status, r.error) for r in out["reranking"].collect()} == {("degraded", "no model file")}
+    assert order(out["evidence"].collect(), 1) == order(agent.run(*tables, "naive")["evidence"].collect(), 1)
+
+
+def test_repair_can_be_switched_off(spark):
+    chunks, issues, _ = corpus()
+    questions = spark.createDataFrame([(1, "queue worker retry lease")], "query_id long, question string")
+    generate = lambda evidence: evidence.where("number = 1").selectExpr("query_id", "'Unsupported marker [S99].' AS answer")
+    tables = spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(issues, "chunk_id long, content string"), questions
+    off, on = (agent.run(*tables, "agentic", generate=generate, repair=r) for r in (False, True))
+    assert off["answers"].first().answer == "Unsupported marker [S99]." and [(r.evidence_id, r.valid) for r in off["citations"].collect()] == [("S99", False)]
+    assert "[S99]" not in on["answers"].first().answer
