@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.python import bootstrap_mean, fact_coverage, percentile_places
 from ..functions.text import phrase_share
 from .common import rank
 from .evidence import SUPPORT, citations
+from .quantiles import percentiles, selected
 
 CUTOFFS = (1, 3, 5, 10)
 
@@ -40,24 +46,18 @@ def retrieval_metrics(hits: DataFrame, required: DataFrame, cutoffs: tuple[int,
     return listed.select("query_id", *recall, first.alias("mrr"), ndcg.alias("ndcg_at_10"))
 
 
-def percentile(column: str, p: float) -> Column:
-    """The interpolated median for one half, else the value at the nearest rank; null of nothing."""
-    return F.median(column) if p == 0.5 else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("double")
-
-
 def run_summary(runs: DataFrame) -> DataFrame:
     """One row: runs, completed ones, their latencies and tokens, tool calls, cache hits (null for none)."""
     done = F.col("status") == "completed"
-    latency = F.when(done, F.col("latency_ms"))
-    return runs.select("*", latency.alias("_l")).agg(
+    counts = runs.agg(
         F.count("*").alias("run_count"),
         F.count(F.when(done, 1)).alias("completed_count"),
-        percentile("_l", 0.5).alias("p50_latency_ms"),
-        percentile("_l", 0.95).alias("p95_latency_ms"),
         F.coalesce(F.sum(F.when(done, F.col("tokens"))), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("tool_calls"), F.lit(0)).alias("total_tool_calls"),
         F.nullif(F.sum(F.when(done, F.col("cache_hits"))), F.lit(0)).alias("cache_hits"),
     )
+    latency = percentiles(runs.where(done), [], "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    return counts.withColumn("_one", F.lit(1)).join(latency.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")  # one row each
 
 
 def bootstrap(values: DataFrame, by: str, value: str, seed: int, samples: int = 2_000) -> DataFrame:
@@ -73,32 +73,52 @@ def bootstrap(values: DataFrame, by: str, value: str, seed: int, samples: int =
 
 
 def bootstrap_by_hash(values: DataFrame, by: str, value: str, samples: int = 2_000) -> DataFrame:
-    """by, low, high for groups of any size: a row counts in each sample as often as a Poisson number of mean one, hashed from group, sample and row.
+    """by, mean, low, high for groups of any size: a row counts in each sample as often as a Poisson number of mean one, hashed from group, row and sample.
 
-    The weights of a row need no other row, so one aggregation makes all samples: partial sums of `samples` numbers in each
-    group and task. A different estimator from the exact one, with the same distribution. _order: a unique number of the row.
+    One hash of a row gives two numbers a and b; sample s takes (a + s b) modulo 2^48, so the weights of a row are independent for any two samples. The
+    weights of a row need no other row: each task adds up vectors of `samples` sums for each group, and only these shuffle, however many rows there are. A
+    different estimator from the exact one, with the same distribution. _order: a unique number of the row. Null values don't count.
     """
-    cdf = list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18)))
-    key = lambda s: F.md5(F.concat_ws("|", F.col(by).cast("string"), s.cast("string"), F.col("_order").cast("string")).cast("binary"))
-    uniform = F.conv(F.substring(key(F.col("s")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    drawn = values.select(by, value, "_order", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")).select(by, value, "s", uniform.alias("u"))
-    n = sum(((F.col("u") >= F.lit(c)).cast("int") for c in cdf), F.lit(0))
-    means = drawn.select(by, value, "s", n.alias("n")).groupBy(by, "s").agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("m"))
-    ordered = means.groupBy(by).agg(F.sort_array(F.collect_list("m")).alias("m"))  # `samples` numbers a group
+    cdf = np.array(list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18))))
+    digest = F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("_order").cast("string")).cast("binary"))
+    number = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
+    hashed = values.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).cast("double").alias("value"), number(1).alias("a"), number(13).alias("b"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, sums = np.arange(samples, dtype=np.int64), {}
+        for batch in batches:
+            v, a, b = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            places = defaultdict(list)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                places[key].append(i)
+            for key, mine in places.items():
+                total = sums.setdefault(key, np.zeros((2, samples)))
+                for some in np.array_split(np.array(mine), -(-len(mine) // 512)):
+                    u = ((a[some, None] + steps * b[some, None]) & (1 << 48) - 1) / float(1 << 48)
+                    n = np.searchsorted(cdf, u, side="right")
+                    total += v[some] @ n, n.sum(0)
+            if len(sums) > held:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+
+    def rows(sums: dict) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("by", kind), ("s", pa.int32()), ("total", pa.float64()), ("n", pa.float64())])
+        for key, (total, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * samples, kind), pa.array(np.arange(samples, dtype=np.int32)), pa.array(total), pa.array(n)], schema=schema)
+
+    kind, held = to_arrow_type(values.schema[by].dataType), 1000  # groups whose sums a task holds at once
+    parts = hashed.mapInArrow(add, f"by {values.schema[by].dataType.simpleString()}, s int, total double, n double")
+    means = parts.groupBy("by", "s").agg((F.sum("total") / F.sum("n")).alias("m"))
+    ordered = means.groupBy("by").agg(F.sort_array(F.collect_list("m")).alias("m"))  # `samples` numbers a group
     low, high = percentile_places(samples, 0.95)
     at = lambda k: F.round(F.get("m", F.lit(k)), 9)
-    return ordered.select(by, at(low).alias("low"), at(high).alias("high"))
+    return ordered.select(F.col("by").alias(by), at(low).alias("low"), at(high).alias("high"))
 
 
 def value_at(rows: DataFrame, by: str, value: str, place, name: str) -> DataFrame:
-    """by and the value at a place (from 1; a Column function of the group's size) of each group in ascending order.
-
-    By counts of each distinct value and their running sums, so no group is collected.
-    """
-    counted = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(by)
-    summed = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_at", place(F.sum("_n").over(w)))
-    return summed.where(F.col("_upto") >= F.col("_at")).groupBy(by).agg(F.min(value).alias(name))
+    """by and the value at a place (from 1; a Column function of the group's size) of each group in ascending order."""
+    return selected(rows, [by], value, {name: place(F.col("n"))})
 
 
 def token_recall(reference: Column, answer: Column) -> Column:
@@ -177,18 +197,20 @@ NAMED_MEANS = {
 
 
 def score_summary(rows: DataFrame) -> DataFrame:
-    """Means, rates and ratios of run_scores by mode; the interval of correctness comes from a bootstrap."""
+    """Means, rates and ratios of run_scores by mode, latencies, and the interval of correctness by a hashed bootstrap."""
     mean = lambda c, name: F.round(F.avg(F.col(c).cast("double")), 9).alias(name)
     tried = F.col("rewrite_attempts") > 0
-    return rows.groupBy("mode").agg(
+    latency = percentiles(rows, ["mode"], "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    interval = bootstrap_by_hash(rows.withColumn("_order", F.col("run_id")), "mode", "correctness").select("mode", F.col("low").alias("correctness_low"), F.col("high").alias("correctness_high"))
+    out = rows.groupBy("mode").agg(
         F.count("*").alias("questions"), F.count(F.when(F.col("status") == "completed", 1)).alias("completed"),
         *(mean(c, c) for c in MEANS), *(mean(c, name) for name, c in NAMED_MEANS.items()),
         F.round(F.avg(tried.cast("double")), 9).alias("rewrite_trigger_rate"),
         F.round(F.sum("rewrite_successes") / F.greatest(F.lit(1), F.sum("rewrite_attempts")), 9).alias("rewrite_success_rate"),
         F.round(F.coalesce(F.avg(F.when(tried, F.col("rewrite_quality_gain"))), F.lit(0.0)), 9).alias("average_rewrite_quality_gain"),
         F.round(F.sum("estimated_cost_usd"), 9).alias("total_estimated_cost_usd"),
-        percentile("latency_ms", 0.5).alias("p50_latency_ms"), percentile("latency_ms", 0.95).alias("p95_latency_ms"),
     )
+    return out.join(latency, "mode").join(interval, "mode", "left")
 
 
 def compared(rows: DataFrame, modes: list[str], seed: int, samples: int = 2_000) -> DataFrame:

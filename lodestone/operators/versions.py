@@ -111,9 +111,13 @@ class Versions:
         rows belong to replaced parts only. Properties of base stay unless given.
         """
         kept = {p: f for p, f in base.parts.items() if replaced is not None and p not in replaced} if base else {}
-        schema = rows.schema.json()
-        if kept and base and [(f["name"], f["type"]) for f in json.loads(schema)["fields"]] != [(f["name"], f["type"]) for f in json.loads(base.schema)["fields"]]:
+        known = StructType.fromJson(json.loads(base.schema)) if base else rows.schema
+        types = lambda s: {f.name: f.dataType.simpleString() for f in s.fields}
+        if types(rows.schema) == types(known):
+            rows = rows.select(*known.names)
+        elif kept:
             raise ValueError("a part can't have another schema than the table")
+        schema = rows.schema.json()
         folder = f"{self.path}/data-{uuid.uuid4().hex}"
         rows.withColumn("_part", self.part()).write.partitionBy("_part").parquet(folder)
         new = {n.split("=", 1)[1]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("_part=")}

@@ -9,6 +9,7 @@ from ..functions.python import fact_coverage
 from ..operators import evaluation as V
 from ..operators import evidence as E
 from ..operators import retrieval as R
+from ..operators.quantiles import percentiles
 from .common import CHUNKS, QUESTIONS, bm25, chunks, lexical, questions, table, tokens
 from .evidence import _EVIDENCE, _SUPPORT, _ranked
 
@@ -143,8 +144,17 @@ def run_scores(spark, sf):
     return _scores(spark, sf).withColumns({c: F.round(F.col(c).cast("double"), 9) for c in _ROUNDED})
 
 
-@query(f"""WITH {_SCORES} SELECT mode, count(*) AS questions, count(*) FILTER (status = 'completed') AS completed, {', '.join(f'round(avg(CAST({c} AS DOUBLE)), 9) AS {c}' for c in V.MEANS)}, {', '.join(f'round(avg(CAST({c} AS DOUBLE)), 9) AS {n}' for n, c in V.NAMED_MEANS.items())},
-round(avg(CAST(rewrite_attempts > 0 AS INT)), 9) AS rewrite_trigger_rate, round(sum(rewrite_successes) / CAST(greatest(1, sum(rewrite_attempts)) AS DOUBLE), 9) AS rewrite_success_rate, round(coalesce(avg(CAST(rewrite_quality_gain AS DOUBLE)) FILTER (rewrite_attempts > 0), 0), 9) AS average_rewrite_quality_gain, round(sum(CAST(estimated_cost_usd AS DOUBLE)), 9) AS total_estimated_cost_usd, median(CAST(latency_ms AS DOUBLE)) AS p50_latency_ms, quantile_disc(CAST(latency_ms AS DOUBLE), 0.95) AS p95_latency_ms FROM scores GROUP BY mode""")
+#: CTEs of the hashed bootstrap's interval for v (key, value, row): one hash a row, 2,000 samples.
+_INTERVAL = """p AS (SELECT 0 AS k, exp(-1.0) AS c UNION ALL SELECT k, sum(exp(-1.0) / gamma(k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) + exp(-1.0) FROM (SELECT unnest(range(1, 18)) AS k)),
+h AS (SELECT key, value, md5(key || '|' || row) AS m FROM v WHERE value IS NOT NULL), s AS (SELECT unnest(range(0, 2000)) AS s),
+u AS (SELECT key, s, value, ((CAST('0x' || substr(m, 1, 12) AS BIGINT) + s * CAST('0x' || substr(m, 13, 12) AS BIGINT)) % 281474976710656) / 281474976710656.0 AS u FROM h, s),
+w AS (SELECT key, s, value, (SELECT count(*) FROM p WHERE c <= u) AS n FROM u),
+means AS (SELECT key, s, sum(n * value) / CAST(sum(n) AS DOUBLE) AS m FROM w GROUP BY key, s), lists AS (SELECT key, list(m ORDER BY m) AS m FROM means GROUP BY key),
+interval AS (SELECT key, round(m[51], 9) AS low, round(m[1950], 9) AS high FROM lists)"""
+
+
+@query(f"""WITH {_SCORES}, v AS (SELECT mode AS key, CAST(correctness AS DOUBLE) AS value, run_id AS row FROM scores), {_INTERVAL} SELECT mode, any_value(low) AS correctness_low, any_value(high) AS correctness_high, count(*) AS questions, count(*) FILTER (status = 'completed') AS completed, {', '.join(f'round(avg(CAST({c} AS DOUBLE)), 9) AS {c}' for c in V.MEANS)}, {', '.join(f'round(avg(CAST({c} AS DOUBLE)), 9) AS {n}' for n, c in V.NAMED_MEANS.items())},
+round(avg(CAST(rewrite_attempts > 0 AS INT)), 9) AS rewrite_trigger_rate, round(sum(rewrite_successes) / CAST(greatest(1, sum(rewrite_attempts)) AS DOUBLE), 9) AS rewrite_success_rate, round(coalesce(avg(CAST(rewrite_quality_gain AS DOUBLE)) FILTER (rewrite_attempts > 0), 0), 9) AS average_rewrite_quality_gain, round(sum(CAST(estimated_cost_usd AS DOUBLE)), 9) AS total_estimated_cost_usd, median(CAST(latency_ms AS DOUBLE)) AS p50_latency_ms, quantile_disc(CAST(latency_ms AS DOUBLE), 0.95) AS p95_latency_ms FROM scores LEFT JOIN interval ON mode = key GROUP BY mode""")
 def mode_summary(spark, sf):
     return V.score_summary(_scores(spark, sf))
 
@@ -171,7 +181,7 @@ def run_comparability(spark, sf):
 
 @query("SELECT l_returnflag, median(l_extendedprice) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY l_returnflag")
 def latency_percentiles(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(V.percentile("l_extendedprice", 0.5).alias("p50"), V.percentile("l_extendedprice", 0.95).alias("p95"))
+    return percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH r AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS latency_ms, event_id % 700 AS tokens, event_id % 4 AS tool_calls FROM events)
@@ -185,11 +195,13 @@ def run_summary(spark, sf):
 @query("""SELECT event_type, count(*) FILTER (event_id % 10 <> 0) AS completed, count(*) FILTER (event_id % 10 = 0) AS failed, round(count(*) FILTER (event_id % 10 <> 0) / CAST(count(*) AS DOUBLE), 9) AS success_rate, count(DISTINCT CASE WHEN event_id % 10 = 0 THEN user_id % 3 END) AS error_types, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS wall_seconds, median(value) AS p50, quantile_disc(value, 0.95) AS p95, round(count(*) FILTER (event_id % 10 <> 0) / CAST(greatest(1, floor(epoch(max(ts))) - floor(epoch(min(ts)))) AS DOUBLE), 9) AS throughput FROM events GROUP BY event_type""")
 def concurrency_stats(spark, sf):
     failed = F.col("event_id") % 10 == 0
-    return table(spark, sf, "events").groupBy("event_type").agg(
+    e = table(spark, sf, "events")
+    out = e.groupBy("event_type").agg(
         F.count(F.when(~failed, 1)).alias("completed"), F.count(F.when(failed, 1)).alias("failed"), F.round(F.count(F.when(~failed, 1)) / F.count("*"), 9).alias("success_rate"),
-        F.count_distinct(F.when(failed, F.col("user_id") % 3)).alias("error_types"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("wall_seconds"), V.percentile("value", 0.5).alias("p50"), V.percentile("value", 0.95).alias("p95"),
+        F.count_distinct(F.when(failed, F.col("user_id") % 3)).alias("error_types"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("wall_seconds"),
         F.round(F.count(F.when(~failed, 1)) / F.greatest(F.lit(1), F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))), 9).alias("throughput"),
     )
+    return out.join(percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
 @query("SELECT user_id, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS delta, count(*) - 1 AS warm FROM events GROUP BY user_id")
@@ -218,12 +230,7 @@ def bootstrap_ci_exact(spark, sf):
     return V.bootstrap(v, "metric", "quality", seed=7)
 
 
-@query("""WITH p AS (SELECT 0 AS k, exp(-1.0) AS c UNION ALL SELECT k, sum(exp(-1.0) / gamma(k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) + exp(-1.0) FROM (SELECT unnest(range(1, 18)) AS k)),
-v AS (SELECT 'quality' AS metric, quality, doc_id FROM labels), s AS (SELECT unnest(range(0, 2000)) AS s),
-u AS (SELECT metric, s, quality, CAST('0x' || substr(md5(metric || '|' || s || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM v, s),
-w AS (SELECT metric, s, quality, (SELECT count(*) FROM p WHERE c <= u) AS n FROM u),
-m AS (SELECT metric, s, sum(n * quality) / CAST(sum(n) AS DOUBLE) AS m FROM w GROUP BY metric, s), o AS (SELECT metric, list(m ORDER BY m) AS m FROM m GROUP BY metric)
-SELECT metric, round(m[51], 9) AS low, round(m[1950], 9) AS high FROM o""")
+@query(f"WITH v AS (SELECT 'quality' AS key, quality AS value, doc_id AS row FROM labels), {_INTERVAL} SELECT key AS metric, low, high FROM interval")
 def bootstrap_ci_hash(spark, sf):
     """Interval of a mean by hashed Poisson weights, 2,000 samples."""
     v = table(spark, sf, "labels").select(F.lit("quality").alias("metric"), "quality", F.col("doc_id").alias("_order"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import shared_folder
 
@@ -53,3 +56,50 @@ def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
 
 def tail_once(spark: SparkSession, path: str) -> DataFrame:
     return run_available(rates(read(spark, path)))
+
+
+SEQUENCED = "run_id long, sequence long, event_id long, event_type string, ts timestamp, late boolean"
+
+
+def sequenced(events: DataFrame) -> DataFrame:
+    """Each event of a run (run_id, event_id, event_type, ts) with the next number of its run, from 1, without gaps, over all batches.
+
+    Within a batch a run's events are in order of time, then id. An event that comes after later ones of its run were numbered is late: it gets the
+    next number like any other, since the log is append-only, and says so. State is two numbers a run; a task holds the events that one batch has of
+    one run, which the trigger bounds (maxFilesPerTrigger).
+    """
+
+    def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, newest = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        late = rows["ts"] < pd.Timestamp(newest, unit="us") if newest is not None else pd.Series(False, index=rows.index)
+        latest = int(rows["ts"].max().value // 1000)
+        state.update((last + len(rows), max(latest, newest) if newest is not None else latest))
+        yield pd.DataFrame({"run_id": key[0], "sequence": range(last + 1, last + 1 + len(rows)), "event_id": rows["event_id"].to_numpy(), "event_type": rows["event_type"].to_numpy(), "ts": rows["ts"].to_numpy(), "late": late.to_numpy()})
+
+    wanted = events.select("run_id", "event_id", "event_type", "ts")
+    return wanted.groupBy("run_id").applyInPandasWithState(number, SEQUENCED, "last long, newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def append(events: DataFrame, log: str, state: str, files: int | None = None) -> None:
+    """Number the events that a stream has now and append them to a log folder; a later call with the same state goes on where this one ended.
+
+    A batch that runs twice after a failure rewrites its own folder, so that no event is in the log twice.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    sequenced(events).writeStream.foreachBatch(save).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def tail(log: DataFrame, after: DataFrame, terminal: tuple[str, ...]) -> DataFrame:
+    """What readers that have seen each run up to a number (after: run_id, sequence) get next, in order of sequence: up to the first terminal event, with it.
+
+    A run that after doesn't name is read from its start. A reader whose last number is at or behind a terminal event gets nothing.
+    """
+    end = log.where(F.col("event_type").isin(*terminal)).groupBy("run_id").agg(F.min("sequence").alias("end"))
+    seen = after.select("run_id", F.col("sequence").alias("seen"))
+    open_ = log.join(seen, "run_id", "left").join(end, "run_id", "left")
+    wanted = (F.col("sequence") > F.coalesce("seen", F.lit(0))) & (F.col("end").isNull() | (F.col("sequence") <= F.col("end")))
+    return open_.where(wanted).select(*log.columns)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunking as C
 from lodestone.operators import evaluation as V
+from lodestone.operators.quantiles import percentiles
 from lodestone.operators import evidence as E
 from lodestone.operators import retrieval as R
 from lodestone.operators import tables as W
@@ -79,8 +80,12 @@ def test_repair(spark):
 
 def test_percentiles(spark):
     v = spark.createDataFrame([(float(x),) for x in (100, 200, 300, 400, 500)], "x double")
-    assert tuple(v.agg(V.percentile("x", 0.5), V.percentile("x", 0.95)).first()) == (300.0, 500.0)
-    assert tuple(v.where("x < 0").agg(V.percentile("x", 0.5), V.percentile("x", 0.95)).first()) == (None, None)
+    shares = {"p50": 0.5, "p95": 0.95}
+    assert tuple(percentiles(v, [], "x", shares).first()) == (300.0, 500.0)
+    assert percentiles(v.where("x < 0"), [], "x", shares).count() == 0
+    runs = v.selectExpr("'failed' AS status", "x AS latency_ms", "1 AS tokens", "2 AS tool_calls", "0 AS cache_hits")
+    empty = V.run_summary(runs).first()
+    assert (empty.run_count, empty.completed_count, empty.p50_latency_ms, empty.total_tool_calls) == (5, 0, None, 10)
 
 
 def test_retrieval_metrics_conventions(spark):
