@@ -8,7 +8,7 @@ pieces of PIECE letters. The third power of it (POWER) is a kernel too, and sets
 The examples are sentences; one of over WORDS words is cut into several. A sentence has its words and, for
 insults that are split, each two neighbours of up to JOINED letters closed up. Its kernel with a landmark is that of
 its best word, and the Nystroem map takes these values, whitened by the landmarks' own kernel matrix. Landmarks are words
-of the sample: those that speak most for toxic documents, clean ones closest to them, and frequent ones; half way those of little weight go.
+of the sample: those that speak most for toxic documents, clean ones closest to them, and frequent ones.
 
 Labels are of documents, so sentences are labelled in rounds (multiple-instance learning). All sentences of clean
 documents are negative. Of a toxic document one sentence is positive: first the one with the most telling word (by the
@@ -45,8 +45,7 @@ from .shared import drawn, groups, map_adding, sampled, texts_of, written
 
 DECAY, LETTERS, SPAN, PIECE, POWER = 0.75, 3, 6, 20, 3
 WORDS, JOINED = 32, 4
-#: KEPT: landmarks that stay for the last half of the rounds, those of the largest weights.
-LANDMARKS, KEPT, EPOCHS, ROUNDS, COST = 200, 96, 12, 6, 2.0
+LANDMARKS, EPOCHS, ROUNDS, COST = 200, 12, 6, 2.0
 #: Clean sentences drawn for the first round, and added in each of the later ones at most.
 NEGATIVES, HARD = 4000, 2000
 #: Weight of a sentence with an inserted letter where scores are fitted, against a clean document.
@@ -263,11 +262,17 @@ _KNOWN_AT = {c: i for i, c in enumerate(ALPHABET)}
 
 def pooled(values: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """sentences x landmarks: the best of each sentence's words."""
+    sizes = np.diff(np.r_[starts, len(words)])
     out = np.empty((len(starts), values.shape[1]), np.uint8)
-    stops = np.r_[starts[1:], len(words)]
     for i in range(0, len(starts), 2000):
-        j = min(len(starts), i + 2000)
-        out[i:j] = np.maximum.reduceat(values[words[starts[i] : stops[j - 1]]], starts[i:j] - starts[i], axis=0)
+        # longest sentences first: those that have a j-th word are the first ones
+        order = i + np.argsort(-sizes[i : i + 2000], kind="stable")
+        first, longest = starts[order], sizes[order]
+        best = values[words[first]]
+        for j in range(1, int(longest[0])):
+            n = int(np.searchsorted(-longest, -j))
+            np.maximum(best[:n], values[words[first[:n] + j]], out=best[:n])
+        out[order] = best
     return out
 
 
@@ -384,11 +389,6 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> ToxicModel:
     negative = np.sort(rng.choice(clean, min(NEGATIVES, len(clean)), replace=False))
     model = blank
     for turn in range(ROUNDS):
-        if turn == ROUNDS // 2 and len(landmarks) > KEPT:
-            stay = np.sort(np.argsort(-np.abs(model.weights), kind="stable")[:KEPT])
-            landmarks, values, best = [landmarks[i] for i in stay], values[:, stay], best[:, stay]
-            kernel = Kernel(landmarks)
-            white = whitening(kernel, landmarks)
         if not len(positive) or not len(negative):
             return blank
         examples = np.concatenate([best[positive], varied(positive), best[negative]])
