@@ -223,6 +223,15 @@ def compared(rows: DataFrame, modes: list[str], seed: int, samples: int = 2_000)
     return reduce(DataFrame.unionByName, deltas).select(F.lit(modes[0]).alias("baseline"), "candidate", "questions", F.col("mean").alias("correctness_delta"), "low", "high")
 
 
+def contract(runs: DataFrame, evidence: DataFrame, citations: DataFrame, calls: DataFrame) -> DataFrame:
+    """Whether each run (run_id, tool_calls) keeps its contract: run_id, unknown_citations (cited, but no evidence of the run) and tools_counted (as many calls as it reports)."""
+    known = evidence.select("run_id", "evidence_id").distinct()
+    unknown = citations.select("run_id", "evidence_id").distinct().join(known, ["run_id", "evidence_id"], "left_anti").groupBy("run_id").agg(F.count("*").alias("unknown_citations"))
+    made = calls.groupBy("run_id").agg(F.count("*").alias("_made"))
+    joined = runs.select("run_id", "tool_calls").join(unknown, "run_id", "left").join(made, "run_id", "left")
+    return joined.select("run_id", F.coalesce("unknown_citations", F.lit(0)).alias("unknown_citations"), (F.coalesce("_made", F.lit(0)) == F.col("tool_calls")).alias("tools_counted"))
+
+
 #: What two runs must have in common to be compared.
 COMPARED = ("dataset_sha256", "corpus_sha256", "actual_retrieval", "seed", "temperature", "provider", "vector_backend", "embedding_backend", "candidate_k", "evidence_k", "max_agent_rewrites", "token_budget", "citation_repair", "modes")
 

@@ -57,6 +57,36 @@ def enqueued(jobs: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return jobs.unionByName(new.select(*((F.col(c) if c in new.columns else fresh.get(c, F.lit(None))).cast(types[c]).alias(c) for c in jobs.columns)))
 
 
+def to_index(files: DataFrame, manifest: DataFrame, chunks: DataFrame, key: str, value: str) -> DataFrame:
+    """Files (key, value) that must be indexed: the manifest has another hash or none, or no chunk has the key. A key with very many chunks counts once."""
+    known = manifest.select(key, value).join(chunks.select(key).distinct(), key, "left_semi")
+    return files.join(known, [key, value], "left_anti").select(key, value)
+
+
+def duplicates(uploads: DataFrame, key: str, content: str) -> DataFrame:
+    """key and duplicate_of of files with the content of an earlier one that is completed (uploads: key, content, kind, status)."""
+    originals = uploads.where("kind = 'file' AND status = 'completed'").groupBy(content).agg(F.min(key).alias("duplicate_of"))
+    return uploads.where("kind = 'file'").join(originals, content).where(F.col("duplicate_of") < F.col(key)).select(key, "duplicate_of")
+
+
+def adopted(tasks: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs (job_id, target_id, kind, status, attempts, created_at) with a pending one more for each orphan (task_id, kind, status)."""
+    new = orphans(tasks, jobs).select(F.concat(F.lit("job_"), "task_id").alias("job_id"), F.col("task_id").alias("target_id"), "kind", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), now.alias("created_at"))
+    return jobs.select(new.columns).unionByName(new)
+
+
+def cancel_cascade(tasks: DataFrame, jobs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tasks (task_id, status) and jobs (job_id, target_id, status) after the jobs of wanted (task_id) were cancelled: pending jobs and their
+    tasks are cancelled at once, running ones are asked to stop; finished ones stay."""
+    ids = wanted.select("task_id").distinct()
+    after = lambda status: F.when(status == "pending", "cancelled").when(status == "running", "cancel_requested").otherwise(status)
+    hit = jobs.join(ids.withColumnRenamed("task_id", "target_id").withColumn("_hit", F.lit(True)), "target_id", "left")
+    moved = hit.withColumn("status", F.when(F.col("_hit"), after(F.col("status"))).otherwise(F.col("status"))).drop("_hit").select(jobs.columns)
+    own = moved.groupBy(F.col("target_id").alias("task_id")).agg(F.max(F.col("status") == "cancelled").alias("_all"), F.max(F.col("status") == "cancel_requested").alias("_some"))
+    state = F.when(F.col("status").isin("pending", "running") & F.col("_some"), "cancel_requested").when(F.col("status").isin("pending", "running") & F.col("_all"), "cancelled").otherwise(F.col("status"))
+    return tasks.join(own.join(ids, "task_id", "left_semi"), "task_id", "left").withColumn("status", state).select(tasks.columns), moved
+
+
 def claims(jobs: DataFrame, workers: int) -> DataFrame:
     """The oldest pending jobs, one for each of so many workers."""
     first = jobs.where("status = 'pending'").orderBy("created_at", "job_id").limit(workers)

@@ -235,3 +235,16 @@ def bootstrap_ci_hash(spark, sf):
     """Interval of a mean by hashed Poisson weights, 2,000 samples."""
     v = table(spark, sf, "labels").select(F.lit("quality").alias("metric"), "quality", F.col("doc_id").alias("_order"))
     return V.bootstrap_by_hash(v, "metric", "quality")
+
+
+@query("""WITH r AS (SELECT user_id AS run_id, count(*) FILTER (event_type = 'click') + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS tool_calls FROM events GROUP BY user_id),
+e AS (SELECT DISTINCT user_id AS run_id, event_id % 9 AS s FROM events WHERE event_id % 2 = 0), c AS (SELECT DISTINCT user_id AS run_id, event_id % 11 AS s FROM events WHERE event_id % 5 = 0),
+u AS (SELECT run_id, count(*) AS n FROM c ANTI JOIN e USING (run_id, s) GROUP BY run_id)
+SELECT run_id, coalesce(n, 0) AS unknown_citations, run_id % 10 <> 0 AS tools_counted FROM r LEFT JOIN u USING (run_id)""")
+def run_contract(spark, sf):
+    """Runs of users' events: what they cite must be their evidence, and they must have made as many calls as they report (every tenth reports one more)."""
+    e = table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
+    click = F.col("event_type") == "click"
+    runs = e.groupBy("run_id").agg((F.count(F.when(click, 1)) + (F.col("run_id") % 10 == 0).cast("int")).alias("tool_calls"))
+    cited = lambda every, of: e.where(F.col("event_id") % every == 0).select("run_id", (F.col("event_id") % of).alias("evidence_id"))
+    return V.contract(runs, cited(2, 9), cited(5, 11), e.where(click))

@@ -41,8 +41,18 @@ def line_windows(spark, sf):
     return C.windows(_files(spark, sf)).drop("text")
 
 
-_MARKDOWN = [("a.md", "intro\n# Top\ntext\n\n## Sub\nmore\n### Deep\nx"), ("b.md", "# One\n```\n# not a heading, but counted\n```\n### Skipped\nend\n"), ("c.md", "#nospace\n## Only\n")]
-_MARKDOWN_SQL = "md(path, text) AS (VALUES " + ", ".join(f"('{p}', '{t}')".replace("\n", "' || chr(10) || '") for p, t in _MARKDOWN) + ")"
+def _lined(spark, sf, name, change):
+    """Documents with each line changed by its place: path, text."""
+    lines = F.transform(F.split("text", "\n"), change)
+    return table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(name)).alias("path"), F.array_join(lines, "\n").alias("text"))
+
+
+def _markdown(spark, sf):
+    """Every third line is a heading, of level 1 to 4 in turn; every fifth is a comment that is no heading."""
+    return _lined(spark, sf, ".md", lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), x)).when(i % 5 == 4, F.concat(F.lit("#"), x)).otherwise(x))
+
+
+_MARKDOWN_SQL = """md AS (SELECT 'doc' || doc_id || '.md' AS path, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN repeat('#', CAST((i - 1) % 4 + 1 AS INTEGER)) || ' ' || x WHEN (i - 1) % 5 = 4 THEN '#' || x ELSE x END), chr(10)) AS text FROM documents)"""
 
 
 @query(f"""WITH {_MARKDOWN_SQL}, d AS (SELECT path, {_LINES} AS l FROM (SELECT path, string_split(text, chr(10)) AS l FROM md)),
@@ -50,7 +60,7 @@ e AS (SELECT path, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM d),
 s AS (SELECT *, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+\\S') AS INT)) OVER (PARTITION BY path ORDER BY i) AS section FROM e)
 SELECT path, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, CAST(length(regexp_extract(arg_min(line, i), '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_replace(arg_min(line, i), '^#{{1,6}}\\s+', '')) AS heading, {_STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS content FROM s WHERE section > 0 GROUP BY path, section""")
 def heading_sections(spark, sf):
-    return C.sections(spark.createDataFrame(_MARKDOWN, "path string, text string")).select("path", "start_line", "end_line", "level", "heading", "content")
+    return C.sections(_markdown(spark, sf)).select("path", "start_line", "end_line", "level", "heading", "content")
 
 
 @query(f"""WITH RECURSIVE {_MARKDOWN_SQL}, d AS (SELECT path, {_LINES} AS l FROM (SELECT path, string_split(text, chr(10)) AS l FROM md)),
@@ -59,18 +69,32 @@ h AS (SELECT path, i, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim
 f AS (SELECT path, k, i, n, nxt, [heading] AS above FROM h WHERE k = 1 UNION ALL SELECT h.path, h.k, h.i, h.n, h.nxt, list_append(f.above[1:greatest(h.level - 1, 0)], h.heading) FROM f JOIN h ON h.path = f.path AND h.k = f.k + 1)
 SELECT path, path || '#L' || i || '-L' || coalesce(nxt - 1, n) AS locator, array_to_string(above, ' > ') AS section_path FROM f""")
 def section_hierarchy(spark, sf):
-    return C.sections(spark.createDataFrame(_MARKDOWN, "path string, text string")).select("path", "locator", "section_path")
+    return C.sections(_markdown(spark, sf)).select("path", "locator", "section_path")
+
+
+def _code(spark, sf):
+    """Lines as code: classes, functions, methods with a type, calls and plain lines in turn, named by their first word."""
+    word = lambda x: F.regexp_extract(x, r"([A-Za-z_]+)", 1)
+    kinds = {0: ("export class ", " {"), 2: ("  public static int ", "(a) {"), 3: ("async function ", "() {"), 4: ("  return ", "(a);"), 6: ("fn ", "()")}
 
+    def line(x, i):
+        out = x
+        for k, (before, after) in kinds.items():
+            out = F.when(i % 8 == k, F.concat(F.lit(before), word(x), F.lit(after))).otherwise(out)
+        return out
 
-_CODE = [("a.ts", "import x\nexport class Queue {\n  private static size(a: number) {\n  }\n}\nexport async function run() {\n}"), ("b.go", "package q\nfunc Push(x int) {\n}\n\ntype T int\nfunc Pop() {\n}"), ("c.txt", "nothing here"), ("d.rs", "  fn small() {}\nstruct Big { a: u8 }\nenum Kind { A }")]
-_CODE_SQL = "code(path, text) AS (VALUES " + ", ".join(f"('{p}', '{t}')".replace("\n", "' || chr(10) || '") for p, t in _CODE) + ")"
+    return _lined(spark, sf, ".ts", line)
 
 
-@query(f"""WITH {_CODE_SQL}, e AS (SELECT path, len(l) AS total, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, string_split(text, chr(10)) AS l FROM code)),
+_CODE_SQL = """code AS (SELECT 'doc' || doc_id || '.ts' AS path, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 8 WHEN 0 THEN 'export class ' || regexp_extract(x, '([A-Za-z_]+)', 1) || ' {' WHEN 2 THEN '  public static int ' || regexp_extract(x, '([A-Za-z_]+)', 1) || '(a) {'
+  WHEN 3 THEN 'async function ' || regexp_extract(x, '([A-Za-z_]+)', 1) || '() {' WHEN 4 THEN '  return ' || regexp_extract(x, '([A-Za-z_]+)', 1) || '(a);' WHEN 6 THEN 'fn ' || regexp_extract(x, '([A-Za-z_]+)', 1) || '()' ELSE x END), chr(10)) AS text FROM documents)"""
+
+
+@query(f"""WITH {_CODE_SQL}, e AS (SELECT path, len(l) AS total, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM (SELECT path, string_split(text, chr(10)) AS l FROM code))),
 n AS (SELECT *, CASE WHEN regexp_matches(line, '{C.DECLARATION}') THEN regexp_extract(line, '{C.DECLARATION}', 1) WHEN regexp_matches(line, '{C.TYPED_DECLARATION}') THEN regexp_extract(line, '{C.TYPED_DECLARATION}', 1) END AS name FROM e)
 SELECT path, CAST(i AS INTEGER) AS start_line, CAST(coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, total) AS INTEGER) AS end_line, name FROM n WHERE name IS NOT NULL""")
 def symbol_starts(spark, sf):
-    return C.declarations(spark.createDataFrame(_CODE, "path string, text string")).select("path", "start_line", "end_line", "name")
+    return C.declarations(_code(spark, sf)).select("path", "start_line", "end_line", "name")
 
 
 @query()
@@ -115,10 +139,37 @@ def bbox_union(spark, sf):
     return b.groupBy("doc", "page").agg(F.round(F.min("x"), 2).alias("x0"), F.round(F.min("y"), 2).alias("y0"), F.round(F.max(F.col("x") + 50), 2).alias("x1"), F.round(F.max(F.col("y") + 12), 2).alias("y1"))
 
 
-@query()
+def _blocks(spark, sf):
+    """Lines of documents that are not blank as positioned blocks, forty a page."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    each = table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("doc"), F.posexplode(lines).alias("i", "text"))
+    i = F.col("i") % 40
+    at = lambda c, name: c.cast("double").alias(name)
+    return each.select("doc", F.expr("int(i div 40)").alias("page"), "text", i.alias("reading_order"), at(i % 3 * 10, "x0"), at(700 - 12 * i, "y0"), at(i % 3 * 10 + F.length("text"), "x1"), at(710 - 12 * i, "y1"))
+
+
+_MERGED = f"""b AS (SELECT doc, (i - 1) // 40 AS page, (i - 1) % 40 AS i, text FROM (SELECT 'doc' || doc_id AS doc, generate_subscripts(l, 1) AS i, unnest(l) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))),
+t AS (SELECT *, count(*) OVER (PARTITION BY doc, page) AS total, {_STRIP.format("text")} AS t FROM b),
+k AS (SELECT *, length(text) AS n, CASE WHEN regexp_matches(t, '^(table|figure|fig\\.)\\s*\\d+', 'i') THEN 'caption' WHEN contains(t, '|') OR len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: regexp_matches(w, '\\d'))) >= 3 THEN 'table' WHEN i < greatest(3, total // 12) AND length(t) < 120 AND NOT ends_with(t, '.') THEN 'title' ELSE 'paragraph' END AS kind FROM t),
+f AS (SELECT doc, page, i, 0 AS g, n, kind FROM k WHERE i = 0 UNION ALL SELECT k.doc, k.page, k.i, CASE WHEN k.kind = f.kind AND f.n + k.n <= 1200 THEN g ELSE g + 1 END, CASE WHEN k.kind = f.kind AND f.n + k.n <= 1200 THEN f.n + k.n ELSE k.n END, k.kind FROM f JOIN k ON k.doc = f.doc AND k.page = f.page AND k.i = f.i + 1),
+m AS (SELECT doc, page, g, any_value(f.kind) AS kind, {_STRIP.format("string_agg(text, chr(10) ORDER BY i)")} AS content, min(i % 3 * 10) AS x0, min(700 - 12 * i) AS y0, max(i % 3 * 10 + length(text)) AS x1, max(710 - 12 * i) AS y1 FROM f JOIN k USING (doc, page, i) GROUP BY doc, page, g),
+h AS (SELECT *, CASE WHEN kind = 'title' THEN content END AS heading FROM m)"""
+
+
+def _merged(section):
+    return f"""WITH RECURSIVE {_MERGED} SELECT doc, CAST(page AS INTEGER) AS page, CAST(g AS INTEGER) AS reading_order, kind AS block_type, heading, last_value(heading IGNORE NULLS) OVER (PARTITION BY {section} ORDER BY page, g ROWS UNBOUNDED PRECEDING) AS section, content, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM h"""
+
+
+@query(_merged("doc, page"))
 def pdf_block_merge(spark, sf):
-    rows = [("d", 1, t, 10.0, 700.0 - 20 * i, 90.0, 712.0 - 20 * i, i) for i, t in enumerate(["Results", "Table 1 values", "a | b", "1 | 2", "A long closing paragraph.", "It goes on."])]
-    return C.merged_blocks(spark.createDataFrame(rows, "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double, reading_order int"))
+    """Blocks of pages merged by type and size, each under the last title of its page."""
+    return C.merged_blocks(_blocks(spark, sf))
+
+
+@query(_merged("doc"))
+def carried_sections(spark, sf):
+    """The same under the last title of the document: the heading is carried over pages."""
+    return C.merged_blocks(_blocks(spark, sf), carry=True)
 
 
 @query(f"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN lang = 'fr' THEN 'web' WHEN category = 'code' THEN 'code' ELSE 'docs' END AS category, sha256(content) AS content_hash, 'doc' || chunk_id || CASE WHEN category = 'code' THEN '.py' ELSE '.md' END || '#L1-L' || len(string_split(content, chr(10))) AS locator FROM chunks""")
@@ -173,11 +224,11 @@ _SNAPSHOTS = """o AS (SELECT doc_id, 'src/' || doc_id || '.md' AS path, sha256(t
 n AS (SELECT doc_id, 'src/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0)"""
 
 
-@query(f"WITH {_SNAPSHOTS} SELECT n.path, n.hash FROM n LEFT JOIN o ON n.path = o.path AND n.hash = o.hash WHERE o.path IS NULL")
+@query(f"WITH {_SNAPSHOTS}, c AS (SELECT path FROM o WHERE doc_id % 17 <> 3) SELECT n.path, n.hash FROM n LEFT JOIN o ON n.path = o.path AND n.hash = o.hash WHERE o.path IS NULL OR n.path NOT IN (SELECT path FROM c)")
 def incremental_file_scan(spark, sf):
-    """Files whose hash the manifest doesn't have."""
+    """Files to be indexed: those whose hash the manifest doesn't have, and those without chunks (of every seventeenth they were lost)."""
     old, new = _snapshots(spark, sf)
-    return new.join(old, ["path", "hash"], "left_anti").select("path", "hash")
+    return W.to_index(new.select("path", "hash"), old, old.where("doc_id % 17 <> 3"), "path", "hash")
 
 
 @query(f"WITH {_SNAPSHOTS} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'insert' WHEN n.path IS NULL THEN 'delete' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'update' END AS change FROM o FULL OUTER JOIN n ON o.path = n.path")
@@ -185,12 +236,22 @@ def cdc_paths(spark, sf):
     return W.changes(*_snapshots(spark, sf), "path", "hash")
 
 
-@query("SELECT doc_id, m AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS m FROM documents) WHERE m <> doc_id")
+_UPLOADS = "u AS (SELECT doc_id, sha256(text) AS hash, CASE WHEN lang = 'fr' THEN 'web' ELSE 'file' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM documents)"
+
+
+@query(f"WITH {_UPLOADS}, f AS (SELECT hash, min(doc_id) AS first FROM u WHERE kind = 'file' AND status = 'completed' GROUP BY hash) SELECT doc_id, first AS duplicate_of FROM u JOIN f USING (hash) WHERE first < doc_id AND kind = 'file'")
 def duplicate_upload(spark, sf):
-    """Later uploads with the content of a first one; the hashes meet by an aggregation and a join, so a hot hash is no hot window."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    first = d.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    return d.join(first, "hash").where("first <> doc_id").select("doc_id", F.col("first").alias("duplicate_of"))
+    """Uploads with the content of an earlier file that was indexed; failed uploads and other kinds are no originals. Hashes meet by an aggregation and a join, so a hot hash is no hot window."""
+    status = F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("completed").alias("status")
+    u = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.when(F.col("lang") == "fr", "web").otherwise("file").alias("kind"), status)
+    return W.duplicates(u, "doc_id", "hash")
+
+
+@query("SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT 'src/' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.bin' ELSE '.md' END AS path, n_chars FROM documents) WHERE path LIKE '%.md' AND n_chars <= 5000 ORDER BY path LIMIT 2000")
+def files_in_order(spark, sf):
+    """A repository's admitted files in order of their paths, 2,000 at most."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("src/"), "doc_id", F.when(F.col("doc_id") % 4 == 0, ".bin").otherwise(".md")).alias("path"), F.col("n_chars").alias("length"))
+    return files.enumerated(d, max_bytes=5000).select("path", "place")
 
 
 _ISSUES = """o AS (SELECT conv_id * 1000 + turn AS number, text AS body, 'old' AS version FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0),

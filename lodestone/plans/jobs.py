@@ -102,6 +102,31 @@ def target_reset(spark, sf):
     return W.reset(lines, _jobs(spark, sf).where("status = 'cancel_requested'"))
 
 
+_TASKS = "tasks AS (SELECT o_orderkey AS task_id, lower(o_orderstatus) AS kind, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'pending' ELSE 'completed' END AS status FROM orders)"
+
+
+def _tasks(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "pending").otherwise("completed")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.lower("o_orderstatus").alias("kind"), status.alias("status"))
+
+
+@query(f"""WITH {_JOBS}, {_TASKS} SELECT 'job_' || job_id AS job_id, target_id, 'event' AS kind, status, 1 AS attempts FROM jobs UNION ALL SELECT 'job_' || task_id, task_id, kind, 'pending', 0 FROM tasks WHERE status IN ('pending', 'running') AND task_id NOT IN (SELECT target_id FROM jobs)""")
+def orphan_adoption(spark, sf):
+    """The job table after active tasks that no job points to got one."""
+    jobs = _jobs(spark, sf).select(F.concat(F.lit("job_"), "job_id").alias("job_id"), "target_id", F.lit("event").alias("kind"), "status", F.lit(1).alias("attempts"), "created_at")
+    return W.adopted(_tasks(spark, sf), jobs, _now()).drop("created_at")
+
+
+@query(f"""WITH {_JOBS}, {_TASKS}, w AS (SELECT task_id FROM tasks WHERE task_id % 3 = 0),
+j AS (SELECT target_id, CASE WHEN target_id NOT IN (SELECT task_id FROM w) THEN status WHEN status = 'pending' THEN 'cancelled' WHEN status = 'running' THEN 'cancel_requested' ELSE status END AS status FROM jobs),
+s AS (SELECT target_id, bool_or(status = 'cancelled') AS a, bool_or(status = 'cancel_requested') AS r FROM j WHERE target_id IN (SELECT task_id FROM w) GROUP BY target_id)
+SELECT task_id, kind, CASE WHEN status IN ('pending', 'running') AND r THEN 'cancel_requested' WHEN status IN ('pending', 'running') AND a THEN 'cancelled' ELSE status END AS status FROM tasks LEFT JOIN s ON task_id = target_id""")
+def cancel_cascade(spark, sf):
+    """Tasks after every third one's jobs were cancelled: what waits ends at once, what runs is asked to stop."""
+    tasks = _tasks(spark, sf)
+    return W.cancel_cascade(tasks, _jobs(spark, sf), tasks.where("task_id % 3 = 0").select("task_id"))[0]
+
+
 @query("""WITH s(job, target) AS (SELECT a.x, b.x FROM (VALUES ('running'), ('cancel_requested')) a(x), (VALUES ('completed'), ('failed'), ('cancelled'), ('running'), ('pending')) b(x))
 SELECT job, target, CASE WHEN target IN ('completed', 'failed', 'cancelled') THEN target WHEN job = 'cancel_requested' THEN 'cancelled' ELSE 'failed' END AS status FROM s""")
 def status_finalization(spark, sf):

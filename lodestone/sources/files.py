@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.python import python_symbols
@@ -22,6 +22,18 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     return kept.select("path", F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8").alias("text"), F.sha2("content", 256).alias("file_hash"))
 
 
+def enumerated(files: DataFrame, max_bytes: int = MAX_BYTES, most: int = MAX_FILES, strict: bool = False) -> DataFrame:
+    """Admitted files (path, length and others) in order of their paths, the first `most`, with place; strict: an error if there are more.
+
+    The order is a top-k: each task keeps `most` paths.
+    """
+    kept = files.where(C.admitted(F.col("path")) & (F.col("length") <= max_bytes))
+    if strict and kept.limit(most + 1).count() > most:
+        raise ValueError(f"the repository exceeds {most} indexable files")
+    first = kept.orderBy("path").limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # `most` rows
+
+
 def routed(files: DataFrame) -> DataFrame:
     """Chunks of files (path, text): markdown by section, Python by its syntax tree, other code by declaration, other texts by lines. Long parts are cut into windows.
 
