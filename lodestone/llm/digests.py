@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -285,16 +286,6 @@ def _key() -> Column:
 _TIES = 1 << 20
 
 
-def _tree(bounds: list[tuple[int, int]], leaves: list[str]) -> str:
-    """SQL that finds the leaf of key and tie: leaf i holds what comes up to bounds[i]."""
-    if not bounds:
-        return leaves[0]
-    mid = len(bounds) // 2
-    key, tied = bounds[mid]
-    upto = f"key <= {key}L" if tied == _TIES - 1 else f"(key < {key}L OR key = {key}L AND tie <= {tied})"
-    return f"CASE WHEN {upto} THEN {_tree(bounds[:mid], leaves[: mid + 1])} ELSE {_tree(bounds[mid + 1 :], leaves[mid + 1 :])} END"
-
-
 def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
     """Ends of ranges (key, tie) from quantiles of the key; one that comes several times has its rows split by tie."""
     out = set()
@@ -306,6 +297,29 @@ def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _place(docs: DataFrame, bounds: list[tuple[int, int]], least: dict[int, tuple[int, int]] | None = None):
+    """A function of the columns key and tie: bucket (range i holds what comes up to bounds[i]), the used bucket before it, and whether the row is its least.
+
+    Bounds travel as one sorted array, so a plan has the same size for any number of ranges. least: bucket -> its least key and tie.
+    """
+    kind = [("key", "<i8"), ("tie", "<i8")]
+    used = sorted(least or {})
+    firsts, before = np.array([(_LEAST, -1)] * (len(bounds) + 1), kind), np.zeros(len(bounds) + 1, np.int32)
+    for i, b in enumerate(used):
+        firsts[b], before[b] = least[b], used[i - 1]
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(bounds, kind), firsts, before))  # a few numbers for each range
+
+    @F.pandas_udf("bucket int, before int, first boolean")
+    def place(key: pd.Series, tied: pd.Series) -> pd.DataFrame:
+        ends, firsts, before = shared.value
+        row = np.empty(len(key), kind)
+        row["key"], row["tie"] = key, tied
+        bucket = np.searchsorted(ends, row).astype(np.int32)
+        return pd.DataFrame({"bucket": bucket, "before": before[bucket], "first": row == firsts[bucket]})
+
+    return place
+
+
 def in_order(docs: DataFrame, count: int | None = None) -> DataFrame:
     """bucket, last, doc_id, text: docs in ranges of doc_id, one range to a partition, sorted (null ids first; equal ids by text, those of an id that is split by its tie first).
 
@@ -314,27 +328,16 @@ def in_order(docs: DataFrame, count: int | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", _key())
     count = count or 2 * partitions(docs.sparkSession)
-    quantiles = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 10_000)).first()[0] or []
+    quantiles = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], max(10_000, 10 * count))).first()[0] or []
     bounds = _bounds(quantiles)
     common = [v for v, n in Counter(quantiles).items() if n > 1]  # ids that many rows have; only for these the text is hashed
     rows = rows.withColumn("tie", F.when(F.col("key").isin(common), tie()).otherwise(0) if common else F.lit(0).cast("long"))
-    numbers = _tree(bounds, [str(i) for i in range(len(bounds) + 1)])
-    # one row for each range
-    firsts = rows.select("key", "tie").withColumn("bucket", F.expr(numbers)).groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).select("bucket", "f.*").collect()
-    least = {r["bucket"]: (r["key"], r["tie"]) for r in firsts}
-    used = sorted(least)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-
-    def leaf(i: int) -> str:
-        if i not in least:
-            return f"struct({i} AS bucket, {i} AS before, CAST(NULL AS BIGINT) AS key, CAST(NULL AS BIGINT) AS tie)"
-        key, tied = least[i]
-        return f"struct({i} AS bucket, {before[i]} AS before, {key}L AS key, {tied}L AS tie)"
-
-    placed = rows.withColumn("at", F.expr(_tree(bounds, [leaf(i) for i in range(len(bounds) + 1)])))
+    # one row for each range: its least key and tie
+    firsts = rows.select("key", "tie").withColumn("bucket", _place(docs, bounds)("key", "tie")["bucket"]).groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).select("bucket", "f.*").collect()
+    placed = rows.withColumn("at", _place(docs, bounds, {r["bucket"]: (r["key"], r["tie"]) for r in firsts})("key", "tie"))
     own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("last"))
     extra = F.struct(F.col("at.before").alias("bucket"), F.lit(True).alias("last"))
-    to = F.when((F.col("key") == F.col("at.key")) & (F.col("tie") == F.col("at.tie")), F.array(own, extra)).otherwise(F.array(own))
+    to = F.when(F.col("at.first"), F.array(own, extra)).otherwise(F.array(own))
     dealt = placed.select(F.explode(to).alias("to"), "key", "tie", "doc_id", "text").select("to.bucket", "to.last", "key", "tie", "doc_id", "text")
     return dealt.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "last", "key", "tie", "text").drop("key", "tie")
 

@@ -243,3 +243,24 @@ def test_digests_do_not_depend_on_partitions(documents, clashing, empty, spark,
     assert D.fingerprints(empty).count() == 0
     assert D.fingerprints(clashing).count() == clashing.count()
     assert D.fingerprints(docs.where(F.col("doc_id") == 3)).count() == 1
+
+
+def test_ranges_do_not_change_the_result_or_the_plan(spark, corpus):
+    """4 and 400 ranges give the same rows; a plan's size doesn't follow them; an id that most rows have is split."""
+    rows = [(7 if i % 3 else i, r[1], r[2], r[3], 0) for i, r in enumerate(corpus)] + [(None, "no id", None, None, 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    def followed(count):
+        """The rows that each row is followed by: of a range's rows all but the last one, as tasks read them."""
+        read = D.in_order(docs, count).select("bucket", "last", "doc_id", "text").collect()
+        pairs, ended = Counter(), set()
+        for a, b in zip(read, read[1:], strict=False):
+            if a.bucket == b.bucket and not a["last"] and not (b["last"] and a.bucket in ended):
+                pairs[(a.doc_id, a.text, b.doc_id)] += 1
+        return pairs
+
+    few, many = followed(4), followed(400)
+    assert sum(few.values()) == sum(many.values()) == len(rows)
+    assert Counter((k[0], k[2]) for k in few.elements()) == Counter((k[0], k[2]) for k in many.elements())
+    sizes = [len(D.in_order(docs, n)._jdf.queryExecution().optimizedPlan().toString()) for n in (4, 400)]
+    assert sizes[1] < 1.2 * sizes[0]
