@@ -44,7 +44,7 @@ def test_injected_models(spark):
     encode = encoder(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2, prefix="q: ")
     assert spark.createDataFrame([("abc",)], "t string").select(encode("t")).first()[0] == [6.0, 1.0]
     score = reranker(lambda: lambda pairs: [float(len(c)) for _, c in pairs])
-    rows = score(spark.createDataFrame([(1, "q", "xx")], "query_id int, question string, content string")).collect()
+    rows = score(spark.createDataFrame([(1, 5, "q", "xx")], "query_id int, chunk_id int, question string, content string")).collect()
     assert rows[0].raw == 2.0
 
 
