@@ -14,9 +14,12 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,17 +47,42 @@ class Index:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def gain(avgdl: float) -> Column:
+def gain(avgdl: float, tf: Column, dl: Column) -> Column:
     """What a term that a chunk has tf times brings, before its rarity."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(avgdl), F.lit(1e-9))))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(F.lit(avgdl), F.lit(1e-9))))
+
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks (block, chunk_id, dl, tokens), a block's together, to postings: term, block, and the chunks that have the term."""
+    held, at, keys = {}, None, None
+
+    def flush() -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, held.values())], dtype=np.int32)
+        chunk, tf, dl = zip(*(p for ps in held.values() for p in ps), strict=True)
+        fields = pa.StructArray.from_arrays([pa.array(chunk, keys), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], names=["chunk_id", "tf", "dl"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([at] * len(held), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), fields)], names=["term", "block", "list"])
+
+    for batch in batches:
+        keys = batch.schema.field("chunk_id").type
+        for block, chunk, dl, tokens in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if block != at and held:
+                yield flush()
+                held = {}
+            at = block
+            for term, n in Counter(tokens).items():
+                held.setdefault(term, []).append((chunk, n, dl))
+    if held:
+        yield flush()
 
 
 def build(chunks: DataFrame, path: str, order: tuple[str, ...] = ("source_id",), block: int = BLOCK) -> Index:
     """The index of chunks (chunk_id, content and the columns of the order), written below path.
 
-    Null contents have no terms. The corpus is tokenized once; postings take one shuffle, by term and block, so a term that every chunk has is as many rows as there are blocks.
+    Null contents have no terms. The corpus is tokenized once, and texts shuffle once, into their order. Postings take no shuffle, since a block's chunks are neighbours in one
+    file: a task lists a block's terms and goes on; a term that every chunk has is as many rows as there are blocks. Should a block be read by two tasks its terms have two rows, whose
+    bounds add up, which is still a bound.
     """
-    spark = chunks.sparkSession
+    spark, kind = chunks.sparkSession, chunks.schema["chunk_id"].dataType.simpleString()
     spread = chunks.select("chunk_id", *order, "content").repartitionByRange(max(1, chunks.rdd.getNumPartitions()), *order, "chunk_id")
     ordered = spread.sortWithinPartitions(*order, "chunk_id").select("chunk_id", F.coalesce(tokenize("content"), F.array().cast("array<string>")).alias("tokens"))
     # a partition's numbers begin at a multiple of 2^33, so no block has chunks of two partitions
@@ -63,11 +91,9 @@ def build(chunks: DataFrame, path: str, order: tuple[str, ...] = ("source_id",),
     forward = spark.read.parquet(f"{path}/forward")
     n, length = forward.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     made = Index(path, n, length)
-    each = forward.select("block", "chunk_id", "dl", F.explode("tokens").alias("term")).repartition("term", "block")
-    counted = each.groupBy("term", "block", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    lists = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))
-    postings = counted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(gain(length)).alias("most"), lists.alias("list"))
-    postings.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    listed = forward.select("block", "chunk_id", "dl", "tokens").mapInArrow(_listed, f"term string, block long, list array<struct<chunk_id:{kind},tf:int,dl:int>>")
+    most = F.array_max(F.transform("list", lambda x: gain(length, x["tf"], x["dl"])))
+    listed.select("term", "block", F.size("list").cast("long").alias("n"), most.alias("most"), "list").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     maxima = spark.read.parquet(f"{path}/postings").select("term", "block", "n", "most").withColumn("super", F.expr(f"block div {SUPER}"))
     maxima.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     maxima.groupBy("term", "super").agg(F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/supers")
@@ -112,7 +138,7 @@ def _scored(index: Index, asked: DataFrame, places: DataFrame) -> DataFrame:
     wanted = settled(asked.join(places, "query_id").select("query_id", "block", "term", "qtf", "idf"))
     met = index.table(asked.sparkSession, "postings").select("term", "block", "list").join(bounded(wanted), ["term", "block"])
     each = met.select("query_id", "qtf", "idf", F.inline("list"))
-    return each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * (F.col("idf") * gain(index.avgdl))), 9).alias("score"))
+    return each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * (F.col("idf") * gain(index.avgdl, F.col("tf"), F.col("dl")))), 9).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> DataFrame:
