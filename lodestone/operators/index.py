@@ -136,7 +136,12 @@ def _bound(rows: DataFrame, place: str) -> DataFrame:
 def _scored(index: Index, asked: DataFrame, places: DataFrame) -> DataFrame:
     """query_id, chunk_id and score of every chunk of places (query_id, block) that has a term of the query."""
     wanted = settled(asked.join(places, "query_id").select("query_id", "block", "term", "qtf", "idf"))
-    met = index.table(asked.sparkSession, "postings").select("term", "block", "list").join(bounded(wanted), ["term", "block"])
+    postings = index.table(asked.sparkSession, "postings").select("term", "block", "list")
+    some = bounded(wanted)
+    if some is wanted:  # both sides shuffle: postings of no query's term, or of blocks that no query looks at, must not
+        for c in ("term", "block"):
+            postings = postings.join(bounded(settled(wanted.select(c).distinct())), c, "left_semi")
+    met = postings.join(some, ["term", "block"])
     each = met.select("query_id", "qtf", "idf", F.inline("list"))
     return each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * (F.col("idf") * gain(index.avgdl, F.col("tf"), F.col("dl")))), 9).alias("score"))
 
