@@ -14,23 +14,26 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .common import bounded, settled, top
+from . import scoring
+from .common import BROADCAST_ROWS, bounded, settled, top
 from .retrieval import K1, B, query_terms
 from .versions import Files
 
 BLOCK, SUPER = 64, 256
 #: Superblocks, and blocks, that are looked at first for a query's k-th score.
 FIRST_SUPERS, FIRST_BLOCKS = 2, 4
+#: Characters of asked terms, all together, up to which every task may know them.
+KNOWN_CHARACTERS = 1 << 25
 #: What a bound may lack by rounding.
 SLACK = 1e-6
 
@@ -54,25 +57,18 @@ def gain(avgdl: float, tf: Column, dl: Column) -> Column:
 
 def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of blocks (block, chunk_id, dl, tokens), a block's together, to postings: term, block, and the chunks that have the term."""
-    held, at, keys = {}, None, None
-
-    def flush() -> pa.RecordBatch:
-        offsets = np.cumsum([0, *map(len, held.values())], dtype=np.int32)
-        chunk, tf, dl = zip(*(p for ps in held.values() for p in ps), strict=True)
-        fields = pa.StructArray.from_arrays([pa.array(chunk, keys), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], names=["chunk_id", "tf", "dl"])
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([at] * len(held), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), fields)], names=["term", "block", "list"])
-
-    for batch in batches:
-        keys = batch.schema.field("chunk_id").type
-        for block, chunk, dl, tokens in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            if block != at and held:
-                yield flush()
-                held = {}
-            at = block
-            for term, n in Counter(tokens).items():
-                held.setdefault(term, []).append((chunk, n, dl))
-    if held:
-        yield flush()
+    for rows in scoring.whole_blocks(batches):
+        flat = rows.column("tokens").flatten().dictionary_encode()
+        starts = np.diff(rows.column("block").to_numpy(), prepend=rows.column("block")[0].as_py()) != 0
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("tokens")).to_numpy(zero_copy_only=False))
+        # one number for each block, term and row, in that order
+        width = max(1, len(flat.dictionary))
+        key, tf = np.unique((starts.cumsum()[row] * width + flat.indices.to_numpy()) * rows.num_rows + row, return_counts=True)
+        listed, row = key // rows.num_rows, key % rows.num_rows
+        first = np.flatnonzero(np.diff(listed, prepend=-1))
+        fields = pa.StructArray.from_arrays([rows.column("chunk_id").take(pa.array(row)), pa.array(tf, pa.int32()), rows.column("dl").take(pa.array(row))], names=["chunk_id", "tf", "dl"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), fields)
+        yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(listed[first] % width)), rows.column("block").take(pa.array(row[first])), lists], names=["term", "block", "list"])
 
 
 def build(chunks: DataFrame, path: str, order: tuple[str, ...] = ("source_id",), block: int = BLOCK) -> Index:
@@ -146,10 +142,32 @@ def _scored(index: Index, asked: DataFrame, places: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * (F.col("idf") * gain(index.avgdl, F.col("tf"), F.col("dl")))), 9).alias("score"))
 
 
+def _known(asked: DataFrame) -> bool:
+    """Whether so few terms, of so few characters, are asked for that every task may know them all."""
+    rows, characters = asked.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and characters <= KNOWN_CHARACTERS
+
+
+def _in_tasks(index: Index, asked: DataFrame, least: DataFrame, open_: DataFrame, k: int, work: bool) -> DataFrame:
+    """The k best chunks of each query in the superblocks open_, or the work, found by the tasks that have the chunks: a row for each task, query and hit."""
+    spark, kind = asked.sparkSession, lambda df, c: df.schema[c].dataType.simpleString()
+    weights = asked.join(bounded(least), "query_id", "left").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "least")
+    sent = spark.sparkContext.broadcast(scoring.Asked(weights.toArrow()))  # bounded: _known
+    forward = index.table(spark, "forward")
+    near = forward.withColumn("super", F.expr(f"block div {SUPER}")).join(bounded(settled(open_.select("super").distinct())), "super", "left_semi")
+    run = scoring.best(lambda: sent.value, k, K1, B, index.avgdl, SLACK, work)
+    columns = "blocks long, blocks_scored long, pairs_scored long" if work else f"chunk_id {kind(forward, 'chunk_id')}, score double"
+    return near.select("block", "chunk_id", "dl", "tokens").mapInArrow(run, f"query_id {kind(asked, 'query_id')}, {columns}")
+
+
 def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> DataFrame:
     """The k best chunks of each query (query_id, question): query_id, chunk_id, score, rank; as bm25 finds them.
 
-    work: instead, query_id, blocks that have a term of it, blocks scored and pairs (of query and chunk) scored.
+    Queries of up to BROADCAST_ROWS terms together are known to all tasks, which score the chunks they read and send on k rows a query; beyond, queries
+    and postings meet by term and block in a shuffle.
+
+    work: instead, query_id, blocks that have a term of it, blocks scored and pairs (of query and chunk) scored. Of queries known to all tasks the blocks are those
+    of open superblocks, and a block that two tasks read counts twice.
     """
     spark = queries.sparkSession
     asked = asked_terms(index, queries)
@@ -159,8 +177,8 @@ def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> Data
 
     def blocks(within: DataFrame) -> DataFrame:
         """Bounds of the blocks of superblocks (query_id, super)."""
-        met = maxima.join(few, "term").join(bounded(within), ["query_id", "super"], "left_semi")
-        return _bound(met, "block")
+        wanted = settled(few.join(within, "query_id").select("query_id", "term", "qtf", "idf", "super"))
+        return _bound(maxima.join(bounded(wanted), ["term", "super"]), "block")
 
     best = lambda rows, place, m: top(rows, m, ["query_id"], [F.desc("bound"), F.asc(place)]).select("query_id", place)
     near = best(blocks(best(supers, "super", FIRST_SUPERS)), "block", FIRST_BLOCKS)
@@ -168,6 +186,13 @@ def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> Data
     least = settled(tried.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
     reaches = F.col("bound") + SLACK >= F.coalesce("least", F.lit(0.0))
     open_ = supers.join(bounded(least), "query_id", "left").where(reaches).select("query_id", "super")
+    order = [F.desc("score"), F.asc("chunk_id")]
+    if _known(asked):
+        found = _in_tasks(index, asked, least, open_, k, work)
+        if not work:
+            return top(found, k, ["query_id"], order)
+        sums = found.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("blocks", "blocks_scored", "pairs_scored")))
+        return sums.where("blocks > 0")
     places = blocks(open_).join(bounded(least), "query_id", "left").where(reaches).select("query_id", "block")
     if work:
         places = settled(places)
@@ -175,4 +200,4 @@ def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> Data
         counted = places.groupBy("query_id").agg(F.count("*").alias("blocks_scored"))
         all_blocks = _bound(maxima.join(few, "term"), "block").groupBy("query_id").agg(F.count("*").alias("blocks"))
         return all_blocks.join(counted, "query_id").join(pairs, "query_id")
-    return top(_scored(index, asked, places), k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+    return top(_scored(index, asked, places), k, ["query_id"], order)

@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lodestone.operators import cells, revisions
 from lodestone.operators import evaluation as V
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
+from lodestone.operators import scoring
 from lodestone.operators.quantiles import percentiles, selected
 from lodestone.operators.vectors import VectorTable
 from lodestone.operators.versions import Conflict, Versions
@@ -113,19 +115,51 @@ def corpus(spark, n=600):
     return spark.createDataFrame(chunks, "chunk_id long, source_id string, content string"), spark.createDataFrame(queries, "query_id long, question string")
 
 
-@pytest.mark.parametrize("block, k", [(8, 5), (64, 3)])
-def test_index_equals_the_scan(spark, tmp_path, block, k):
+@pytest.mark.parametrize("block, k, known", [(8, 5, True), (64, 3, True), (8, 5, False), (64, 3, False)])
+def test_index_equals_the_scan(spark, tmp_path, monkeypatch, block, k, known):
+    monkeypatch.setattr(I, "_known", lambda asked: known)
     chunks, queries = corpus(spark)
     made = I.build(chunks.repartition(3), str(tmp_path / "ix"), block=block)
     key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
     want = key(R.bm25(chunks.where("content IS NOT NULL").unionByName(chunks.where("content IS NULL").withColumn("content", F.lit(""))), queries, k))
     assert key(I.search(made, queries, k)) == want and len(want) > 90
     work = {r.query_id: r for r in I.search(made, queries, k, work=True).collect()}
+    assert set(work) == {i for i, *_ in want}
     if block == 8:
         assert sum(r.blocks_scored for r in work.values()) < 0.5 * sum(r.blocks for r in work.values()), "blocks are skipped"
         assert work[0].pairs_scored < 300, "most chunks that share only common words are not scored"
 
 
+def test_best_of_blocks_with_equal_scores_and_odd_batches(monkeypatch):
+    """A block cut by batches, chunk ids that fall while scores tie, strings as ids; against a plain computation."""
+    monkeypatch.setattr(scoring, "HELD", 7)
+    monkeypatch.setattr(scoring, "TOKENS", 40)
+    monkeypatch.setattr(scoring, "AT_ONCE", 50)
+    rng = random.Random(5)
+    texts = [rng.choices("abcdefg", k=rng.randint(0, 6)) for _ in range(300)]
+    chunks = [(i // 8, f"c{999 - i}", len(t), t) for i, t in enumerate(texts)]
+    entries = [(q, t, w, None if q % 2 else 0.5) for q in range(9) for t, w in zip(rng.sample("abcdefgz", 3), (0.25, 0.5, 1.0), strict=True)]
+    asked = scoring.Asked(pa.table(dict(zip(("query_id", "term", "weight", "least"), map(list, zip(*entries, strict=True)), strict=True))))
+    schema = pa.schema([("block", pa.int64()), ("chunk_id", pa.string()), ("dl", pa.int32()), ("tokens", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*chunks[i : i + 11], strict=True)), schema, strict=True)], schema=schema) for i in range(0, 300, 11)]
+    pieces = list(scoring.whole_blocks(iter(batches)))
+    assert pa.Table.from_batches(pieces) == pa.Table.from_batches(batches) and len(pieces) > 5
+    assert sum(len(set(p.column("block").to_pylist())) for p in pieces) == 38, "no block is cut"
+    listed = [r for b in I._listed(iter(batches)) for r in b.to_pylist()]
+    assert len(listed) == len({(b, x) for b, _, _, t in chunks for x in t})
+    assert {(r["term"], r["block"], x["chunk_id"], x["tf"], x["dl"]) for r in listed for x in r["list"]} == {(x, b, c, t.count(x), n) for b, c, n, t in chunks for x in t}
+    got = [r for b in scoring.best(lambda: asked, 4, 1.5, 0.75, 3.0, 1e-6, False)(iter(batches)) for r in b.to_pylist()]
+    want = set()
+    for q in range(9):
+        terms, scored = {t: w for n, t, w, _ in entries if n == q}, []
+        for _, c, dl, t in chunks:
+            s = round(sum(w * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * dl / 3.0)) for x, w in terms.items()), 9)
+            if s > 0 and s >= (0 if q % 2 else 0.5):
+                scored.append((-s, c))
+        want |= {(q, c, -s) for s, c in sorted(scored)[:4]}
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in got} == want and len(got) == len(want)
+
+
 def test_index_is_built_once_for_a_state(spark, tmp_path):
     chunks, queries = corpus(spark, 60)
     built = []
