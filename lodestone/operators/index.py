@@ -92,7 +92,8 @@ def build(chunks: DataFrame, path: str, order: tuple[str, ...] = ("source_id",),
     listed.select("term", "block", F.size("list").cast("long").alias("n"), most.alias("most"), "list").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     maxima = spark.read.parquet(f"{path}/postings").select("term", "block", "n", "most").withColumn("super", F.expr(f"block div {SUPER}"))
     maxima.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    maxima.groupBy("term", "super").agg(F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/supers")
+    highest = maxima.groupBy("term", "super").agg(F.max("most").alias("most"))
+    highest.repartition("super").sortWithinPartitions("super").write.mode("overwrite").parquet(f"{path}/supers")
     return made
 
 
@@ -148,16 +149,25 @@ def _known(asked: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and characters <= KNOWN_CHARACTERS
 
 
+def _sent(asked: DataFrame, least: DataFrame | None = None) -> Callable[[], scoring.Asked]:
+    """asked, which is _known, as tasks get it; with least (query_id, least) the scores that hits must reach."""
+    weighed = asked.withColumn("weight", F.col("qtf") * F.col("idf"))
+    weighed = weighed.withColumn("least", F.lit(None).cast("double")) if least is None else weighed.join(bounded(least), "query_id", "left")
+    sent = asked.sparkSession.sparkContext.broadcast(scoring.Asked(weighed.select("query_id", "term", "weight", "least").toArrow()))
+    return lambda: sent.value
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _in_tasks(index: Index, asked: DataFrame, least: DataFrame, open_: DataFrame, k: int, work: bool) -> DataFrame:
     """The k best chunks of each query in the superblocks open_, or the work, found by the tasks that have the chunks: a row for each task, query and hit."""
-    spark, kind = asked.sparkSession, lambda df, c: df.schema[c].dataType.simpleString()
-    weights = asked.join(bounded(least), "query_id", "left").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "least")
-    sent = spark.sparkContext.broadcast(scoring.Asked(weights.toArrow()))  # bounded: _known
-    forward = index.table(spark, "forward")
+    forward = index.table(asked.sparkSession, "forward")
     near = forward.withColumn("super", F.expr(f"block div {SUPER}")).join(bounded(settled(open_.select("super").distinct())), "super", "left_semi")
-    run = scoring.best(lambda: sent.value, k, K1, B, index.avgdl, SLACK, work)
-    columns = "blocks long, blocks_scored long, pairs_scored long" if work else f"chunk_id {kind(forward, 'chunk_id')}, score double"
-    return near.select("block", "chunk_id", "dl", "tokens").mapInArrow(run, f"query_id {kind(asked, 'query_id')}, {columns}")
+    run = scoring.best(_sent(asked, least), k, K1, B, index.avgdl, SLACK, work)
+    columns = "blocks long, blocks_scored long, pairs_scored long" if work else f"chunk_id {_kind(forward, 'chunk_id')}, score double"
+    return near.select("block", "chunk_id", "dl", "tokens").mapInArrow(run, f"query_id {_kind(asked, 'query_id')}, {columns}")
 
 
 def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> DataFrame:
@@ -171,8 +181,12 @@ def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> Data
     """
     spark = queries.sparkSession
     asked = asked_terms(index, queries)
-    few = bounded(asked)
-    supers = settled(_bound(index.table(spark, "supers").join(few, "term"), "super"))
+    few, known, highest = bounded(asked), _known(asked), index.table(spark, "supers").select("super", "term", "most")
+    if known:
+        parts = highest.mapInArrow(scoring.bounds(_sent(asked)), f"query_id {_kind(asked, 'query_id')}, super long, bound double")
+        supers = settled(parts.groupBy("query_id", "super").agg(F.sum("bound").alias("bound")))
+    else:
+        supers = settled(_bound(highest.join(few, "term"), "super"))
     maxima = index.table(spark, "postings").select("term", "block", "most").withColumn("super", F.expr(f"block div {SUPER}"))
 
     def blocks(within: DataFrame) -> DataFrame:
@@ -187,7 +201,7 @@ def search(index: Index, queries: DataFrame, k: int, work: bool = False) -> Data
     reaches = F.col("bound") + SLACK >= F.coalesce("least", F.lit(0.0))
     open_ = supers.join(bounded(least), "query_id", "left").where(reaches).select("query_id", "super")
     order = [F.desc("score"), F.asc("chunk_id")]
-    if _known(asked):
+    if known:
         found = _in_tasks(index, asked, least, open_, k, work)
         if not work:
             return top(found, k, ["query_id"], order)

@@ -92,6 +92,38 @@ class _Best:
         return rows
 
 
+def bounds(value):
+    """For mapInArrow over (super, term, most), a superblock's rows together as far as may be: query_id, super and bound, in parts that add up.
+
+    value: gives the Asked. A row goes on for each query and superblock that share a term, none for the terms.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = value()
+        at, bound = None, np.zeros(len(asked.queries))
+
+        def part() -> pa.RecordBatch:
+            query = np.flatnonzero(bound)
+            return pa.RecordBatch.from_arrays([asked.queries.take(pa.array(query)), pa.array(np.full(len(query), at)), pa.array(bound[query])], names=["query_id", "super", "bound"])
+
+        for batch in batches:
+            ids = pc.index_in(batch.column("term"), value_set=asked.vocabulary.cast(batch.column("term").type))
+            rows = batch.filter(ids.is_valid())
+            term, super_, most = ids.drop_null().to_numpy(), rows.column("super").to_numpy(), rows.column("most").to_numpy()
+            edges = np.r_[np.flatnonzero(np.diff(super_, prepend=-1)), len(term)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if super_[a] != at:
+                    if at is not None:
+                        yield part()
+                    at, bound = super_[a], np.zeros(len(asked.queries))
+                gains = np.bincount(term[a:b], most[a:b], len(asked.vocabulary))
+                bound += np.bincount(asked.query, asked.weight * gains[asked.term], len(asked.queries))
+        if at is not None:
+            yield part()
+
+    return run
+
+
 def _block(asked: Asked, row: np.ndarray, term: np.ndarray, gain: np.ndarray, n: int, least: np.ndarray, slack: float, scratch: np.ndarray) -> tuple[np.ndarray, Iterator]:
     """Whether a query has a term in a block of n chunks; and, in slices, the queries whose bound reaches least and their scores of the n chunks."""
     here, column = np.unique(term, return_inverse=True)
