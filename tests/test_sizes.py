@@ -1,14 +1,42 @@
 """Steps whose memory, spill or time must not grow with the table: the bounded ways against plain ones."""
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone.functions import python as P
 from lodestone.operators import index as I
+from lodestone.operators import retrieval as R
+
+
+def test_hash_embedding_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(P, "TERMS", 5)
+    texts = [["a", "b", "a"], [], ["c"] * 9, ["é", "x y", "b"], ["a", "q"] * 4]
+    got = {r.i: r.v for r in spark.createDataFrame(list(enumerate(texts)), "i int, t array<string>").coalesce(1).select("i", P.hash_embedding(7)("t").alias("v")).collect()}
+    for i, terms in enumerate(texts):
+        want = [0.0] * 7
+        for t in terms:
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            want[int.from_bytes(d[:4], "little") % 7] += 1.0 if d[4] & 1 else -1.0
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert got[i] == [x / norm for x in want]
 
 
 def _plans(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_block_of_queries_needs_no_shuffle_of_vectors(spark):
+    x = np.random.default_rng(6).integers(-1, 2, (300, 3)).astype(float)
+    rows = spark.createDataFrame([(i * 7 % 300, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>").unionByName(spark.createDataFrame([(900, None)], "chunk_id long, vector array<double>"))
+    asked = rows.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    known, met = R.dense(rows, asked, 11), R.dense(rows, asked, 11, block=4)
+    assert "FlatMapCoGroups" in _plans(met) and "FlatMapCoGroups" not in _plans(known)
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, met.collect()))
+
+
 def test_postings_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     chunks = spark.createDataFrame([(i, "s", " ".join(f"w{i * j % 13}x" for j in range(9))) for i in range(150)], "chunk_id long, source_id string, content string")
     plans, written = [], type(chunks).write.fget
