@@ -11,18 +11,20 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..functions.python import bootstrap_mean, fact_coverage, percentile_places
+from ..functions.python import EXACT_DRAWS, bootstrap_mean, fact_coverage, generator_draws, generator_states, joined_parts, percentile_places, whole_parts
 from ..functions.text import phrase_share
-from .common import rank
+from .common import rank, settled
 from .evidence import SUPPORT, citations
 from .quantiles import percentiles, selected
 
 CUTOFFS = (1, 3, 5, 10)
+#: Values of a group that a task of the shared bootstrap holds.
+PART = 1 << 21
 
 
 def retrieval_metrics(hits: DataFrame, required: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
@@ -61,7 +63,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def bootstrap(values: DataFrame, by: str, value: str, seed: int, samples: int = 2_000) -> DataFrame:
-    """by, mean, low, high with the standard generator; for groups that fit into one task, such as evaluation sets."""
+    """by, mean, low, high with the draws of the standard generator. Groups of up to EXACT_DRAWS draws are a task each; larger ones are shared by many tasks, with the same draws."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("_order")[value].astype(float).tolist()
@@ -69,7 +71,72 @@ def bootstrap(values: DataFrame, by: str, value: str, seed: int, samples: int =
         return pd.DataFrame({by: [group[by].iloc[0]], "mean": [sum(ordered) / len(ordered)], "low": [low], "high": [high]})
 
     kind = values.schema[by].dataType.simpleString()
-    return values.groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
+    values = settled(values.select(by, value, "_order"))
+    large = settled(values.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") * samples > EXACT_DRAWS).select(F.col(by).alias("_key"), "n"))
+    same = F.col(by).eqNullSafe(F.col("_key"))
+    small = values.join(large, same, "left_anti").groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
+    if large.isEmpty():
+        return small
+    number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    rows = values.join(large, same).select(F.col("_key").alias("key"), "n", number.alias("v"), F.col("_order").alias("o"))
+    return small.unionByName(_shared_bootstrap(rows, seed, samples).select(F.col("key").alias(by), "mean", "low", "high"))
+
+
+def _shared_bootstrap(rows: DataFrame, seed: int, samples: int) -> DataFrame:
+    """key, mean, low, high of groups (key, n, v, o) of any size.
+
+    A task runs through the generator once for each n and keeps its state before every DRAWN tries, a few kB each; with these, tasks make the draws again, apart, for PART values of a
+    group, and send on sums by sample. Values are split into whole numbers of 26 bits below the group's largest exponent, so sums are exact in whatever order.
+    """
+    spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
+    finite = F.when(F.abs("v") < float("inf"), F.abs("v"))
+    groups = settled(rows.groupBy("key", "n").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.coalesce(F.max(finite), F.lit(0.0)).alias("top")))
+    walked = groups.where("least < most").select("n").distinct().mapInArrow(lambda batches: (s for b in batches for n in b.column("n").to_pylist() for s in generator_states(seed, n, n * samples)), "n long, first long, state binary")
+    states = settled(walked)
+    # places in order of o: ranges of rows are counted, and a range's rows are numbered from what is before it
+    ranged = settled(rows.repartitionByRange("key", "o").sortWithinPartitions("key", "o").select("key", "n", "v", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")))
+    counted = ranged.groupBy("key", "range").agg(F.count("*").alias("rows"), F.min("at").alias("start"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counted.select(F.col("key").alias("k"), F.col("range").alias("r"), (before - F.col("start")).alias("offset"))
+    placed = ranged.join(F.broadcast(offsets), F.col("key").eqNullSafe(F.col("k")) & (F.col("range") == F.col("r"))).withColumn("place", F.col("at") + F.col("offset")).drop("k")
+    slices = spark.sparkContext.defaultParallelism
+    tops = groups.select(F.col("key").alias("k"), "top")
+    part = placed.join(F.broadcast(tops), F.col("key").eqNullSafe(F.col("k"))).select("key", "n", "top", "v", "place", F.expr(f"place div {PART}").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PART}"))).alias("part")
+    drawn = groups.where("least < most").select("key", "n", parts).join(states, "n").withColumn("slice", F.pmod(F.xxhash64("first"), F.lit(slices)).cast("int"))
+
+    def add(held: pa.Table, segments: pa.Table) -> pa.Table:
+        place, v = held["place"].to_numpy(), np.empty(len(held))
+        n, top, base = held["n"][0].as_py(), held["top"][0].as_py(), int(place.min())
+        v[place - base] = held["v"].to_numpy()
+        pieces = whole_parts(v, top)
+        found = [(np.array([samples]), limb, np.array([x.sum()])) for limb, x in pieces] if held["slice"][0].as_py() == 0 else []
+        for first, state in zip(segments["first"].to_pylist(), segments["state"].to_pylist(), strict=True):
+            drawn = generator_draws(state, n)[: n * samples - first]
+            sample, mine = (first + np.arange(len(drawn))) // n, (drawn >= base) & (drawn < base + len(v))
+            sample, drawn = sample[mine], drawn[mine] - base
+            edges = np.flatnonzero(np.diff(sample, prepend=-1))
+            found += [(sample[edges], limb, np.add.reduceat(x[drawn], edges)) for limb, x in pieces if len(edges)]
+        columns = [np.concatenate(c) for c in zip(*((s, np.full(len(s), limb), t) for s, limb, t in found), strict=True)] or [np.zeros(0, np.int64)] * 3
+        keys = held["key"].combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int64)))
+        return pa.table([keys, *map(pa.array, columns)], names=["key", "sample", "limb", "total"])
+
+    by = ["key", "part", "slice"]
+    sums = part.groupBy(*by).cogroup(drawn.select(*by, "first", "state").groupBy(*by)).applyInArrow(add, f"key {kind}, sample long, limb long, total long")
+    sums = sums.groupBy("key", "sample", "limb").agg(F.sum("total").alias("total"))
+    ready = sums.join(F.broadcast(groups.withColumnRenamed("key", "k")), F.col("key").eqNullSafe(F.col("k"))).drop("k")
+
+    def ends(group: pd.DataFrame) -> pd.DataFrame:
+        n, top, least, most = (group[c].iloc[0] for c in ("n", "top", "least", "most"))
+        limbs = defaultdict(dict)
+        for s, limb, total in zip(group["sample"], group["limb"], group["total"], strict=True):
+            limbs[s][int(limb)] = int(total)
+        total = [joined_parts(limbs[s], top) / n for s in range(samples + 1)]
+        places = percentile_places(samples, 0.95)
+        low, high = (np.sort(total[:samples])[list(places)] if least < most else (least, least))
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "mean": [total[samples]], "low": [low], "high": [high]})
+
+    return ready.groupBy("key").applyInPandas(ends, f"key {kind}, mean double, low double, high double")
 
 
 def bootstrap_by_hash(values: DataFrame, by: str, value: str, samples: int = 2_000) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random as random_
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import python as P
+from lodestone.operators import evaluation as V
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
 
@@ -47,3 +49,25 @@ def test_postings_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     rows = index.table(spark, "postings").select("term", "block", F.inline("list")).collect()
     want = {(t, i): c.split().count(t) for i, _, c in chunks.collect() for t in c.split()}
     assert {(r.term, r.chunk_id): r.tf for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_shared_bootstrap_equals_that_of_one_task(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    groups = {"bits": random.integers(0, 2, 300) * 1.0, "wide": random.normal(size=517) * 10.0 ** random.integers(-30, 30, 517), "power": random.random(256), "same": np.full(400, 0.1), "few": random.random(20)}
+    rows = [(k, float(x), i * 7919 % 10007) for k, v in groups.items() for i, x in enumerate(v)]
+    values = spark.createDataFrame(rows, "k string, x double, _order long").repartition(5)
+    want = {r.k: r for r in V.bootstrap(values, "k", "x", 7, 200).collect()}
+    monkeypatch.setattr(V, "EXACT_DRAWS", 100 * 200)
+    monkeypatch.setattr(V, "PART", 200)
+    monkeypatch.setattr(V, "_shared_bootstrap", lambda *a, f=V._shared_bootstrap: called.append(1) or f(*a))
+    called = []
+    got = {r.k: r for r in V.bootstrap(values, "k", "x", 7, 200).collect()}
+    assert called and {k: (r.low, r.high) for k, r in got.items()} == {k: (r.low, r.high) for k, r in want.items()}
+    assert all(math.isclose(got[k].mean, want[k].mean, rel_tol=1e-15) for k in groups)
+
+
+def test_draws_of_the_generator_from_kept_states():
+    n = 300_001
+    states = [b.to_pylist()[0] for b in P.generator_states(11, n, 1_500_000)]
+    r = random_.Random(11)
+    assert len(states) > 2 and np.concatenate([P.generator_draws(s["state"], n) for s in states])[:1_500_000].tolist() == [r.randrange(n) for _ in range(1_500_000)]
