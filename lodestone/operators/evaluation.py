@@ -282,6 +282,7 @@ def score_summary(rows: DataFrame) -> DataFrame:
 
 def compared(rows: DataFrame, modes: list[str], seed: int, samples: int = 2_000) -> DataFrame:
     """For each mode after the first: questions that both have, the mean difference in correctness and its interval."""
+    rows = settled(rows.select("id", "mode", "correctness"))  # every mode reads the scores twice
     deltas = []
     for offset, mode in enumerate(modes[1:], 1):
         pair = paired(rows, "id", "correctness", modes[0], mode).select(F.lit(mode).alias("candidate"), F.col("id").alias("_order"), "delta")

@@ -71,3 +71,16 @@ def test_draws_of_the_generator_from_kept_states():
     states = [b.to_pylist()[0] for b in P.generator_states(11, n, 1_500_000)]
     r = random_.Random(11)
     assert len(states) > 2 and np.concatenate([P.generator_draws(s["state"], n) for s in states])[:1_500_000].tolist() == [r.randrange(n) for _ in range(1_500_000)]
+
+
+def test_compared_modes_compute_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i // 3, ("naive", "fixed_retrieval", "agentic")[i % 3], float(i % 7 % 2)) for i in range(60)], "id long, mode string, correctness double")
+    got = V.compared(rows.mapInArrow(count, rows.schema), ["naive", "fixed_retrieval", "agentic"], seed=7, samples=20).collect()
+    assert [r.questions for r in got] == [20, 20] and seen.value == 60
