@@ -11,6 +11,9 @@ from lodestone.functions import python as P
 from lodestone.operators import evaluation as V
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
+from lodestone.plans import common, search
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_hash_embedding_in_slices(spark, monkeypatch):
@@ -84,3 +87,10 @@ def test_compared_modes_compute_scores_once(spark):
     rows = spark.createDataFrame([(i // 3, ("naive", "fixed_retrieval", "agentic")[i % 3], float(i % 7 % 2)) for i in range(60)], "id long, mode string, correctness double")
     got = V.compared(rows.mapInArrow(count, rows.schema), ["naive", "fixed_retrieval", "agentic"], seed=7, samples=20).collect()
     assert [r.questions for r in got] == [20, 20] and seen.value == 60
+
+
+def test_embeddings_of_the_index_equal_those_of_texts(spark):
+    chunks, questions = R.active(common.chunks(spark, SF)), common.questions(spark, SF).limit(20)
+    got = search.indexed_embedding_hits(spark, SF)(chunks, questions, 3)
+    assert "regexp_extract_all(lower(text" not in _plans(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.embedding_hits(chunks, questions, 3).collect()))
