@@ -11,7 +11,9 @@ from lodestone.functions import python as P
 from lodestone.operators import evaluation as V
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
+from lodestone.operators import scoring
 from lodestone.plans import common, search
+from reference_search import terms
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +96,34 @@ def test_embeddings_of_the_index_equal_those_of_texts(spark):
     got = search.indexed_embedding_hits(spark, SF)(chunks, questions, 3)
     assert "regexp_extract_all(lower(text" not in _plans(got)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.embedding_hits(chunks, questions, 3).collect()))
+
+
+def _plain_keyword_hits(chunks, questions, k):
+    out = set()
+    for q, text in questions:
+        wanted = set(terms(text))
+        scored = sorted((-min(1.0, n / 5), i, n) for i, c in chunks if (n := sum((c or "").lower().count(t) for t in wanted)))
+        out |= {(q, i, n, -s, r) for r, (s, i, n) in enumerate(scored[:k], 1)}
+    return out
+
+
+def test_keywords_are_counted_by_the_tasks_that_have_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "POINTS", 40)
+    monkeypatch.setattr(scoring, "ENTRIES", 50)
+    words = ["aa", "aaa", "aaaa", "aba", "ababa", "that", "thathat", "x", "é", "naïve", "in", "inin", "a.b-c", "字", "測試"]
+    random = np.random.default_rng(9)
+    texts = [" ".join(random.choice(words, random.integers(0, 9))) for _ in range(120)] + ["", None, "a" * 101, "??"]
+    rows = [(i * 37 % 124, t) for i, t in enumerate(texts)]
+    asked = [(1, "aa aba that"), (2, "in naïve INin"), (3, "thathat zz a.b"), (4, "?"), (5, "字 測試 aaaa"), (6, None)]
+    chunks = spark.createDataFrame([(*r, "code") for r in rows], "chunk_id long, content string, category string").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id int, question string")
+    got = R.keyword_search(chunks, questions, 5)
+    # only the queries' best go on: no row for each pair of query and chunk, and no words of chunks in a join
+    assert "MapInArrow" in _plans(got) and "Join" not in _plans(got)
+    latin = lambda s: {r for r in s if r[0] != 5}  # noqa: E731  (the plain twin has its own CJK terms)
+    assert latin(map(tuple, got.collect())) == latin(_plain_keyword_hits(rows, [(q, t or "") for q, t in asked], 5))
+    monkeypatch.setattr(R, "known", lambda terms: False)
+    joined = R.keyword_search(chunks, questions, 5)
+    assert "MapInArrow" not in _plans(joined) and sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
+    monkeypatch.undo()
+    assert R.keyword_search(chunks, questions.where("query_id = 4"), 5).count() == 0 == R.keyword_search(chunks.limit(0), questions, 5).count()
