@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import shared_folder
+from ..operators.versions import Files
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -58,39 +56,58 @@ def tail_once(spark: SparkSession, path: str) -> DataFrame:
     return run_available(rates(read(spark, path)))
 
 
-SEQUENCED = "run_id long, sequence long, event_id long, event_type string, ts timestamp, late boolean"
+#: What is kept of a run: its last number and its newest time.
+RUNS = "run_id long, last long, newest timestamp"
+#: Batches from one list of all runs to the next; those between list their own.
+WHOLE = 10
 
 
-def sequenced(events: DataFrame) -> DataFrame:
-    """Each event of a run (run_id, event_id, event_type, ts) with the next number of its run, from 1, without gaps, over all batches.
+def sequenced(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Events of a batch (run_id, event_id, event_type, ts) with the next numbers of their runs, from 1, without gaps, after those that runs (run_id, last, newest) were given before.
 
-    Within a batch a run's events are in order of time, then id. An event that comes after later ones of its run were numbered is late: it gets the
-    next number like any other, since the log is append-only, and says so. State is two numbers a run; a task holds the events that one batch has of
-    one run, which the trigger bounds (maxFilesPerTrigger).
+    A run's events are in order of time, then id. An event that comes after later ones of its run were numbered is late: it gets the
+    next number like any other, since the log is append-only, and says so. What is known of a run goes before its events in their one shuffle; a long run is sorted, not held.
     """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    new = events.select("run_id", "event_id", "event_type", "ts", none("long", "last"), none("timestamp", "newest"))
+    rows = new.unionByName(runs, allowMissingColumns=True)
+    order = Window.partitionBy("run_id").orderBy(F.asc_nulls_first(F.col("last").isNull()), F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    before, newest = F.first("last").over(order), F.first("newest").over(order)
+    placed = rows.withColumn("_place", F.row_number().over(order)).withColumn("_before", before).withColumn("_newest", newest).where("last IS NULL")
+    sequence = F.when(F.col("_before").isNull(), F.col("_place")).otherwise(F.col("_before") + F.col("_place") - 1)
+    return placed.select("run_id", sequence.cast("long").alias("sequence"), "event_id", "event_type", "ts", F.coalesce(F.col("ts") < F.col("_newest"), F.lit(False)).alias("late"))
 
-    def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, newest = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        late = rows["ts"] < pd.Timestamp(newest, unit="us") if newest is not None else pd.Series(False, index=rows.index)
-        latest = int(rows["ts"].max().value // 1000)
-        state.update((last + len(rows), max(latest, newest) if newest is not None else latest))
-        yield pd.DataFrame({"run_id": key[0], "sequence": range(last + 1, last + 1 + len(rows)), "event_id": rows["event_id"].to_numpy(), "event_type": rows["event_type"].to_numpy(), "ts": rows["ts"].to_numpy(), "late": late.to_numpy()})
 
-    wanted = events.select("run_id", "event_id", "event_type", "ts")
-    return wanted.groupBy("run_id").applyInPandasWithState(number, SEQUENCED, "last long, newest long", "append", GroupStateTimeout.NoTimeout)
+def _numbered(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """run_id, last and newest of the runs in batches before this one; batches are numbered without gaps."""
+    if number == 0:
+        return spark.range(0).selectExpr("id AS run_id", "id AS last", "timestamp_micros(id) AS newest")
+    whole = number // WHOLE * WHOLE - 1
+    listed = spark.read.schema(f"{RUNS}, batch int").parquet(folder).where((F.col("batch") >= whole) & (F.col("batch") < number))
+    return listed.groupBy("run_id").agg(F.max("last").alias("last"), F.max("newest").alias("newest"))
 
 
 def append(events: DataFrame, log: str, state: str, files: int | None = None) -> None:
     """Number the events that a stream has now and append them to a log folder; a later call with the same state goes on where this one ended.
 
-    A batch that runs twice after a failure rewrites its own folder, so that no event is in the log twice.
+    state: folder of the stream's checkpoint and, below runs, of two numbers a run. A batch that runs twice after a failure reads what those before it left and rewrites its
+    own folders, so that no event is in the log twice.
     """
+    folder = f"{state}/runs"
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    sequenced(events).writeStream.foreachBatch(save).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        spark = batch.sparkSession
+        runs = _numbered(spark, folder, number)
+        sequenced(batch, runs).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        made = spark.read.parquet(f"{log}/batch={number}").select("run_id", F.col("sequence").alias("last"), F.col("ts").alias("newest"))
+        listed = made.unionByName(runs) if number % WHOLE == WHOLE - 1 else made
+        listed.groupBy("run_id").agg(F.max("last").alias("last"), F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if number and number % WHOLE == 0:  # the batch before it listed all runs and is done
+            files = Files(spark, folder)
+            for old in range(max(0, number - 1 - WHOLE), number - 1):
+                files.delete(f"{folder}/batch={old}")
+
+    events.select("run_id", "event_id", "event_type", "ts").writeStream.foreachBatch(save).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def tail(log: DataFrame, after: DataFrame, terminal: tuple[str, ...]) -> DataFrame:

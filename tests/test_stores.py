@@ -305,3 +305,35 @@ def test_log_goes_on_after_a_restart(spark, tmp_path):
     assert sorted((r.run_id, r.sequence, r.event_id, r.late) for r in held_.collect()) == [(1, 1, 1, False), (1, 2, 2, False), (1, 3, 4, True), (1, 4, 5, False), (1, 5, 7, False), (2, 1, 3, False), (2, 2, 6, False), (3, 1, 8, False)]
     seen = lambda *pairs: sorted((r.run_id, r.sequence) for r in trace.tail(held_, spark.createDataFrame(list(pairs), "run_id long, sequence long"), ("done",)).collect())
     assert seen((1, 2), (2, 2)) == [(1, 3), (1, 4), (3, 1)] and seen((1, 4), (2, 0), (3, 1)) == [(2, 1), (2, 2)]
+
+
+def test_numbers_go_on_over_many_batches(spark, tmp_path, monkeypatch):
+    """Whole lists of runs, the batches between them, their removal, a batch that runs twice, and null runs and times."""
+    monkeypatch.setattr(trace, "WHOLE", 3)
+    events, log, state = (str(tmp_path / n) for n in ("events", "log", "state"))
+    schema, want, last, newest = "run_id long, event_id long, event_type string, ts timestamp", [], {}, {}
+    for batch in range(8):
+        rows = [(None if run == 4 else run, 100 * batch + i, "e", None if (batch, i) == (2, 1) else 50 + (batch * 7 + i * 5) % 20) for i in range(4) for run in [(batch * i) % 5] if run != 3 or batch < 2]
+        spark.createDataFrame(rows, "run_id long, event_id long, event_type string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(events)
+        trace.append(spark.readStream.schema(schema).parquet(events), log, state)
+        if batch in (3, 5):  # as after a failure between the batch's end and its commit
+            (tmp_path / f"state/commits/{batch}").unlink()
+            (tmp_path / f"state/commits/.{batch}.crc").unlink(missing_ok=True)
+            trace.append(spark.readStream.schema(schema).parquet(events), log, state)
+        before = dict(newest)
+        for run, event, _, t in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, r[1])):
+            last[run] = last.get(run, 0) + 1
+            want.append((run, last[run], event, t is not None and run in before and t < before[run]))
+            newest[run] = max(newest.get(run, 0), t or 0)
+    got = spark.read.parquet(log)
+    assert sorted(map(str, ((r.run_id, r.sequence, r.event_id, r.late) for r in got.collect()))) == sorted(map(str, want))
+    assert {p.name for p in (tmp_path / "state/runs").iterdir() if p.is_dir()} == {"batch=5", "batch=6", "batch=7"}
+
+
+def test_a_batch_is_numbered_in_one_shuffle_without_python(spark):
+    events = spark.range(100).selectExpr("id % 3 AS run_id", "id AS event_id", "'e' AS event_type", "timestamp_seconds(id) AS ts")
+    runs = spark.range(2).selectExpr("id AS run_id", "10 AS last", "timestamp_seconds(50) AS newest")
+    numbered = trace.sequenced(events, runs.selectExpr("run_id", "cast(last AS long) AS last", "newest"))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.run_id, r.n, r.late) for r in numbered.groupBy("run_id").agg(F.min("sequence").alias("n"), F.sum(F.col("late").cast("int")).alias("late")).collect()} == {(0, 11, 17), (1, 11, 17), (2, 1, 0)}
