@@ -9,6 +9,7 @@ from ..functions.python import fact_coverage
 from ..operators import evaluation as V
 from ..operators import evidence as E
 from ..operators import retrieval as R
+from ..operators.common import settled
 from ..operators.quantiles import percentiles
 from .common import CHUNKS, QUESTIONS, bm25, chunks, lexical, questions, table, tokens
 from .evidence import _EVIDENCE, _SUPPORT, _ranked
@@ -27,8 +28,8 @@ def query(sql: str | None = None):
 
 
 def _metrics(spark, sf):
-    c, q = R.active(chunks(spark, sf)), questions(spark, sf)
-    hits = lexical(spark, sf, 10).join(c.select("chunk_id", "content"), "chunk_id").select("query_id", "rank", "content")
+    c = R.active(chunks(spark, sf))
+    hits = R.with_texts(settled(lexical(spark, sf, 10)), c.select("chunk_id", "content")).select("query_id", "rank", "content")
     words = F.split("text", " ")
     phrases = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(4)), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))  # every four words
     return V.retrieval_metrics(hits, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), phrases.alias("phrases")))

@@ -14,7 +14,7 @@ from lodestone.operators import evaluation as V
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
 from lodestone.operators import scoring
-from lodestone.plans import common, search
+from lodestone.plans import common, evaluation, evidence, search
 from reference_search import terms
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,30 @@ def test_postings_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert {(r.term, r.chunk_id): r.tf for r in rows} == want and len(rows) == len(want)
 
 
+def test_a_task_of_the_index_sorts_a_bounded_share_of_texts(spark, tmp_path, monkeypatch):
+    texts = [None if i == 5 else " ".join(f"w{i * j % 13}x" for j in range(9)) for i in range(400)]
+    chunks = spark.createDataFrame([(i, f"s{i % 3}", t) for i, t in enumerate(texts)], "chunk_id long, source_id string, content string").coalesce(1)
+    queries = spark.createDataFrame([(1, "w3x w5x w5x"), (2, "w7x")], "query_id long, question string")
+    whole = I.build(chunks, f"{tmp_path}/whole", block=8)
+    monkeypatch.setattr(I, "RANGE", 2000)
+    index = I.build(chunks, f"{tmp_path}/index", block=8)
+    held = index.table(spark, "forward").groupBy(F.input_file_name().alias("file")).agg(F.collect_set("chunk_id").alias("ids")).collect()
+    most = max(sum(len(texts[i] or "") for i in r.ids) for r in held)
+    assert sum(len(r.ids) for r in held) == 400 and len(held) > 5 and most <= 2 * I.RANGE
+    found = lambda x: sorted(map(tuple, I.search(x, queries, 7).collect()))
+    assert found(index) == found(whole) and len(found(index)) == 14
+
+
+def test_texts_of_hits_take_no_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # texts are too large for it
+    try:
+        for df in (evidence.token_budget(spark, SF), evaluation.recall_at_k(spark, SF)):
+            assert "hashpartitioning(chunk_id" not in _plans(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_shared_bootstrap_equals_that_of_one_task(spark, monkeypatch):
     random = np.random.default_rng(3)
     groups = {"bits": random.integers(0, 2, 300) * 1.0, "wide": random.normal(size=517) * 10.0 ** random.integers(-30, 30, 517), "power": random.random(256), "same": np.full(400, 0.1), "few": random.random(20)}
