@@ -1,7 +1,11 @@
 """A loop whose own searches fail has no answers: it raises what failed, whatever the mode, instead of answering without their hits."""
 
+import os
+from types import SimpleNamespace
+
 import pytest
 
+from lodestone.operators import common, registry
 from lodestone.plans import agent, evidence
 from test_agent import CHUNK, corpus
 
@@ -33,3 +37,22 @@ def test_agentic_loop_query_raises(spark, monkeypatch):
     monkeypatch.setattr(evidence, "lexical", fails)
     with pytest.raises(RuntimeError, match="no index"):
         evidence.Q["agentic_loop"](spark, SF)
+
+
+def test_fixed_loop_query_raises_when_hits_are_not_written(spark, monkeypatch):
+    def full(df):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(registry, "settled", full)
+    with pytest.raises(OSError, match="no space left"):
+        evidence.Q["fixed_loop"](spark, SF)
+
+
+def test_a_table_whose_files_are_nowhere_is_not_empty(spark, tmp_path, monkeypatch):
+    """What executors wrote to folders of their own, which the driver does not see."""
+    assert common.settled(spark.range(0)).count() == 0 and common.settled(spark.range(3)).count() == 3
+    folder = SimpleNamespace(parquet=lambda path: os.makedirs(path))
+    unseen = SimpleNamespace(sparkSession=spark, schema=spark.range(1).schema, write=SimpleNamespace(option=lambda *_: folder))
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    with pytest.raises(RuntimeError, match="no file"):
+        common.settled(unseen)
