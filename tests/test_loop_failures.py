@@ -4,8 +4,10 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from py4j.protocol import Py4JError, Py4JNetworkError
 
 from lodestone.operators import common, registry
+from lodestone.operators.registry import Registry, Tool, attempted
 from lodestone.plans import agent, evidence
 from test_agent import CHUNK, corpus
 
@@ -17,6 +19,11 @@ def tables(spark):
     return spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(issues, "chunk_id long, content string"), spark.createDataFrame(questions, "query_id long, question string")
 
 
+def lost(rows):
+    os._exit(3)
+    yield
+
+
 @pytest.mark.parametrize("problem", [TimeoutError("late"), ConnectionError("gone"), MemoryError("full")])
 def test_agentic_loop_raises_what_a_channel_raised(spark, problem):
     def fails(*_):
@@ -56,3 +63,36 @@ def test_a_table_whose_files_are_nowhere_is_not_empty(spark, tmp_path, monkeypat
     monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
     with pytest.raises(RuntimeError, match="no file"):
         common.settled(unseen)
+
+
+def test_naive_loop_query_raises_when_workers_are_lost(spark, monkeypatch):
+    def search(spark, sf, k, queries):
+        return queries.select("query_id").mapInPandas(lost, "query_id long, chunk_id long, score double, rank int")
+
+    monkeypatch.setattr(evidence, "lexical", search)
+    with pytest.raises(Py4JError):
+        evidence.Q["naive_loop"](spark, SF)
+
+
+def test_a_lost_job_is_no_outcome_of_a_given_tool(spark):
+    """What a tool's own Python raises in a task is still its outcome."""
+
+    def raises(rows):
+        raise ValueError("its own")
+        yield
+
+    def gone():
+        raise Py4JNetworkError("gone")
+
+    hits, r = "query_id long, chunk_id long, score double, rank int", Registry()
+    for name, f in (("lost", lost), ("raises", raises)):
+        r.register(Tool(name, lambda q, k, f=f: q.select("query_id").mapInPandas(f, hits)))
+    asked = spark.createDataFrame([(1, "q")], "query_id long, question string")
+    with pytest.raises(Py4JError):
+        r.execute("lost", asked, 5)
+    with pytest.raises(Py4JError):
+        attempted(gone, 1, 30.0)
+    out = r.execute("raises", asked, 5)
+    assert (out.status, out.error_type) == ("failed", "internal") and "its own" in out.error
+    with pytest.raises(Py4JError):
+        agent.run(*tables(spark), "naive", reranker=lambda pairs: pairs.mapInPandas(lost, "query_id long, chunk_id long, raw double, error string"))
